@@ -23,8 +23,9 @@ def char_ngrams(c: Column, n: int) -> Column:
 
 
 def gram_bits(c: Column, ns, nbits: int) -> Column:
-    """Distinct hashed bits of the n-grams of ``c`` for every n in ``ns``."""
-    grams = F.flatten(F.array(*[char_ngrams(c, n) for n in ns]))
+    """Distinct hashed bits of the n-grams of ``c`` for every n in ``ns``
+    (grams are de-duplicated before hashing)."""
+    grams = F.array_distinct(F.flatten(F.array(*[char_ngrams(c, n) for n in ns])))
     bits = F.transform(grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("long"),
                                                F.lit(nbits)))
     return F.array_distinct(bits)
@@ -32,9 +33,8 @@ def gram_bits(c: Column, ns, nbits: int) -> Column:
 
 def set_tanimoto(a: Column, b: Column, empty_value: float = 0.0) -> Column:
     """|A and B| / |A or B| for two distinct-valued arrays; both empty -> ``empty_value``."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(float(empty_value))).otherwise(
-        F.size(F.array_intersect(a, b)) / union)
+    union = F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+    return F.coalesce(F.size(F.array_intersect(a, b)) / union, F.lit(float(empty_value)))
 
 
 def clipped_matches(hyp: str, ref: str, max_n: int) -> list[int]:

@@ -125,22 +125,43 @@ def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
     return df.mapInPandas(run, schema)
 
 
-def pair_stats(prepared: DataFrame, group_cols: Sequence[str] = (), empty_value: float = 0.0) -> DataFrame:
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition rows before CPU-heavy per-row work. Pair rows are small
+    in bytes but costly to score, so AQE's size-based coalescing would
+    otherwise pack them into very few tasks."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
+
+
+def with_bit_tanimoto(df: DataFrame, use: Column, empty_value: float = 0.0) -> DataFrame:
+    """Append ``bits_small`` / ``bits_large``: set Tanimoto of the hashed
+    n-gram fingerprints of ``gt_can`` and ``pred_can`` (0.0 where not ``use``).
+    The fingerprints are built once as columns, then compared."""
+    gc, pc = F.col("gt_can"), F.col("pred_can")
+    out = df
+    names = []
+    for (w, ns), name in ((BITS_SMALL, "bits_small"), (BITS_LARGE, "bits_large")):
+        out = out.withColumn(f"_g_{name}", F.when(use, gram_bits(gc, ns, w))).withColumn(
+            f"_p_{name}", F.when(use, gram_bits(pc, ns, w)))
+        names.append(name)
+    for name in names:
+        out = out.withColumn(name, F.when(use, set_tanimoto(F.col(f"_g_{name}"), F.col(f"_p_{name}"), empty_value))
+                             .otherwise(0.0))
+    return out.drop(*[f"_{s}_{n}" for n in names for s in ("g", "p")])
+
+
+def pair_stats(prepared: DataFrame, group_cols: Sequence[str] = (), empty_value: float = 0.0,
+               partitions: int | None = None) -> DataFrame:
     """Per-pair additive statistics for the full report."""
     kept = F.col("status") == "kept"
     gc, pc = F.col("gt_can"), F.col("pred_can")
-    small_w, small_n = BITS_SMALL
-    large_w, large_n = BITS_LARGE
-    native = prepared.select(
+    base = spread(prepared, "pair_id", partitions)
+    native = with_bit_tanimoto(base.select(
         "pair_id", *group_cols, "status", "gt_self", "pred_self", "gt_can", "pred_can",
         F.when(kept, (gc == pc).cast("long")).otherwise(0).alias("exact"),
         F.when(kept, F.levenshtein(pc, gc).cast("long")).otherwise(0).alias("lev"),
-        F.when(kept, set_tanimoto(gram_bits(gc, small_n, small_w), gram_bits(pc, small_n, small_w),
-                                  empty_value)).otherwise(0.0).alias("bits_small"),
-        F.when(kept, set_tanimoto(gram_bits(gc, large_n, large_w), gram_bits(pc, large_n, large_w),
-                                  empty_value)).otherwise(0.0).alias("bits_large"),
         (kept).alias("_use"),
-    )
+    ), kept, empty_value)
     counted = with_clipped_matches(
         native, [("c", "pred_can", "gt_can"), ("s", "pred_self", "gt_self")], use_col="_use",
         drop=())
@@ -249,7 +270,7 @@ def validity(prepared: DataFrame) -> DataFrame:
 
 def corpus_bleu(prepared: DataFrame, hyp_col: str, ref_col: str, name: str) -> DataFrame:
     """Corpus BLEU of the kept pairs over one pair of forms."""
-    kept = prepared.where(F.col("status") == "kept").select(hyp_col, ref_col)
+    kept = spread(prepared.where(F.col("status") == "kept"), "pair_id").select(hyp_col, ref_col)
     counted = with_clipped_matches(kept, [("x", hyp_col, ref_col)])
     h = F.length(hyp_col)
     aggs = [F.sum(h).alias("x_hyp"), F.sum(F.length(ref_col)).alias("x_ref")]
@@ -271,7 +292,7 @@ def exact_match(prepared: DataFrame) -> DataFrame:
 
 def levenshtein_mean(prepared: DataFrame) -> DataFrame:
     """E5: mean edit distance (code points) between canonical forms of kept pairs."""
-    kept = prepared.where(F.col("status") == "kept")
+    kept = spread(prepared.where(F.col("status") == "kept"), "pair_id")
     return kept.agg(F.count(F.lit(1)).alias("n_kept"),
                     F.round(F.coalesce(F.avg(F.levenshtein("pred_can", "gt_can").cast("double")), F.lit(0.0)), 6)
                     .alias("levenshtein_smi"))
@@ -279,18 +300,16 @@ def levenshtein_mean(prepared: DataFrame) -> DataFrame:
 
 def tanimoto_bits(prepared: DataFrame, empty_value: float = 0.0) -> DataFrame:
     """Mean set Tanimoto of hashed n-gram bits, short and long fingerprint."""
-    kept = prepared.where(F.col("status") == "kept")
-    gc, pc = F.col("gt_can"), F.col("pred_can")
-    out = []
-    for (w, ns), name in ((BITS_SMALL, "bits_167"), (BITS_LARGE, "bits_2048")):
-        t = set_tanimoto(gram_bits(gc, ns, w), gram_bits(pc, ns, w), empty_value)
-        out.append(F.round(F.coalesce(F.avg(t), F.lit(0.0)), 6).alias(name))
-    return kept.agg(F.count(F.lit(1)).alias("n_kept"), *out)
+    kept = spread(prepared.where(F.col("status") == "kept"), "pair_id")
+    scored = with_bit_tanimoto(kept.select("pair_id", "gt_can", "pred_can"), F.lit(True), empty_value)
+    return scored.agg(F.count(F.lit(1)).alias("n_kept"),
+                      F.round(F.coalesce(F.avg("bits_small"), F.lit(0.0)), 6).alias("bits_167"),
+                      F.round(F.coalesce(F.avg("bits_large"), F.lit(0.0)), 6).alias("bits_2048"))
 
 
 def tanimoto_counts(prepared: DataFrame, empty_value: float = 0.0) -> DataFrame:
     """Mean count Tanimoto over unfolded 1..3-gram counts of canonical forms."""
-    kept = prepared.where(F.col("status") == "kept").select("gt_can", "pred_can")
+    kept = spread(prepared.where(F.col("status") == "kept"), "pair_id").select("gt_can", "pred_can")
     counted = with_clipped_matches(kept, [("c", "pred_can", "gt_can")], max_n=COUNT_GRAMS_MAX_N)
     h, r = F.length("pred_can"), F.length("gt_can")
     inter = sum((F.col(f"c_m{n}") for n in range(1, COUNT_GRAMS_MAX_N + 1)), F.lit(0))

@@ -1,69 +1,108 @@
 """Ordering, positions, shuffling, batching and sharding.
 
-Positions are computed without a single-partition window and without putting
-one group in one task: rows are range-partitioned on (group, order) so a hot
-group spans many partitions; each row's index inside its partition comes from
-``monotonically_increasing_id`` (partition id in the upper bits); the only
-data that crosses tasks is one count per (group, partition).
+Dense positions (``row_number`` within a group) are computed without a
+single-partition window and without sorting one group in one task:
+
+1. the leading sort key is mapped to a monotone number, and bucket
+   boundaries are taken once from ``percentile_approx`` over it; they enter
+   the plan as literals, so every consumer and every recomputation buckets a
+   row the same way (Spark's own range partitioner re-samples per RDD);
+2. rows are counted per (group, bucket) - a partial aggregate - and offsets
+   are a running sum over that small table;
+3. ``row_number`` runs per (group, bucket), so a hot group is spread over
+   as many tasks as it has buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-_LOCAL_BITS = 33
-_LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-
-# Offsets tables larger than this are joined with a shuffle instead of broadcast.
-OFFSET_BROADCAST_ROWS = 200_000
-
-
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _group_count(df: DataFrame, groups: Sequence[str]) -> int:
-    """Estimated number of distinct groups (one column-pruned pass, tiny shuffle),
-    padded by 10 % against the estimator's error."""
-    key = F.struct(*groups) if len(groups) > 1 else F.col(groups[0])
-    est = df.agg(F.approx_count_distinct(key, 0.02).alias("n")).first()["n"]
-    return int(est * 1.1) + 1
-
-
-def sequence_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),
+from pyspark.sql import types as T
+
+# Aim for about this many rows per (group, bucket) window.
+ROWS_PER_BUCKET = 1_000_000
+# Resolution of the quantile probe (upper bound on the number of buckets).
+MAX_BUCKETS = 4096
+
+OrderSpec = str | tuple[str, bool]
+
+
+def _spec(o: OrderSpec) -> tuple[str, bool]:
+    return (o, True) if isinstance(o, str) else (o[0], bool(o[1]))
+
+
+def _surrogate(df: DataFrame, name: str, ascending: bool) -> Column:
+    """A double that never decreases when ``name`` increases (strings: their
+    first 7 UTF-8 bytes), negated for descending order; NULL sorts first
+    ascending and last descending, as Spark's defaults do."""
+    dt = df.schema[name].dataType
+    c = F.col(name)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                       T.DecimalType)):
+        x = c.cast("double")
+    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        x = F.unix_micros(c.cast("timestamp")).cast("double")
+    elif isinstance(dt, T.StringType):
+        x = F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("double")
+    elif isinstance(dt, T.BooleanType):
+        x = c.cast("double")
+    else:
+        raise TypeError(f"cannot order by {dt}")
+    if not ascending:
+        x = -x
+    return F.coalesce(x, F.lit(float("-inf")) if ascending else F.lit(float("inf")))
+
+
+def _boundaries(df: DataFrame, key: Column) -> list[float]:
+    """Strictly increasing bucket boundaries giving about ROWS_PER_BUCKET
+    rows per bucket (one pass: row count and quantile probe together)."""
+    probe = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(key, probe, 10 * MAX_BUCKETS).alias("q")).first()
+    n, qs = int(row["n"]), list(row["q"] or [])
+    buckets = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
+    if buckets <= 1 or not qs:
+        return []
+    step = MAX_BUCKETS / buckets
+    picked = sorted({float(qs[min(len(qs) - 1, int(round(k * step)) - 1)]) for k in range(1, buckets)})
+    return [b for b in picked if b not in (float("inf"), float("-inf"))]
+
+
+def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: Sequence[str] = (),
                    name: str = "pos", start: int = 0, num_partitions: int | None = None) -> DataFrame:
-    """Dense index of each row in ``order_by`` within ``partition_by`` groups.
-
-    ``order_by`` must be a total order (end it with a unique key): the index
-    is then identical for any input partitioning and on recomputation.
-    Equivalent to ``row_number() over (partition by ... order by ...) - 1 + start``.
-    """
-    n = _partitions(df, num_partitions)
-    keys = [F.col(k) if isinstance(k, str) else k for k in (*partition_by, *order_by)]
-    # Explicit partition count: AQE keeps it, so partition ids agree between the
-    # two readers of this exchange below.
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = (ranged.withColumn("_rid", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_rid", _LOCAL_BITS))
-              .withColumn("_local", F.col("_rid").bitwiseAND(F.lit(_LOCAL_MASK))))
+    """Dense index of each row in ``order_by`` within ``partition_by`` groups:
+    ``row_number() over (partition by ... order by ...) - 1 + start``.
+
+    ``order_by`` items are column names (ascending) or ``(name, ascending)``;
+    they must form a total order (end with a unique key), which makes the
+    result independent of partitioning and stable on recomputation.
+    ``num_partitions`` is accepted for API symmetry; shuffles follow
+    ``spark.sql.shuffle.partitions`` and AQE."""
+    specs = [_spec(o) for o in order_by]
     groups = list(partition_by)
-    counts = tagged.groupBy(*groups, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_part", "_first",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if not groups or _group_count(df, groups) + n <= OFFSET_BROADCAST_ROWS:
-        # At most (groups + partitions) rows: with no groups bounded by the
-        # partition count, otherwise by the estimate checked just above.
-        offsets = F.broadcast(offsets)
-    out = tagged.join(offsets, [*groups, "_part"])
-    return out.withColumn(name, F.col("_offset") + F.col("_local") - F.col("_first") + F.lit(start)).drop(
-        "_rid", "_part", "_local", "_first", "_offset")
+    lead, lead_asc = specs[0]
+    key = _surrogate(df, lead, lead_asc)
+    bounds = _boundaries(df, key)
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        keyed = df.withColumn("_bkey", key)
+        bucketed = Bucketizer(splits=splits, inputCol="_bkey", outputCol="_bucket").transform(keyed).drop("_bkey")
+        bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("int"))
+    else:
+        bucketed = df.withColumn("_bucket", F.lit(0))
+    sort_cols = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in specs]
+    within = Window.partitionBy(*groups, "_bucket").orderBy(*sort_cols)
+    numbered = bucketed.withColumn("_rn", F.row_number().over(within))
+    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # ``numbered`` is already partitioned by (group, bucket): only the small
+    # offsets table moves for this join.
+    out = numbered.join(offsets, [*groups, "_bucket"])
+    return out.withColumn(name, F.col("_offset") + F.col("_rn") - 1 + F.lit(start)).drop("_bucket", "_rn", "_offset")
 
 
 # --- B1 ---------------------------------------------------------------------
@@ -85,7 +124,7 @@ def epoch_order(df: DataFrame, id_col: str, split_col: str = "split", seed=0, ep
 
 # --- B2 ---------------------------------------------------------------------
 
-def make_batches(df: DataFrame, order_by: Sequence[str | Column], batch_size: int, grad_accum: int = 1,
+def make_batches(df: DataFrame, order_by: Sequence[OrderSpec], batch_size: int, grad_accum: int = 1,
                  partition_by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """B2: consecutive batches of ``batch_size`` rows (last short batch kept) and
     the optimiser step each batch belongs to."""

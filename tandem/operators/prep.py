@@ -125,7 +125,7 @@ def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Col
         part = texts.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = part if toks is None else toks.unionByName(part)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    learned = sequence_index(counts, [F.col("n").desc(), F.col("token").asc()], name="id", start=3,
+    learned = sequence_index(counts, [("n", False), ("token", True)], name="id", start=3,
                              num_partitions=num_partitions)
     spark = texts.sparkSession
     specials = spark.createDataFrame(

@@ -190,8 +190,9 @@ def validation_plan(log: DataFrame, interval: int, warmup_ratio: float = PCT_STA
     last_per_check = log.groupBy(run, k.alias("check")).agg(
         F.max_by(F.struct(F.col(step).alias("asof_step"), "metric", "value"), F.col(step)).alias("_row"))
     totals = run_totals(log, run, step)
-    checks = totals.select(run, "total_steps", F.explode(F.sequence(
-        F.lit(1).cast("long"), F.floor(F.col("total_steps") / interval).cast("long"))).alias("check"))
+    n_checks = F.floor(F.col("total_steps") / interval).cast("long")
+    checks = totals.select(run, "total_steps", F.explode(F.when(n_checks >= 1, F.sequence(
+        F.lit(1).cast("long"), n_checks))).alias("check"))
     j = checks.join(last_per_check, [run, "check"], "left")
     w = Window.partitionBy(run).orderBy("check").rowsBetween(Window.unboundedPreceding, 0)
     carried = j.withColumn("_row", F.last("_row", ignorenulls=True).over(w))

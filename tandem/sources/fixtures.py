@@ -76,13 +76,14 @@ def samples_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equivalent rewrites of a sample's source string: (doc_id, variant_no, text)."""
+    """Equivalent rewrites of a sample's source string: (doc_id, variant_no, text):
+    words reversed, spaces as underscores, runs of spaces/newlines squeezed."""
     d = read_table(spark, sf_dir, "documents", "doc_id", "text").where(F.pmod("doc_id", F.lit(3)) != 0)
     forms = F.array(
         F.struct(F.lit(0).alias("variant_no"),
                  F.array_join(F.reverse(F.split("text", " ")), " ").alias("text")),
-        F.struct(F.lit(1).alias("variant_no"), F.lower("text").alias("text")),
-        F.struct(F.lit(2).alias("variant_no"), F.upper("text").alias("text")))
+        F.struct(F.lit(1).alias("variant_no"), F.replace("text", F.lit(" "), F.lit("_")).alias("text")),
+        F.struct(F.lit(2).alias("variant_no"), F.regexp_replace("text", "[ \n]+", " ").alias("text")))
     return d.select("doc_id", F.inline(forms))
 
 

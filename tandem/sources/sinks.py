@@ -34,7 +34,8 @@ def write_eval_tsv(prepared: DataFrame, path: str, caption: str = "caption") ->
             _flat(F.col("gt_self")), _flat(F.col("pred_self"))]
     out = kept.select(*[c.alias(n) for c, n in zip(cols, EVAL_TSV_HEADER)])
     (out.write.mode("overwrite").option("sep", "\t").option("header", True)
-     .option("quote", _NO_QUOTE).option("escape", _NO_QUOTE).option("emptyValue", "").csv(path))
+     .option("quote", _NO_QUOTE).option("escape", _NO_QUOTE).option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_eval_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +50,8 @@ def write_predictions_csv(rows: DataFrame, path: str) -> None:
     header, RFC 4180 quoting (captions may hold newlines and quotes)."""
     out = rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in PREDICTIONS_CSV_HEADER])
     (out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("quoteAll", True).csv(path))
+     .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
