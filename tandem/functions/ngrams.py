@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 from pyspark.sql import Column
@@ -49,3 +50,72 @@ def clipped_matches(hyp: str, ref: str, max_n: int) -> list[int]:
         cr = Counter(ref[i:i + n] for i in range(lr - n + 1))
         out.append(sum((ch & cr).values()))
     return out
+
+
+_HASH_CACHE: dict[str, int] = {}
+_HASH_CACHE_MAX = 2_000_000
+
+
+def _gram_hash(g: str) -> int:
+    h = _HASH_CACHE.get(g)
+    if h is None:
+        h = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:7], 16)
+        if len(_HASH_CACHE) >= _HASH_CACHE_MAX:
+            _HASH_CACHE.clear()
+        _HASH_CACHE[g] = h
+    return h
+
+
+def gram_hashes(s: str, ns) -> dict[int, set[int]]:
+    """Per n in ``ns``: the md5-derived integers (first 7 hex digits) of the
+    distinct n-grams of ``s`` (memoised per worker: grams recur across rows)."""
+    out = {}
+    for n in ns:
+        grams = {s[i:i + n] for i in range(len(s) - n + 1)}
+        out[n] = {_gram_hash(g) for g in grams}
+    return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance over code points, bit-parallel (Myers / Hyyro):
+    one pass over the longer string with the shorter one as a bit vector."""
+    if len(a) < len(b):
+        a, b = b, a
+    m = len(b)
+    if m == 0:
+        return len(a)
+    peq: dict[str, int] = {}
+    for i, ch in enumerate(b):
+        peq[ch] = peq.get(ch, 0) | (1 << i)
+    full = (1 << m) - 1
+    top = 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for ch in a:
+        eq = peq.get(ch, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & full)
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = ((ph << 1) | 1) & full
+        mh = (mh << 1) & full
+        pv = mh | (~(xv | ph) & full)
+        mv = ph & xv
+    return score
+
+
+def bits_tanimoto(a: str, b: str, widths: dict[int, tuple[int, ...]], empty_value: float = 0.0) -> dict[int, float]:
+    """Set Tanimoto of hashed n-gram fingerprints per width; same bits as
+    ``gram_bits`` (md5 prefix mod width)."""
+    all_ns = sorted({n for ns in widths.values() for n in ns})
+    ha, hb = gram_hashes(a, all_ns), gram_hashes(b, all_ns)
+    out = {}
+    for w, ns in widths.items():
+        sa = {h % w for n in ns for h in ha[n]}
+        sb = {h % w for n in ns for h in hb[n]}
+        union = len(sa | sb)
+        out[w] = (len(sa & sb) / union) if union else float(empty_value)
+    return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.ngrams import clipped_matches, gram_bits, set_tanimoto
+from tandem.functions.ngrams import bits_tanimoto, clipped_matches, edit_distance, gram_bits, set_tanimoto
 from tandem.functions.text import clean_generated, non_empty
 
 # --- Fixed values of the metric definitions ---
@@ -93,14 +93,24 @@ def _gram_specs(max_n: int) -> list[str]:
 
 def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
                          use_col: str | None = None, max_n: int = BLEU_MAX_N,
-                         drop: Sequence[str] = ()) -> DataFrame:
+                         drop: Sequence[str] = (), bits: tuple[str, str] | None = None,
+                         empty_value: float = 0.0, lev: tuple[str, str] | None = None) -> DataFrame:
     """Append ``{prefix}_m1..m{max_n}`` clipped n-gram matches for each
-    (prefix, hyp_col, ref_col) spec, computed per Arrow batch. Rows whose
-    ``use_col`` is false get zeros. ``drop`` columns are not passed back."""
+    (prefix, hyp_col, ref_col) spec, computed per Arrow batch; with ``bits =
+    (gt_col, pred_col)`` also ``bits_small`` / ``bits_large`` (hashed n-gram
+    fingerprint Tanimoto); with ``lev = (hyp_col, ref_col)`` also ``lev``
+    (edit distance). Rows whose ``use_col`` is false get zeros.
+    ``drop`` columns are not passed back."""
     keep_fields = [f for f in df.schema.fields if f.name not in set(drop)]
     new_fields = [T.StructField(f"{p}_{m}", T.LongType(), False) for p, _, _ in specs for m in _gram_specs(max_n)]
+    if bits:
+        new_fields += [T.StructField("bits_small", T.DoubleType(), False),
+                       T.StructField("bits_large", T.DoubleType(), False)]
+    if lev:
+        new_fields += [T.StructField("lev", T.LongType(), False)]
     schema = T.StructType(keep_fields + new_fields)
     keep_names = [f.name for f in keep_fields]
+    widths = {BITS_SMALL[0]: BITS_SMALL[1], BITS_LARGE[0]: BITS_LARGE[1]}
 
     def run(batches):
         for pdf in batches:
@@ -120,6 +130,24 @@ def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
                         cols[k][i] = v
                 for k in range(max_n):
                     out[f"{prefix}_m{k + 1}"] = pd.Series(cols[k], index=pdf.index, dtype="int64")
+            if bits:
+                gts, preds = pdf[bits[0]].to_numpy(), pdf[bits[1]].to_numpy()
+                small, large = [0.0] * len(pdf), [0.0] * len(pdf)
+                for i in range(len(pdf)):
+                    if (use is not None and not use[i]) or gts[i] is None or preds[i] is None:
+                        continue
+                    t = bits_tanimoto(gts[i], preds[i], widths, empty_value)
+                    small[i], large[i] = t[BITS_SMALL[0]], t[BITS_LARGE[0]]
+                out["bits_small"] = pd.Series(small, index=pdf.index, dtype="float64")
+                out["bits_large"] = pd.Series(large, index=pdf.index, dtype="float64")
+            if lev:
+                hs, rs = pdf[lev[0]].to_numpy(), pdf[lev[1]].to_numpy()
+                dist = [0] * len(pdf)
+                for i in range(len(pdf)):
+                    if (use is not None and not use[i]) or hs[i] is None or rs[i] is None:
+                        continue
+                    dist[i] = edit_distance(hs[i], rs[i])
+                out["lev"] = pd.Series(dist, index=pdf.index, dtype="int64")
             yield out
 
     return df.mapInPandas(run, schema)
@@ -156,15 +184,14 @@ def pair_stats(prepared: DataFrame, group_cols: Sequence[str] = (), empty_value:
     kept = F.col("status") == "kept"
     gc, pc = F.col("gt_can"), F.col("pred_can")
     base = spread(prepared, "pair_id", partitions)
-    native = with_bit_tanimoto(base.select(
+    native = base.select(
         "pair_id", *group_cols, "status", "gt_self", "pred_self", "gt_can", "pred_can",
         F.when(kept, (gc == pc).cast("long")).otherwise(0).alias("exact"),
-        F.when(kept, F.levenshtein(pc, gc).cast("long")).otherwise(0).alias("lev"),
         (kept).alias("_use"),
-    ), kept, empty_value)
+    )
     counted = with_clipped_matches(
         native, [("c", "pred_can", "gt_can"), ("s", "pred_self", "gt_self")], use_col="_use",
-        drop=())
+        bits=("gt_can", "pred_can"), empty_value=empty_value, lev=("pred_can", "gt_can"))
     h_c = F.coalesce(F.length("pred_can"), F.lit(0))
     r_c = F.coalesce(F.length("gt_can"), F.lit(0))
     h_s = F.length("pred_self")
@@ -301,7 +328,8 @@ def levenshtein_mean(prepared: DataFrame) -> DataFrame:
 def tanimoto_bits(prepared: DataFrame, empty_value: float = 0.0) -> DataFrame:
     """Mean set Tanimoto of hashed n-gram bits, short and long fingerprint."""
     kept = spread(prepared.where(F.col("status") == "kept"), "pair_id")
-    scored = with_bit_tanimoto(kept.select("pair_id", "gt_can", "pred_can"), F.lit(True), empty_value)
+    scored = with_clipped_matches(kept.select("gt_can", "pred_can"), [], bits=("gt_can", "pred_can"),
+                                  empty_value=empty_value)
     return scored.agg(F.count(F.lit(1)).alias("n_kept"),
                       F.round(F.coalesce(F.avg("bits_small"), F.lit(0.0)), 6).alias("bits_167"),
                       F.round(F.coalesce(F.avg("bits_large"), F.lit(0.0)), 6).alias("bits_2048"))

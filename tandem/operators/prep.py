@@ -124,13 +124,15 @@ def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Col
     for c in text_cols:
         part = texts.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = part if toks is None else toks.unionByName(part)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     learned = sequence_index(counts, [("n", False), ("token", True)], name="id", start=3,
                              num_partitions=num_partitions)
     spark = texts.sparkSession
     specials = spark.createDataFrame(
         [(PAD_TOKEN, 0, PAD_ID), (EOS_TOKEN, 0, EOS_ID), (UNK_TOKEN, 0, UNK_ID)], "token string, n long, id long")
-    return specials.unionByName(learned.select("token", "n", "id"))
+    # The vocabulary is small and read several times (size check, lookups):
+    # write it once to the shared checkpoint folder, cutting the lineage.
+    return specials.unionByName(learned.select("token", "n", "id")).checkpoint(eager=True)
 
 
 def _vocab_side(vocab: DataFrame, key: str, value: str) -> DataFrame:
@@ -146,28 +148,25 @@ def lookup_sequences(df: DataFrame, id_col: str, seqs: dict[str, str], vocab: Da
     vocabulary, keeping element order; elements without an entry get
     ``default``. NULL arrays give NULL, empty arrays give empty arrays.
 
-    One shuffle: rows are hash-partitioned by ``id_col`` (must be unique); all
-    arrays of a row are exploded together (tagged), looked up with one join and
-    re-assembled per row without moving again."""
+    Only each row's *distinct* elements are exploded and joined (a row of
+    thousands of characters has a few dozen distinct ones); they come back as
+    a small per-row map and every sequence is mapped in place with
+    ``transform``. Rows are hash-partitioned by ``id_col`` (unique) once;
+    explode, the lookup and the per-row regrouping keep that partitioning."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = df.repartition(n, id_col)
-    def tag(k: int):
-        return lambda t, i: F.struct(F.lit(k).alias("_tag"), i.alias("_pos"), t.cast("string").alias("_k"))
-
-    tagged = [F.transform(F.coalesce(F.col(src), F.array().cast(df.schema[src].dataType)), tag(k))
-              for k, src in enumerate(seqs)]
-    flat = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    exploded = base.select(F.col(id_col).alias("_id"), F.inline(flat))
-    looked = exploded.join(_vocab_side(vocab, key, value), "_k", "left")
-    val = F.coalesce(F.col("_v"), F.lit(default))
-    aggs = [F.array_sort(F.collect_list(F.when(F.col("_tag") == k, F.struct("_pos", val.alias("_v")))))
-            .alias(f"_p{k}") for k in range(len(seqs))]
-    rebuilt = looked.groupBy("_id").agg(*aggs)
-    out = base.join(rebuilt, base[id_col] == rebuilt["_id"], "left").drop("_id")
-    for k, (src, dst) in enumerate(seqs.items()):
-        vals = F.transform(F.coalesce(F.col(f"_p{k}"), F.array()), lambda s: s["_v"])
-        out = out.withColumn(dst, F.when(F.col(src).isNull(), F.lit(None)).otherwise(vals))
-    return out.drop(*[f"_p{k}" for k in range(len(seqs))])
+    as_str = [F.transform(F.coalesce(F.col(src), F.array().cast(df.schema[src].dataType)),
+                          lambda t: t.cast("string")) for src in seqs]
+    every = as_str[0] if len(as_str) == 1 else F.concat(*as_str)
+    keys = base.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(every)).alias("_k"))
+    looked = keys.join(_vocab_side(vocab, key, value), "_k", "left")
+    maps = looked.groupBy("_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("_k", F.coalesce(F.col("_v"), F.lit(default)).alias("_v")))).alias("_map"))
+    out = base.join(maps, base[id_col] == maps["_id"], "left").drop("_id")
+    for src, dst in seqs.items():
+        vals = F.transform(F.col(src), lambda t: F.element_at(F.col("_map"), t.cast("string")))
+        out = out.withColumn(dst, vals)
+    return out.drop("_map")
 
 
 # --- T3 - T7 ---------------------------------------------------------------------
