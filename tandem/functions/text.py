@@ -55,8 +55,10 @@ def render_prompt(caption, add_instruction: bool = True,
 
 
 def char_tokens(c) -> Column:
-    """Code-point tokens; '' gives no token, NULL stays NULL."""
-    return F.split(_col(c), "")
+    """Code-point tokens; '' gives no token (``split`` alone would give
+    one empty token), NULL stays NULL."""
+    c = _col(c)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
 def letters_canonical(c) -> Column:

@@ -219,20 +219,20 @@ def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None
 
 
 def vicreg(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
-           by_shard: bool = False) -> DataFrame:
+           by_shard: bool = False, digits: int | None = 6) -> DataFrame:
     """A5 / A10 entry point (see ``vicreg_terms``)."""
-    return vicreg_terms(df, x, y, shard, by_shard)
+    return vicreg_terms(df, x, y, shard, by_shard, digits)
 
 
 def vicreg_terms(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
-                 by_shard: bool = False) -> DataFrame:
+                 by_shard: bool = False, digits: int | None = 6) -> DataFrame:
     """A5: VICReg = 25 sim + 25 std + 1 cov, statistics over all rows.
     A10 (``by_shard``): the same per shard (device-local statistics) plus the
     global row (shard NULL), from the same partial sums."""
     merged = vicreg_partials(df, x, y, shard)
-    frames = [_vicreg_rows(_global(merged))]
+    frames = [_vicreg_rows(_global(merged), digits)]
     if by_shard:
-        frames.append(_vicreg_rows(merged))
+        frames.append(_vicreg_rows(merged, digits))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -245,7 +245,7 @@ def _global(merged: DataFrame) -> DataFrame:
     ).withColumn("shard", F.lit(None).cast("long"))
 
 
-def _vicreg_rows(merged: DataFrame) -> DataFrame:
+def _vicreg_rows(merged: DataFrame, digits: int | None = 6) -> DataFrame:
     """Finish the loss per shard value (NULL = global) from merged rows."""
     lam, mu, nu = VICREG_WEIGHTS
     key = F.coalesce(F.col("shard"), F.lit(-1)).alias("_key")
@@ -273,10 +273,12 @@ def _vicreg_rows(merged: DataFrame) -> DataFrame:
         F.first("sq").alias("sq"), F.first("d").alias("d"))
     sim = F.col("sq") / (F.col("n") * F.col("d"))
     cov = F.col("off") / F.col("d")
+
+    def rnd(c: Column) -> Column:
+        return F.round(c, digits) if digits is not None else c
     return tot.select("shard", F.col("n").cast("long").alias("n_rows"),
-                      F.round(sim, 6).alias("sim"), F.round(F.col("std"), 6).alias("std"),
-                      F.round(cov, 6).alias("cov"),
-                      F.round(lam * sim + mu * F.col("std") + nu * cov, 6).alias("vicreg"))
+                      rnd(sim).alias("sim"), rnd(F.col("std")).alias("std"), rnd(cov).alias("cov"),
+                      rnd(lam * sim + mu * F.col("std") + nu * cov).alias("vicreg"))
 
 
 # --- A6 / A7 / A8 / A9 --------------------------------------------------------------
@@ -306,16 +308,19 @@ def token_ce_rows(df: DataFrame, logits: str = "logits", label: str = "label") -
     return kept.select(ce.alias("_ce"))
 
 
-def token_cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
+def token_cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label",
+                        digits: int | None = 6) -> DataFrame:
     """Mean over rows whose label is not -100 of logsumexp(logits) -
     logits[label]; NaN when every row is ignored."""
     rows = token_ce_rows(df, logits, label)
+    ce = F.coalesce(F.avg("_ce"), F.lit(float("nan")))
     return rows.agg(F.count(F.lit(1)).alias("n_rows"),
-                    F.round(F.coalesce(F.avg("_ce"), F.lit(float("nan"))), 6).alias("cross_entropy"))
+                    (F.round(ce, digits) if digits is not None else ce).alias("cross_entropy"))
 
 
 def total_loss(ce: DataFrame, vic: DataFrame, method: str = "aligner",
-               seq2seq_lambda: float = SEQ2SEQ_LAMBDA, alignment_lambda: float = ALIGNMENT_LAMBDA) -> DataFrame:
+               seq2seq_lambda: float = SEQ2SEQ_LAMBDA, alignment_lambda: float = ALIGNMENT_LAMBDA,
+               digits: int | None = 6) -> DataFrame:
     """seq2seq_lambda * CE + alignment_lambda * VICReg; the base method is CE only.
     Both inputs are one-row frames; they are combined by a union and one
     aggregate (no join)."""
@@ -323,5 +328,9 @@ def total_loss(ce: DataFrame, vic: DataFrame, method: str = "aligner",
         vic.select(F.lit(None).cast("double").alias("ce"), F.col("vicreg").alias("vic")))
     one = parts.agg(F.max("ce").alias("cross_entropy"), F.max("vic").alias("vicreg"))
     align = F.lit(float(alignment_lambda)) * F.col("vicreg") if method == "aligner" else F.lit(0.0)
-    return one.select("cross_entropy", "vicreg",
-                      F.round(F.lit(float(seq2seq_lambda)) * F.col("cross_entropy") + align, 6).alias("total_loss"))
+    total = F.lit(float(seq2seq_lambda)) * F.col("cross_entropy") + align
+
+    def rnd(c: Column) -> Column:
+        return F.round(c, digits) if digits is not None else c
+    return one.select(rnd(F.col("cross_entropy")).alias("cross_entropy"), rnd(F.col("vicreg")).alias("vicreg"),
+                      rnd(total).alias("total_loss"))

@@ -148,7 +148,7 @@ def lr_schedule(log: DataFrame, groups=MAX_LRS, pct_start: float = PCT_START, ru
                              for n, v in groups]))
     j = j.select(run, step, "total_steps", grp)
     lr = one_cycle_lr(F.col(step) - 1, F.col("total_steps"), F.col("max_lr"), pct_start)
-    return j.select(run, step, "param_group", F.round(lr, 12).alias("lr"))
+    return j.select(run, step, "param_group", lr.alias("lr"))
 
 
 def lr_warmup(log: DataFrame, warmup_ratio: float = PCT_START, run: str = "run", step: str = "step") -> DataFrame:
@@ -158,8 +158,8 @@ def lr_warmup(log: DataFrame, warmup_ratio: float = PCT_START, run: str = "run",
     warm = F.floor(F.col("total_steps") * warmup_ratio)
     cur = F.col(step) - 1
     return j.select(run, step, warm.alias("warmup_steps"),
-                    F.round(warmup_cosine(cur, F.col("total_steps"), warm), 9).alias("cosine_mult"),
-                    F.round(warmup_constant(cur, warm), 9).alias("constant_mult"))
+                    warmup_cosine(cur, F.col("total_steps"), warm).alias("cosine_mult"),
+                    warmup_constant(cur, warm).alias("constant_mult"))
 
 
 # --- O5 -------------------------------------------------------------------------------

@@ -226,7 +226,11 @@ vp AS (SELECT x.vec_id // 2 AS id, (x.vec_id // 2) % 4 AS shard, (x.vec_id // 2)
        FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0)"""
 
 
-def _vicreg(grouped: bool) -> str:
+def _r(x: str, digits: int | None) -> str:
+    return f"round({x}, {digits})" if digits is not None else f"({x})"
+
+
+def _vicreg(grouped: bool, digits: int | None = 6) -> str:
     """VICReg per group key ``grp`` (-1 = all rows)."""
     rows = ("SELECT id, -1 AS grp, xe, ye FROM vp UNION ALL SELECT id, shard AS grp, xe, ye FROM vp"
             if grouped else "SELECT id, -1 AS grp, xe, ye FROM vp")
@@ -251,15 +255,17 @@ offy AS (SELECT c.grp, sum((c.s / (nb.n - 1)) * (c.s / (nb.n - 1))) FILTER (WHER
 parts AS (SELECT nb.grp, nb.n, sim.sim, stdx.s + stdy.s AS std, (offx.o + offy.o) / nb.dim AS cov
           FROM nb JOIN sim USING (grp) JOIN stdx USING (grp) JOIN stdy USING (grp)
           JOIN offx USING (grp) JOIN offy USING (grp))
-SELECT CASE WHEN grp = -1 THEN NULL ELSE grp END::BIGINT AS shard, n AS n_rows, round(sim, 6) AS sim,
-       round(std, 6) AS std, round(cov, 6) AS cov, round(25 * sim + 25 * std + cov, 6) AS vicreg FROM parts"""
+SELECT CASE WHEN grp = -1 THEN NULL ELSE grp END::BIGINT AS shard, n AS n_rows, {_r('sim', digits)} AS sim,
+       {_r('std', digits)} AS std, {_r('cov', digits)} AS cov, {_r('25 * sim + 25 * std + cov', digits)} AS vicreg
+FROM parts"""
 
 
 TOKEN_CE = """
 lg AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS l,
               CASE WHEN label = 0 THEN -100 ELSE label END AS label FROM embeddings),
 ce_rows AS (SELECT ln(list_sum(list_transform(l, lambda v: exp(v)))) - l[label + 1] AS ce FROM lg WHERE label <> -100),
-ce AS (SELECT count(*) AS n_rows, round(coalesce(avg(ce), 'nan'::DOUBLE), 6) AS cross_entropy FROM ce_rows)"""
+ce AS (SELECT count(*) AS n_rows, round(coalesce(avg(ce), 'nan'::DOUBLE), 6) AS cross_entropy,
+              coalesce(avg(ce), 'nan'::DOUBLE) AS ce_raw FROM ce_rows)"""
 
 EARLY_STOP = f"""WITH {METRIC_LOG},
 pos AS (SELECT run, metric, step, value, row_number() OVER (PARTITION BY run, metric ORDER BY step) - 1 AS p FROM ml),
@@ -459,9 +465,10 @@ ORACLES: dict[str, str] = {
                      / greatest(sqrt(list_sum(list_transform(xe, lambda v: v * v)))
                                 * sqrt(list_sum(list_transform(ye, lambda v: v * v))), 1e-8) AS cos FROM vp)
         SELECT count(*) AS n_rows, round(-avg(cos), 6) AS neg_cosine FROM c""",
-    "token_cross_entropy": f"WITH {TOKEN_CE} SELECT * FROM ce",
-    "total_loss": f"""WITH {TOKEN_CE}, v AS ({_vicreg(False)})
-        SELECT ce.cross_entropy, v.vicreg, round(1.0 * ce.cross_entropy + 0.5 * v.vicreg, 6) AS total_loss
+    "token_cross_entropy": f"WITH {TOKEN_CE} SELECT n_rows, cross_entropy FROM ce",
+    "total_loss": f"""WITH {TOKEN_CE}, v AS ({_vicreg(False, None)})
+        SELECT round(ce.ce_raw, 6) AS cross_entropy, round(v.vicreg, 6) AS vicreg,
+               round(1.0 * ce.ce_raw + 0.5 * v.vicreg, 6) AS total_loss
         FROM ce, v""",
     "vicreg_by_shard": _vicreg(True),
     # O
@@ -480,7 +487,7 @@ ORACLES: dict[str, str] = {
         SELECT run, step, param_group, round(CASE WHEN cur <= up_end
               THEN max_lr + (max_lr / 25.0 - max_lr) / 2.0 * (cos(pi() * (cur / up_end)) + 1)
               ELSE max_lr / 25.0 / 1e4 + (max_lr - max_lr / 25.0 / 1e4) / 2.0
-                   * (cos(pi() * ((cur - up_end) / (down_end - up_end))) + 1) END, 12) AS lr FROM x""",
+                   * (cos(pi() * ((cur - up_end) / (down_end - up_end))) + 1) END, 15) AS lr FROM x""",
     "lr_warmup": f"""WITH {METRIC_LOG},
         tot AS (SELECT run, max(step) AS total FROM ml GROUP BY run),
         s AS (SELECT DISTINCT run, step FROM ml),

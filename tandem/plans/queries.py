@@ -321,7 +321,9 @@ def q_token_cross_entropy(spark, sf):
 
 
 def q_total_loss(spark, sf):
-    return align.total_loss(align.token_cross_entropy(fx.logits(spark, sf)), align.vicreg(fx.vec_pairs(spark, sf)))
+    # components unrounded; one rounding of the total
+    return align.total_loss(align.token_cross_entropy(fx.logits(spark, sf), digits=None),
+                            align.vicreg(fx.vec_pairs(spark, sf), digits=None))
 
 
 def q_vicreg_by_shard(spark, sf):
@@ -339,11 +341,13 @@ def q_early_stop(spark, sf):
 
 
 def q_lr_one_cycle(spark, sf):
-    return telemetry.lr_schedule(fx.metric_log(spark, sf))
+    return telemetry.lr_schedule(fx.metric_log(spark, sf)).withColumn("lr", F.round("lr", 15))
 
 
 def q_lr_warmup(spark, sf):
-    return telemetry.lr_warmup(fx.metric_log(spark, sf))
+    out = telemetry.lr_warmup(fx.metric_log(spark, sf))
+    return out.withColumn("cosine_mult", F.round("cosine_mult", 9)).withColumn(
+        "constant_mult", F.round("constant_mult", 9))
 
 
 def q_grad_norm(spark, sf):
