@@ -57,22 +57,22 @@ def _surrogate(df: DataFrame, name: str, ascending: bool) -> Column:
 
 
 def _boundaries(df: DataFrame, key: Column) -> list[float]:
-    """Strictly increasing bucket boundaries giving about ROWS_PER_BUCKET
-    rows per bucket (one pass: row count and quantile probe together)."""
-    probe = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(key, probe, 10 * MAX_BUCKETS).alias("q")).first()
-    n, qs = int(row["n"]), list(row["q"] or [])
+    """Strictly increasing bucket boundaries giving about ROWS_PER_BUCKET rows
+    per bucket: a row count first (column-pruned), and a quantile probe only
+    when more than one bucket is needed, sized to the bucket count."""
+    n = df.count()
     buckets = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
-    if buckets <= 1 or not qs:
+    if buckets <= 1:
         return []
-    step = MAX_BUCKETS / buckets
-    picked = sorted({float(qs[min(len(qs) - 1, int(round(k * step)) - 1)]) for k in range(1, buckets)})
+    probe = [k / buckets for k in range(1, buckets)]
+    qs = df.agg(F.percentile_approx(key, probe, max(10_000, 20 * buckets)).alias("q")).first()["q"] or []
+    picked = sorted({float(q) for q in qs})
     return [b for b in picked if b not in (float("inf"), float("-inf"))]
 
 
 def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: Sequence[str] = (),
-                   name: str = "pos", start: int = 0, num_partitions: int | None = None) -> DataFrame:
+                   name: str = "pos", start: int = 0, num_partitions: int | None = None,
+                   keep_bucket: str | None = None) -> DataFrame:
     """Dense index of each row in ``order_by`` within ``partition_by`` groups:
     ``row_number() over (partition by ... order by ...) - 1 + start``.
 
@@ -80,7 +80,10 @@ def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: S
     they must form a total order (end with a unique key), which makes the
     result independent of partitioning and stable on recomputation.
     ``num_partitions`` is accepted for API symmetry; shuffles follow
-    ``spark.sql.shuffle.partitions`` and AQE."""
+    ``spark.sql.shuffle.partitions`` and AQE. ``keep_bucket`` names an output
+    column with the bucket: consecutive positions of a group, and the rows
+    stay partitioned by (group, bucket), so later per-block work needs no
+    new shuffle of the rows."""
     specs = [_spec(o) for o in order_by]
     groups = list(partition_by)
     lead, lead_asc = specs[0]
@@ -102,7 +105,17 @@ def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: S
     # ``numbered`` is already partitioned by (group, bucket): only the small
     # offsets table moves for this join.
     out = numbered.join(offsets, [*groups, "_bucket"])
-    return out.withColumn(name, F.col("_offset") + F.col("_rn") - 1 + F.lit(start)).drop("_bucket", "_rn", "_offset")
+    out = out.withColumn(name, F.col("_offset") + F.col("_rn") - 1 + F.lit(start)).drop("_rn", "_offset")
+    if not keep_bucket:
+        return out.drop("_bucket")
+    # The bucket count travels as column metadata (one bucket: no carry needed).
+    tagged = F.col("_bucket").alias(keep_bucket, metadata={"buckets": len(bounds) + 1})
+    return out.select(*[c for c in out.columns if c not in ("_bucket", keep_bucket)], tagged)
+
+
+def bucket_count(df: DataFrame, col: str) -> int | None:
+    """Buckets recorded by ``sequence_index(keep_bucket=...)``, if known."""
+    return df.schema[col].metadata.get("buckets")
 
 
 # --- B1 ---------------------------------------------------------------------

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.ordering import sequence_index
+from tandem.operators.ordering import bucket_count, sequence_index
 
 # --- Fixed values of the modelled training run ---
 TOP_K = 3                      # checkpoints kept
@@ -38,24 +38,35 @@ SCAN_BLOCK = 1 << 16
 # --- blocked prefix scan -------------------------------------------------------
 
 def prefix_scan(df: DataFrame, groups: Sequence[str], pos: str, value: str, how: str, out: str,
-                inclusive: bool, block: int = SCAN_BLOCK) -> DataFrame:
-    """Running ``min``/``max`` of ``value`` over rows ordered by the dense
-    position ``pos`` within ``groups`` (exclusive or inclusive of the row).
-
-    Windows run over (group, block) - at most ``block`` rows - and over one
-    summary row per block, so a hot group is spread over many tasks."""
+                inclusive: bool, block: int = SCAN_BLOCK, block_col: str | None = None) -> DataFrame:
+    """Running ``min``/``max`` of ``value`` (any orderable type, structs too)
+    over rows ordered by the dense position ``pos`` within ``groups``,
+    exclusive or inclusive of the row.
+
+    Windows run over (group, block) - bounded - and over one summary row per
+    block, so a hot group is spread over many tasks. ``block_col`` reuses an
+    existing block column whose blocks are consecutive position ranges (e.g.
+    the bucket kept by ``sequence_index``), and with it the rows' current
+    partitioning; otherwise blocks are ``floor(pos / block)``."""
     agg = {"min": F.min, "max": F.max}[how]
-    comb = {"min": F.least, "max": F.greatest}[how]
     g = list(groups)
-    b = df.withColumn("_blk", F.floor(F.col(pos) / block))
-    summary = b.groupBy(*g, "_blk").agg(agg(value).alias("_bv"))
-    before_blocks = Window.partitionBy(*g).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*g, "_blk", agg("_bv").over(before_blocks).alias("_carry"))
     end = 0 if inclusive else -1
-    in_block = Window.partitionBy(*g, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
+    if block_col and bucket_count(df, block_col) == 1:
+        # Every group fits one block: a window on the current partitioning suffices.
+        w = Window.partitionBy(*g, block_col).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(out, agg(value).over(w))
+    blk = block_col or "_blk"
+    b = df if block_col else df.withColumn("_blk", F.floor(F.col(pos) / block))
+    summary = b.groupBy(*g, blk).agg(agg(value).alias("_bv"))
+    before_blocks = Window.partitionBy(*g).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*g, blk, agg("_bv").over(before_blocks).alias("_carry"))
+    in_block = Window.partitionBy(*g, blk).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
     scanned = b.withColumn("_local", agg(value).over(in_block))
-    j = scanned.join(carry, [*g, "_blk"], "left")
-    return j.withColumn(out, comb(F.col("_local"), F.col("_carry"))).drop("_blk", "_local", "_carry")
+    j = scanned.join(carry, [*g, blk], "left")
+    # least/greatest skip NULLs, as the running aggregate does
+    comb = {"min": F.least, "max": F.greatest}[how]
+    j = j.withColumn(out, comb(F.col("_local"), F.col("_carry"))).drop("_local", "_carry")
+    return j if block_col else j.drop("_blk")
 
 
 # --- O1 -------------------------------------------------------------------------------
@@ -75,27 +86,28 @@ def early_stop(log: DataFrame, patience: int = PATIENCE, groups: Sequence[str] =
     strictly below every earlier value of the group (the first check always
     improves); training stops at the first check where ``patience`` checks in
     a row have not improved. One row per group: stop_step (NULL = never),
-    best_value and best_step at the stop (or at the end), n_checks."""
+    best_value and best_step at the stop (or at the end), n_checks.
+
+    Plan: dense positions (rows partitioned once by group and bucket), two
+    prefix scans on that partitioning (exclusive running minimum, then the
+    latest improvement carried as a struct), one partial aggregate."""
     g = list(groups)
-    pos = sequence_index(log.select(*g, step, value), [step], partition_by=g, name="_pos")
-    prev = prefix_scan(pos, g, "_pos", value, "min", "_prev_min", inclusive=False, block=block)
-    marked = prev.withColumn("_imp_pos", F.when(F.col("_prev_min").isNull() | (F.col(value) < F.col("_prev_min")),
-                                                F.col("_pos")))
-    last = prefix_scan(marked, g, "_pos", "_imp_pos", "max", "_last_imp", inclusive=True, block=block)
-    flagged = last.withColumn("_wait", F.col("_pos") - F.col("_last_imp"))
-    stops = flagged.groupBy(*g).agg(
-        F.min(F.when(F.col("_wait") >= patience, F.col("_pos"))).alias("_stop_pos"),
+    pos = sequence_index(log.select(*g, step, value), [step], partition_by=g, name="_pos",
+                         keep_bucket="_bucket")
+    prev = prefix_scan(pos, g, "_pos", value, "min", "_prev_min", inclusive=False, block_col="_bucket")
+    improved = F.col("_prev_min").isNull() | (F.col(value) < F.col("_prev_min"))
+    marked = prev.withColumn("_imp", F.when(improved, F.struct(
+        F.col("_pos").alias("p"), F.col(step).alias("s"), F.col(value).alias("v"))))
+    last = prefix_scan(marked, g, "_pos", "_imp", "max", "_last", inclusive=True, block_col="_bucket")
+    stopping = (F.col("_pos") - F.col("_last.p")) >= patience
+    agg = last.groupBy(*g).agg(
+        F.min_by(F.when(stopping, F.struct(F.col(step).alias("stop_step"), F.col("_last").alias("best"))),
+                 F.when(stopping, F.col("_pos"))).alias("_stop"),
+        F.max("_imp").alias("_final"),
         F.count(F.lit(1)).alias("n_checks"))
-    # Best value at the stop: the last improvement at or before the stop position.
-    with_stop = flagged.join(stops, g)
-    upto = F.col("_stop_pos").isNull() | (F.col("_pos") <= F.col("_stop_pos"))
-    best = with_stop.where(upto & (F.col("_imp_pos").isNotNull())).groupBy(*g).agg(
-        F.max_by(F.col(value), F.col("_pos")).alias("best_value"),
-        F.max_by(F.col(step), F.col("_pos")).alias("best_step"),
-        F.max(F.when(F.col("_pos") == F.col("_stop_pos"), F.col(step))).alias("_unused"))
-    stop_step = with_stop.where(F.col("_pos") == F.col("_stop_pos")).select(*g, F.col(step).alias("stop_step"))
-    return (stops.join(best.drop("_unused"), g, "left").join(stop_step, g, "left")
-            .select(*g, "stop_step", "best_value", "best_step", "n_checks"))
+    best = F.coalesce(F.col("_stop.best"), F.col("_final"))
+    return agg.select(*g, F.col("_stop.stop_step").alias("stop_step"), best["v"].alias("best_value"),
+                      best["s"].alias("best_step"), "n_checks")
 
 
 # --- O3 / O4 ----------------------------------------------------------------------------

@@ -23,9 +23,13 @@ def _brute_early_stop(rows, patience=5):
     return stop, best, best_step
 
 
-def test_early_stop_matches_sequential_rule(spark):
+@pytest.mark.parametrize("rows_per_bucket", [None, 4])
+def test_early_stop_matches_sequential_rule(spark, monkeypatch, rows_per_bucket):
+    from tandem.operators import ordering
     log = fx.metric_log(spark, SF001)
-    got = {(r.run, r.metric): r for r in tm.early_stop(log, block=4).collect()}
+    if rows_per_bucket:  # many buckets per group: exercises the carried block scans
+        monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", rows_per_bucket)
+    got = {(r.run, r.metric): r for r in tm.early_stop(log).collect()}
     groups = {}
     for r in log.select("run", "metric", "step", "value").collect():
         groups.setdefault((r.run, r.metric), []).append((r.step, r.value))
