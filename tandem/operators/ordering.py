@@ -30,6 +30,18 @@ MAX_BUCKETS = 4096
 OrderSpec = str | tuple[str, bool]
 
 
+def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Repartition only when the plan would run on fewer partitions than the
+    cluster's default parallelism (e.g. one large row group). Large inputs
+    arrive in many splits and are left alone, so this costs no shuffle at scale."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    n = max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 def _spec(o: OrderSpec) -> tuple[str, bool]:
     return (o, True) if isinstance(o, str) else (o[0], bool(o[1]))
 

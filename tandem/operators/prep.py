@@ -15,13 +15,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.functions.text import EOS_ID, EOS_TOKEN, PAD_ID, PAD_TOKEN, UNK_ID, UNK_TOKEN, char_tokens
-from tandem.operators.ordering import sequence_index
+from tandem.operators.ordering import ensure_parallelism, sequence_index
 
 VOCAB_BROADCAST_ROWS = 2_000_000
+# Character vocabularies up to this size are shipped to Python workers as a
+# broadcast dictionary and applied per Arrow batch (narrow: no shuffle).
+CHAR_DICT_MAX = 200_000
 
 # --- Fixed values: dataset registry and column families ---
 # Family A (caption sets): target 'selfies', caption 'caption', source 'smiles'.
@@ -121,6 +127,7 @@ def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Col
     desc, token asc. Counting is a partial aggregate; ids come from a range
     sort with per-partition offsets, not a single-partition window."""
     toks = None
+    texts = ensure_parallelism(texts.select(*text_cols))
     for c in text_cols:
         part = texts.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = part if toks is None else toks.unionByName(part)
@@ -190,16 +197,53 @@ def attention_mask(n_real: Column, max_length: int) -> Column:
                     F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(max_length) - n_real)))
 
 
+def _char_dict(vocab: DataFrame, key: str, value: str):
+    """The vocabulary as a broadcast dict when it is small enough (row count
+    checked first), else None. Like a broadcast join's build side, it passes
+    the driver once, bounded by ``CHAR_DICT_MAX``."""
+    if vocab.count() > CHAR_DICT_MAX:
+        return None
+    pairs = {r[0]: r[1] for r in vocab.select(key, value).collect()}
+    return vocab.sparkSession.sparkContext.broadcast(pairs)
+
+
+def _char_ids_udf(bc):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def char_ids(texts: pd.Series) -> pd.Series:
+        get = bc.value.get
+        return pd.Series([None if t is None else np.fromiter((get(ch, UNK_ID) for ch in t), np.int64, len(t))
+                          for t in texts])
+    return char_ids
+
+
+def _ids_chars_udf(bc):
+    @F.pandas_udf(T.StringType())
+    def ids_chars(ids: pd.Series) -> pd.Series:
+        get = bc.value.get
+        return pd.Series([None if x is None else "".join(get(int(i), UNK_TOKEN) for i in x) for x in ids])
+    return ids_chars
+
+
 def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFrame,
            max_length: int | None = MAX_LENGTH, tokenizer: Callable[[Column], Column] = char_tokens,
            num_partitions: int | None = None) -> DataFrame:
     """T3 (``max_length`` set: truncate with eos last, pad, mask) / T4
     (``max_length=None``: ids + eos only). For each ``text_col -> out_col``
-    adds ``out_col`` and ``out_col + '_mask'``; all columns share one lookup."""
-    toks = {f"_toks{k}": c for k, c in enumerate(text_cols)}
-    out = df.select("*", *[tokenizer(F.col(c)).alias(t) for t, c in toks.items()])
-    out = lookup_sequences(out, id_col, {t: f"_ids{k}" for k, t in enumerate(toks)}, vocab, "token", "id",
-                           UNK_ID, num_partitions=num_partitions)
+    adds ``out_col`` and ``out_col + '_mask'``.
+
+    Character tokens with a small vocabulary: a narrow per-batch dictionary
+    lookup (no shuffle). Otherwise: one shared distributed lookup."""
+    bc = _char_dict(vocab, "token", "id") if tokenizer is char_tokens else None
+    if bc is not None:
+        udf = _char_ids_udf(bc)
+        # CPU-bound per-row work: spread rows if the input arrives in few splits.
+        out = ensure_parallelism(df, id_col).select(
+            "*", *[udf(F.col(c)).alias(f"_ids{k}") for k, c in enumerate(text_cols)])
+    else:
+        toks = {f"_toks{k}": c for k, c in enumerate(text_cols)}
+        out = df.select("*", *[tokenizer(F.col(c)).alias(t) for t, c in toks.items()])
+        out = lookup_sequences(out, id_col, {t: f"_ids{k}" for k, t in enumerate(toks)}, vocab, "token", "id",
+                               UNK_ID, num_partitions=num_partitions).drop(*toks)
     for k, (text_col, out_col) in enumerate(text_cols.items()):
         raw = F.col(f"_ids{k}").cast("array<long>")
         out = out.withColumn(out_col, finish_ids(raw, max_length))
@@ -208,7 +252,7 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
         else:
             mask = attention_mask(F.least(F.size(raw) + 1, F.lit(max_length)), max_length)
         out = out.withColumn(out_col + "_mask", mask)
-    return out.drop(*toks, *[f"_ids{k}" for k in range(len(text_cols))])
+    return out.drop(*[f"_ids{k}" for k in range(len(text_cols))])
 
 
 def mask_labels(labels: Column, pad_id: int = PAD_ID) -> tuple[Column, Column]:
@@ -227,7 +271,11 @@ def shift_right(labels: Column, start_id: int = PAD_ID, pad_id: int = PAD_ID) ->
 
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str,
                num_partitions: int | None = None) -> DataFrame:
-    """Ids back to text with special tokens kept (clean with P4 after)."""
+    """Ids back to text with special tokens kept (clean with P4 after).
+    Small vocabularies: narrow per-batch lookup; otherwise distributed."""
+    bc = _char_dict(vocab, "id", "token")
+    if bc is not None:
+        return ensure_parallelism(df, id_col).withColumn(out_col, _ids_chars_udf(bc)(F.col(ids_col)))
     looked = lookup_sequences(df, id_col, {ids_col: "_toks"}, vocab, "id", "token", UNK_TOKEN,
                               num_partitions=num_partitions)
     return looked.withColumn(out_col, F.array_join("_toks", "")).drop("_toks")
