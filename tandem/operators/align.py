@@ -174,111 +174,104 @@ def _shard_means(df: DataFrame, x: str, y: str, shard: str | None) -> dict:
     return {r[0]: (np.asarray(r["mx"].toArray()), np.asarray(r["my"].toArray()), int(r["n"])) for r in rows}
 
 
-def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None) -> DataFrame:
-    """Merged VICReg sufficient statistics per shard, centred on the global mean:
-    rows (shard, kind in x/y, i, g = row i of sum (v-m)(v-m)^T, s_i = sum (v_i - m_i))
-    plus (shard, 'n', -1, [count, sum |x-y|^2])."""
+def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
+                    by_shard: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """Merged VICReg sufficient statistics.
+
+    Rows ``(shard, kind, i, g)``: kind 'xg'/'yg' hold row i of sum (v - m)(v - m)^T
+    centred on the global mean (shard -1 after merging), 'xs'/'ys' the same
+    centred on the shard's own mean (only with ``by_shard``), 'n' holds
+    [sum |x - y|^2] per shard. Centring on the exact mean makes the
+    covariance simply G / (n - 1). Also returns the row count per shard."""
     means = _shard_means(df, x, y, shard)
     total = sum(n for _, _, n in means.values())
     gx = sum(mx * n for mx, _, n in means.values()) / total
     gy = sum(my * n for _, my, n in means.values()) / total
-    bc = df.sparkSession.sparkContext.broadcast((gx, gy))
+    local = {int(k): (mx, my) for k, (mx, my, _) in means.items()} if by_shard else {}
+    bc = df.sparkSession.sparkContext.broadcast((gx, gy, local))
     shard_col = F.col(shard).cast("long") if shard else F.lit(0).cast("long")
     src = df.select(shard_col.alias("shard"), F.col(x).alias("x"), F.col(y).alias("y"))
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.StringType()),
-                           T.StructField("i", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType())),
-                           T.StructField("s", T.DoubleType())])
+                           T.StructField("i", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
     def fold(batches):
-        mx, my = bc.value
-        acc: dict[int, list] = {}
+        mx, my, loc = bc.value
+        acc: dict[int, dict] = {}
         for pdf in batches:
             if not len(pdf):
                 continue
             for sh, part in pdf.groupby("shard", sort=False):
-                xs = np.stack([np.asarray(v, dtype=np.float64) for v in part["x"]]) - mx
-                ys = np.stack([np.asarray(v, dtype=np.float64) for v in part["y"]]) - my
-                a = acc.setdefault(int(sh), [0, 0.0, np.zeros_like(mx), np.zeros_like(my),
-                                             np.zeros((mx.size, mx.size)), np.zeros((my.size, my.size))])
-                a[0] += len(part)
-                a[1] += float((((xs + mx) - (ys + my)) ** 2).sum())  # on uncentred values
-                a[2] += xs.sum(axis=0)
-                a[3] += ys.sum(axis=0)
-                a[4] += xs.T @ xs
-                a[5] += ys.T @ ys
-        for sh, (n, sq, sx, sy, gxx, gyy) in acc.items():
-            rows = [(sh, "n", -1, [float(n), sq], 0.0)]
-            rows += [(sh, "x", i, gxx[i].tolist(), float(sx[i])) for i in range(sx.size)]
-            rows += [(sh, "y", i, gyy[i].tolist(), float(sy[i])) for i in range(sy.size)]
-            yield pd.DataFrame(rows, columns=["shard", "kind", "i", "g", "s"])
+                xs = np.stack([np.asarray(v, dtype=np.float64) for v in part["x"]])
+                ys = np.stack([np.asarray(v, dtype=np.float64) for v in part["y"]])
+                a = acc.setdefault(int(sh), {"sq": 0.0})
+                a["sq"] += float(((xs - ys) ** 2).sum())
+                centred = [("xg", xs - mx), ("yg", ys - my)]
+                if loc:
+                    lx, ly = loc[int(sh)]
+                    centred += [("xs", xs - lx), ("ys", ys - ly)]
+                for kind, c in centred:
+                    a[kind] = a.get(kind, 0) + c.T @ c
+        for sh, a in acc.items():
+            rows = [(sh, "n", -1, [a["sq"]])]
+            for kind, gram in a.items():
+                if kind != "sq":
+                    rows += [(sh, kind, i, gram[i].tolist()) for i in range(gram.shape[0])]
+            yield pd.DataFrame(rows, columns=["shard", "kind", "i", "g"])
 
     parts = src.mapInPandas(fold, schema)
     merged = parts.groupBy("shard", "kind", "i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"), F.sum("s").alias("s"))
-    return merged
+        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    counts = {int(k): n for k, (_, _, n) in means.items()}
+    return merged, counts
 
 
 def vicreg(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
            by_shard: bool = False, digits: int | None = 6) -> DataFrame:
-    """A5 / A10 entry point (see ``vicreg_terms``)."""
-    return vicreg_terms(df, x, y, shard, by_shard, digits)
-
-
-def vicreg_terms(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
-                 by_shard: bool = False, digits: int | None = 6) -> DataFrame:
-    """A5: VICReg = 25 sim + 25 std + 1 cov, statistics over all rows.
-    A10 (``by_shard``): the same per shard (device-local statistics) plus the
-    global row (shard NULL), from the same partial sums."""
-    merged = vicreg_partials(df, x, y, shard)
-    frames = [_vicreg_rows(_global(merged), digits)]
+    """A5: VICReg = 25 sim + 25 std + 1 cov with statistics over all rows.
+    A10 (``by_shard``): also one row per shard with device-local statistics;
+    the global row has shard NULL. Same partial sums, no join: each result
+    row is one aggregate over the merged Gram rows."""
+    merged, counts = vicreg_partials(df, x, y, shard, by_shard)
+    total = sum(counts.values())
+    glob = (merged.where(F.col("kind").isin("xg", "yg", "n"))
+            .groupBy("kind", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+            .withColumn("shard", F.lit(None).cast("long")))
+    out = _vicreg_rows(glob, {None: total}, ("xg", "yg"), digits)
     if by_shard:
-        frames.append(_vicreg_rows(merged, digits))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+        local = merged.where(F.col("kind").isin("xs", "ys", "n"))
+        out = out.unionByName(_vicreg_rows(local, counts, ("xs", "ys"), digits))
     return out
 
 
-def _global(merged: DataFrame) -> DataFrame:
-    return merged.groupBy("kind", "i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"), F.sum("s").alias("s")
-    ).withColumn("shard", F.lit(None).cast("long"))
-
-
-def _vicreg_rows(merged: DataFrame, digits: int | None = 6) -> DataFrame:
-    """Finish the loss per shard value (NULL = global) from merged rows."""
+def _vicreg_rows(merged: DataFrame, counts: dict, kinds: tuple[str, str], digits: int | None) -> DataFrame:
+    """Loss per shard value from Gram rows centred on the matching mean. Row
+    counts are known from the mean pass (a handful of shards) and enter as
+    literals."""
     lam, mu, nu = VICREG_WEIGHTS
-    key = F.coalesce(F.col("shard"), F.lit(-1)).alias("_key")
-    m = merged.select(key, "shard", "kind", "i", "g", "s")
-    counts = m.where(F.col("kind") == "n").select(
-        "_key", F.col("g")[0].alias("n"), F.col("g")[1].alias("sq"))
-    vecs = m.where(F.col("kind") != "n")
-    svec = vecs.groupBy("_key", "kind").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("svec"))
-    # svec: D values per (shard, kind), counts: one row per shard; both bounded.
-    rows = vecs.join(svec, ["_key", "kind"]).join(counts, ["_key"])
-    n, si = F.col("n"), F.col("s")
-    cov_row = F.zip_with("g", "svec", lambda gij, sj: (gij - si * sj / n) / (n - 1))
+    n_expr = F.lit(None).cast("double")
+    for k, n in counts.items():
+        cond = F.col("shard").isNull() if k is None else (F.col("shard") == k)
+        n_expr = F.when(cond, F.lit(float(n))).otherwise(n_expr)
+    m = merged.withColumn("_n", n_expr)
+    is_vec = F.col("kind").isin(*kinds)
+    cov_row = F.transform("g", lambda v: v / (F.col("_n") - 1))
     cov_ii = F.element_at(cov_row, F.col("i") + 1)
-    per_i = rows.select(
-        "_key", "shard", "kind", "n", "sq",
-        (F.aggregate(cov_row, F.lit(0.0), lambda acc, v: acc + v * v) - cov_ii * cov_ii).alias("off"),
-        F.greatest(F.lit(0.0), 1 - F.sqrt(cov_ii + VICREG_VAR_EPS)).alias("stdterm"),
-        F.size("g").alias("d"))
-    per_kind = per_i.groupBy("_key", "shard", "kind").agg(
-        F.sum("off").alias("off"), F.avg("stdterm").alias("std"), F.first("n").alias("n"),
-        F.first("sq").alias("sq"), F.first("d").alias("d"))
-    tot = per_kind.groupBy("_key", "shard").agg(
-        F.sum("off").alias("off"), F.sum("std").alias("std"), F.first("n").alias("n"),
-        F.first("sq").alias("sq"), F.first("d").alias("d"))
+    off = F.aggregate(cov_row, F.lit(0.0), lambda acc, v: acc + v * v) - cov_ii * cov_ii
+    stdterm = F.greatest(F.lit(0.0), 1 - F.sqrt(cov_ii + VICREG_VAR_EPS))
+    per = m.groupBy("shard").agg(
+        F.first("_n").alias("n"),
+        F.sum(F.when(is_vec, off)).alias("off"),
+        F.sum(F.when(is_vec, stdterm)).alias("std_sum"),
+        F.max(F.when(is_vec, F.size("g"))).alias("d"),
+        F.sum(F.when(F.col("kind") == "n", F.col("g")[0])).alias("sq"))
     sim = F.col("sq") / (F.col("n") * F.col("d"))
+    std = F.col("std_sum") / F.col("d")
     cov = F.col("off") / F.col("d")
 
     def rnd(c: Column) -> Column:
         return F.round(c, digits) if digits is not None else c
-    return tot.select("shard", F.col("n").cast("long").alias("n_rows"),
-                      rnd(sim).alias("sim"), rnd(F.col("std")).alias("std"), rnd(cov).alias("cov"),
-                      rnd(lam * sim + mu * F.col("std") + nu * cov).alias("vicreg"))
+    return per.select("shard", F.col("n").cast("long").alias("n_rows"), rnd(sim).alias("sim"),
+                      rnd(std).alias("std"), rnd(cov).alias("cov"), rnd(lam * sim + mu * std + nu * cov).alias("vicreg"))
 
 
 # --- A6 / A7 / A8 / A9 --------------------------------------------------------------

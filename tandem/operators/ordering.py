@@ -111,6 +111,13 @@ def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: S
     sort_cols = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in specs]
     within = Window.partitionBy(*groups, "_bucket").orderBy(*sort_cols)
     numbered = bucketed.withColumn("_rn", F.row_number().over(within))
+    if not bounds:
+        # One bucket (at most ROWS_PER_BUCKET rows per group): no offsets.
+        out = numbered.withColumn(name, F.col("_rn") - 1 + F.lit(start)).drop("_rn")
+        if not keep_bucket:
+            return out.drop("_bucket")
+        tagged = F.col("_bucket").alias(keep_bucket, metadata={"buckets": 1})
+        return out.select(*[c for c in out.columns if c not in ("_bucket", keep_bucket)], tagged)
     counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
