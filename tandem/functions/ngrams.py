@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +41,40 @@ def set_tanimoto(a: Column, b: Column, empty_value: float = 0.0) -> Column:
 
 
 def clipped_matches(hyp: str, ref: str, max_n: int) -> list[int]:
-    """Per n = 1..max_n: sum over hyp n-grams of min(count in hyp, count in ref)."""
+    """Per n = 1..max_n: sum over hyp n-grams of min(count in hyp, count in ref).
+
+    Vectorised: code points are renumbered over the pair's own alphabet, each
+    n-gram packed into one int64, counted with ``np.unique`` and matched with
+    ``intersect1d``. Pairs whose alphabet needs more than 62 bits for max_n
+    characters fall back to counting dictionaries."""
+    lh, lr = len(hyp), len(ref)
+    if lh == 0 or lr == 0:
+        return [0] * max_n
+    a = np.frombuffer(hyp.encode("utf-32-le"), dtype=np.uint32)
+    b = np.frombuffer(ref.encode("utf-32-le"), dtype=np.uint32)
+    alphabet, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    bits = max(1, int(len(alphabet)).bit_length())
+    if bits * max_n > 62:
+        return _clipped_matches_dict(hyp, ref, max_n)
+    ia = inv[:lh].astype(np.int64)
+    ib = inv[lh:].astype(np.int64)
+    ka, kb = ia, ib
+    out = []
+    for n in range(1, max_n + 1):
+        if n > 1:
+            ka = (ka[:-1] << bits) | ia[n - 1:]
+            kb = (kb[:-1] << bits) | ib[n - 1:]
+        if len(ka) == 0 or len(kb) == 0:
+            out.extend([0] * (max_n - n + 1))
+            break
+        ua, ca = np.unique(ka, return_counts=True)
+        ub, cb = np.unique(kb, return_counts=True)
+        _, xa, xb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+        out.append(int(np.minimum(ca[xa], cb[xb]).sum()))
+    return out
+
+
+def _clipped_matches_dict(hyp: str, ref: str, max_n: int) -> list[int]:
     out = []
     lh, lr = len(hyp), len(ref)
     for n in range(1, max_n + 1):
