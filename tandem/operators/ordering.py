@@ -169,13 +169,16 @@ def make_batches(df: DataFrame, order_by: Sequence[OrderSpec], batch_size: int,
 
 # --- B3 ---------------------------------------------------------------------
 
-def shard_rows(positioned: DataFrame, world: int, total: int, pos_col: str = "pos") -> DataFrame:
+def shard_rows(positioned: DataFrame, world: int, total: int, pos_col: str = "pos",
+               colocate: bool = False) -> DataFrame:
     """Data-parallel assignment. The index list is padded by wrapping to a
     multiple of ``world``; padded position i goes to rank ``i % world``.
 
     ``positioned`` carries a dense 0-based ``pos`` over ``total`` rows (count
     the un-positioned input: a pruned scan). The wrapped rows are the first
     ``(-total) mod world`` rows, fewer than ``world``, selected by a filter.
+    ``colocate`` puts each rank's rows in its own partition (one shuffle), the
+    layout a per-rank reader wants.
     """
     if world < 1:
         raise ValueError("world must be positive")
@@ -183,8 +186,9 @@ def shard_rows(positioned: DataFrame, world: int, total: int, pos_col: str = "po
     wrapped = (positioned.where(F.col(pos_col) < pad)
                .withColumn(pos_col, F.col(pos_col) + F.lit(int(total))))
     allrows = positioned.unionByName(wrapped)
-    return (allrows.withColumn("rank", F.pmod(F.col(pos_col), F.lit(world)).cast("int"))
-            .withColumn("rank_index", F.floor(F.col(pos_col) / world)))
+    out = (allrows.withColumn("rank", F.pmod(F.col(pos_col), F.lit(world)).cast("int"))
+           .withColumn("rank_index", F.floor(F.col(pos_col) / world)))
+    return out.repartition(world, "rank") if colocate else out
 
 
 # --- B4 ---------------------------------------------------------------------

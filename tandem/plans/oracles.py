@@ -366,9 +366,9 @@ ORACLES: dict[str, str] = {
     "augment_variants": f"""WITH {SAMPLES},
         variants AS (
           SELECT doc_id, 0 AS variant_no, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS text
-          FROM documents WHERE doc_id % 3 <> 0
-          UNION ALL SELECT doc_id, 1, replace(text, ' ', '_') FROM documents WHERE doc_id % 3 <> 0
-          UNION ALL SELECT doc_id, 2, regexp_replace(text, '[ \\n]+', ' ', 'g') FROM documents WHERE doc_id % 3 <> 0),
+          FROM documents
+          UNION ALL SELECT doc_id, 1, replace(text, ' ', '_') FROM documents
+          UNION ALL SELECT doc_id, 2, regexp_replace(text, '[ \\n]+', ' ', 'g') FROM documents),
         pick AS (SELECT doc_id, arg_min(text, md5('0:0:' || doc_id::VARCHAR || ':' || variant_no::VARCHAR)) AS v
                  FROM variants GROUP BY doc_id)
         SELECT a.id, CASE WHEN coalesce(length(a.source) > 0, false) AND p.v IS NOT NULL THEN p.v ELSE a.target END

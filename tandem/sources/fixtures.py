@@ -76,9 +76,10 @@ def samples_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equivalent rewrites of a sample's source string: (doc_id, variant_no, text):
-    words reversed, spaces as underscores, runs of spaces/newlines squeezed."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text").where(F.pmod("doc_id", F.lit(3)) != 0)
+    """Equivalent rewrites of every document: (doc_id, variant_no, text):
+    words reversed, spaces as underscores, runs of spaces/newlines squeezed.
+    (A sample only takes one when it has a source string.)"""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     forms = F.array(
         F.struct(F.lit(0).alias("variant_no"),
                  F.array_join(F.reverse(F.split("text", " ")), " ").alias("text")),

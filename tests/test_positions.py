@@ -52,6 +52,9 @@ def test_batches_and_shards(spark):
         per_rank.setdefault(r.rank, []).append(r.pos)
     assert all(len(v) == 26 for v in per_rank.values())
     assert sorted(r.pos for r in sh if r.pos >= 101) == [101, 102, 103]
+    co = ordering.shard_rows(b.select("id", "pos"), world=4, total=101, colocate=True)
+    parts = co.rdd.glom().map(lambda rows: sorted({r.rank for r in rows})).collect()
+    assert sorted(p[0] for p in parts if p) == [0, 1, 2, 3] and all(len(p) <= 1 for p in parts)
 
 
 def test_seed_replicas_are_reproducible(spark):
