@@ -188,7 +188,7 @@ def shard_rows(positioned: DataFrame, world: int, total: int, pos_col: str = "po
     allrows = positioned.unionByName(wrapped)
     out = (allrows.withColumn("rank", F.pmod(F.col(pos_col), F.lit(world)).cast("int"))
            .withColumn("rank_index", F.floor(F.col(pos_col) / world)))
-    return out.repartition(world, "rank") if colocate else out
+    return out.repartitionByRange(world, "rank") if colocate else out
 
 
 # --- B4 ---------------------------------------------------------------------
