@@ -347,3 +347,27 @@ def tanimoto_counts(prepared: DataFrame, empty_value: float = 0.0) -> DataFrame:
     t = F.when(denom == 0, F.lit(float(empty_value))).otherwise(inter / denom)
     return counted.agg(F.count(F.lit(1)).alias("n_kept"),
                        F.round(F.coalesce(F.avg(t), F.lit(0.0)), 6).alias("counts_tanimoto"))
+
+
+def clipped_matches_native(df: DataFrame, key: str, hyp_col: str, ref_col: str, prefix: str = "x",
+                           max_n: int = BLEU_MAX_N) -> DataFrame:
+    """Catalyst-only form of the clipped n-gram counts: every n-gram of both
+    sides becomes a row, counted per (key, n, gram) and clipped with ``least``.
+
+    ``df`` must be hash-partitioned by ``key`` (``spread``): explode keeps that
+    partitioning, so both aggregates run without another exchange. Returns
+    ``key`` and ``{prefix}_m1..m{max_n}``; keys without any match are absent."""
+    from tandem.functions.ngrams import char_ngrams
+
+    def tagger(tag: str, n: int):
+        return lambda g: F.struct(F.lit(tag).alias("side"), F.lit(n).alias("n"), g.alias("gram"))
+
+    def side(col: str, tag: str):
+        return [F.transform(char_ngrams(F.col(col), n), tagger(tag, n)) for n in range(1, max_n + 1)]
+
+    grams = F.flatten(F.array(*side(hyp_col, "h"), *side(ref_col, "r")))
+    ex = df.select(F.col(key), F.inline(grams))
+    per_gram = ex.groupBy(key, "n", "gram").agg(
+        F.least(F.count_if(F.col("side") == "h"), F.count_if(F.col("side") == "r")).alias("m"))
+    return per_gram.groupBy(key).agg(
+        *[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).alias(f"{prefix}_m{n}") for n in range(1, max_n + 1)])

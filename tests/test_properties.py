@@ -158,3 +158,11 @@ def test_group_report_total_equals_overall(spark):
 def test_letters_canonical_spark(spark):
     df = spark.createDataFrame([("  Hello,  WORLD 42 ",), ("123",)], "s string")
     assert [r[0] for r in df.select(letters_canonical(F.col("s"))).collect()] == ["hello world", ""]
+
+
+def test_native_and_arrow_ngram_counts_agree(spark):
+    p = ev.spread(prepared_pairs(spark, SF001).where("status = 'kept'"), "pair_id").select(
+        "pair_id", "pred_self", "gt_self")
+    nat = {r.pair_id: tuple(r[1:]) for r in ev.clipped_matches_native(p, "pair_id", "pred_self", "gt_self").collect()}
+    arrow = ev.with_clipped_matches(p, [("x", "pred_self", "gt_self")]).collect()
+    assert arrow and all(nat.get(r.pair_id, (0, 0, 0, 0)) == (r.x_m1, r.x_m2, r.x_m3, r.x_m4) for r in arrow)
