@@ -113,7 +113,7 @@ def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: S
     numbered = bucketed.withColumn("_rn", F.row_number().over(within))
     if not bounds:
         # One bucket (at most ROWS_PER_BUCKET rows per group): no offsets.
-        out = numbered.withColumn(name, F.col("_rn") - 1 + F.lit(start)).drop("_rn")
+        out = numbered.withColumn(name, (F.col("_rn") - 1 + F.lit(start)).cast("long")).drop("_rn")
         if not keep_bucket:
             return out.drop("_bucket")
         tagged = F.col("_bucket").alias(keep_bucket, metadata={"buckets": 1})
@@ -124,7 +124,8 @@ def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: S
     # ``numbered`` is already partitioned by (group, bucket): only the small
     # offsets table moves for this join.
     out = numbered.join(offsets, [*groups, "_bucket"])
-    out = out.withColumn(name, F.col("_offset") + F.col("_rn") - 1 + F.lit(start)).drop("_rn", "_offset")
+    out = out.withColumn(name, (F.col("_offset") + F.col("_rn") - 1 + F.lit(start)).cast("long")).drop(
+        "_rn", "_offset")
     if not keep_bucket:
         return out.drop("_bucket")
     # The bucket count travels as column metadata (one bucket: no carry needed).

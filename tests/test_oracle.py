@@ -26,6 +26,10 @@ def _canon(cols, rows):
     return [cols[i] for i in order], sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
     assert len(QUERIES) == 56
@@ -35,6 +39,9 @@ def test_every_query_has_an_oracle():
 def test_matches_duckdb(spark, duck, name):
     con = duck(SF001)
     sdf = QUERIES[name](spark, SF001)
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema}
+    d_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    assert s_types == d_types
     s_cols, s_rows = _canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     res = con.execute(ORACLES[name])
     d_cols, d_rows = _canon([d[0] for d in res.description], res.fetchall())
