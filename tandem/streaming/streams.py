@@ -149,7 +149,8 @@ def streaming_early_stop(spark: SparkSession, source_dir: str, schema: T.StructT
     table = f"{out_dir}/updates"
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch_id).cast("long")).write.mode("append").parquet(table)
+        # One folder per micro-batch, overwritten on retry: idempotent.
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={epoch_id}")
 
     _run_available(states, "update", sink, f"{out_dir}/checkpoint", f"u4_{abs(hash(out_dir))}")
     upd = spark.read.parquet(table)
@@ -178,11 +179,12 @@ def streaming_metric_windows(spark: SparkSession, source_dir: str, schema: T.Str
     table = f"{out_dir}/windows"
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append").parquet(table)
+        # One folder per micro-batch, overwritten on retry: idempotent.
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={epoch_id}")
 
     _run_available(w, "append", sink, f"{out_dir}/checkpoint", f"u5_{abs(hash(out_dir))}")
     try:
-        got = spark.read.parquet(table)
+        got = spark.read.parquet(table).drop("batch_id")
     except Exception:  # nothing closed yet: empty result with the right columns
         got = spark.createDataFrame([], w.schema)
     fmt = "yyyy-MM-dd HH:mm:ss"
