@@ -260,6 +260,9 @@ def run_catalog(paths: DataFrame, project: str, methods: Sequence[str], seeds: S
         F.regexp_extract("folder", RUN_FOLDER, 5).alias("ts"),
         F.regexp_extract("path", CKPT_FILE, 1).cast("int").alias("epoch"),
         F.regexp_extract("path", CKPT_FILE, 2).cast("double").alias("val_loss"))
+    # The catalog is read three times below (two rankings and their size
+    # checks): write it once to the shared folder instead of re-deriving it.
+    parsed = parsed.checkpoint(eager=True)
     ranked = sequence_index(parsed, ["path"], partition_by=["folder"], name="file_rank", start=1)
     folders = parsed.select("folder").distinct()
     folder_rank = sequence_index(folders, ["folder"], name="folder_rank", start=1)
