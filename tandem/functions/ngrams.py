@@ -87,14 +87,15 @@ def _clipped_matches_dict(hyp: str, ref: str, max_n: int) -> list[int]:
     return out
 
 
-_HASH_CACHE: dict[str, int] = {}
+_HASH_CACHE: dict[bytes, int] = {}
 _HASH_CACHE_MAX = 2_000_000
 
 
-def _gram_hash(g: str) -> int:
+def _gram_hash(g: bytes) -> int:
+    """First 7 hex digits of md5(g) as an integer (= top 28 bits of the digest)."""
     h = _HASH_CACHE.get(g)
     if h is None:
-        h = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:7], 16)
+        h = int.from_bytes(hashlib.md5(g).digest()[:4], "big") >> 4
         if len(_HASH_CACHE) >= _HASH_CACHE_MAX:
             _HASH_CACHE.clear()
         _HASH_CACHE[g] = h
@@ -103,10 +104,15 @@ def _gram_hash(g: str) -> int:
 
 def gram_hashes(s: str, ns) -> dict[int, set[int]]:
     """Per n in ``ns``: the md5-derived integers (first 7 hex digits) of the
-    distinct n-grams of ``s`` (memoised per worker: grams recur across rows)."""
+    distinct n-grams of ``s`` (memoised per worker: grams recur across rows).
+    ASCII text is sliced as bytes once instead of encoding every gram."""
     out = {}
+    data = s.encode("ascii") if s.isascii() else None
     for n in ns:
-        grams = {s[i:i + n] for i in range(len(s) - n + 1)}
+        if data is not None:
+            grams = {data[i:i + n] for i in range(len(data) - n + 1)}
+        else:
+            grams = {s[i:i + n].encode("utf-8") for i in range(len(s) - n + 1)}
         out[n] = {_gram_hash(g) for g in grams}
     return out
 
