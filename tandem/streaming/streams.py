@@ -46,10 +46,22 @@ def write_stream_input(df: DataFrame, path: str, chunks: int, order_col: str) ->
         lo = hi
 
 
-def _run_available(query_df: DataFrame, mode: str, sink, checkpoint: str, name: str) -> None:
-    q = (query_df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start())
-    q.awaitTermination()
+def _run_available(query_df: DataFrame, mode: str, sink, checkpoint: str, name: str,
+                   state_partitions: int | None = None) -> None:
+    """Run a stream to the end of its available input. The number of state
+    partitions is fixed when a query first starts (then kept in its
+    checkpoint); size it to the cluster's parallelism rather than the
+    session's shuffle setting, and leave the session as it was."""
+    spark = query_df.sparkSession
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        q = (query_df.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
@@ -66,7 +78,8 @@ def streaming_eval(spark: SparkSession, source_dir: str, schema: T.StructType, c
               .parquet(source_dir))
     keep = ("pair_id",) + ((group_col,) if group_col else ())
     prepared = prepare_pairs(stream, canonicalise, keep=keep)
-    stats = pair_stats(prepared, group_cols=[group_col] if group_col else [])
+    stats = pair_stats(prepared, group_cols=[group_col] if group_col else [],
+                       partitions=spark.sparkContext.defaultParallelism)
     sums = sum_stats(stats.groupBy(group_col)) if group_col else sum_stats(stats)
     table = f"{out_dir}/sums"
 
