@@ -19,21 +19,8 @@ def norm(a: Column) -> Column:
     return F.sqrt(sq_norm(a))
 
 
-def sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def array_max(a: Column) -> Column:
-    return F.array_max(a)
-
-
 def logsumexp(a: Column) -> Column:
     """log(sum(exp(a))) with the max shift; NULL for an empty array."""
     m = F.array_max(a)
     s = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))
     return m + F.log(s)
-
-
-def scale(a: Column, k) -> Column:
-    k = k if isinstance(k, Column) else F.lit(float(k))
-    return F.transform(a, lambda v: v * k)

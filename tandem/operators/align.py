@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.vectors import dot, logsumexp, norm, sq_dist
+from tandem.functions.vectors import dot, logsumexp, norm
 
 # --- Fixed values of the modelled losses ---
 VICREG_WEIGHTS = (25.0, 25.0, 1.0)   # invariance, variance, covariance

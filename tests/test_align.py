@@ -1,7 +1,6 @@
 """Alignment statistics against numpy."""
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tandem.operators import align
 

@@ -72,3 +72,13 @@ def test_unknown_token_and_masks(spark):
     row = df.sparkSession.createDataFrame([([4, 2, 1, 0, 0],)], "labels array<long>").select(
         masked.alias("m"), dmask.alias("d"), prep.shift_right(masked).alias("s")).first()
     assert row.m == [4, 2, 1, -100, -100] and row.d == [1, 1, 1, 0, 0] and row.s == [0, 4, 2, 1, 0]
+
+
+def test_parquet_reader_prunes_split_partitions(spark, tmp_path):
+    root = str(tmp_path / "datasets")
+    fx.samples_a(spark, SF001).write.partitionBy("split").parquet(f"{root}/lpm-24-eval")
+    df = prep.load_split(spark, "lpm-24", "ignored", prep.parquet_reader(root), purpose="eval")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "validation" in plan
+    assert {r.split for r in df.select("split").distinct().collect()} == {"validation"}
+    assert df.count() == fx.samples_a(spark, SF001).where("split = 'validation'").count()
