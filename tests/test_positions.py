@@ -66,3 +66,10 @@ def test_seed_replicas_are_reproducible(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == 100
     orders = {s: [r.id for r in a.where(F.col("seed") == s).orderBy("pos").collect()] for s in (0, 1)}
     assert orders[0] != orders[1] and sorted(orders[0]) == list(range(50))
+
+
+def test_ensure_parallelism_only_spreads_narrow_inputs(spark):
+    one = spark.range(100).coalesce(1)
+    assert ordering.ensure_parallelism(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 3)
+    assert ordering.ensure_parallelism(wide) is wide
