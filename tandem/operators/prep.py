@@ -251,7 +251,8 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
             mask = F.array_repeat(F.lit(1), F.size(raw) + 1)
         else:
             mask = attention_mask(F.least(F.size(raw) + 1, F.lit(max_length)), max_length)
-        out = out.withColumn(out_col + "_mask", mask)
+        # a missing text has no ids and no mask (not an all-padding row)
+        out = out.withColumn(out_col + "_mask", F.when(raw.isNotNull(), mask))
     return out.drop(*[f"_ids{k}" for k in range(len(text_cols))])
 
 

@@ -45,6 +45,9 @@ def test_prepare_training_data(spark):
     rows = out.collect()
     expected = prep.filter_nonempty_target(fx.samples_a(spark, SF001), "A").where("split = 'train'").count()
     assert len(rows) == expected + (-expected) % 4
-    assert all(len(r.input_ids) == 512 and len(r.labels_mask) == 512 for r in rows)
+    assert all(len(r.input_ids) == 512 for r in rows)
+    assert all((r.labels is None and r.labels_mask is None) if r.target is None else len(r.labels_mask) == 512
+               for r in rows)
+    assert any(r.target is None for r in rows)  # NULL targets pass the non-empty filter
     assert sorted({r.pos for r in rows if r.pos < expected}) == list(range(expected))
     assert {r.batch_id for r in rows} == set(range(-(-expected // 4)))

@@ -82,3 +82,11 @@ def test_parquet_reader_prunes_split_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan and "validation" in plan
     assert {r.split for r in df.select("split").distinct().collect()} == {"validation"}
     assert df.count() == fx.samples_a(spark, SF001).where("split = 'validation'").count()
+
+
+def test_missing_text_has_no_ids_or_mask(spark):
+    _, v = _small(spark)
+    df = spark.createDataFrame([(1, None), (2, "ab")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in prep.encode(df, "doc_id", {"text": "labels"}, v, max_length=6).collect()}
+    assert rows[1].labels is None and rows[1].labels_mask is None
+    assert rows[2].labels_mask == [1, 1, 1, 0, 0, 0]
