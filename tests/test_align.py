@@ -93,3 +93,9 @@ def test_total_loss_methods(spark):
     vic = spark.createDataFrame([(10.0,)], "vicreg double")
     assert align.total_loss(ce, vic).first().total_loss == 7.0
     assert align.total_loss(ce, vic, method="base").first().total_loss == 2.0
+
+
+def test_clip_refuses_oversized_batches(spark):
+    df, _, _ = _vec_df(spark, n=20, d=4)
+    with pytest.raises(ValueError):
+        align.clip_loss(df, max_batch_rows=5)
