@@ -221,6 +221,10 @@ def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None
     parts = src.mapInPandas(fold, schema)
     merged = parts.groupBy("shard", "kind", "i").agg(
         vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    if by_shard:
+        # Small (kinds x D rows of D values per shard) and read by both the
+        # global and the per-shard finish: write it once to the shared folder.
+        merged = merged.checkpoint(eager=True)
     counts = {int(k): n for k, (_, _, n) in means.items()}
     return merged, counts
 
