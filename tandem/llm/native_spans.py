@@ -13,7 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,rank:int,start:int,end:int,hit:string>>"
-NO_SPANS = F.array().cast(SPAN)
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPAN)
 
 
 def quoted(pattern: str) -> Column:
@@ -36,11 +39,11 @@ def spans(text: Column, kind: str, rank: int, pattern: str, keep=None, shown: Co
         return F.when(x["hit"].isNull(), acc).otherwise(
             F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), NO_SPANS.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
     found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     if keep is not None:
         found = F.filter(found, lambda s: keep(s["hit"]))
-    return F.when(F.rlike(text, p), found).otherwise(NO_SPANS)
+    return F.when(F.rlike(text, p), found).otherwise(no_spans())
 
 
 def overlaps(span: Column, others: Column) -> Column:

@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .native_spans import SPAN, count_of, joined, overlaps, spans
+from .native_spans import SPAN, count_of, joined, no_spans, overlaps, spans
 
 KINDS = ("email", "ip", "card", "phone", "weak")
 #: Private-use characters that stand for a dot between label characters and for a separator between digits.
-DOT, SEP = "", ""
+DOT, SEP = "\ue000", "\ue001"
 EMAIL = rf"(?:(?<![A-Za-z0-9._%+{DOT}-])|\G)[A-Za-z0-9._%+{DOT}-]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -69,16 +69,16 @@ def _digits(hit: Column) -> Column:
 def base_spans(text: Column) -> Column:
     dotted = F.regexp_replace(F.translate(text, DOT, "\u0001"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     spaced = F.regexp_replace(F.translate(text, SEP, "\u0001"), r"(?<=[0-9])[\x20-](?=[0-9])", SEP)
-    email = F.when(F.contains(text, F.lit("@")), spans(dotted, "email", 0, EMAIL, shown=text)).otherwise(F.array().cast(SPAN))
+    email = F.when(F.contains(text, F.lit("@")), spans(dotted, "email", 0, EMAIL, shown=text)).otherwise(no_spans())
     card = F.when(F.rlike(text, F.lit(CARD_LIKELY)), spans(
-        spaced, "card", 2, CARD, lambda h: _digits(h).between(13, 19) & _luhn(h), shown=text)).otherwise(F.array().cast(SPAN))
+        spaced, "card", 2, CARD, lambda h: _digits(h).between(13, 19) & _luhn(h), shown=text)).otherwise(no_spans())
     return F.concat(email, spans(text, "ip", 1, IP, lambda h: F.rlike(h, F.lit(IP_PARTS))), card,
                     spans(text, "phone", 3, PHONE, lambda h: _digits(h).between(9, 15)))
 
 
 def candidate_spans(text: Column) -> Column:
     numbers = spans(text, "weak", 4, NUMBERS, lambda h: _digits(h) >= 7)
-    handles = F.when(F.contains(text, F.lit("@")), spans(text, "weak", 4, HANDLES)).otherwise(F.array().cast(SPAN))
+    handles = F.when(F.contains(text, F.lit("@")), spans(text, "weak", 4, HANDLES)).otherwise(no_spans())
     return F.concat(numbers, handles)
 
 
@@ -197,9 +197,9 @@ def with_personal_data(df: DataFrame, text_col: str = "text", out: str = "person
         kept = F.filter(_judged(text, F.col("__cand"), F.col("__base")), lambda s: ~s["in_base"] & (F.aggregate(
             s["features"], F.lit(float(prior)), lambda a, f: a + F.coalesce(F.element_at(odds, f), F.lit(0.0))) > 0))
         weak = F.transform(kept, lambda s: s.dropFields("votes", "features", "in_base")).cast(SPAN)
-        weak = F.when(F.size("__cand") > 0, weak).otherwise(F.array().cast(SPAN))
+        weak = F.when(F.size("__cand") > 0, weak).otherwise(no_spans())
     else:
-        weak = F.array().cast(SPAN)
+        weak = no_spans()
     return rows.withColumn(out, F.concat("__base", weak)).drop("__base", "__cand")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .native_spans import SPAN, count_of, joined, masked, overlaps, spans
+from .native_spans import SPAN, count_of, joined, masked, no_spans, overlaps, spans
 
 ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""")
 ASSIGN_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
@@ -142,7 +142,7 @@ def with_secrets(df: DataFrame, text_col: str = "text", max_fdr: float = MAX_FDR
     added = F.filter(_tested(fresh), passes).cast(
         "array<struct<kind:string,rank:int,start:int,end:int,hit:string,enc:string,band:int,p:double>>")
     plain = F.transform(added, lambda s: s.dropFields("enc", "band", "p")).cast(SPAN)
-    return rows.withColumn("__add", F.when(F.size("__cand") > 0, plain).otherwise(F.array().cast(SPAN))).withColumn(
+    return rows.withColumn("__add", F.when(F.size("__cand") > 0, plain).otherwise(no_spans())).withColumn(
         out, F.concat("__base", "__add")).drop("__base", "__cand", "__add")
 
 

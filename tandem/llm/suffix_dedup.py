@@ -6,8 +6,8 @@ least of a window of positions, chosen so that every run of ``min_words`` words
 passages therefore retain the same suffixes, and a few per cent of all suffixes are enough:
 
 1. the retained suffixes are grouped by their first words; those with no equal neighbour go;
-2. each one left is extended to the left and right, to every run of ``min_words`` words in which
-   all retained suffixes have equal neighbours; equal runs meet by hash, and runs met nowhere else go;
+2. each one left is extended to the left and right, to every run of ``min_words`` words whose least
+   suffix it is; equal runs meet by hash, and runs met nowhere else go;
 3. runs that overlap in a document are joined to maximal spans.
 
 The result is exact: a word is in a span if and only if one of the ``min_words``-word runs over it
@@ -31,23 +31,25 @@ from pyspark.sql import functions as F
 from .common import WordTable, pick, range_hash, slices, sliding, stored, utf8
 
 MIN_WORDS, ANCHOR_WORDS = 50, 20
+_NONE = np.iinfo(np.uint64).max
 
 
-def _anchors(words: WordTable, min_words: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``anchor_words`` words from each word on, and whether a suffix is retained there."""
+def _anchors(words: WordTable, min_words: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the ``anchor_words`` words from each word on, whether a suffix is retained there, and the
+    least such hash in the run of ``min_words`` words from each word on (0 where no whole run starts)."""
     n, w = len(words.hash), min_words - anchor_words + 1
     last = np.repeat(words.first[1:], np.diff(words.first))  # end of the text of each word
     at = np.arange(n)
-    gram = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    gram = np.full(n, _NONE, dtype=np.uint64)
     fits = at + anchor_words <= last
     gram[fits] = range_hash(words.hash, at[fits], at[fits] + anchor_words)
-    keep = np.zeros(n, dtype=bool)
+    keep, least = np.zeros(n, dtype=bool), np.zeros(0, dtype=np.uint64)
     if n >= w:
         least = sliding(gram, w, np.minimum)
         least[at[: len(least)] + min_words > last[: len(least)]] = 0  # no whole run starts there
         pad = np.zeros(w - 1, dtype=np.uint64)
         keep = (sliding(np.concatenate([pad, least, pad]), w, np.maximum)[:n] == gram) & fits
-    return gram, keep
+    return gram, keep, least
 
 
 def retained_suffixes(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
@@ -59,7 +61,7 @@ def retained_suffixes(docs: DataFrame, min_words: int, anchor_words: int) -> Dat
             texts, ids = utf8(b.column("text")), b.column("doc_id")
             for lo, hi in slices(texts):
                 t = WordTable(texts[lo:hi])
-                gram, keep = _anchors(t, min_words, anchor_words)
+                gram, keep, _ = _anchors(t, min_words, anchor_words)
                 at = np.flatnonzero(keep)
                 row = t.text_of_word()[at]
                 yield pa.record_batch({"h": gram[at].view(np.int64), "doc_id": ids.take(pa.array(row + lo)),
@@ -69,7 +71,7 @@ def retained_suffixes(docs: DataFrame, min_words: int, anchor_words: int) -> Dat
 
 
 def _runs(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(run, doc_id, start): runs of ``min_words`` words whose retained suffixes all have equals."""
+    """(run, doc_id, start): runs of ``min_words`` words whose least retained suffix has an equal."""
     id_type = docs_hits.schema["doc_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +79,16 @@ def _runs(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
             texts, ids, hits = utf8(b.column("text")), b.column("doc_id"), b.column("hits").to_pylist()
             for lo, hi in slices(texts):
                 t = WordTable(texts[lo:hi])
-                _, keep = _anchors(t, min_words, anchor_words)
+                gram, keep, least = _anchors(t, min_words, anchor_words)
+                if not len(least):
+                    continue
                 equal = np.zeros(len(keep), dtype=np.int64)
                 for i in range(lo, hi):
                     if len(hits[i]):
                         equal[np.asarray(hits[i]) + t.first[i - lo]] = 1
-                lone = np.concatenate([[0], np.cumsum(keep & (equal == 0))])
-                some = np.concatenate([[0], np.cumsum(equal)])
-                last = np.repeat(t.first[1:], np.diff(t.first))
-                at = np.flatnonzero(np.arange(len(keep)) + min_words <= last)
-                to = at + min_words - anchor_words + 1  # suffixes whose first words lie in the run
-                at = at[(lone[to] == lone[at]) & (some[to] > some[at])]
+                at = np.flatnonzero(least)  # starts of whole runs
+                met = sliding(np.where(equal == 1, gram, _NONE), min_words - anchor_words + 1, np.minimum)
+                at = at[met[at] == least[at]]
                 row = t.text_of_word()[at]
                 yield pa.record_batch({"run": range_hash(t.hash, at, at + min_words).view(np.int64),
                                        "doc_id": ids.take(pa.array(row + lo)),
@@ -141,15 +142,15 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     later = (runs.dropDuplicates(["doc_id", "start"]).repartition("doc_id").withColumn("nth", nth)
              .where("doc_id <> first_doc or nth > 1"))
     cuts = (_islands(later, min_words).groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
-            .select(F.col("doc_id").alias("__cut_id"), "cuts"))
+            .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
+            .select(F.col("doc_id").alias("__cut_id"), "__cuts"))
 
     @F.pandas_udf("string")
     def without(text, spans):
         return text.combine(spans, _without)
 
     joined = df.join(cuts, F.col(f"`{id_col}`") == F.col("__cut_id"), "left")
-    text = F.when(F.col("cuts").isNotNull(), without(F.col(f"`{text_col}`"), F.col("cuts")))
+    text = F.when(F.col("__cuts").isNotNull(), without(F.col(f"`{text_col}`"), F.col("__cuts")))
     return joined.select(*[(F.coalesce(text, F.col(f"`{c}`")) if c == text_col else F.col(f"`{c}`")).alias(c)
                            for c in df.columns])
 
