@@ -6,8 +6,8 @@ The method adds ``random`` spans: tokens of 20 or more key characters that behav
 * The encoding is inferred from the characters: hex, base32 or base64 (either variant).
 * Three tests against uniform draws from that alphabet: chi-squared of the symbol counts, runs above
   and below the alphabet's middle, lag-1 serial correlation; Fisher's method combines their p-values.
-* Tokens of an encoding and length band share one cut: under randomness p is uniform, so twice the
-  count with p >= 1/2 estimates the random tokens, and the cut is the least p from which on no more
+* Tokens of an encoding and length band share one cut: under randomness p is uniform, so the
+  count with p >= 0.2 over 0.8 estimates the random tokens, and the cut is the least p from which on no more
   than ``max_fdr`` of the tokens are estimated not to be random. Short bands, where ordinary
   strings pass more easily, thereby get a stricter cut or none; the counts are over the whole corpus.
 
@@ -32,7 +32,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
 HEX = "0123456789abcdef"
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-GRID = (0.001, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+GRID = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)
 MAX_FDR = 0.1
 
 
@@ -47,9 +47,15 @@ def candidate_spans(text: Column) -> Column:
     return spans(text, "random", 3, TOKEN)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _upper_tail(z: Column) -> Column:
     """Normal upper tail by the logistic form (absolute error below 2e-4)."""
-    return 1 / (1 + F.exp(F.least(F.greatest(1.5976 * z + 0.070565 * z * z * z, F.lit(-700.0)), F.lit(700.0))))
+    return let(z, lambda z: 1 / (1 + F.exp(F.least(F.greatest(
+        1.5976 * z + 0.070565 * z * z * z, F.lit(-700.0)), F.lit(700.0)))))
 
 
 def _clip(p: Column) -> Column:
@@ -72,34 +78,62 @@ def p_value(token: Column, encoding: Column) -> Column:
 
 def battery(body: Column, alphabet: str) -> Column:
     """Chi-squared, runs and serial-correlation tests combined by Fisher's method."""
-    k, n = len(alphabet), F.length(body).cast("double")
-    symbols = F.array(*[F.lit(c) for c in alphabet])
-    squares = F.aggregate(symbols, F.lit(0.0), lambda a, c: a + F.pow(
-        (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
+    return let(body, lambda t: let(
+        -(F.log(_clip(p_uniform(t, alphabet))) + F.log(_clip(p_runs(t, alphabet))) + F.log(_clip(p_serial(t, alphabet)))),
+        lambda half: F.exp(-half) * (1 + half + half * half / 2)))  # half of Fisher's statistic, 6 degrees of freedom
+
+
+def p_uniform(body: Column, alphabet: str) -> Column:
+    """Chi-squared test of equal symbol counts (Wilson-Hilferty approximation)."""
+    k = len(alphabet)
     df = float(k - 1)
-    chi2 = k / n * squares - n
-    p_chi = _upper_tail((F.cbrt(F.greatest(chi2, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-
-    half = F.translate(body, alphabet, "l" * (k // 2) + "h" * (k - k // 2))
-    high = F.length(F.replace(half, F.lit("l"), F.lit(""))).cast("double")
-    both = 2 * high * (n - high)
-    changes = (2 * F.length(half) - F.length(F.replace(half, F.lit("hl"), F.lit("")))
-               - F.length(F.replace(half, F.lit("lh"), F.lit("")))) / 2
-    variance = both * (both - n) / (n * n * (n - 1))
-    p_runs = F.when(variance > 0, F.least(2 * _upper_tail(F.abs(changes - both / n) / F.sqrt(variance)), F.lit(1.0))
-                    ).otherwise(F.pow(F.lit(2.0), 1 - n))  # all symbols on one side of the middle
-
-    places = F.create_map(*[x for i, c in enumerate(alphabet) for x in (F.lit(c), F.lit(float(i)))])
-    at = F.transform(F.filter(F.split(body, ""), lambda c: F.length(c) > 0), lambda c: F.element_at(places, c))
-    mean = F.aggregate(at, F.lit(0.0), lambda a, x: a + x) / n
-    start = F.struct(F.lit(0.0).alias("prev"), F.lit(0.0).alias("cross"), F.lit(0.0).alias("square"))
-    sums = F.aggregate(F.transform(at, lambda x: x - mean), start, lambda a, x: F.struct(
-        x.alias("prev"), (a["cross"] + a["prev"] * x).alias("cross"), (a["square"] + x * x).alias("square")),
-        lambda a: F.when(a["square"] > 0, a["cross"] / a["square"]).otherwise(F.lit(1.0)))
-    p_serial = F.least(2 * _upper_tail(F.abs(sums + 1 / n) * F.sqrt(n)), F.lit(1.0))
-
-    fisher = -(F.log(_clip(p_chi)) + F.log(_clip(p_runs)) + F.log(_clip(p_serial)))  # half of Fisher's statistic
-    return F.exp(-fisher) * (1 + fisher + fisher * fisher / 2)
+    squares = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda a, i: a + F.pow(
+        (F.length(body) - F.length(F.replace(body, F.lit(alphabet).substr(i, F.lit(1)), F.lit("")))).cast("double"),
+        F.lit(2.0)))
+    chi2 = k / F.length(body) * squares - F.length(body)
+    return _upper_tail((F.cbrt(F.greatest(chi2, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+
+
+def p_runs(body: Column, alphabet: str) -> Column:
+    """Runs above and below the middle of the alphabet (two-sided)."""
+    k = len(alphabet)
+
+    def from_counts(c):
+        n, both, changes = c["n"], c["both"], c["changes"]
+        return let(both * (both - n) / (n * n * (n - 1)), lambda var: F.when(var > 0, F.least(
+            2 * _upper_tail(F.abs(changes - both / n) / F.sqrt(var)), F.lit(1.0))).otherwise(
+            F.pow(F.lit(2.0), 1 - n)))  # all symbols on one side
+
+    def counts(half):
+        n = F.length(half).cast("double")
+        high = F.length(F.replace(half, F.lit("l"), F.lit(""))).cast("double")
+        changes = (2 * n - F.length(F.replace(half, F.lit("hl"), F.lit(""))) - F.length(
+            F.replace(half, F.lit("lh"), F.lit("")))) / 2
+        return let(F.struct(n.alias("n"), (2 * high * (n - high)).alias("both"), changes.alias("changes")), from_counts)
+
+    return let(F.translate(body, alphabet, "l" * (k // 2) + "h" * (k - k // 2)), counts)
+
+
+def p_serial(body: Column, alphabet: str) -> Column:
+    """Lag-1 correlation of the symbols' places in the alphabet (two-sided), in one pass over them."""
+    at = F.transform(F.filter(F.split(body, ""), lambda c: F.length(c) > 0),
+                     lambda c: F.position(c, F.lit(alphabet)).cast("double"))
+    zero = F.lit(0.0)
+    start = F.struct(*[zero.alias(f) for f in ("n", "first", "last", "sum", "square", "next")])
+
+    def add(a, x):
+        return F.struct((a["n"] + 1).alias("n"), F.when(a["n"] == 0, x).otherwise(a["first"]).alias("first"),
+                        x.alias("last"), (a["sum"] + x).alias("sum"), (a["square"] + x * x).alias("square"),
+                        (a["next"] + a["last"] * x).alias("next"))
+
+    def test(a):
+        n, mean = a["n"], a["sum"] / a["n"]
+        square = a["square"] - n * mean * mean
+        cross = a["next"] - mean * (2 * a["sum"] - a["first"] - a["last"]) + (n - 1) * mean * mean
+        r = F.when(square > 1e-9, cross / square).otherwise(F.lit(1.0))
+        return F.least(2 * _upper_tail(F.abs(r + 1 / n) * F.sqrt(n)), F.lit(1.0))
+
+    return let(F.aggregate(at, start, add), test)
 
 
 def band_of(token: Column) -> Column:
@@ -109,15 +143,15 @@ def band_of(token: Column) -> Column:
 
 def _tested(found: Column) -> Column:
     """Candidates with their encoding, band and p-value."""
-    return F.transform(found, lambda s: s.withField("enc", encoding_of(s["hit"])).withField(
-        "band", band_of(s["hit"])).withField("p", p_value(s["hit"], encoding_of(s["hit"]))))
+    return F.transform(found, lambda s: let(encoding_of(s["hit"]), lambda enc: s.withField("enc", enc).withField(
+        "band", band_of(s["hit"])).withField("p", p_value(s["hit"], enc))))
 
 
 def cuts(tested: DataFrame, max_fdr: float = MAX_FDR) -> DataFrame:
     """(enc, band, cut) from (enc, band, p) of all tokens; no row where no cut holds the rate."""
     sums = tested.groupBy("enc", "band").agg(
         *[F.sum((F.col("p") >= c).cast("double")).alias(f"a{i}") for i, c in enumerate(GRID)])
-    random = 2 * F.col(f"a{len(GRID) - 1}")
+    random = F.col(f"a{len(GRID) - 1}") / (1 - GRID[-1])
     rate = [F.greatest(F.col(f"a{i}") - (1 - c) * random, F.lit(0.0)) / F.col(f"a{i}") for i, c in enumerate(GRID)]
     cut = F.coalesce(*[F.when((F.col(f"a{i}") > 0) & (rate[i] <= max_fdr), F.lit(c)) for i, c in enumerate(GRID)])
     return sums.select("enc", "band", cut.alias("cut")).where("cut is not null")
