@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pick, range_hash, slices, utf8
-from .tokens import STORE_ITEMS, tokenizer
+from .tokens import LATIN_END, PieceStore, byte_letters, split_signs, tokenizer
 
 WINDOW, MASK_BITS, CHUNK_BYTES = 16, 10, 8 << 20
 _BASE = 0xD1342543DE82EF95
@@ -57,22 +58,38 @@ def cut_points(buf: np.ndarray, mask_bits: int = MASK_BITS) -> np.ndarray:
     return at[((h & np.uint64((1 << mask_bits) - 1)) == 0) & ((nxt & 0xC0) != 0x80)]
 
 
-class _Pieces(dict):
-    """Part between two spaces -> ids of `` part``; None where its cuts are not certain."""
+class _Pieces(PieceStore):
+    """Part -> ids of the part after ``lead`` (a space or nothing); None where its cuts are not certain.
 
-    def __init__(self, encoder):
-        super().__init__()
-        self.encoder = encoder
+    Inside a part, the pre-tokenizer splits before signs that follow a letter, and around a line end
+    between two characters that are no white space."""
 
-    def __missing__(self, part: bytes) -> bytes | None:
-        if len(self) >= STORE_ITEMS:
-            self.clear()
-        plain = _starts_plain(part) and _ends_plain(part)
-        self[part] = ids = self.run(b" " + part) if plain else None
-        return ids
+    def __init__(self, encoder, lead: bytes):
+        super().__init__(encoder)
+        self.lead, self.shown_lead = lead, self.letters[32] if lead else ""
+        self.bare = self if not lead else _Pieces(encoder, b"")
 
-    def run(self, text: bytes) -> bytes:
-        return np.array(self.encoder.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __missing__(self, part: bytes) -> bytes | None:
+        if part.isalpha():  # ASCII letters
+            return self.keep(part, self.ascii_pretoken(self.shown_lead + part.decode()))
+        if not (_starts_plain(part) and _ends_plain(part)):
+            return self.keep(part, None)
+        if b"\n" in part:
+            first, *rest = part.split(b"\n")
+            ids = [self[first], *map(self.bare.__getitem__, rest)]
+            if None not in ids:
+                return self.keep(part, self.line_end.join(ids))
+        elif parts := split_signs(part):
+            return self.keep(part, self[parts[0]] + self.bare[parts[1]])
+        else:
+            text = part.decode()
+            if text.isalpha() and max(text) < LATIN_END:
+                return self.keep(part, self.pretoken(self.lead.decode() + text))
+        return self.keep(part, self.run(self.lead + part))
+
+    @cached_property
+    def line_end(self) -> bytes:
+        return self.run(b"\n")
 
 
 class ChunkCodec:
@@ -80,7 +97,7 @@ class ChunkCodec:
 
     def __init__(self, path: str, mask_bits: int = MASK_BITS):
         self.encoder = tokenizer(path)
-        self.pieces, self.mask_bits = _Pieces(self.encoder), mask_bits
+        self.pieces, self.mask_bits = _Pieces(self.encoder, b" "), mask_bits
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         self.chunk_bytes = self.reused = 0
 
@@ -157,9 +174,7 @@ class ChunkCodec:
 
 def byte_table(encoder) -> list[bytes]:
     """The bytes that each id stands for (byte-level alphabets write bytes as printable characters)."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
     table = []
     for i in range(encoder.get_vocab_size(with_added_tokens=True)):
         token = encoder.id_to_token(i) or ""
