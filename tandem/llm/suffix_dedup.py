@@ -71,7 +71,8 @@ def retained_suffixes(docs: DataFrame, min_words: int, anchor_words: int) -> Dat
 
 
 def _runs(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(run, doc_id, start): runs of ``min_words`` words whose least retained suffix has an equal."""
+    """(run, doc_id, start, own): runs of ``min_words`` words whose least retained suffix has an equal;
+    own: the document itself holds the run at another place."""
     id_type = docs_hits.schema["doc_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,27 +91,29 @@ def _runs(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
                 met = sliding(np.where(equal == 1, gram, _NONE), min_words - anchor_words + 1, np.minimum)
                 at = at[met[at] == least[at]]
                 row = t.text_of_word()[at]
-                yield pa.record_batch({"run": range_hash(t.hash, at, at + min_words).view(np.int64),
-                                       "doc_id": ids.take(pa.array(row + lo)),
-                                       "start": (at - t.first[row]).astype(np.int32)})
+                run = range_hash(t.hash, at, at + min_words)
+                _, group, n = np.unique(np.stack([row.astype(np.uint64), run]), axis=1, return_inverse=True,
+                                        return_counts=True)
+                yield pa.record_batch({"run": run.view(np.int64), "doc_id": ids.take(pa.array(row + lo)),
+                                       "start": (at - t.first[row]).astype(np.int32), "own": n[group.ravel()] > 1})
 
-    return docs_hits.mapInArrow(extend, f"run long, doc_id {id_type}, start int")
+    return docs_hits.mapInArrow(extend, f"run long, doc_id {id_type}, start int, own boolean")
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                   anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """(run, doc_id, start, first_doc, last_doc, n_places): one row per run of ``min_words`` words
+    """(run, doc_id, start, first_doc, last_doc): one row per run of ``min_words`` words
     (by the position of its first word) that also stands elsewhere, with the least and greatest id
     of the documents that hold it."""
     docs = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
     suffixes = retained_suffixes(docs, min_words, anchor_words)
-    met = (suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    hits = (suffixes.join(met, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits")))
+    met = stored(suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
+    hits = suffixes.join(met, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
     runs = stored(_runs(docs.join(hits, "doc_id"), min_words, anchor_words), "runs")
-    places = (runs.groupBy("run")
-              .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
-                   F.min("start").alias("lo"), F.max("start").alias("hi"), F.count("*").alias("n_places"))
-              .where("first_doc < last_doc or lo < hi").drop("lo", "hi"))
+    places = (runs.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+                                      F.max("own").alias("own"))
+              .where("first_doc < last_doc or own").drop("own"))
+    runs = runs.drop("own")
     return runs.join(places, "run")
 
 
@@ -127,7 +130,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """One row per maximal span of repeated words: doc_id, start_word, end_word (exclusive), n_words,
     first_doc and last_doc (least and greatest id of the documents that share a run of it)."""
-    runs = repeated_runs(df, id_col, text_col, min_words, anchor_words).dropDuplicates(["doc_id", "start"])
+    runs = repeated_runs(df, id_col, text_col, min_words, anchor_words)
     return (_islands(runs, min_words, F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
             .withColumn("n_words", F.col("end_word") - F.col("start_word"))
             .select("doc_id", "start_word", "end_word", "n_words", "first_doc", "last_doc"))
@@ -138,8 +141,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``df`` with each repeated run cut from every place but its first (least id, then position).
     Texts without one stay byte for byte; rows whose id or text is null pass unchanged."""
     runs = repeated_runs(df, id_col, text_col, min_words, anchor_words)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("start"))
-    later = (runs.dropDuplicates(["doc_id", "start"]).repartition("doc_id").withColumn("nth", nth)
+    nth = F.dense_rank().over(Window.partitionBy("doc_id", "run").orderBy("start"))
+    later = (runs.repartition("doc_id").withColumn("nth", nth)
              .where("doc_id <> first_doc or nth > 1"))
     cuts = (_islands(later, min_words).groupBy("doc_id")
             .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))

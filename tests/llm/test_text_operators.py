@@ -34,6 +34,15 @@ def test_cut_repeats_keeps_first_places(docs, rows):
     assert suffix_dedup.cut_repeats(docs).columns == docs.columns
 
 
+def test_repeated_rows_are_one_document(spark, rows):
+    twice = docs_frame(spark, rows[:30] + rows[:30] + [(None, rows[0][1])])
+    got = covered(suffix_dedup.repeated_spans(twice).collect())
+    assert got == dict(brute_repeats(rows[:30], 50)[0])
+    cut = sorted((r["doc_id"], r["text"]) for r in suffix_dedup.cut_repeats(twice).collect() if r["doc_id"] is not None)
+    _, later = brute_repeats(rows[:30], 50)
+    assert cut == sorted((i, brute_cut(t, later.get(i, set()))) for i, t in rows[:30] + rows[:30])
+
+
 def test_cut_twice_is_cut_once(spark, rows):
     once = suffix_dedup.cut_repeats(docs_frame(spark, rows[:40]), min_words=30, anchor_words=10)
     clean = [(r["doc_id"], r["text"]) for r in once.collect()]
