@@ -107,12 +107,14 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the documents that hold it."""
     docs = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
     suffixes = retained_suffixes(docs, min_words, anchor_words)
+    # stored, so that the join below can split a hot key
     met = stored(suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
     hits = suffixes.join(met, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
     runs = stored(_runs(docs.join(hits, "doc_id"), min_words, anchor_words), "runs")
     places = (runs.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
                                       F.max("own").alias("own"))
               .where("first_doc < last_doc or own").drop("own"))
+    places = stored(places, "places")  # so that the join below can split a hot run
     runs = runs.drop("own")
     return runs.join(places, "run")
 
