@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, pick, stored
 
-SHARD_ROWS, DEGREE, BEAM, FAN, QUERY_BLOCK, CANDIDATES = 8192, 16, 96, 16, 512, 64
+SHARD_ROWS, DEGREE, BEAM, FAN, QUERY_BLOCK, CANDIDATES = 8192, 24, 200, 16, 512, 64
 INDEX = ("shard int, n int, dim int, ids binary, n_ids binary, vectors binary, layers array<binary>, members array<binary>")
 
 
@@ -74,6 +74,8 @@ def build_layer(unit: np.ndarray, members: np.ndarray, degree: int) -> np.ndarra
     src = np.repeat(np.arange(n), degree)
     dst = chosen.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
+    mutual = np.isin(dst.astype(np.int64) * n + src, src.astype(np.int64) * n + dst)  # the link is there already
+    src, dst = src[~mutual], dst[~mutual]
     order = np.lexsort((-np.einsum("ij,ij->i", x[src], x[dst]), dst))  # nearest links back first
     src, dst = src[order], dst[order]
     nth = np.arange(len(dst)) - np.searchsorted(dst, dst)

@@ -38,6 +38,7 @@ from .common import WordTable, mix, pick, slices, utf8
 WINDOW_WORDS, ORDINARY_DICT_BYTES, TOXIC_DICT_BYTES, LEVEL = 8, 32768, 16384, 3
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 6000, 20_000
 FIT_WINDOWS = 60_000
+FOLDS = 5
 MIN_CONTEXTS, MIN_G, MIN_RATIO = 4, 18.0, 2.0
 THRESHOLDS = (2, 3, 4, 5, 6, 7)
 PREDICT_AT = 0.7
@@ -125,13 +126,13 @@ class Scorer:
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> dict:
-    """Model from labelled texts. Half of the texts train the dictionaries and the other half the
-    calibration, then the reverse for the final dictionaries' scaling: no text calibrates on itself."""
+    """Model from labelled texts. Features for the calibration come from dictionaries trained on the other
+    folds, so no text calibrates on itself; the final dictionaries are trained on all."""
     if labels.min(initial=1) == labels.max(initial=0) or not len(labels):
         return {"share": float(labels.mean()) if len(labels) else 0.0}
-    fold = np.arange(len(texts)) % 2
+    fold = np.arange(len(texts)) % FOLDS
     x, y = [], []
-    for own in (0, 1):
+    for own in range(FOLDS):
         part = [i for i in range(len(texts)) if fold[i] != own]
         d = train_dictionaries([texts[i] for i in part if labels[i]], [texts[i] for i in part if not labels[i]])
         s = Scorer({"ordinary": d[0], "toxic": d[1]})
