@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 from array import array
 
-STORE_ITEMS = 600_000
+STORE_ITEMS = 400_000
 #: Signs that the pre-tokenizers split from a letter before them, and never from each other.
 SIGNS = b".,;:!?"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
