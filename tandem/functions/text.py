@@ -21,7 +21,7 @@ PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 # --- end of fixed values ---
 
 # Leading/trailing white space in the Unicode sense (Python's ``str.strip``).
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def _col(c) -> Column:

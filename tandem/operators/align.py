@@ -72,7 +72,7 @@ class ProjectorWeights:
 
     def validate(self) -> None:
         if len(self.linears) < 1:
-            raise ValueError("num_layers must be at least 1")
+            raise ValueError("a projector needs a linear layer")
         if len(self.norms) != len(self.linears) - 1:
             raise ValueError("one batch-norm per hidden layer")
 
@@ -89,7 +89,7 @@ def _activate(z: np.ndarray, activation: str) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-z))
     if activation == "leaky_relu":
         return np.where(z >= 0, z, LEAKY_SLOPE * z)
-    raise ValueError(f"Unsupported activation function: {activation}")
+    raise ValueError(f"no activation is called {activation!r}")
 
 
 def project_matrix(x: np.ndarray, weights: ProjectorWeights, activation: str) -> np.ndarray:
@@ -111,7 +111,7 @@ def project_embeddings(df: DataFrame, vec: str, weights: ProjectorWeights, activ
     once per executor as a broadcast variable."""
     activation = activation.lower()
     if activation not in ACTIVATIONS:
-        raise ValueError(f"Unsupported activation function: {activation}. Supported: {list(ACTIVATIONS)}")
+        raise ValueError(f"no activation is called {activation!r}; there are {', '.join(ACTIVATIONS)}")
     weights.validate()
     bc = df.sparkSession.sparkContext.broadcast(weights)
     fields = list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))]
@@ -175,7 +175,7 @@ def _shard_means(df: DataFrame, x: str, y: str, shard: str | None) -> dict:
 
 
 def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
-                    by_shard: bool = False) -> tuple[DataFrame, dict[int, int]]:
+                    by_shard: bool = False, means: dict | None = None) -> tuple[DataFrame, dict[int, int]]:
     """Merged VICReg sufficient statistics.
 
     Rows ``(shard, kind, i, g)``: kind 'xg'/'yg' hold row i of sum (v - m)(v - m)^T
@@ -183,7 +183,7 @@ def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None
     centred on the shard's own mean (only with ``by_shard``), 'n' holds
     [sum |x - y|^2] per shard. Centring on the exact mean makes the
     covariance simply G / (n - 1). Also returns the row count per shard."""
-    means = _shard_means(df, x, y, shard)
+    means = means or _shard_means(df, x, y, shard)
     total = sum(n for _, _, n in means.values())
     gx = sum(mx * n for mx, _, n in means.values()) / total
     gy = sum(my * n for _, my, n in means.values()) / total
@@ -229,13 +229,20 @@ def vicreg_partials(df: DataFrame, x: str = "x", y: str = "y", shard: str | None
     return merged, counts
 
 
+VICREG_ROW = "shard long, n_rows long, sim double, std double, cov double, vicreg double"
+
+
 def vicreg(df: DataFrame, x: str = "x", y: str = "y", shard: str | None = None,
            by_shard: bool = False, digits: int | None = 6) -> DataFrame:
     """A5: VICReg = 25 sim + 25 std + 1 cov with statistics over all rows.
     A10 (``by_shard``): also one row per shard with device-local statistics;
     the global row has shard NULL. Same partial sums, no join: each result
-    row is one aggregate over the merged Gram rows."""
-    merged, counts = vicreg_partials(df, x, y, shard, by_shard)
+    row is one aggregate over the merged Gram rows. No rows give none; with a
+    single row the covariance terms, and the loss, are NULL."""
+    counted = _shard_means(df, x, y, shard)
+    if not counted:
+        return df.sparkSession.createDataFrame([], VICREG_ROW)
+    merged, counts = vicreg_partials(df, x, y, shard, by_shard, counted)
     total = sum(counts.values())
     glob = (merged.where(F.col("kind").isin("xg", "yg", "n"))
             .groupBy("kind", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
@@ -258,7 +265,7 @@ def _vicreg_rows(merged: DataFrame, counts: dict, kinds: tuple[str, str], digits
         n_expr = F.when(cond, F.lit(float(n))).otherwise(n_expr)
     m = merged.withColumn("_n", n_expr)
     is_vec = F.col("kind").isin(*kinds)
-    cov_row = F.transform("g", lambda v: v / (F.col("_n") - 1))
+    cov_row = F.transform("g", lambda v: v / F.nullif(F.col("_n") - 1, F.lit(0.0)))
     cov_ii = F.element_at(cov_row, F.col("i") + 1)
     off = F.aggregate(cov_row, F.lit(0.0), lambda acc, v: acc + v * v) - cov_ii * cov_ii
     stdterm = F.greatest(F.lit(0.0), 1 - F.sqrt(cov_ii + VICREG_VAR_EPS))

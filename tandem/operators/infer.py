@@ -2,12 +2,13 @@
 
 ``batch_generate`` runs a predictor over Arrow batches inside
 ``mapInPandas``; each batch is cut into model batches of ``batch_size``
-rows. The predictor factory is called once per worker process (cached by
-name), never per row, and results stay distributed: nothing is collected.
+rows. The predictor factory is called once per worker process and call of
+``batch_generate`` (or per ``name``, if given), never per row, and results stay distributed: nothing is collected.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -24,6 +25,7 @@ _LOADED: dict[str, Predictor] = {}
 
 def _predictor(name: str, factory: Callable[[], Predictor]) -> Predictor:
     if name not in _LOADED:
+        _LOADED.clear()  # one model per worker: the last call's is not kept beside the new one
         _LOADED[name] = factory()
     return _LOADED[name]
 
@@ -35,9 +37,10 @@ def batch_generate(df: DataFrame, factory: Callable[[], Predictor], input_col: s
     ``{output_col}_clean`` with special tokens removed (P4)."""
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    key = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    # A fresh key per call: two factories made by one function are two models.
+    key = name or uuid.uuid4().hex
     fields = [df.schema[c] for c in keep] + [T.StructField(output_col, T.StringType())]
-    src = df.select(*keep, input_col)
+    src = df.select(*dict.fromkeys([*keep, input_col]))
 
     def run(batches):
         model = _predictor(key, factory)

@@ -176,17 +176,19 @@ def shard_rows(positioned: DataFrame, world: int, total: int, pos_col: str = "po
     multiple of ``world``; padded position i goes to rank ``i % world``.
 
     ``positioned`` carries a dense 0-based ``pos`` over ``total`` rows (count
-    the un-positioned input: a pruned scan). The wrapped rows are the first
-    ``(-total) mod world`` rows, fewer than ``world``, selected by a filter.
+    the un-positioned input: a pruned scan). With fewer rows than ranks the list
+    repeats until every rank has one; no rows give none.
     ``colocate`` puts each rank's rows in its own partition (one shuffle), the
     layout a per-rank reader wants.
     """
     if world < 1:
         raise ValueError("world must be positive")
-    pad = (-int(total)) % world
-    wrapped = (positioned.where(F.col(pos_col) < pad)
-               .withColumn(pos_col, F.col(pos_col) + F.lit(int(total))))
-    allrows = positioned.unionByName(wrapped)
+    total = int(total)
+    end = total + (-total) % world
+    # Row p also stands at p + total, p + 2 total, ... below the padded end.
+    turns = F.floor((F.lit(end - 1) - F.col(pos_col)) / F.lit(max(1, total)))
+    allrows = positioned.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), turns))).withColumn(
+        pos_col, F.col(pos_col) + F.col("_turn") * F.lit(total)).drop("_turn")
     out = (allrows.withColumn("rank", F.pmod(F.col(pos_col), F.lit(world)).cast("int"))
            .withColumn("rank_index", F.floor(F.col(pos_col) / world)))
     return out.repartitionByRange(world, "rank") if colocate else out

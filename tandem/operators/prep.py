@@ -234,6 +234,13 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
     Character tokens with a small vocabulary: a narrow per-batch dictionary
     lookup (no shuffle). Otherwise: one shared distributed lookup."""
     bc = _char_dict(vocab, "token", "id") if tokenizer is char_tokens else None
+    if tokenizer is char_tokens and max_length is not None:
+        # One id per character: what truncation drops needs no lookup.
+        whole = [f"_whole{k}" for k in range(len(text_cols))]
+        df = df.select("*", *[F.col(c).alias(w) for c, w in zip(text_cols, whole, strict=True)]).withColumns(
+            {c: F.substring(c, 1, max_length - 1) for c in text_cols})
+    else:
+        whole = []
     if bc is not None:
         udf = _char_ids_udf(bc)
         # CPU-bound per-row work: spread rows if the input arrives in few splits.
@@ -253,6 +260,8 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
             mask = attention_mask(F.least(F.size(raw) + 1, F.lit(max_length)), max_length)
         # a missing text has no ids and no mask (not an all-padding row)
         out = out.withColumn(out_col + "_mask", F.when(raw.isNotNull(), mask))
+    if whole:
+        out = out.withColumns({c: F.col(w) for c, w in zip(text_cols, whole, strict=True)}).drop(*whole)
     return out.drop(*[f"_ids{k}" for k in range(len(text_cols))])
 
 

@@ -24,7 +24,8 @@ from tandem.operators.ordering import bucket_count, sequence_index
 # --- Fixed values of the modelled training run ---
 TOP_K = 3                      # checkpoints kept
 PATIENCE = 5                   # early-stopping patience (validation checks)
-MAX_LRS = (("backbone", 1e-4), ("language_proj", 1e-3), ("molecule_proj", 1e-3))
+MAX_LRS = (("backbone", 1e-4), ("language_proj", 5e-4), ("molecule_proj", 5e-4))
+MAX_LRS_BASE = (("backbone", 3e-5),)   # the method without projectors
 PCT_START = 0.1                # share of steps spent warming up
 DIV_FACTOR = 25.0              # initial lr = max lr / 25
 FINAL_DIV_FACTOR = 1e4         # final lr = initial lr / 1e4
@@ -120,14 +121,14 @@ def one_cycle_lr(step: Column, total: Column, max_lr: Column, pct_start: float =
                  div_factor: float = DIV_FACTOR, final_div_factor: float = FINAL_DIV_FACTOR) -> Column:
     """O3: cosine one-cycle learning rate at 0-based ``step`` of ``total``:
     from max/div up to max at pct_start*total - 1, then down to
-    (max/div)/final_div at total - 1."""
+    (max/div)/final_div at total - 1. A span of no length is at its end."""
     initial = max_lr / div_factor
     minimum = initial / final_div_factor
     up_end = F.lit(pct_start) * total - 1
     down_end = total - 1
     s = step.cast("double")
-    warm = _cos_anneal(initial, max_lr, s / up_end)
-    cool = _cos_anneal(max_lr, minimum, (s - up_end) / (down_end - up_end))
+    warm = _cos_anneal(initial, max_lr, F.coalesce(F.try_divide(s, up_end), F.lit(1.0)))
+    cool = _cos_anneal(max_lr, minimum, F.coalesce(F.try_divide(s - up_end, down_end - up_end), F.lit(1.0)))
     return F.when(s <= up_end, warm).otherwise(cool)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 def clean(x: str) -> str:
     return (f"regexp_replace(replace(replace(replace({x}, '<unk>', ''), '<pad>', ''), '</s>', ''), "
-            r"'^\s+|\s+$', '', 'g')")
+            r"'^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')")
 
 
 def letters(x: str) -> str:
@@ -479,15 +479,15 @@ ORACLES: dict[str, str] = {
     "early_stop": EARLY_STOP.replace("{extra}", ""),
     "lr_one_cycle": f"""WITH {METRIC_LOG},
         tot AS (SELECT run, max(step) AS total FROM ml GROUP BY run),
-        g AS (SELECT * FROM (VALUES ('backbone', 1e-4), ('language_proj', 1e-3), ('molecule_proj', 1e-3))
+        g AS (SELECT * FROM (VALUES ('backbone', 1e-4), ('language_proj', 5e-4), ('molecule_proj', 5e-4))
               t(param_group, max_lr)),
         s AS (SELECT DISTINCT run, step FROM ml),
         x AS (SELECT s.run, s.step, g.param_group, g.max_lr, (s.step - 1)::DOUBLE AS cur, 0.1 * t.total - 1 AS up_end,
                      t.total - 1 AS down_end FROM s JOIN tot t USING (run) CROSS JOIN g)
         SELECT run, step, param_group, round(CASE WHEN cur <= up_end
-              THEN max_lr + (max_lr / 25.0 - max_lr) / 2.0 * (cos(pi() * (cur / up_end)) + 1)
+              THEN max_lr + (max_lr / 25.0 - max_lr) / 2.0 * (cos(pi() * coalesce(cur / nullif(up_end, 0), 1)) + 1)
               ELSE max_lr / 25.0 / 1e4 + (max_lr - max_lr / 25.0 / 1e4) / 2.0
-                   * (cos(pi() * ((cur - up_end) / (down_end - up_end))) + 1) END, 15) AS lr FROM x""",
+                   * (cos(pi() * coalesce((cur - up_end) / nullif(down_end - up_end, 0), 1)) + 1) END, 15) AS lr FROM x""",
     "lr_warmup": f"""WITH {METRIC_LOG},
         tot AS (SELECT run, max(step) AS total FROM ml GROUP BY run),
         s AS (SELECT DISTINCT run, step FROM ml),

@@ -1,6 +1,7 @@
 """End-to-end plans for the two jobs users run: preparing training data and
-evaluating generated output. Each is one lazy DataFrame plan composed of the
-operators; nothing is collected.
+evaluating generated output. Each is one DataFrame plan composed of the operators.
+Small jobs run while it is built (row counts, vocabulary size, unique keys);
+no rows of the data come to the driver.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def prepare_training_data(spark: SparkSession, dataset: str, split: str, reader:
 
 @dataclass
 class Evaluation:
-    prepared: DataFrame   # one row per matched pair: forms, canonical forms, status
+    prepared: DataFrame   # one row per reference: forms, canonical forms, status
     report: DataFrame     # one row: the eight metrics and counts
     unmatched: DataFrame  # predictions or references without a partner
 
@@ -50,17 +51,23 @@ def evaluate_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id"
     """Pair predictions (``key``, ``pred_raw``) with references (``key``,
     ``caption``, ``gt_raw``) on the key; clean the generated text; decode both
     sides through ``codebook`` (a failed decode is ''); canonicalise; classify;
-    one aggregate for the report. With ``out_dir`` the TSV of kept pairs, the
+    one aggregate for the report. Every reference is scored: one without a
+    prediction counts with an empty output. Keys must be unique on both sides
+    (checked by one count each). With ``out_dir`` the TSV of kept pairs, the
     CSV of all pairs and the metrics JSON are written there."""
-    paired = codec.pair_predictions(preds, refs, key)
-    matched = paired.where(F.col("match") == "matched").withColumn("pred_self", clean_generated("pred_raw"))
+    for side in (preds, refs):
+        if side.groupBy(key).count().where("count > 1").limit(1).count():
+            raise ValueError(f"{key} is not unique")
+    paired = codec.pair_predictions(preds, refs, key).withColumnRenamed(key, "pair_id")
+    matched = paired.where(F.col("match") != "missing_reference").withColumn(
+        "pred_self", F.coalesce(clean_generated("pred_raw"), F.lit("")))
     if codebook is not None:
         decoded = codec.decode_by_codebook(matched, codebook, {"gt_raw": "gt_dec", "pred_self": "pred_dec"})
         dec_cols: dict[str, str | None] = {"gt_decoded": "gt_dec", "pred_decoded": "pred_dec"}
     else:
         decoded = matched
         dec_cols = {"gt_decoded": None, "pred_decoded": None}
-    prepared = evaluate.prepare_pairs(decoded, canonicalise, is_valid, keep=(key, "caption"), gt_col="gt_raw",
+    prepared = evaluate.prepare_pairs(decoded, canonicalise, is_valid, keep=("pair_id", "caption"), gt_col="gt_raw",
                                       pred_col="pred_self", clean=False, **dec_cols)
     report = evaluate.eval_report(prepared)
     if out_dir:
@@ -71,7 +78,8 @@ def evaluate_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id"
                               _or_empty(dec_cols["pred_decoded"], "pred_self").alias("pred_smiles"))
         sinks.write_predictions_csv(rows, f"{out_dir}/predictions_csv")
         sinks.write_metrics_json(report, f"{out_dir}/metrics_json")
-    return Evaluation(prepared, report, paired.where(F.col("match") != "matched"))
+    return Evaluation(prepared.withColumnRenamed("pair_id", key), report,
+                      paired.where(F.col("match") != "matched").withColumnRenamed("pair_id", key))
 
 
 def _or_empty(decoded: str | None, raw: str) -> Column:

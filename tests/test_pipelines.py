@@ -18,7 +18,9 @@ def test_evaluate_predictions_equals_report(spark):
     refs = p.select("pair_id", "caption", "gt_raw").unionByName(
         p.limit(1).select((F.col("pair_id") + 7).alias("pair_id"), "caption", "gt_raw"))  # one orphan reference
     out = evaluate_predictions(preds, refs, canonicalise=letters_canonical)
-    assert out.report.first() == ev.eval_report(prepared_pairs(spark, SF001)).first()
+    whole = evaluate_predictions(preds, p.select("pair_id", "caption", "gt_raw"), canonicalise=letters_canonical)
+    assert whole.report.first() == ev.eval_report(prepared_pairs(spark, SF001)).first()
+    assert out.report.first()["n_total"] == whole.report.first()["n_total"] + 1  # the orphan counts
     assert out.unmatched.count() == 1
 
 
