@@ -6,8 +6,9 @@ least of a window of positions, chosen so that every run of ``min_words`` words
 passages therefore retain the same suffixes, and a few per cent of all suffixes are enough:
 
 1. the retained suffixes are grouped by their first words; those with no equal neighbour go;
-2. each one left is extended to the left and right, to every run of ``min_words`` words whose least
-   suffix it is; equal runs meet by hash, and runs met nowhere else go;
+2. each one left is extended to the left and right, to the stretch of all runs of ``min_words`` words whose
+   least suffix it is. Equal stretches form a class (by the hash of their runs), and go on once; then equal
+   runs of the classes meet by hash, and runs met nowhere else go;
 3. runs that overlap in a document are joined to maximal spans.
 
 The result is exact: a word is in a span if and only if one of the ``min_words``-word runs over it
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, pick, range_hash, slices, sliding, stored, utf8
 
 MIN_WORDS, ANCHOR_WORDS = 50, 20
+STRETCH = 62  # runs in a stretch at most: one bit each in a long
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -70,9 +72,10 @@ def retained_suffixes(docs: DataFrame, min_words: int, anchor_words: int) -> Dat
     return docs.where("doc_id is not null").mapInArrow(scan, f"h long, doc_id {id_type}, pos int")
 
 
-def _runs(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """(run, doc_id, start, own): runs of ``min_words`` words whose least retained suffix has an equal;
-    own: the document itself holds the run at another place."""
+def _stretches(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+    """(cls, doc_id, start, runs, own, again): the runs of ``min_words`` words whose least retained suffix has
+    an equal, as stretches of at most ``STRETCH`` consecutive runs with one least suffix; cls is the hash of
+    their run hashes. Bit i of own: the text holds run i at another place too; of again: at an earlier one."""
     id_type = docs_hits.schema["doc_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,41 +93,79 @@ def _runs(docs_hits: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
                 at = np.flatnonzero(least)  # starts of whole runs
                 met = sliding(np.where(equal == 1, gram, _NONE), min_words - anchor_words + 1, np.minimum)
                 at = at[met[at] == least[at]]
+                if not len(at):
+                    continue
                 row = t.text_of_word()[at]
                 run = range_hash(t.hash, at, at + min_words)
-                _, group, n = np.unique(np.stack([row.astype(np.uint64), run]), axis=1, return_inverse=True,
-                                        return_counts=True)
-                yield pa.record_batch({"run": run.view(np.int64), "doc_id": ids.take(pa.array(row + lo)),
-                                       "start": (at - t.first[row]).astype(np.int32), "own": n[group.ravel()] > 1})
-
-    return docs_hits.mapInArrow(extend, f"run long, doc_id {id_type}, start int, own boolean")
-
-
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                  anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """(run, doc_id, start, first_doc, last_doc): one row per run of ``min_words`` words
-    (by the position of its first word) that also stands elsewhere, with the least and greatest id
-    of the documents that hold it."""
+                order = np.lexsort((at, run, row))
+                same = (row[order][1:] == row[order][:-1]) & (run[order][1:] == run[order][:-1])
+                again, own = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+                again[order[1:]] = same
+                own[order[1:]] = same
+                own[order[:-1]] |= same
+                fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+                                        | (least[at[1:]] != least[at[:-1]])])
+                head = np.flatnonzero(fresh)
+                nth = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+                head = np.flatnonzero(nth % STRETCH == 0)
+                bit = np.int64(1) << (nth % STRETCH)
+                ends = np.append(head[1:], len(at))
+                row, at = row[head], at[head]
+                yield pa.record_batch({
+                    "cls": range_hash(run, head, ends).view(np.int64), "doc_id": ids.take(pa.array(row + lo)),
+                    "start": (at - t.first[row]).astype(np.int32),
+                    "runs": pa.ListArray.from_arrays(np.append(head, ends[-1]).astype(np.int32), run.view(np.int64)),
+                    "own": np.bitwise_or.reduceat(np.where(own, bit, 0), head),
+                    "again": np.bitwise_or.reduceat(np.where(again, bit, 0), head)})
+
+    return docs_hits.mapInArrow(
+        extend, f"cls long, doc_id {id_type}, start int, runs array<bigint>, own long, again long")
+
+
+def _bit(mask: str, i: Column) -> Column:
+    return F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0
+
+
+def repeated_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                       anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """(doc_id, start, n, again, first_doc, last_doc, mask): bit i of mask is set where the run of ``min_words``
+    words from word start + i also stands elsewhere, ``first_doc`` and ``last_doc`` being the least and greatest
+    id of the documents that hold it (one row for each such pair of ids); n bounds i; again: see _stretches."""
     docs = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
     suffixes = retained_suffixes(docs, min_words, anchor_words)
-    # stored, so that the join below can split a hot key
+    # what the joins below meet on is stored, so that they can split a hot key
     met = stored(suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
     hits = suffixes.join(met, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
-    runs = stored(_runs(docs.join(hits, "doc_id"), min_words, anchor_words), "runs")
-    places = (runs.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
-                                      F.max("own").alias("own"))
+    found = stored(_stretches(docs.join(hits, "doc_id"), min_words, anchor_words), "stretches")
+    classes = stored(found.groupBy("cls").agg(
+        F.first("runs").alias("runs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.bit_or("own").alias("own")), "classes")
+    runs = classes.select("cls", "first_doc", "last_doc", "own", F.posexplode("runs").alias("i", "run"))
+    places = (runs.groupBy("run").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"),
+                                      F.max(_bit("own", F.col("i"))).alias("own"))
               .where("first_doc < last_doc or own").drop("own"))
-    places = stored(places, "places")  # so that the join below can split a hot run
-    runs = runs.drop("own")
-    return runs.join(places, "run")
-
-
-def _islands(runs: DataFrame, min_words: int, *aggs) -> DataFrame:
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
-    fresh = (F.col("start") > F.lag("start", 1, -min_words - 1).over(by_doc) + min_words).cast("int")
-    return (runs.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_doc))
+    places = stored(places, "places")
+    marks = (runs.select("cls", "i", "run").join(places, "run").groupBy("cls", "first_doc", "last_doc")
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("mask")))
+    marks = stored(marks, "marks")
+    return found.select("cls", "doc_id", "start", F.size("runs").alias("n"), "again").join(marks, "cls").drop("cls")
+
+
+def _islands(stretches: DataFrame, min_words: int, *aggs) -> DataFrame:
+    """Maximal spans of words under the runs in ``mask``: doc_id, start_word, end_word and ``aggs``."""
+    def edges(step: int) -> Column:  # places of the mask with no neighbour on one side
+        return F.filter(F.sequence(F.lit(0), F.col("n") - 1),
+                        lambda i: _bit("mask", i) & ~((i + step).between(0, F.col("n") - 1) & _bit("mask", i + step)))
+
+    parts = (stretches.where("mask <> 0").withColumn("part", F.explode(F.arrays_zip(edges(-1).alias("lo"), edges(1).alias("hi"))))
+             .withColumns({"lo": F.col("start") + F.col("part.lo"), "hi": F.col("start") + F.col("part.hi")}))
+    by_doc = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    reached = F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("lo") > F.coalesce(reached, F.lit(-min_words - 1)) + min_words).cast("int")
+    return (parts.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(
+                by_doc.rowsBetween(Window.unboundedPreceding, 0)))
             .groupBy("doc_id", "island")
-            .agg(F.min("start").alias("start_word"), (F.max("start") + min_words).alias("end_word"), *aggs)
+            .agg(F.min("lo").alias("start_word"), (F.max("hi") + min_words).alias("end_word"), *aggs)
             .drop("island"))
 
 
@@ -132,8 +173,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """One row per maximal span of repeated words: doc_id, start_word, end_word (exclusive), n_words,
     first_doc and last_doc (least and greatest id of the documents that share a run of it)."""
-    runs = repeated_runs(df, id_col, text_col, min_words, anchor_words)
-    return (_islands(runs, min_words, F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+    stretches = repeated_stretches(df, id_col, text_col, min_words, anchor_words)
+    return (_islands(stretches, min_words, F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
             .withColumn("n_words", F.col("end_word") - F.col("start_word"))
             .select("doc_id", "start_word", "end_word", "n_words", "first_doc", "last_doc"))
 
@@ -142,10 +183,9 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """``df`` with each repeated run cut from every place but its first (least id, then position).
     Texts without one stay byte for byte; rows whose id or text is null pass unchanged."""
-    runs = repeated_runs(df, id_col, text_col, min_words, anchor_words)
-    nth = F.dense_rank().over(Window.partitionBy("doc_id", "run").orderBy("start"))
-    later = (runs.repartition("doc_id").withColumn("nth", nth)
-             .where("doc_id <> first_doc or nth > 1"))
+    stretches = repeated_stretches(df, id_col, text_col, min_words, anchor_words)
+    later = stretches.withColumn("mask", F.when(F.col("doc_id") != F.col("first_doc"), F.col("mask")).otherwise(
+        F.col("mask").bitwiseAND(F.col("again"))))
     cuts = (_islands(later, min_words).groupBy("doc_id")
             .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
             .select(F.col("doc_id").alias("__cut_id"), "__cuts"))
