@@ -1,31 +1,27 @@
 """Ordering, positions, shuffling, batching and sharding.
 
 Dense positions (``row_number`` within a group) are computed without a
-single-partition window and without sorting one group in one task:
-
-1. the leading sort key is mapped to a monotone number, and bucket
-   boundaries are taken once from ``percentile_approx`` over it; they enter
-   the plan as literals, so every consumer and every recomputation buckets a
-   row the same way (Spark's own range partitioner re-samples per RDD);
-2. rows are counted per (group, bucket) - a partial aggregate - and offsets
+single-partition window and without sorting one group in one task, by one path
+at every size:
+
+1. rows are range-partitioned and sorted by (group, whole sort key), so a hot
+   group or a hot leading key is spread over as many partitions as its share;
+   each row's partition and its place in it are columns, checkpointed to the
+   shared folder: Spark samples range bounds anew for every execution, so only
+   stored places are the same for every reader;
+2. rows are counted per (group, partition) - a partial aggregate - and offsets
    are a running sum over that small table;
-3. ``row_number`` runs per (group, bucket), so a hot group is spread over
-   as many tasks as it has buckets.
+3. position = place + offset, by a join on (group, partition).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Aim for about this many rows per (group, bucket) window.
-ROWS_PER_BUCKET = 1_000_000
-# Resolution of the quantile probe (upper bound on the number of buckets).
-MAX_BUCKETS = 4096
+from tandem.session import shared_dir
 
 OrderSpec = str | tuple[str, bool]
 
@@ -46,96 +42,33 @@ def _spec(o: OrderSpec) -> tuple[str, bool]:
     return (o, True) if isinstance(o, str) else (o[0], bool(o[1]))
 
 
-def _surrogate(df: DataFrame, name: str, ascending: bool) -> Column:
-    """A double that never decreases when ``name`` increases (strings: their
-    first 7 UTF-8 bytes), negated for descending order; NULL sorts first
-    ascending and last descending, as Spark's defaults do."""
-    dt = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
-                       T.DecimalType)):
-        x = c.cast("double")
-    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        x = F.unix_micros(c.cast("timestamp")).cast("double")
-    elif isinstance(dt, T.StringType):
-        x = F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("double")
-    elif isinstance(dt, T.BooleanType):
-        x = c.cast("double")
-    else:
-        raise TypeError(f"cannot order by {dt}")
-    if not ascending:
-        x = -x
-    return F.coalesce(x, F.lit(float("-inf")) if ascending else F.lit(float("inf")))
-
-
-def _boundaries(df: DataFrame, key: Column) -> list[float]:
-    """Strictly increasing bucket boundaries giving about ROWS_PER_BUCKET rows
-    per bucket: a row count first (column-pruned), and a quantile probe only
-    when more than one bucket is needed, sized to the bucket count."""
-    n = df.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
-    if buckets <= 1:
-        return []
-    probe = [k / buckets for k in range(1, buckets)]
-    qs = df.agg(F.percentile_approx(key, probe, max(10_000, 20 * buckets)).alias("q")).first()["q"] or []
-    picked = sorted({float(q) for q in qs})
-    return [b for b in picked if b not in (float("inf"), float("-inf"))]
-
-
 def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: Sequence[str] = (),
-                   name: str = "pos", start: int = 0, num_partitions: int | None = None,
-                   keep_bucket: str | None = None) -> DataFrame:
+                   name: str = "pos", start: int = 0, keep_bucket: str | None = None) -> DataFrame:
     """Dense index of each row in ``order_by`` within ``partition_by`` groups:
     ``row_number() over (partition by ... order by ...) - 1 + start``.
 
     ``order_by`` items are column names (ascending) or ``(name, ascending)``;
     they must form a total order (end with a unique key), which makes the
-    result independent of partitioning and stable on recomputation.
-    ``num_partitions`` is accepted for API symmetry; shuffles follow
-    ``spark.sql.shuffle.partitions`` and AQE. ``keep_bucket`` names an output
-    column with the bucket: consecutive positions of a group, and the rows
-    stay partitioned by (group, bucket), so later per-block work needs no
-    new shuffle of the rows."""
-    specs = [_spec(o) for o in order_by]
+    result independent of partitioning and stable on recomputation. NULL and
+    NaN stand where Spark's sort puts them. ``keep_bucket`` names an output
+    column with the bucket: consecutive positions of a group, about one range
+    partition of rows. Runs one job: it writes the numbered rows to the shared folder."""
     groups = list(partition_by)
-    lead, lead_asc = specs[0]
-    key = _surrogate(df, lead, lead_asc)
-    bounds = _boundaries(df, key)
-    if bounds:
-        splits = [float("-inf"), *bounds, float("inf")]
-        keyed = df.withColumn("_bkey", key)
-        bucketed = Bucketizer(splits=splits, inputCol="_bkey", outputCol="_bucket").transform(keyed).drop("_bkey")
-        bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("int"))
-    else:
-        bucketed = df.withColumn("_bucket", F.lit(0))
-    sort_cols = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in specs]
-    within = Window.partitionBy(*groups, "_bucket").orderBy(*sort_cols)
-    numbered = bucketed.withColumn("_rn", F.row_number().over(within))
-    if not bounds:
-        # One bucket (at most ROWS_PER_BUCKET rows per group): no offsets.
-        out = numbered.withColumn(name, (F.col("_rn") - 1 + F.lit(start)).cast("long")).drop("_rn")
-        if not keep_bucket:
-            return out.drop("_bucket")
-        tagged = F.col("_bucket").alias(keep_bucket, metadata={"buckets": 1})
-        return out.select(*[c for c in out.columns if c not in ("_bucket", keep_bucket)], tagged)
-    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [F.col(c) for c in groups] + [F.col(c).asc() if asc else F.col(c).desc() for c, asc in map(_spec, order_by)]
+    shared_dir(df.sparkSession)
+    ranked = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .withColumn("_seq", F.monotonically_increasing_id()).withColumn("_bucket", F.spark_partition_id())
+              .checkpoint())
+    sizes = ranked.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    # ``numbered`` is already partitioned by (group, bucket): only the small
-    # offsets table moves for this join.
-    out = numbered.join(offsets, [*groups, "_bucket"])
-    out = out.withColumn(name, (F.col("_offset") + F.col("_rn") - 1 + F.lit(start)).cast("long")).drop(
-        "_rn", "_offset")
-    if not keep_bucket:
-        return out.drop("_bucket")
-    # The bucket count travels as column metadata (one bucket: no carry needed).
-    tagged = F.col("_bucket").alias(keep_bucket, metadata={"buckets": len(bounds) + 1})
-    return out.select(*[c for c in out.columns if c not in ("_bucket", keep_bucket)], tagged)
-
-
-def bucket_count(df: DataFrame, col: str) -> int | None:
-    """Buckets recorded by ``sequence_index(keep_bucket=...)``, if known."""
-    return df.schema[col].metadata.get("buckets")
+    shifts = sizes.select(*[F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_of"), (
+        F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + start).alias("_shift"))
+    same = F.col("_bucket") == F.col("_of")
+    for i, g in enumerate(groups):  # a NULL group is a group
+        same = same & F.col(g).eqNullSafe(F.col(f"_group{i}"))
+    out = ranked.join(shifts, same).withColumn(name, (F.col("_seq") + F.col("_shift")).cast("long"))
+    return out.select(*[F.col(c) for c in df.columns if c not in (name, keep_bucket)], name,
+                      *([F.col("_bucket").alias(keep_bucket)] if keep_bucket else []))
 
 
 # --- B1 ---------------------------------------------------------------------
@@ -149,21 +82,23 @@ def shuffle_key(seed, epoch, id_col) -> Column:
 
 def epoch_order(df: DataFrame, id_col: str, split_col: str = "split", seed=0, epoch=0,
                 name: str = "order_key") -> DataFrame:
-    """B1: train rows are ordered by the seeded hash, other splits keep id order."""
+    """B1: train rows are ordered by the seeded hash, other splits keep id order (ids
+    are padded to 20 characters, longer ones stay whole)."""
+    own = F.col(id_col).cast("string")
     key = F.when(F.col(split_col) == "train", shuffle_key(seed, epoch, id_col)).otherwise(
-        F.lpad(F.col(id_col).cast("string"), 20, "0"))
+        F.lpad(own, F.greatest(F.lit(20), F.length(own)), F.lit("0")))
     return df.withColumn(name, key)
 
 
 # --- B2 ---------------------------------------------------------------------
 
 def make_batches(df: DataFrame, order_by: Sequence[OrderSpec], batch_size: int, grad_accum: int = 1,
-                 partition_by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                 partition_by: Sequence[str] = ()) -> DataFrame:
     """B2: consecutive batches of ``batch_size`` rows (last short batch kept) and
     the optimiser step each batch belongs to."""
     if batch_size < 1 or grad_accum < 1:
         raise ValueError("batch_size and grad_accum must be positive")
-    pos = sequence_index(df, order_by, partition_by, name="pos", num_partitions=num_partitions)
+    pos = sequence_index(df, order_by, partition_by, name="pos")
     return (pos.withColumn("batch_id", F.floor(F.col("pos") / batch_size))
             .withColumn("opt_step", F.floor(F.col("batch_id") / grad_accum)))
 

@@ -121,8 +121,7 @@ def normalise_columns(df: DataFrame, family: str, id_col: str = "doc_id") -> Dat
 
 # --- T2 vocabulary -------------------------------------------------------------
 
-def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Column], Column] = char_tokens,
-                num_partitions: int | None = None) -> DataFrame:
+def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Column], Column] = char_tokens) -> DataFrame:
     """(token, n, id): ids 0/1/2 are pad/eos/unk, then tokens by count
     desc, token asc. Counting is a partial aggregate; ids come from a range
     sort with per-partition offsets, not a single-partition window."""
@@ -132,8 +131,7 @@ def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Col
         part = texts.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = part if toks is None else toks.unionByName(part)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    learned = sequence_index(counts, [("n", False), ("token", True)], name="id", start=3,
-                             num_partitions=num_partitions)
+    learned = sequence_index(counts, [("n", False), ("token", True)], name="id", start=3)
     spark = texts.sparkSession
     specials = spark.createDataFrame(
         [(PAD_TOKEN, 0, PAD_ID), (EOS_TOKEN, 0, EOS_ID), (UNK_TOKEN, 0, UNK_ID)], "token string, n long, id long")

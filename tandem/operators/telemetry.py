@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.ordering import bucket_count, sequence_index
+from tandem.operators.ordering import sequence_index
 
 # --- Fixed values of the modelled training run ---
 TOP_K = 3                      # checkpoints kept
@@ -47,15 +47,10 @@ def prefix_scan(df: DataFrame, groups: Sequence[str], pos: str, value: str, how:
     Windows run over (group, block) - bounded - and over one summary row per
     block, so a hot group is spread over many tasks. ``block_col`` reuses an
     existing block column whose blocks are consecutive position ranges (e.g.
-    the bucket kept by ``sequence_index``), and with it the rows' current
-    partitioning; otherwise blocks are ``floor(pos / block)``."""
+    the bucket kept by ``sequence_index``); otherwise blocks are ``floor(pos / block)``."""
     agg = {"min": F.min, "max": F.max}[how]
     g = list(groups)
     end = 0 if inclusive else -1
-    if block_col and bucket_count(df, block_col) == 1:
-        # Every group fits one block: a window on the current partitioning suffices.
-        w = Window.partitionBy(*g, block_col).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, agg(value).over(w))
     blk = block_col or "_blk"
     b = df if block_col else df.withColumn("_blk", F.floor(F.col(pos) / block))
     summary = b.groupBy(*g, blk).agg(agg(value).alias("_bv"))

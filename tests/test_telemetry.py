@@ -23,13 +23,16 @@ def _brute_early_stop(rows, patience=5):
     return stop, best, best_step
 
 
-@pytest.mark.parametrize("rows_per_bucket", [None, 4])
-def test_early_stop_matches_sequential_rule(spark, monkeypatch, rows_per_bucket):
-    from tandem.operators import ordering
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_early_stop_matches_sequential_rule(spark, coalesce):
     log = fx.metric_log(spark, SF001)
-    if rows_per_bucket:  # many buckets per group: exercises the carried block scans
-        monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", rows_per_bucket)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    if coalesce == "false":  # many buckets per group: exercises the carried block scans
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = {(r.run, r.metric): r for r in tm.early_stop(log).collect()}
+    for k, v in old.items():
+        spark.conf.set(k, v)
     groups = {}
     for r in log.select("run", "metric", "step", "value").collect():
         groups.setdefault((r.run, r.metric), []).append((r.step, r.value))
