@@ -12,11 +12,13 @@ distinct contexts, which copies of one text cannot raise). Both dictionaries sha
 trained on ordinary text, so equal content saves equal bytes.
 
 The fit reads a bounded sample: at most ``fit_toxic`` and ``fit_ordinary`` labelled texts of at most
-``fit_chars`` characters, those with the least hash of their id; it runs in one task. Every text is
+``fit_chars`` characters, those with the least hash of their id; it runs in one task. Ids and labels alone are shuffled to
+choose it; the chosen ids, bounded by the same parameters, are broadcast to the texts. Every text is
 scored whole, all its windows, by one pass without a shuffle. The ordinary dictionary is trained on the
-first ``fit_windows`` windows of the sample.
+first ``FIT_WINDOWS`` windows of the sample.
 
-Defined cases: a null or empty text has no windows, hence a score like any other; labels null or unknown are not used;
+Defined cases: a null or empty text has no windows, hence a score like any other; labels null or unknown are not used,
+of several labels of one id the toxic one counts, and of several texts of one id the least one is learned from;
 without texts of both classes all scores are the share of toxic labels (0 if there are none);
 every row gives one row, null and repeated ids included; an empty table gives no rows.
 """
@@ -160,10 +162,13 @@ def fit_model(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
               fit_chars: int = FIT_CHARS) -> dict:
     """Fit on a bounded sample of the labelled texts (see the module's text); ``labels`` names the rows
     that may be learned from."""
-    known = pick(labels, id=id_col, y=F.col(f"`{label_col}`").cast("int")).where("y in (0, 1)").dropDuplicates(["id"])
-    rows = pick(df, id=id_col, text=text_col).where(F.length("text") <= fit_chars).join(known, "id")
-    rows = rows.withColumn("h", F.xxhash64("id"))
-    some = [rows.where(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, fit_toxic), (0, fit_ordinary))]
+    known = (pick(labels, id=id_col, y=F.col(f"`{label_col}`").cast("int")).where("y in (0, 1)")
+             .groupBy("id").agg(F.max("y").alias("y")))
+    rows = pick(df, id=id_col, text=text_col).where(F.length("text") <= fit_chars)
+    usable = known.join(rows.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id"))
+    some = [usable.where(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, fit_toxic), (0, fit_ordinary))]
+    chosen = (rows.join(F.broadcast(some[0].unionByName(some[1])), "id")
+              .groupBy("id", "y", "h").agg(F.min("text").alias("text")))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"text": pd.Series(dtype=str), "y": pd.Series(dtype=int), "h": pd.Series(dtype=int)}),
@@ -171,7 +176,7 @@ def fit_model(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         model = fit([t.encode() for t in got["text"]], got["y"].to_numpy(dtype=np.int64))
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    one = some[0].unionByName(some[1]).select("text", "y", "h").coalesce(1).mapInPandas(learn, "model binary")
+    one = chosen.select("text", "y", "h").repartition(1).mapInPandas(learn, "model binary")
     return pickle.loads(bytes(one.first()["model"]))
 
 
