@@ -18,14 +18,11 @@ from pyspark.sql import types as T
 
 from tandem.operators.ordering import shuffle_key
 
-MAPPING_BROADCAST_ROWS = 1_000_000
-
 
 def _mapping_side(table: DataFrame, key: str, value: str, key_alias: str, value_alias: str) -> DataFrame:
-    side = table.select(F.col(key).alias(key_alias), F.col(value).alias(value_alias))
-    if table.count() <= MAPPING_BROADCAST_ROWS:
-        return F.broadcast(side)
-    return side
+    """One row per key, with its least value: a repeated key never multiplies rows. The planner
+    broadcasts it when its measured bytes are below the session's threshold, else both sides shuffle."""
+    return table.groupBy(F.col(key).alias(key_alias)).agg(F.min(value).alias(value_alias))
 
 
 def pair_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id") -> DataFrame:

@@ -81,27 +81,31 @@ def early_stop(log: DataFrame, patience: int = PATIENCE, groups: Sequence[str] =
     """O2: mode 'min', min_delta 0. A check improves when its value is
     strictly below every earlier value of the group (the first check always
     improves); training stops at the first check where ``patience`` checks in
-    a row have not improved. One row per group: stop_step (NULL = never),
-    best_value and best_step at the stop (or at the end), n_checks.
-
-    Plan: dense positions (rows partitioned once by group and bucket), two
-    prefix scans on that partitioning (exclusive running minimum, then the
-    latest improvement carried as a struct), one partial aggregate."""
+    a row have not improved, or whose value is not finite. Rows of one step are
+    one check with their least value; NULL counts as NaN, and NaN as the largest.
+    One row per group: stop_step (NULL = never), best_value and best_step at
+    the stop (or at the end; NULL if no check was finite), n_checks.
+
+    Plan: one aggregate per step, dense positions (rows partitioned once by
+    group and bucket), two prefix scans on that partitioning (exclusive running
+    minimum, then the latest improvement carried as a struct), one partial aggregate."""
     g = list(groups)
-    pos = sequence_index(log.select(*g, step, value), [step], partition_by=g, name="_pos",
-                         keep_bucket="_bucket")
-    prev = prefix_scan(pos, g, "_pos", value, "min", "_prev_min", inclusive=False, block_col="_bucket")
-    improved = F.col("_prev_min").isNull() | (F.col(value) < F.col("_prev_min"))
+    checks = log.groupBy(*g, step).agg(F.min(F.coalesce(F.col(value).cast("double"), F.lit(math.nan))).alias("_v"))
+    pos = sequence_index(checks, [step], partition_by=g, name="_pos", keep_bucket="_bucket")
+    finite = ~F.isnan("_v") & (F.abs("_v") < math.inf)
+    pos = pos.withColumn("_fin", F.when(finite, F.col("_v")))
+    prev = prefix_scan(pos, g, "_pos", "_fin", "min", "_prev_min", inclusive=False, block_col="_bucket")
+    improved = finite & (F.col("_prev_min").isNull() | (F.col("_fin") < F.col("_prev_min")))
     marked = prev.withColumn("_imp", F.when(improved, F.struct(
-        F.col("_pos").alias("p"), F.col(step).alias("s"), F.col(value).alias("v"))))
+        F.col("_pos").alias("p"), F.col(step).alias("s"), F.col("_fin").alias("v"))))
     last = prefix_scan(marked, g, "_pos", "_imp", "max", "_last", inclusive=True, block_col="_bucket")
-    stopping = (F.col("_pos") - F.col("_last.p")) >= patience
+    stopping = ~finite | ((F.col("_pos") - F.col("_last.p")) >= patience)
     agg = last.groupBy(*g).agg(
         F.min_by(F.when(stopping, F.struct(F.col(step).alias("stop_step"), F.col("_last").alias("best"))),
                  F.when(stopping, F.col("_pos"))).alias("_stop"),
         F.max("_imp").alias("_final"),
         F.count(F.lit(1)).alias("n_checks"))
-    best = F.coalesce(F.col("_stop.best"), F.col("_final"))
+    best = F.when(F.col("_stop").isNotNull(), F.col("_stop.best")).otherwise(F.col("_final"))
     return agg.select(*g, F.col("_stop.stop_step").alias("stop_step"), best["v"].alias("best_value"),
                       best["s"].alias("best_step"), "n_checks")
 

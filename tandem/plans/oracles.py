@@ -268,13 +268,15 @@ ce AS (SELECT count(*) AS n_rows, round(coalesce(avg(ce), 'nan'::DOUBLE), 6) AS
               coalesce(avg(ce), 'nan'::DOUBLE) AS ce_raw FROM ce_rows)"""
 
 EARLY_STOP = f"""WITH {METRIC_LOG},
-pos AS (SELECT run, metric, step, value, row_number() OVER (PARTITION BY run, metric ORDER BY step) - 1 AS p FROM ml),
-prev AS (SELECT *, min(value) OVER (PARTITION BY run, metric ORDER BY p
+checks AS (SELECT run, metric, step, min(coalesce(value, 'NaN'::DOUBLE)) AS value FROM ml GROUP BY ALL),
+pos AS (SELECT *, CASE WHEN isfinite(value) THEN value END AS fin,
+               row_number() OVER (PARTITION BY run, metric ORDER BY step) - 1 AS p FROM checks),
+prev AS (SELECT *, min(fin) OVER (PARTITION BY run, metric ORDER BY p
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM pos),
-imp AS (SELECT *, CASE WHEN pm IS NULL OR value < pm THEN p END AS ip FROM prev),
+imp AS (SELECT *, CASE WHEN fin IS NOT NULL AND (pm IS NULL OR fin < pm) THEN p END AS ip FROM prev),
 li AS (SELECT *, max(ip) OVER (PARTITION BY run, metric ORDER BY p
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM imp),
-st AS (SELECT run, metric, min(CASE WHEN p - last_imp >= 5 THEN p END) AS stop_pos, count(*) AS n_checks
+st AS (SELECT run, metric, min(CASE WHEN fin IS NULL OR p - last_imp >= 5 THEN p END) AS stop_pos, count(*) AS n_checks
        FROM li GROUP BY ALL),
 best AS (SELECT li.run, li.metric, arg_max(li.value, li.p) AS best_value, arg_max(li.step, li.p) AS best_step
          FROM li JOIN st USING (run, metric)

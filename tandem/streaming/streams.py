@@ -107,7 +107,7 @@ def _early_stop_state_fn(patience: int):
             best, best_step, pos, last_imp, last_step, stop_step, late = state.get
         else:
             best, best_step, pos, last_imp, last_step, stop_step, late = (None, None, 0, -1, None, None, 0)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("step", kind="stable")
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["step", "value"], kind="stable")
         steps = pdf["step"].to_numpy(dtype=np.int64)
         vals = pdf["value"].to_numpy(dtype=np.float64)
         # Rows at or before the last processed step arrive late: count, ignore.
@@ -121,12 +121,14 @@ def _early_stop_state_fn(patience: int):
         steps, vals = steps[fresh], vals[fresh]
         if len(steps):
             idx = np.arange(len(steps), dtype=np.int64) + pos
-            prev = np.minimum.accumulate(np.concatenate([[np.inf if best is None else best], vals]))[:-1]
-            improved = vals < prev
+            finite = np.isfinite(vals)
+            known = np.where(finite, vals, np.inf)
+            prev = np.minimum.accumulate(np.concatenate([[np.inf if best is None else best], known]))[:-1]
+            improved = known < prev
             imp_pos = np.where(improved, idx, -1)
             last = np.maximum.accumulate(np.concatenate([[last_imp], imp_pos]))[1:]
             if stop_step is None:
-                hits = np.nonzero((idx - last) >= patience)[0]
+                hits = np.nonzero(~finite | ((idx - last) >= patience))[0]
                 upto = hits[0] if len(hits) else len(steps) - 1
                 if len(hits):
                     stop_step = int(steps[hits[0]])
@@ -148,7 +150,8 @@ def _early_stop_state_fn(patience: int):
 def streaming_early_stop(spark: SparkSession, source_dir: str, schema: T.StructType, patience: int = PATIENCE,
                          max_files_per_trigger: int = 1, out_dir: str | None = None) -> DataFrame:
     """U4: O2 as a stateful stream per (run, metric); returns the latest state
-    per group (must equal the batch ``early_stop``)."""
+    per group (equal to the batch ``early_stop`` if no step comes late). Steps at or
+    before the last one seen are counted in late_rows, as are the further rows of a step."""
     out_dir = out_dir or scratch_path(spark, "u4")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir)).select("run", "metric", "step", "value")

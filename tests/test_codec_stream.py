@@ -1,7 +1,9 @@
 """Codecs, Python surface and streaming against their batch forms."""
+import math
 import os
 import tempfile
 
+import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
 
@@ -13,6 +15,22 @@ from tandem.sources import fixtures as fx
 from tandem.streaming import streams
 
 
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])  # broadcast and shuffle joins
+def test_lookups_keep_rows_when_keys_repeat(spark, threshold):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.createDataFrame([(1, "x", "y"), (2, "", "x"), (3, None, "w"), (4, "y", "y")], "id long, a string, b string")
+        book = spark.createDataFrame([("x", "X2"), ("x", "X1"), ("y", "Y"), ("x", None), (None, "N")], "encoded string, decoded string")
+        got = codec.decode_by_codebook(df, book, {"a": "a_dec", "b": "b_dec"}).orderBy("id").collect()
+        assert [tuple(r) for r in got] == [(1, "x", "y", "X1", "Y"), (2, "", "x", "", "X1"), (3, None, "w", "", ""), (4, "y", "y", "Y", "Y")]
+        keys = book.toDF("raw", "canonical_key")
+        hits = codec.canonical_match(df, keys, "a", "b").orderBy("id").collect()
+        assert [(r.gt_key, r.pred_key, r.is_match) for r in hits] == [("X1", "Y", False), (None, "X1", False), (None, None, False), ("Y", "Y", True)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_safe_apply(spark):
     ship_package(spark)
     df = spark.createDataFrame([(1, "ok"), (2, "café"), (3, None)], "id long, s string")
@@ -87,6 +105,22 @@ def test_streaming_early_stop_keeps_state_and_counts_late_rows(spark):
     assert late == log.where("step <= 3").count()
 
 
+@pytest.mark.parametrize(("rows", "want"), [
+    ([(1, math.nan), (2, 3.0), (3, 2.0)], (1, None, None, 3)),
+    ([(1, 3.0), (2, 2.0), (3, -math.inf), (4, 1.0)], (3, 2.0, 2, 4)),
+    ([(1, 3.0), (2, None), (3, 1.0)], (2, 3.0, 1, 3)),
+    ([(1, 3.0), (2, 2.0), (2, math.nan), (2, 1.0), (2, 2.5), (2, 2.5), (2, 2.5), (3, 0.5)], (None, 0.5, 3, 3))])
+def test_early_stop_of_values_not_finite_and_repeated_steps(spark, rows, want):
+    ship_package(spark)
+    log = spark.createDataFrame([(1, s, "loss", v) for s, v in rows], "run long, step long, metric string, value double")
+    src = f"{tempfile.mkdtemp(prefix='u4-in-')}/rows"
+    log.coalesce(1).write.parquet(src)
+    columns = ("stop_step", "best_value", "best_step", "n_checks")
+    batch = tm.early_stop(log).select(*columns).first()
+    stream = streams.streaming_early_stop(spark, src, log.schema).select(*columns).first()
+    assert tuple(batch) == want and tuple(stream) == want
+
+
 def test_streaming_windows_emit_closed_windows_only(spark):
     ship_package(spark)
     log = fx.metric_log(spark, SF001)
