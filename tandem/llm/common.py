@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tandem.session import scratch_path
 
@@ -38,6 +39,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def document_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """Key of the document a row of ``df`` holds: its id; where some id of the table carries several texts, the id with
+    the text's hash (null where the id is). Rows with one id and one text are one document either way."""
+    doc_id, h = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    several = pick(df, doc_id=id_col, h=h).where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    return doc_id if several.isEmpty() else F.when(doc_id.isNotNull(), F.struct(doc_id.alias("doc_id"), h.alias("h")))
+
+
+def id_of(key: Column, df: DataFrame) -> Column:
+    """The id in ``key``, a document key of the kind that ``df`` holds in ``doc_id``."""
+    return key["doc_id"] if isinstance(df.schema["doc_id"].dataType, StructType) else key
+
+
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 

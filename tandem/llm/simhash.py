@@ -19,7 +19,8 @@ Links (``max_bits`` differing bits or fewer), exact:
 
 Defined cases: null and blank texts have fingerprint 0 and link like any other; rows with a null id
 are returned with the component of their fingerprint's class (null if all ids of the component are null);
-repeated rows repeat in the result; an empty table gives no rows; other columns are ignored.
+repeated rows repeat in the result; different texts of one id are documents of their own
+(``common.document_key``), of which at most one stands for a component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pick, stored, utf8
+from .common import document_key, id_of, mix, pick, stored, utf8
 
 SHINGLE_WORDS, MAX_BITS, BUCKET_ROWS = 3, 3, 4096
 PIVOTS = mix(np.arange(1, 17, dtype=np.uint64))  # reference fingerprints: any fixed random values do
@@ -148,7 +149,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 
 def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links between classes (fp, rep) as spanning forests of their groups; b < a."""
+    """(a, b): links between classes (fp, rep) as spanning forests of their groups; reps of any type."""
+    rep_type = classes.schema["rep"].dataType.simpleString()
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))))
                      for i, m in enumerate(block_masks(max_bits))])
     rows = classes.select(F.explode(keys).alias("bucket"), "fp", "rep")
@@ -163,11 +165,13 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKE
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "task"):
-            key, side, fp, rep = (t.column(c).to_numpy() for c in ("task", "side", "fp", "rep"))
-            a, b = _links_of(key, side, fp.view(np.uint64), rep, max_bits)
-            yield pa.record_batch({"a": a, "b": b})
+            key, side, fp = (t.column(c).to_numpy() for c in ("task", "side", "fp"))
+            rep = t.column("rep").combine_chunks()
+            _, at, node = np.unique(fp, return_index=True, return_inverse=True)
+            a, b = _links_of(key, side, fp.view(np.uint64), node, max_bits)
+            yield pa.record_batch({"a": rep.take(pa.array(at[a])), "b": rep.take(pa.array(at[b]))})
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(compare, f"a {rep_type}, b {rep_type}")
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -189,11 +193,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
-                    max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (the least id
-    reachable over links), is_kept (the document stands for its component)."""
-    docs = stored(fingerprints(pick(df, doc_id=id_col, text=text_col), shingle_words), "fingerprints")
+def _near(df: DataFrame, key: Column, text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+          max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of near_duplicates; doc_id and component_id are document keys."""
+    docs = stored(fingerprints(pick(df, doc_id=key, text=text_col), shingle_words), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     comp = components(links(classes, max_bits, bucket_rows)).withColumnRenamed("node", "rep")
     named = classes.join(comp, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
@@ -202,8 +205,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("is_kept"))
 
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (the least id
+    reachable over links), is_kept (the document stands for its component)."""
+    near = _near(df, document_key(df, id_col, text_col), text_col, **options)
+    return near.select(id_of(F.col("doc_id"), near).alias("doc_id"), "fingerprint",
+                       id_of(F.col("component_id"), near).alias("component_id"), "is_kept")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``df`` whose document stands for its group of near duplicates (the least id)."""
-    gone = near_duplicates(df, id_col, text_col, **options).where("not is_kept and doc_id is not null")
+    key = document_key(df, id_col, text_col)
+    gone = _near(df, key, text_col, **options).where("not is_kept and doc_id is not null")
     gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return df.join(gone, key == F.col("__gone"), "left_anti")

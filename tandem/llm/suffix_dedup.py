@@ -16,8 +16,9 @@ stands at another place. All joins are on hashes with partial counts before them
 a third of the documents hold is one row on one side and splits on the other.
 
 Defined cases: a null text or one with fewer than ``min_words`` words has no spans; rows with a null
-id cannot be named and take no part; rows that share an id are one document (the same row twice is
-no repeat of itself); an empty table gives no rows; other columns are ignored.
+id cannot be named and take no part; rows that share id and text are one document (the same row twice is
+no repeat of itself), different texts of one id are documents of their own, all joins being on the
+document key (``common.document_key``), mapped to the id in the result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, pick, range_hash, slices, sliding, stored, utf8
+from .common import WordTable, document_key, id_of, pick, range_hash, slices, sliding, stored, utf8
 
 MIN_WORDS, ANCHOR_WORDS = 50, 20
 STRETCH = 62  # runs in a stretch at most: one bit each in a long
@@ -126,12 +127,12 @@ def _bit(mask: str, i: Column) -> Column:
     return F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0
 
 
-def repeated_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+def repeated_stretches(df: DataFrame, key: Column, text_col: str = "text", min_words: int = MIN_WORDS,
                        anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """(doc_id, start, n, again, first_doc, last_doc, mask): bit i of mask is set where the run of ``min_words``
+    """doc_id, first_doc and last_doc are document keys here. (doc_id, start, n, again, first_doc, last_doc, mask): bit i of mask is set where the run of ``min_words``
     words from word start + i also stands elsewhere, ``first_doc`` and ``last_doc`` being the least and greatest
     id of the documents that hold it (one row for each such pair of ids); n bounds i; again: see _stretches."""
-    docs = pick(df, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
+    docs = pick(df, doc_id=key, text=text_col).where("doc_id is not null and text is not null")
     suffixes = retained_suffixes(docs, min_words, anchor_words)
     # what the joins below meet on is stored, so that they can split a hot key
     met = stored(suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "met")
@@ -173,17 +174,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """One row per maximal span of repeated words: doc_id, start_word, end_word (exclusive), n_words,
     first_doc and last_doc (least and greatest id of the documents that share a run of it)."""
-    stretches = repeated_stretches(df, id_col, text_col, min_words, anchor_words)
-    return (_islands(stretches, min_words, F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-            .withColumn("n_words", F.col("end_word") - F.col("start_word"))
-            .select("doc_id", "start_word", "end_word", "n_words", "first_doc", "last_doc"))
+    stretches = repeated_stretches(df, document_key(df, id_col, text_col), text_col, min_words, anchor_words)
+    spans = _islands(stretches, min_words, F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+    named = {c: id_of(F.col(c), spans).alias(c) for c in ("doc_id", "first_doc", "last_doc")}
+    return spans.select(named["doc_id"], "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
+                        named["first_doc"], named["last_doc"])
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                 anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """``df`` with each repeated run cut from every place but its first (least id, then position).
-    Texts without one stay byte for byte; rows whose id or text is null pass unchanged."""
-    stretches = repeated_stretches(df, id_col, text_col, min_words, anchor_words)
+    """``df`` with each repeated run cut from every place but its first (least id, then the text's hash where
+    an id has several texts, then position). Texts without one stay byte for byte; rows whose id or text is
+    null pass unchanged."""
+    key = document_key(df, id_col, text_col)
+    stretches = repeated_stretches(df, key, text_col, min_words, anchor_words)
     later = stretches.withColumn("mask", F.when(F.col("doc_id") != F.col("first_doc"), F.col("mask")).otherwise(
         F.col("mask").bitwiseAND(F.col("again"))))
     cuts = (_islands(later, min_words).groupBy("doc_id")
@@ -194,7 +198,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def without(text, spans):
         return text.combine(spans, _without)
 
-    joined = df.join(cuts, F.col(f"`{id_col}`") == F.col("__cut_id"), "left")
+    joined = df.join(cuts, key == F.col("__cut_id"), "left")
     text = F.when(F.col("__cuts").isNotNull(), without(F.col(f"`{text_col}`"), F.col("__cuts")))
     return joined.select(*[(F.coalesce(text, F.col(f"`{c}`")) if c == text_col else F.col(f"`{c}`")).alias(c)
                            for c in df.columns])
