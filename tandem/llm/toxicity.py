@@ -14,7 +14,9 @@ trained on ordinary text, so equal content saves equal bytes.
 The fit reads a bounded sample: at most ``fit_toxic`` and ``fit_ordinary`` labelled texts of at most
 ``fit_chars`` characters, those with the least hash of their id; it runs in one task. Ids and labels alone are shuffled to
 choose it; the chosen ids, bounded by the same parameters, are broadcast to the texts. Every text is
-scored whole, all its windows, by one pass without a shuffle. The ordinary dictionary is trained on the
+scored whole, all its windows, by one pass without a shuffle. The caps change the sample's class ratio, and
+longer texts are not learned from; the fit therefore counts each sampled text for as many labels of its class
+as it stands for in the whole table, so the odds that a score means do not depend on the size of the table. The ordinary dictionary is trained on the
 first ``FIT_WINDOWS`` windows of the sample.
 
 Defined cases: a null or empty text has no windows, hence a score like any other; labels null or unknown are not used,
@@ -127,11 +129,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> dict:
+def fit(texts: list[bytes], labels: np.ndarray, totals: tuple[int, int] | None = None) -> dict:
     """Model from labelled texts. Features for the calibration come from dictionaries trained on the other
-    folds, so no text calibrates on itself; the final dictionaries are trained on all."""
-    if labels.min(initial=1) == labels.max(initial=0) or not len(labels):
-        return {"share": float(labels.mean()) if len(labels) else 0.0}
+    folds, so no text calibrates on itself; the final dictionaries are trained on all. ``totals``: ordinary and
+    toxic labels in the whole table (by default those given); each text counts for as many as it stands for."""
+    sampled = np.bincount(labels, minlength=2)
+    totals = np.asarray(sampled if totals is None else totals, dtype=np.float64)
+    if not sampled.all():
+        return {"share": float(totals[1] / totals.sum()) if totals.sum() else 0.0}
+    stands_for = totals / sampled * (len(labels) / totals.sum())
     fold = np.arange(len(texts)) % FOLDS
     x, y = [], []
     for own in range(FOLDS):
@@ -144,11 +150,13 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict:
     x, y = np.array(x), np.array(y, dtype=np.float64)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
+    counts = stands_for[y.astype(np.int64)]
     w, ridge = np.zeros(a.shape[1]), np.eye(a.shape[1]) * 1.0
     ridge[-1, -1] = 0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((a * (counts * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)),
+                               a.T @ (counts * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -164,7 +172,11 @@ def fit_model(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     that may be learned from."""
     known = (pick(labels, id=id_col, y=F.col(f"`{label_col}`").cast("int")).where("y in (0, 1)")
              .groupBy("id").agg(F.max("y").alias("y")))
-    rows = pick(df, id=id_col, text=text_col).where(F.length("text") <= fit_chars)
+    rows = pick(df, id=id_col, text=text_col).where("text is not null")
+    labelled = known.join(rows.select("id"), "id", "left_semi")
+    by_class = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    totals = (by_class.get(0, 0), by_class.get(1, 0))
+    rows = rows.where(F.length("text") <= fit_chars)
     usable = known.join(rows.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id"))
     some = [usable.where(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, fit_toxic), (0, fit_ordinary))]
     chosen = (rows.join(F.broadcast(some[0].unionByName(some[1])), "id")
@@ -173,7 +185,7 @@ def fit_model(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"text": pd.Series(dtype=str), "y": pd.Series(dtype=int), "h": pd.Series(dtype=int)}),
                          *batches]).sort_values(["h", "text"], kind="stable")
-        model = fit([t.encode() for t in got["text"]], got["y"].to_numpy(dtype=np.int64))
+        model = fit([t.encode() for t in got["text"]], got["y"].to_numpy(dtype=np.int64), totals)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     one = chosen.select("text", "y", "h").repartition(1).mapInPandas(learn, "model binary")
