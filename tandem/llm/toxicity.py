@@ -1,15 +1,16 @@
 """Toxicity by compression distance (operator 4).
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, one on toxic text.
+Two zstandard dictionaries: one trained on ordinary text; the toxic one is that dictionary with a list of marked
+words after it. It is *not* trained on toxic text, a swap of the method: trained forms were worse (README).
 A window of ``window_words`` words is compressed with each; it looks toxic by as many bytes as the
 toxic dictionary saves. A text's windows give a few features (mean saving, mean of its largest
 twentieth, shares above thresholds, number of windows), and a logistic fit on the training texts
 turns them into a score: the thresholds are calibrated, not set by hand.
 
-Training text for the toxic dictionary is chosen by contrast, because most of a toxic text is ordinary:
-words that follow significantly more *different* words in toxic than in ordinary texts (a G-test on
+The words are chosen by contrast, because most of a toxic text is ordinary: words that follow significantly more *different* words in toxic than in ordinary texts (a G-test on
 distinct contexts, which copies of one text cannot raise). Both dictionaries share the content
-trained on ordinary text, so equal content saves equal bytes.
+trained on ordinary text, so equal content saves equal bytes. Toxic texts that show only in phrases of common
+words, or in words under these gates, save nothing and are missed.
 
 The fit reads a bounded sample: at most ``fit_toxic`` and ``fit_ordinary`` labelled texts of at most
 ``fit_chars`` characters, those with the least hash of their id; it runs in one task. Ids and labels alone are shuffled to
