@@ -6,12 +6,18 @@ The method adds ``random`` spans: tokens of 20 or more key characters that behav
 * The encoding is inferred from the characters: hex, base32 or base64 (either variant).
 * Three tests against uniform draws from that alphabet: chi-squared of the symbol counts, runs above
   and below the alphabet's middle, lag-1 serial correlation; Fisher's method combines their p-values.
-* Tokens of an encoding and length band share one cut: under randomness p is uniform, so the
-  count with p >= 0.2 over 0.8 estimates the random tokens, and the cut is the least p from which on no more
-  than ``max_fdr`` of the tokens are estimated not to be random. Short bands, where ordinary
-  strings pass more easily, thereby get a stricter cut or none; the counts are over the whole corpus.
-
-The table of cuts has one row per encoding and band (12 at most) and is read by the driver.
+* Tokens of an encoding, length band and shape share one cut. A token is *mixed* if it holds every class of its
+  alphabet (letters of each case, digits), which random tokens of this length nearly always do and names, paths
+  and slugs often do not. The number of random tokens is estimated apart from the cut: mixed ones from the tail
+  p >= 0.5, where random tokens have the measured share ``TAIL_SHARE``; the others from the mixed ones by the
+  probability that random draws of that length lack a class, whatever their own p-values are.
+* The cut is the least p of the grid from which on the tokens estimated not to be random are no more than
+  ``max_fdr`` of all, give or take the standard error of the tail count; a group in which no cut holds that
+  has none, so its tokens are not reported. The grid ends at 0.2 for tokens under 32 characters, at 0.1 under
+  48 and at 0.05 above. Not told apart: mixed ordinary tokens with p >= 0.5. The counts are over the distinct
+  tokens of the whole corpus, as copies of a token are one draw.
+
+The table of cuts has one row per encoding, band and shape (24 at most) and is read by the driver.
 
 Defined cases: a null text is empty and has no spans; every row gives one row, null and repeated ids
 included; an empty table gives no rows.
@@ -19,6 +25,9 @@ included; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +42,9 @@ HEX = "0123456789abcdef"
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 GRID = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)
+GRID_END = (0.2, 0.1, 0.05, 0.05)  # of each band
+TAIL, TAIL_SHARE = 0.5, 0.545  # share of random tokens with p >= TAIL: 0.52-0.56 over encodings and lengths 20-128
+CLASSES = {"hex": ("[0-9]", "[a-fA-F]"), "base32": ("[2-7]", "[A-Z]"), "base64": ("[A-Z]", "[a-z]", "[0-9]")}
 MAX_FDR = 0.1
 
 
@@ -141,20 +153,54 @@ def band_of(token: Column) -> Column:
     return F.when(n < 32, 0).when(n < 48, 1).when(n < 80, 2).otherwise(3)
 
 
+def mixed_of(token: Column, encoding: Column) -> Column:
+    """Whether the token holds every class of its encoding's characters."""
+    def has(enc):
+        return reduce(and_, [F.rlike(token, F.lit(c)) for c in CLASSES[enc]])
+
+    return F.when(encoding == "hex", has("hex")).when(encoding == "base32", has("base32")).otherwise(has("base64"))
+
+
+def lacks_share(encoding: Column, n: Column) -> Column:
+    """Probability that ``n`` random characters lack a class of their encoding."""
+    def power(a, k):
+        return F.pow(F.lit(a / k), n)
+
+    return (F.when(encoding == "hex", power(6, 16) + power(10, 16))
+            .when(encoding == "base32", power(26, 32) + power(6, 32))
+            .otherwise(2 * power(38, 64) + power(54, 64) - power(12, 64) - 2 * power(28, 64) + power(2, 64)))
+
+
 def _tested(found: Column) -> Column:
-    """Candidates with their encoding, band and p-value."""
-    return F.transform(found, lambda s: let(encoding_of(s["hit"]), lambda enc: s.withField("enc", enc).withField(
-        "band", band_of(s["hit"])).withField("p", p_value(s["hit"], enc))))
+    """Candidates with their encoding, band, shape, odds of lacking a class if random, and p-value."""
+    def add(s, enc):
+        lacks = lacks_share(enc, F.length(F.rtrim(s["hit"], F.lit("="))))
+        return (s.withField("enc", enc).withField("band", band_of(s["hit"])).withField("mixed", mixed_of(s["hit"], enc))
+                .withField("odds", lacks / (1 - lacks)).withField("p", p_value(s["hit"], enc)))
+
+    return F.transform(found, lambda s: let(encoding_of(s["hit"]), lambda enc: add(s, enc)))
 
 
 def cuts(tested: DataFrame, max_fdr: float = MAX_FDR) -> DataFrame:
-    """(enc, band, cut) from (enc, band, p) of all tokens; no row where no cut holds the rate."""
-    sums = tested.groupBy("enc", "band").agg(
-        *[F.sum((F.col("p") >= c).cast("double")).alias(f"a{i}") for i, c in enumerate(GRID)])
-    random = F.col(f"a{len(GRID) - 1}") / (1 - GRID[-1])
-    rate = [F.greatest(F.col(f"a{i}") - (1 - c) * random, F.lit(0.0)) / F.col(f"a{i}") for i, c in enumerate(GRID)]
-    cut = F.coalesce(*[F.when((F.col(f"a{i}") > 0) & (rate[i] <= max_fdr), F.lit(c)) for i, c in enumerate(GRID)])
-    return sums.select("enc", "band", cut.alias("cut")).where("cut is not null")
+    """(enc, band, mixed, cut) from (enc, band, mixed, odds, p) of all tokens; no row where no cut holds the rate."""
+    tail = (F.col("mixed") & (F.col("p") >= TAIL)).cast("double")
+    both = tested.groupBy("enc", "band").agg(
+        *[F.sum(((F.col("p") >= c) & (F.col("mixed") == m)).cast("double")).alias(f"a{int(m)}_{i}")
+          for m in (False, True) for i, c in enumerate(GRID)],
+        F.sum(tail).alias("t1"), F.sum(tail * F.col("odds")).alias("t0"))
+    sums = both.select("enc", "band", F.explode(F.array(*[F.struct(
+        F.lit(m).alias("mixed"), (F.col(f"t{int(m)}") / TAIL_SHARE).alias("random"),
+        *[F.col(f"a{int(m)}_{i}").alias(f"a{i}") for i in range(len(GRID))]) for m in (False, True)])).alias("g"))
+    sums = sums.select("enc", "band", "g.*")
+    end = F.get(F.array(*[F.lit(e) for e in GRID_END]), F.col("band"))
+
+    def held(i, c):
+        n, share = F.col(f"a{i}"), TAIL_SHARE / (1 - c)
+        error = F.when(F.col("mixed"), F.sqrt((1 - share) / share / n)).otherwise(0.0)
+        return (n > 0) & (F.lit(c) <= end) & (1 - (1 - c) * F.col("random") / n <= max_fdr + error) & (F.col("random") > 0)
+
+    cut = F.coalesce(*[F.when(held(i, c), F.lit(c)) for i, c in enumerate(GRID)])
+    return sums.select("enc", "band", "mixed", cut.alias("cut")).where("cut is not null")
 
 
 def with_secrets(df: DataFrame, text_col: str = "text", max_fdr: float = MAX_FDR, out: str = "secret_spans") -> DataFrame:
@@ -162,20 +208,20 @@ def with_secrets(df: DataFrame, text_col: str = "text", max_fdr: float = MAX_FDR
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     token = pick(df, text=text_col).select(
         F.explode(_tested(candidate_spans(F.coalesce(F.col("text"), F.lit(""))))).alias("t")
-    ).select("t.enc", "t.band", "t.p")
-    limits = {(r["enc"], r["band"]): r["cut"] for r in cuts(token, max_fdr).collect()}  # 12 rows at most
+    ).select("t.enc", "t.band", "t.mixed", "t.odds", "t.p", F.xxhash64("t.hit").alias("h")).distinct()  # copies are one draw
+    limits = {(r["enc"], r["band"], r["mixed"]): r["cut"] for r in cuts(token, max_fdr).collect()}  # 24 rows at most
 
     def passes(s: Column) -> Column:
         ok = F.lit(False)
-        for (enc, band), cut in sorted(limits.items()):
-            ok = F.when((s["enc"] == enc) & (s["band"] == band), s["p"] >= cut).otherwise(ok)
+        for (enc, band, mixed), cut in sorted(limits.items()):
+            ok = F.when((s["enc"] == enc) & (s["band"] == band) & (s["mixed"] == mixed), s["p"] >= cut).otherwise(ok)
         return ok
 
     rows = df.withColumn("__base", base_spans(text)).withColumn("__cand", candidate_spans(text))
     fresh = F.filter(F.col("__cand"), lambda s: ~overlaps(s, F.col("__base")))
     added = F.filter(_tested(fresh), passes).cast(
-        "array<struct<kind:string,rank:int,start:int,end:int,hit:string,enc:string,band:int,p:double>>")
-    plain = F.transform(added, lambda s: s.dropFields("enc", "band", "p")).cast(SPAN)
+        "array<struct<kind:string,rank:int,start:int,end:int,hit:string,enc:string,band:int,mixed:boolean,odds:double,p:double>>")
+    plain = F.transform(added, lambda s: s.dropFields("enc", "band", "mixed", "odds", "p")).cast(SPAN)
     return rows.withColumn("__add", F.when(F.size("__cand") > 0, plain).otherwise(no_spans())).withColumn(
         out, F.concat("__base", "__add")).drop("__base", "__cand", "__add")
 
