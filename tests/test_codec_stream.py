@@ -4,7 +4,7 @@ import os
 import tempfile
 
 import pytest
-from conftest import SF001
+from sample_tables import SF001
 from pyspark.sql import functions as F
 
 from tandem.functions.text import letters_canonical

@@ -1,7 +1,7 @@
 """Golden numbers published in FIXTURES.md, computed there by an independent
 pure-Python script on the prefix form of the pairs fixture."""
 import pytest
-from conftest import SF001, SF01
+from sample_tables import SF001, SF01
 
 from tandem.functions.text import letters_canonical
 from tandem.operators import align, evaluate as ev

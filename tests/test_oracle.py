@@ -3,7 +3,7 @@ the same comparison at sf0.01)."""
 import math
 
 import pytest
-from conftest import SF001
+from sample_tables import SF001
 
 from tandem.plans.oracles import ORACLES
 from tandem.plans.queries import QUERIES

@@ -1,5 +1,5 @@
 """The two end-to-end plans against the operator-level results."""
-from conftest import SF001
+from sample_tables import SF001
 from pyspark.sql import functions as F
 
 from tandem.functions.text import letters_canonical, render_prompt

@@ -1,6 +1,6 @@
 """Dataset preparation: registry, filters, prompts, vocabulary and encoding."""
 import pytest
-from conftest import SF001
+from sample_tables import SF001
 from pyspark.sql import functions as F
 
 from tandem.functions.text import render_prompt

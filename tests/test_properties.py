@@ -2,7 +2,7 @@
 import random
 
 import pytest
-from conftest import SF001
+from sample_tables import SF001
 from pyspark.sql import functions as F
 
 from tandem.functions.ngrams import bits_tanimoto, clipped_matches, edit_distance

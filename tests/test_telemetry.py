@@ -2,7 +2,7 @@
 import math
 
 import pytest
-from conftest import SF001
+from sample_tables import SF001
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
