@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, range_hash, slices, utf8
+from .common import pick, rolling_hash, slices, utf8
 from .tokens import LATIN_END, PieceStore, byte_letters, split_signs, tokenizer
 
 WINDOW, MASK_BITS, CHUNK_BYTES = 16, 10, 8 << 20
@@ -53,7 +53,7 @@ def cut_points(buf: np.ndarray, mask_bits: int = MASK_BITS) -> np.ndarray:
     if len(buf) < WINDOW:
         return np.zeros(0, dtype=np.int64)
     at = np.arange(WINDOW, len(buf) + 1)
-    h = range_hash(buf.astype(np.uint64) + np.uint64(1), at - WINDOW, at, _BASE)
+    h = rolling_hash(buf.astype(np.uint64) + np.uint64(1), at - WINDOW, at, _BASE)
     nxt = np.append(buf[WINDOW:], 0)
     return at[((h & np.uint64((1 << mask_bits) - 1)) == 0) & ((nxt & 0xC0) != 0x80)]
 

@@ -12,17 +12,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tandem.session import scratch_path
 
 #: Bytes of text that one array pass takes; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
@@ -39,18 +37,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def document_key(df: DataFrame, id_col: str, text_col: str) -> Column:
-    """Key of the document a row of ``df`` holds: its id; where some id of the table carries several texts, the id with
-    the text's hash (null where the id is). Rows with one id and one text are one document either way."""
-    doc_id, h = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    several = pick(df, doc_id=id_col, h=h).where("doc_id is not null").groupBy("doc_id").agg(
-        F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
-    return doc_id if several.isEmpty() else F.when(doc_id.isNotNull(), F.struct(doc_id.alias("doc_id"), h.alias("h")))
-
-
-def id_of(key: Column, df: DataFrame) -> Column:
-    """The id in ``key``, a document key of the kind that ``df`` holds in ``doc_id``."""
-    return key["doc_id"] if isinstance(df.schema["doc_id"].dataType, StructType) else key
+def document_key(id_col: str, text_col: str) -> Column:
+    """Key of the document a row holds: its id with the hash of its text (a null text reads as empty), null
+    where the id is. Rows with one id and one text are one document; different texts of one id are several."""
+    doc_id = F.col(f"`{id_col}`")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.when(doc_id.isNotNull(), F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h")))
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -84,11 +76,6 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and those of its inverse."""
-    return _powers(base, 1 << max(16, int(n).bit_length()))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (xor-shift and multiply, a bijection)."""
     x = x ^ (x >> np.uint64(31))
@@ -98,35 +85,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_CHAR_BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
-
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
-    """64-bit hash of ``values[start:end]`` for each range, by one prefix sum of a polynomial:
-    equal ranges have equal hashes wherever they stand."""
-    up, down = powers(base, len(values) + 1)
+def rolling_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial of ``values[start:end]`` modulo 2**64 by one prefix sum. It chooses places only: structured
+    ranges may share a value, so it never stands for equality."""
+    up, down = _powers(base, 1 << max(16, int(len(values) + 1).bit_length()))
     prefix = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(values)], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a * np.uint64(0x5851F42D4C957F2D)) + b)
+
+
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of ``values[start:end]`` for each range: equal ranges have equal hashes wherever they stand.
+    Blocks of 1, 2, 4... values are hashed from the two halves by a non-linear step, and a range from the two
+    greatest blocks that cover it and its length. An empty range hashes to 0."""
+    size = np.asarray(ends) - np.asarray(starts)
+    out = np.zeros(len(size), dtype=np.uint64)
+    level = np.frexp(size.astype(np.float64))[1] - 1  # of the greatest block that fits
+    block, width = values, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            out[at] = _join(_join(block[starts[at]], block[ends[at] - width]), size[at].astype(np.uint64))
+        if len(block) <= width:
+            break
+        block = _join(block[:-width], block[width:])
+        width *= 2
+    return out
+
+
+def byte_class(*members: int) -> np.ndarray:
+    """A table of 256 flags, set for the given bytes."""
+    out = np.zeros(256, dtype=bool)
+    out[list(members)] = True
+    return out
+
+
+_SPACE = byte_class(0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+
+
 class WordTable:
-    """Words of a list of texts. ``buf``: the texts joined by newlines; ``start``/``end``: byte
-    ranges of the words in it; ``first``: index of each text's first word, with the total last."""
+    """Words of a list of texts: maximal runs of bytes outside ``gap``. ``buf``: the texts joined by newlines;
+    ``start``/``end``: byte ranges of the words in it; ``first``: index of each text's first word, with the
+    total last. With ``hashed``: ``words`` (the distinct words), ``code`` (each word's place among them) and
+    ``hash`` (XXH64 of each word's bytes)."""
 
-    def __init__(self, texts: list[bytes], hashed: bool = True):
+    def __init__(self, texts: list[bytes], hashed: bool = True, gap: np.ndarray = _SPACE):
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         self.offset = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=self.offset[1:])
-        inside = ~_SPACE[self.buf]
+        inside = ~gap[self.buf]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(inside) and inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.offset)
         if hashed:
-            self.hash = range_hash(_BYTE[self.buf], self.start, self.end, _CHAR_BASE)
+            ends = np.zeros(len(self.start) + 1, dtype=np.int64)
+            np.cumsum(self.end - self.start, out=ends[1:])
+            parts = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.buf[inside]))]
+            coded = pa.Array.from_buffers(pa.large_binary(), len(self.start), parts).dictionary_encode()
+            self.words = coded.dictionary.to_pylist()
+            self.code = coded.indices.to_numpy(zero_copy_only=False)
+            self.hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], dtype=np.uint64)[self.code]
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

@@ -20,7 +20,7 @@ Links (``max_bits`` differing bits or fewer), exact:
 Defined cases: null and blank texts have fingerprint 0 and link like any other; rows with a null id
 are returned with the component of their fingerprint's class (null if all ids of the component are null);
 repeated rows repeat in the result; different texts of one id are documents of their own
-(``common.document_key``), of which at most one stands for a component; an empty table gives no rows; other columns are ignored.
+(``common.document_key``: null and empty are one text), of which at most one stands for a component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_key, id_of, mix, pick, stored, utf8
+from .common import document_key, mix, pick, stored, utf8
 
 SHINGLE_WORDS, MAX_BITS, BUCKET_ROWS = 3, 3, 4096
 PIVOTS = mix(np.arange(1, 17, dtype=np.uint64))  # reference fingerprints: any fixed random values do
@@ -208,14 +208,16 @@ def _near(df: DataFrame, key: Column, text_col: str = "text", shingle_words: int
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id (the least id
     reachable over links), is_kept (the document stands for its component)."""
-    near = _near(df, document_key(df, id_col, text_col), text_col, **options)
-    return near.select(id_of(F.col("doc_id"), near).alias("doc_id"), "fingerprint",
-                       id_of(F.col("component_id"), near).alias("component_id"), "is_kept")
+    near = _near(df, document_key(id_col, text_col), text_col, **options)
+    return near.select(F.col("doc_id.doc_id").alias("doc_id"), "fingerprint",
+                       F.col("component_id.doc_id").alias("component_id"), "is_kept")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``df`` whose document stands for its group of near duplicates (the least id)."""
-    key = document_key(df, id_col, text_col)
-    gone = _near(df, key, text_col, **options).where("not is_kept and doc_id is not null")
+    """Rows of ``df`` whose document stands for its group of near duplicates (the least id). Null texts and
+    texts without a word hold nothing to compare: they all stay. So do rows with a null id, which no other row can name."""
+    key = document_key(id_col, text_col)
+    worded = df.where(F.regexp_like(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]")))
+    gone = _near(worded, key, text_col, **options).where("not is_kept and doc_id is not null")
     gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
     return df.join(gone, key == F.col("__gone"), "left_anti")

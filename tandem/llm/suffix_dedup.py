@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, document_key, id_of, pick, range_hash, slices, sliding, stored, utf8
+from .common import WordTable, document_key, pick, range_hash, slices, sliding, stored, utf8
 
 MIN_WORDS, ANCHOR_WORDS = 50, 20
 STRETCH = 62  # runs in a stretch at most: one bit each in a long
@@ -174,9 +174,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """One row per maximal span of repeated words: doc_id, start_word, end_word (exclusive), n_words,
     first_doc and last_doc (least and greatest id of the documents that share a run of it)."""
-    stretches = repeated_stretches(df, document_key(df, id_col, text_col), text_col, min_words, anchor_words)
+    stretches = repeated_stretches(df, document_key(id_col, text_col), text_col, min_words, anchor_words)
     spans = _islands(stretches, min_words, F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-    named = {c: id_of(F.col(c), spans).alias(c) for c in ("doc_id", "first_doc", "last_doc")}
+    named = {c: F.col(f"{c}.doc_id").alias(c) for c in ("doc_id", "first_doc", "last_doc")}
     return spans.select(named["doc_id"], "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
                         named["first_doc"], named["last_doc"])
 
@@ -186,7 +186,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``df`` with each repeated run cut from every place but its first (least id, then the text's hash where
     an id has several texts, then position). Texts without one stay byte for byte; rows whose id or text is
     null pass unchanged."""
-    key = document_key(df, id_col, text_col)
+    key = document_key(id_col, text_col)
     stretches = repeated_stretches(df, key, text_col, min_words, anchor_words)
     later = stretches.withColumn("mask", F.when(F.col("doc_id") != F.col("first_doc"), F.col("mask")).otherwise(
         F.col("mask").bitwiseAND(F.col("again"))))

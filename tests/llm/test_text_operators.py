@@ -68,7 +68,31 @@ def test_fingerprints_and_components(docs, rows):
     assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in fps.items()}
     assert {i: r["component_id"] for i, r in got.items()} == brute_components(fps)
     kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
-    assert kept == set(brute_components(fps).values())
+    worded = {i: f for i, f in fps.items() if words(dict(rows)[i])}
+    assert kept == set(fps) - set(worded) | set(brute_components(worded).values())
+
+
+def test_texts_without_words_all_stay(spark):
+    frame = docs_frame(spark, [(1, None), (2, None), (3, ""), (4, " \n\t"), (5, "one text"), (6, "one text")])
+    assert {r["doc_id"] for r in simhash.keep_one(frame).collect()} == {1, 2, 3, 4, 5}
+
+
+def parity_words(n=1024):
+    """Two different words on which every polynomial hash modulo 2**64 agrees."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_differ(spark):
+    a, b = parity_words()
+    tail = " one two three four five six seven "
+    data = [(1, a + tail + b + tail), (2, a + " " + " ".join(f"w{i}" for i in range(60))), (3, b + " " + " ".join(f"w{i}" for i in range(48)))]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.repetition(docs_frame(spark, data)).collect()}
+    assert got == {i: brute_quality(t)["n_repeat_words"] for i, t in data} and got[1] == 0
+    assert not suffix_dedup.repeated_spans(docs_frame(spark, data)).collect()
+    runs = [(10 + i, " ".join(("left", "right")[(i + x.bit_count()) & 1] for x in range(4096))) for i in (0, 1)]
+    spans = suffix_dedup.repeated_spans(docs_frame(spark, runs)).collect()
+    assert covered(spans) == dict(brute_repeats(runs, 50)[0])
 
 
 def test_links_of_dense_and_chained_fingerprints(spark):
