@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tandem.session import shared_dir, ship_package
 from tandem.sources.tables import read_table
 
-from . import bpe, hnsw, packing, pii, quality, secrets_scan, simhash, suffix_dedup, toxicity, warc
+from . import bpe, hnsw, jaccard_join, packing, pii, quality, secrets_scan, simhash, suffix_dedup, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -85,9 +85,13 @@ def op10_warc(spark, sf_dir):
     return warc.archive_and_read(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_best_fit_packing,
-    op7_hnsw_search, op8_bpe_round_trip, op9_personal_data, op10_warc)}
+    op7_hnsw_search, op8_bpe_round_trip, op9_personal_data, op10_warc, op11_jaccard_join)}
 
 ORACLE_SQL = {"op10_warc": """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -97,4 +101,21 @@ ORACLE_SQL = {"op10_warc": """
     SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
            CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
            CASE WHEN again THEN kept END AS refers_to
-    FROM t"""}
+    FROM t""",
+    "op11_jaccard_join": """
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+         s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+               FROM d),
+         one AS (SELECT any_value(sh) AS sh, min(rid) AS cls, len(any_value(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+         member AS (SELECT s.rid, one.cls FROM s JOIN one ON list_sort(s.sh) = list_sort(one.sh)),
+         e AS (SELECT cls, n, unnest(sh) AS x FROM one),
+         link AS (SELECT a.cls AS a, b.cls AS b FROM e a JOIN e b ON a.x = b.x AND a.cls <> b.cls GROUP BY a.cls, b.cls, a.n, b.n
+                  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+         reach(cls, low) AS (SELECT cls, cls FROM one UNION SELECT link.b, reach.low FROM reach JOIN link ON reach.cls = link.a),
+         root AS (SELECT cls, min(low) AS root FROM reach GROUP BY cls),
+         named AS (SELECT root.root, min(s.doc_id) AS component_id FROM member JOIN root USING (cls) JOIN s USING (rid) GROUP BY root.root)
+    SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE named.component_id END AS component_id
+    FROM s LEFT JOIN member USING (rid) LEFT JOIN root USING (cls) LEFT JOIN named USING (root)"""}
