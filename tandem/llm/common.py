@@ -125,32 +125,56 @@ def byte_class(*members: int) -> np.ndarray:
 
 
 _SPACE = byte_class(0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+LANE_BYTES = 64  # longer words are hashed by XXH64, one by one
+
+
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each word: eight bytes at a time, joined by the step of ``range_hash``, with the
+    length; words over ``LANE_BYTES`` by XXH64."""
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(buf) + 1, 8), (1, 1))
+    size = end - start
+    out = size.astype(np.uint64)
+    at = np.flatnonzero(size <= LANE_BYTES)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        value = np.ascontiguousarray(lanes[start[at] + done]).view(np.uint64).ravel()
+        part = left < 8
+        value[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        out[at] = _join(out[at], value)
+        done += 8
+        at = at[left > 8]
+    for k in np.flatnonzero(size > LANE_BYTES).tolist():
+        out[k] = xxhash.xxh64_intdigest(buf[start[k]:end[k]].tobytes())
+    return out
 
 
 class WordTable:
     """Words of a list of texts: maximal runs of bytes outside ``gap``. ``buf``: the texts joined by newlines;
     ``start``/``end``: byte ranges of the words in it; ``first``: index of each text's first word, with the
-    total last. With ``hashed``: ``words`` (the distinct words), ``code`` (each word's place among them) and
-    ``hash`` (XXH64 of each word's bytes)."""
+    total last; ``hash`` (with ``hashed``): a 64-bit hash of each word."""
 
     def __init__(self, texts: list[bytes], hashed: bool = True, gap: np.ndarray = _SPACE):
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         self.offset = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=self.offset[1:])
-        inside = ~gap[self.buf]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
+        self.inside = ~gap[self.buf]
+        edge = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
+        if len(self.inside) and self.inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.offset)
         if hashed:
-            ends = np.zeros(len(self.start) + 1, dtype=np.int64)
-            np.cumsum(self.end - self.start, out=ends[1:])
-            parts = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.buf[inside]))]
-            coded = pa.Array.from_buffers(pa.large_binary(), len(self.start), parts).dictionary_encode()
-            self.words = coded.dictionary.to_pylist()
-            self.code = coded.indices.to_numpy(zero_copy_only=False)
-            self.hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], dtype=np.uint64)[self.code]
+            self.hash = word_hash(self.buf, self.start, self.end)
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and each word's place among them."""
+        ends = np.zeros(len(self.start) + 1, dtype=np.int64)
+        np.cumsum(self.end - self.start, out=ends[1:])
+        parts = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.buf[self.inside]))]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.start), parts).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

@@ -2,22 +2,22 @@
 
 A document's set: the distinct shingles of ``width`` words of its text with A-Z lower-cased (fewer words: all of
 them as one; none: the empty set, linked with nothing). Two sets link at ``100 * |A & B| >= percent * |A | B|``.
-The links are exact, but for collisions of 64-bit hashes of different shingles within one pair.
-
-1. *Sets.* Each text becomes the sorted hashes of its shingles. Equal sets are one class (128-bit digest), so
-   copies cost one row each and no comparison.
-2. *Prefixes.* Shingles are ordered from rare to frequent, by a fixed-size table of counts over all documents (any
-   order that all documents share is right). Linked sets share one of the first ``n - ceil(percent n / 100) + 1``
-   shingles of each. Only classes that share a prefix shingle with another go on; shingles of a passage that a third
-   of the documents hold stand last and meet nothing.
-3. *Leaders.* The classes are put in size bands such that links never leave neighbouring bands. In each (shingle,
-   band) every class is checked against one leader of the band and one of the band below. These links, a few rows
-   per class, give first components.
+The links are exact, but for collisions of 56-bit hashes of different shingles within one pair.
+
+1. *Sets.* Each text becomes the sorted codes of its shingles: a byte for how frequent the shingle is, by a table of
+   counts of fixed size over all documents, then 56 bits of its hash. Any order that all documents share would be right;
+   this one puts rare shingles first. Equal sets are one class (128-bit digest): copies cost no comparison.
+2. *Prefixes.* Linked sets share one of the first ``n - ceil(percent n / 100) + 1`` shingles of each. Sizes are cut into
+   bands such that links never leave neighbouring bands; only classes that share a prefix shingle with a class of a
+   near band go on. Shingles of a passage that a third of the documents hold stand last and meet nothing.
+3. *Leaders.* In each (shingle, band) every class is checked against one leader of the band and one of the band below.
+   These links, a few rows per class, give first components.
 4. *Tiles.* What is left to decide are pairs of different components. Shingles whose classes lie in one component
    go; the others form tiles of (shingle, band), cut into blocks, each pair of blocks a group of its own. In a
    tile, bit counts of hashed bitmaps bound the overlap of all pairs from above in arrays; only pairs that may
    link and lie in different components leave it.
-5. *Check.* Candidates are bounded by bit counts and then decided by intersecting the sorted arrays of hashes.
+5. *Check.* Candidates are bounded by bit counts; those that pass are decided by intersecting their sorted arrays,
+   which only their texts are scanned for again.
 6. Components over all links, mapped back to the documents by their class.
 
 Defined cases: a null or blank text has the empty set and its own id as component; rows with a null id are
@@ -27,11 +27,12 @@ of one id are rows of their own; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,77 +58,100 @@ def band_starts(percent: int, largest: int = 1 << 40) -> np.ndarray:
     return np.array(starts, dtype=np.int64)
 
 
-class Sets:
-    """The sets of a list of texts: ``h`` (hashes sorted within each text), ``n`` (sizes) and ``first`` (offsets)."""
-
-    def __init__(self, texts: list[bytes], width: int):
-        t = WordTable([x.lower() for x in texts])
-        n_words = np.diff(t.first)
-        row, at = t.text_of_word(), np.arange(len(t.hash))
-        last = np.repeat(t.first[1:], n_words)
-        fits = (at + width <= last) | ((at == np.repeat(t.first[:-1], n_words)) & (last - at < width))
-        at, row = at[fits], row[fits]
-        h = range_hash(t.hash, at, np.minimum(at + width, last[fits]))
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)]
-        self.h, self.row = h[new], row[new]
-        self.n = np.bincount(self.row, minlength=len(texts))
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
-
-    def of(self, i: int) -> np.ndarray:
-        return self.h[self.first[i]:self.first[i + 1]]
-
-    def digests(self) -> list[bytes | None]:
-        return [blake2b(self.of(i).tobytes(), digest_size=16).digest() if self.n[i] else None for i in range(len(self.n))]
-
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
-def _scan(docs: DataFrame, width: int, make: Callable[[Sets, pa.RecordBatch], dict], schema: str) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8(b.column("text"))
-            for lo, hi in slices(texts):
-                yield pa.record_batch(make(Sets(texts[lo:hi], width), b.slice(lo, hi - lo)))
 
-    return docs.mapInArrow(scan, schema)
+def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, with repeats, and the first one's place per text (the total last)."""
+    t = WordTable([x.lower() for x in texts])
+    n_words = np.diff(t.first)
+    at, last = np.arange(len(t.hash)), np.repeat(t.first[1:], n_words)
+    fits = (at + width <= last) | ((at == np.repeat(t.first[:-1], n_words)) & (last - at < width))
+    at = at[fits]
+    n = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
+    return range_hash(t.hash, at, np.minimum(at + width, last[fits])), np.concatenate([[0], np.cumsum(n)])
+
+
+def text_sets(texts: list[bytes], width: int, counts: np.ndarray) -> list[np.ndarray]:
+    """The set of each text: its distinct shingles' codes, sorted, rare ones first."""
+    h, first = shingle_hashes(texts, width)
+    codes = (counts[_slot(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = np.sort(codes[lo:hi])
+        new = np.empty(len(own), dtype=bool)
+        new[:1] = True
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        out.append(own[new])
+    return out
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def set_id(codes: np.ndarray) -> bytes:
+    return blake2b(codes.tobytes(), digest_size=16).digest()
 
 
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Documents per slot of the table of counts, as rounded logarithms: the common order of the shingles."""
+    """Shingles per slot of the table of counts, as rounded logarithms."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for b in batches:
             texts = utf8(b.column("text"))
             for lo, hi in slices(texts):
-                total += np.bincount(_slot(Sets(texts[lo:hi], width).h), minlength=len(total))
+                total += np.bincount(_slot(shingle_hashes(texts[lo:hi], width)[0]), minlength=len(total))
         slot = np.flatnonzero(total)
         yield pa.record_batch({"slot": slot.astype(np.int32), "n": total[slot]})
 
-    counts = docs.mapInArrow(scan, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select("text").mapInArrow(scan, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << COUNT_BITS, dtype=np.uint8)  # bounded: one entry per slot
     out[counts["slot"].to_numpy()] = np.rint(4 * np.log2(counts["n"].to_numpy() + 1.0))
     return out
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(h, cls): the prefix shingles of each class; a class stands once in each slice of texts."""
-    table = docs.sparkSession.sparkContext.broadcast(counts)  # 2**COUNT_BITS bytes
-
-    def make(s: Sets, b: pa.RecordBatch) -> dict:
-        order = np.lexsort((s.h, table.value[_slot(s.h)], s.row))
-        place = np.arange(len(s.h)) - s.first[s.row]
-        first: dict[bytes, int] = {}
-        digest = s.digests()
-        once = np.array([d is not None and first.setdefault(d, i) == i for i, d in enumerate(digest)], dtype=bool)
-        keep = (place < (s.n - least_overlap(s.n, percent) + 1)[s.row]) & once[s.row]
-        cls = np.frombuffer(b"".join((d or bytes(16))[:8] for d in digest), dtype=np.int64)
-        return {"h": s.h[order][keep].view(np.int64), "cls": cls[s.row[keep]]}
+def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, text_hash, n, set_id (null: the empty set), cls (its first 64 bits), band; and where
+    a slice of texts holds the set for the first time, its prefix and bitmap."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    starts = band_starts(percent)
 
-    return _scan(docs, width, make, "h long, cls long")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column("text"))
+            for lo, hi in slices(texts):
+                sets = text_sets(texts[lo:hi], width, counts.value)
+                n = np.array([len(x) for x in sets], dtype=np.int64)
+                ids = [set_id(x) if len(x) else None for x in sets]
+                seen: set[bytes | None] = {None}
+                fresh = [not (i in seen or seen.add(i)) for i in ids]
+                size = np.where(fresh, n - least_overlap(n, percent) + 1, 0)
+                prefix = [x[:k] for x, k in zip(sets, size.tolist(), strict=True)]
+                yield pa.record_batch({
+                    "doc_id": b.column("doc_id").slice(lo, hi - lo), "text_hash": b.column("text_hash").slice(lo, hi - lo),
+                    "n": n, "set_id": pa.array(ids, pa.binary()),
+                    "cls": np.frombuffer(b"".join((i or bytes(16))[:8] for i in ids), dtype=np.int64),
+                    "band": np.searchsorted(starts, n, "right").astype(np.int32),
+                    "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32),
+                                                       np.concatenate([*prefix, np.zeros(0, dtype=np.uint64)]).view(np.int64)),
+                    "bits": pa.array([bitmap(x).tobytes() if f else None for x, f in zip(sets, fresh, strict=True)], pa.binary())})
+
+    return docs.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, set_id binary, cls long, band int, "
+                                 "prefix array<bigint>, bits binary")
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(h, cls, band): the prefix shingles that several classes of one band or of neighbouring bands share."""
+    keys = sets.where("bits is not null").select(F.explode("prefix").alias("h"), "cls", "band")
+    bands = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") % 64)).alias("bands")
+    near = F.col("bands").bitwiseAND(F.call_function("shiftleft", F.col("bands"), F.lit(1)).bitwiseOR(
+        F.call_function("shiftrightunsigned", F.col("bands"), F.lit(63)))) != 0
+    met = keys.groupBy("h").agg(F.count("*").alias("n"), bands).where((F.col("n") > F.bit_count("bands")) | near).select("h")
+    # stored: the joins meet on plain tables, which lets them split a hot shingle
+    rows = stored(keys.join(stored(met, "met"), "h", "left_semi").distinct(), "met_rows")
+    of_band = rows.groupBy("h", "band").agg(F.count("*").alias("n"))
+    every = of_band.groupBy("h").agg(F.collect_list(F.struct("band", "n")).alias("bands"))  # as many as there are bands
+    good = F.filter("bands", lambda b: (b["n"] > 1) | F.exists("bands", lambda c: F.abs(c["band"] - b["band"]) == 1))
+    good = stored(every.select("h", F.explode(good).alias("b")).select("h", "b.band"), "met_bands")
+    return stored(rows.join(good, ["h", "band"], "left_semi").select("h", "cls", "band"), "shared")
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -144,10 +168,14 @@ def same_width(maps: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in maps]).view(np.uint64)
 
 
-def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets may link by their bitmaps (rows of one width) and sizes: every bit that differs is a shingle of
-    one set alone, which bounds the overlap from above."""
-    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    both = same_width([a, b])
+    return int(np.bitwise_count(both[0] ^ both[1]).sum())
+
+
+def may_link(apart: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of the given sizes may link when ``apart`` bits of their bitmaps differ: every such bit is a
+    shingle of one set alone, which bounds the overlap from above."""
     overlap = np.minimum((n_a + n_b - apart) // 2, np.minimum(n_a, n_b))
     return 100 * overlap >= percent * (n_a + n_b - overlap)
 
@@ -161,69 +189,74 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
 
-def members(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    """(cls, set_id, n, band, bits, hashes): the classes in ``wanted`` (cls), one row each."""
-    starts = band_starts(percent)
+class Checker:
+    """Decides candidate pairs of classes: ``light`` holds (cls, set_id, text_hash, n, bits), ``docs`` the texts."""
+
+    def __init__(self, docs: DataFrame, light: DataFrame, counts: Broadcast, width: int, percent: int):
+        self.docs, self.light, self.counts, self.width, self.percent = docs, light, counts, width, percent
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): the linked pairs among candidates (a, b), as set ids."""
+        near = stored(self._bounded(pairs), "bounded")
+        arrays = stored(self._arrays(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), "arrays")
+        for side in "ab":
+            near = near.join(arrays.select(F.col("set_id").alias(side), F.col("codes").alias(f"codes_{side}")), side)
+        percent = self.percent
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("codes_a", "codes_b")]
+                keep = pa.array([linked(x, y, percent) for x, y in zip(*both, strict=True)], pa.bool_())
+                yield batch.select(["a", "b"]).filter(keep)
+
+        return near.mapInArrow(exact, "a binary, b binary")
 
-    def make(s: Sets, b: pa.RecordBatch) -> dict:
-        digest, at = s.digests(), {}
-        for i, d in enumerate(digest):
-            if d is not None:
-                at.setdefault(d, i)
-        own = list(at.values())
-        return {"cls": np.frombuffer(b"".join(d[:8] for d in at), dtype=np.int64), "set_id": pa.array(list(at), pa.binary()),
-                "n": s.n[own].astype(np.int64), "band": np.searchsorted(starts, s.n[own], "right").astype(np.int32),
-                "bits": pa.array([bitmap(s.of(i)).tobytes() for i in own], pa.binary()),
-                "hashes": pa.array([s.of(i).tobytes() for i in own], pa.binary())}
-
-    rows = _scan(docs, width, make, "cls long, set_id binary, n long, band int, bits binary, hashes binary")
-    return rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "set_id"])
-
-
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the linked pairs among candidate classes (a, b), as set ids."""
-    light = sets.select("cls", "set_id", "n", "bits")
-    sided = pairs.select("a", "b").distinct()
-    for side in "ab":
-        sided = sided.join(light.select(*[F.col(c).alias(side if c == "cls" else f"{c}_{side}") for c in light.columns]), side)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            maps = [[np.frombuffer(x, dtype=np.uint8) for x in batch.column(c).to_pylist()] for c in ("bits_a", "bits_b")]
-            keep = np.zeros(len(n_a), dtype=bool)
-            for i, (x, y) in enumerate(zip(*maps, strict=True)):
-                both = same_width([x, y])
-                keep[i] = may_link(both[0], both[1], n_a[i], n_b[i], percent)
-            yield batch.select(["set_id_a", "set_id_b"]).filter(pa.array(keep))
-
-    near = sided.where("set_id_a <> set_id_b").mapInArrow(bound, "set_id_a binary, set_id_b binary")
-    for side in "ab":
-        near = near.join(sets.select(F.col("set_id").alias(f"set_id_{side}"), F.col("hashes").alias(f"hashes_{side}")), f"set_id_{side}")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("hashes_a", "hashes_b")]
-            keep = np.array([linked(x, y, percent) for x, y in zip(*both, strict=True)], dtype=bool)
-            yield pa.record_batch({"a": batch.column("set_id_a").filter(pa.array(keep)), "b": batch.column("set_id_b").filter(pa.array(keep))})
-
-    return near.mapInArrow(exact, "a binary, b binary")
-
-
-def leader_pairs(shared: DataFrame, bands: DataFrame) -> DataFrame:
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        sided, percent = pairs.select("a", "b").distinct(), self.percent
+        own = self.light.select("cls", "set_id", "n", "bits")
+        for side in "ab":
+            sided = sided.join(own.select(*[F.col(c).alias(side if c == "cls" else f"{c}_{side}") for c in own.columns]), side)
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+                maps = [[np.frombuffer(x, dtype=np.uint8) for x in batch.column(c).to_pylist()] for c in ("bits_a", "bits_b")]
+                apart = [differing(x, y) for x, y in zip(*maps, strict=True)]
+                keep = may_link(np.array(apart, dtype=np.int64), n_a, n_b, percent)
+                yield pa.record_batch({c: batch.column(f"set_id_{c}").filter(pa.array(keep)) for c in "ab"})
+
+        return sided.where("set_id_a <> set_id_b").mapInArrow(bound, "a binary, b binary")
+
+    def _arrays(self, wanted: DataFrame) -> DataFrame:
+        """(set_id, codes) of the wanted sets, from their texts."""
+        hashes = self.light.join(wanted, "set_id", "left_semi").select("text_hash").distinct()
+        texts = self.docs.join(hashes, "text_hash", "left_semi").select("text")
+        width, counts = self.width, self.counts
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = utf8(b.column("text"))
+                for lo, hi in slices(texts):
+                    own = {set_id(x): x.tobytes() for x in text_sets(texts[lo:hi], width, counts.value)}
+                    yield pa.record_batch({"set_id": pa.array(list(own), pa.binary()), "codes": pa.array(list(own.values()), pa.binary())})
+
+        rows = texts.mapInArrow(scan, "set_id binary, codes binary")
+        return rows.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+
+
+def leader_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): in each (shingle, band) every class with the least class of the band and of the band below."""
-    rows = shared.join(bands, "cls")
-    least = rows.groupBy("h", "band").agg(F.min("cls").alias("a"))
-    both = least.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "a")
-    return rows.join(both, ["h", "band"]).where("a <> cls").select(
-        F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"))
+    least = shared.groupBy("h", "band").agg(F.min("cls").alias("leader"))
+    both = least.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "leader")
+    return shared.join(both, ["h", "band"]).where("leader <> cls").select(
+        F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b"))
 
 
-def tile_pairs(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+def tile_pairs(shared: DataFrame, light: DataFrame, roots: DataFrame, percent: int, tile_rows: int) -> DataFrame:
     """(a, b): classes of different components that meet in a tile and may link by their bitmaps."""
-    named = sets.select("cls", "set_id", "n", "band", "bits").join(roots, "set_id", "left").select(
-        "cls", "n", "band", "bits", F.xxhash64(F.coalesce("root", "set_id")).alias("comp"))
-    placed = stored(shared.join(named.select("cls", "comp", "band"), "cls"), "placed")
+    named = light.join(roots, "set_id", "left").select(
+        "cls", "n", "bits", F.xxhash64(F.coalesce("root", "set_id")).alias("comp"))
+    placed = stored(shared.join(named.select("cls", "comp"), "cls"), "placed")
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     rows = stored(placed.join(mixed, "h"), "mixed")
     sizes = rows.groupBy("h", "band").agg(F.count("*").alias("size"))
@@ -268,7 +301,8 @@ def tile_pairs(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: in
                     near = near[(comp[near] != comp[i]) & ((side[near] != side[i]) | (side[near] < 0))
                                 & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
                     if len(near):
-                        near = near[may_link(maps[near - lo], maps[i - lo], n[near], n[i], percent)]
+                        apart = np.bitwise_count(maps[near - lo] ^ maps[i - lo]).sum(axis=1, dtype=np.int64)
+                        near = near[may_link(apart, n[near], n[i], percent)]
                         a.append(np.minimum(cls[near], cls[i]))
                         b.append(np.maximum(cls[near], cls[i]))
             a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
@@ -280,24 +314,22 @@ def tile_pairs(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: in
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
             tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id (the least id reachable over links)."""
-    docs = pick(df, doc_id=id_col, text=text_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    named = stored(_scan(docs, width, lambda s, b: {
-        "doc_id": b.column("doc_id"), "n_shingles": s.n.astype(np.int64), "set_id": pa.array(s.digests(), pa.binary())},
-        f"doc_id {id_type}, n_shingles long, set_id binary"), "sets")
-    texts = docs.select("text")
-    keys = prefixes(texts, shingle_counts(texts, width), width, percent)
-    met = keys.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
-    # stored: the joins below meet on plain tables, which lets them split a hot shingle
-    shared = stored(keys.join(stored(met, "met"), "h", "left_semi").distinct(), "shared")
-    sets = stored(members(texts, shared.select("cls").distinct(), width, percent), "members")
-    first = stored(checked(leader_pairs(shared, sets.select("cls", "band")), sets, percent), "leader_links")
+    docs = pick(df, doc_id=id_col, text=text_col, text_hash=F.xxhash64(F.col(f"`{text_col}`")))
+    counts = df.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))  # 2**COUNT_BITS bytes
+    sets = stored(document_sets(docs, counts, width, percent), "sets")
+    shared = shared_shingles(sets)
+    # every row of a set would do; rows of one slice without prefix are left out
+    light = sets.where("bits is not null").join(shared.select("cls").distinct(), "cls", "left_semi")
+    light = stored(light.select("cls", "set_id", "text_hash", "n", "bits").dropDuplicates(["set_id"]), "light")
+    check = Checker(docs, light, counts, width, percent)
+    first = stored(check.links(leader_pairs(shared)), "leader_links")
     roots = components(first).withColumnRenamed("node", "set_id")
-    rest = stored(checked(tile_pairs(shared, sets, roots, percent, tile_rows), sets, percent), "tile_links")
+    rest = stored(check.links(tile_pairs(shared, light, roots, percent, tile_rows)), "tile_links")
     roots = components(first.unionByName(rest)).withColumnRenamed("node", "set_id")
-    classes = named.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     classes = stored(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(classes.join(least, "root").select("set_id", "component_id"), "named_classes")
-    return named.join(classes, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sets.join(classes, "set_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tandem.session import shared_dir, ship_package
 from tandem.sources.tables import read_table
 
-from . import bpe, hnsw, jaccard_join, packing, pii, quality, secrets_scan, simhash, suffix_dedup, toxicity, warc
+from . import bpe, conversation_repair, hnsw, jaccard_join, lexical_search, packing, pii, quality, secrets_scan, simhash, suffix_dedup, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -89,9 +89,20 @@ def op11_jaccard_join(spark, sf_dir):
     return jaccard_join.similar(_documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    shared_dir(spark)
+    ship_package(spark)
+    return conversation_repair.damage_and_repair(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return lexical_search.search(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_rules, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_best_fit_packing,
-    op7_hnsw_search, op8_bpe_round_trip, op9_personal_data, op10_warc, op11_jaccard_join)}
+    op7_hnsw_search, op8_bpe_round_trip, op9_personal_data, op10_warc, op11_jaccard_join,
+    op12_conversation_repair, op13_ranked_search)}
 
 ORACLE_SQL = {"op10_warc": """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -118,4 +129,22 @@ ORACLE_SQL = {"op10_warc": """
          root AS (SELECT cls, min(low) AS root FROM reach GROUP BY cls),
          named AS (SELECT root.root, min(s.doc_id) AS component_id FROM member JOIN root USING (cls) JOIN s USING (rid) GROUP BY root.root)
     SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE named.component_id END AS component_id
-    FROM s LEFT JOIN member USING (rid) LEFT JOIN root USING (cls) LEFT JOIN named USING (root)"""}
+    FROM s LEFT JOIN member USING (rid) LEFT JOIN root USING (cls) LEFT JOIN named USING (root)""",
+    "op13_ranked_search": r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+         i AS (SELECT row_number() OVER () AS iid, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+         dt AS (SELECT rid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+         it AS (SELECT iid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+         tf AS (SELECT rid, term, count(*) AS tf FROM dt GROUP BY rid, term),
+         len AS (SELECT rid, sum(tf)::BIGINT AS n FROM tf GROUP BY rid),
+         tot AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM len),
+         w AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, tot GROUP BY term),
+         q AS (SELECT iid, term, count(*) AS k FROM it GROUP BY iid, term),
+         c AS (SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))) AS c
+               FROM tf JOIN len USING (rid) JOIN w USING (term), tot WHERE term IN (SELECT term FROM q)),
+         s AS (SELECT iid, rid, sum(k * c)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY iid, rid),
+         r AS (SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank
+               FROM s JOIN d USING (rid) WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN i USING (iid) WHERE rank <= 10"""}
