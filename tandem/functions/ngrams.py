@@ -2,18 +2,20 @@
 
 * ``gram_bits``: native expression, the set of hashed n-gram bits of a string
   (bit = first 7 hex digits of md5(gram) as an integer, mod ``nbits``).
-* ``clipped_matches``: the per-row Python helper behind BLEU and count
-  Tanimoto. Both strings of a pair sit on one row, so clipping needs no
-  shuffle; it runs over Arrow batches inside ``mapInPandas``.
+* ``paired_grams`` and what is built on it: the n-grams of two columns over a
+  whole slice of rows, as arrays of (row, gram). Both strings of a pair sit on
+  one row, so clipping needs no shuffle, and no step loops over rows.
+* ``edit_distances``: bit-parallel edit distance of many pairs at once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,123 +42,157 @@ def set_tanimoto(a: Column, b: Column, empty_value: float = 0.0) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / union, F.lit(float(empty_value)))
 
 
-def clipped_matches(hyp: str, ref: str, max_n: int) -> list[int]:
-    """Per n = 1..max_n: sum over hyp n-grams of min(count in hyp, count in ref).
-
-    Vectorised: code points are renumbered over the pair's own alphabet, each
-    n-gram packed into one int64, counted with ``np.unique`` and matched with
-    ``intersect1d``. Pairs whose alphabet needs more than 62 bits for max_n
-    characters fall back to counting dictionaries."""
-    lh, lr = len(hyp), len(ref)
-    if lh == 0 or lr == 0:
-        return [0] * max_n
-    a = np.frombuffer(hyp.encode("utf-32-le"), dtype=np.uint32)
-    b = np.frombuffer(ref.encode("utf-32-le"), dtype=np.uint32)
-    alphabet, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    bits = max(1, int(len(alphabet)).bit_length())
-    if bits * max_n > 62:
-        return _clipped_matches_dict(hyp, ref, max_n)
-    ia = inv[:lh].astype(np.int64)
-    ib = inv[lh:].astype(np.int64)
-    ka, kb = ia, ib
-    out = []
-    for n in range(1, max_n + 1):
+class Grams(NamedTuple):
+    """The distinct n-grams of every row: entry k says that gram ``gram[k]`` stands ``left[k]`` times in the left
+    string of row ``row[k]`` and ``right[k]`` times in the right one. ``at``: for each gram number the place of one
+    occurrence in the joined strings."""
+
+    n: int
+    row: np.ndarray
+    gram: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    at: np.ndarray
+
+
+def paired_grams(left: Sequence[str], right: Sequence[str], sizes: Sequence[int]) -> Iterator[Grams]:
+    """:class:`Grams` for each n of ``sizes`` (ascending). Grams are numbered over the whole slice: an n-gram is its
+    first n - 1 characters' number and its last character, numbered anew by hashing."""
+    strings = [*left, *right]
+    rows, total = len(left), sum(map(len, left))
+    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    values = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes, alphabet = pd.factorize(values)
+    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
+    end = np.repeat(np.cumsum(lengths), lengths)
+    at, gram = np.arange(len(values)), codes
+    for n in range(1, max(sizes) + 1):
         if n > 1:
-            ka = (ka[:-1] << bits) | ia[n - 1:]
-            kb = (kb[:-1] << bits) | ib[n - 1:]
-        if len(ka) == 0 or len(kb) == 0:
-            out.extend([0] * (max_n - n + 1))
-            break
-        ua, ca = np.unique(ka, return_counts=True)
-        ub, cb = np.unique(kb, return_counts=True)
-        _, xa, xb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        out.append(int(np.minimum(ca[xa], cb[xb]).sum()))
-    return out
-
-
-def _clipped_matches_dict(hyp: str, ref: str, max_n: int) -> list[int]:
-    out = []
-    lh, lr = len(hyp), len(ref)
-    for n in range(1, max_n + 1):
-        if lh < n or lr < n:
-            out.append(0)
-            continue
-        ch = Counter(hyp[i:i + n] for i in range(lh - n + 1))
-        cr = Counter(ref[i:i + n] for i in range(lr - n + 1))
-        out.append(sum((ch & cr).values()))
-    return out
-
-
-_HASH_CACHE: dict[bytes, int] = {}
+            whole = at + n <= end[at]
+            at = at[whole]
+            gram = pd.factorize(gram[whole] * len(alphabet) + codes[at + n - 1])[0]
+        if n in sizes:
+            n_grams = int(gram.max(initial=-1)) + 1
+            entry, distinct = pd.factorize(row[at] * n_grams + gram)
+            split = np.searchsorted(at, total)
+            place = np.zeros(n_grams, dtype=np.int64)
+            place[gram] = at
+            yield Grams(n, distinct // max(n_grams, 1), distinct % max(n_grams, 1), np.bincount(entry[:split], minlength=len(distinct)),
+                        np.bincount(entry[split:], minlength=len(distinct)), place)
+
+
+_HASH_CACHE: dict[str, int] = {}
 _HASH_CACHE_MAX = 2_000_000
 
 
-def _gram_hash(g: bytes) -> int:
-    """First 7 hex digits of md5(g) as an integer (= top 28 bits of the digest)."""
+def _gram_hash(g: str) -> int:
+    """First 7 hex digits of md5(g) as an integer (= top 28 bits of the digest), kept per worker."""
     h = _HASH_CACHE.get(g)
     if h is None:
-        h = int.from_bytes(hashlib.md5(g).digest()[:4], "big") >> 4
+        h = int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big") >> 4
         if len(_HASH_CACHE) >= _HASH_CACHE_MAX:
             _HASH_CACHE.clear()
         _HASH_CACHE[g] = h
     return h
 
 
-def gram_hashes(s: str, ns) -> dict[int, set[int]]:
-    """Per n in ``ns``: the md5-derived integers (first 7 hex digits) of the
-    distinct n-grams of ``s`` (memoised per worker: grams recur across rows).
-    ASCII text is sliced as bytes once instead of encoding every gram."""
-    out = {}
-    data = s.encode("ascii") if s.isascii() else None
-    for n in ns:
-        if data is not None:
-            grams = {data[i:i + n] for i in range(len(data) - n + 1)}
-        else:
-            grams = {s[i:i + n].encode("utf-8") for i in range(len(s) - n + 1)}
-        out[n] = {_gram_hash(g) for g in grams}
+def pair_counts(left: Sequence[str], right: Sequence[str], max_n: int = 0, widths: dict[int, tuple[int, ...]] | None = None,
+                empty_value: float = 0.0) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """For rows of (left, right): ``matches[n - 1, row]``, the clipped n-gram matches for n up to ``max_n`` (sum over
+    the left string's n-grams of the lesser of both counts), and per width of ``widths`` (bits -> n-gram sizes) the set
+    Tanimoto of the hashed fingerprints, the same bits as ``gram_bits``."""
+    rows, widths = len(left), widths or {}
+    matches = np.zeros((max_n, rows), dtype=np.int64)
+    flags = {w: np.zeros((2, rows, w), dtype=bool) for w in widths}
+    hashed = {n for sizes in widths.values() for n in sizes}
+    joined = "".join([*left, *right]) if hashed else ""
+    for g in paired_grams(left, right, sorted({*range(1, max_n + 1), *hashed})):
+        if g.n <= max_n:
+            matches[g.n - 1] = np.bincount(g.row, np.minimum(g.left, g.right), minlength=rows)
+        if g.n in hashed:
+            value = np.fromiter((_gram_hash(joined[i:i + g.n]) for i in g.at.tolist()), dtype=np.int64, count=len(g.at))
+            for w, sizes in widths.items():
+                if g.n in sizes:
+                    bit = (value % w)[g.gram]
+                    for side, held in enumerate((g.left > 0, g.right > 0)):
+                        flags[w][side, g.row[held], bit[held]] = True
+    tanimoto = {}
+    for w, (a, b) in flags.items():
+        both, either = (a & b).sum(axis=1), (a | b).sum(axis=1)
+        tanimoto[w] = np.where(either > 0, both / np.maximum(either, 1), float(empty_value))
+    return matches, tanimoto
+
+
+def edit_distances(left: Sequence[str], right: Sequence[str], words: int = 1 << 13) -> np.ndarray:
+    """Levenshtein distance over code points of each pair. Pairs of like lengths go through the bit-parallel
+    recurrence together, about ``words`` 64-bit words of pattern at a time."""
+    out = np.zeros(len(left), dtype=np.int64)
+    todo = []
+    for k, (a, b) in enumerate(zip(left, right, strict=True)):
+        if a != b:
+            todo.append((-(-min(len(a), len(b)) // 64), max(len(a), len(b)), k))
+    todo.sort()
+    lo = 0
+    while lo < len(todo):
+        hi = lo + 1
+        while hi < len(todo) and (hi + 1 - lo) * max(1, todo[hi][0]) <= words:
+            hi += 1
+        at = [k for *_, k in todo[lo:hi]]
+        pairs = [sorted((left[k], right[k]), key=len) for k in at]
+        out[at] = _edit_distances([p[0] for p in pairs], [p[1] for p in pairs])
+        lo = hi
     return out
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance over code points, bit-parallel (Myers / Hyyro):
-    one pass over the longer string with the shorter one as a bit vector."""
-    if len(a) < len(b):
-        a, b = b, a
-    m = len(b)
-    if m == 0:
-        return len(a)
-    peq: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        peq[ch] = peq.get(ch, 0) | (1 << i)
-    full = (1 << m) - 1
-    top = 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for ch in a:
-        eq = peq.get(ch, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (~(xh | pv) & full)
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = ((ph << 1) | 1) & full
-        mh = (mh << 1) & full
-        pv = mh | (~(xv | ph) & full)
-        mv = ph & xv
-    return score
-
-
-def bits_tanimoto(a: str, b: str, widths: dict[int, tuple[int, ...]], empty_value: float = 0.0) -> dict[int, float]:
-    """Set Tanimoto of hashed n-gram fingerprints per width; same bits as
-    ``gram_bits`` (md5 prefix mod width)."""
-    all_ns = sorted({n for ns in widths.values() for n in ns})
-    ha, hb = gram_hashes(a, all_ns), gram_hashes(b, all_ns)
-    out = {}
-    for w, ns in widths.items():
-        sa = {h % w for n in ns for h in ha[n]}
-        sb = {h % w for n in ns for h in hb[n]}
-        union = len(sa | sb)
-        out[w] = (len(sa & sb) / union) if union else float(empty_value)
-    return out
+def _flat(strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code point, its string, its place there) of all strings, and their lengths."""
+    n = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    values = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(n)), n)
+    return values.astype(np.int64), row, np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n), n
+
+
+def _edit_distances(short: Sequence[str], long: Sequence[str]) -> np.ndarray:
+    """Columns of the edit matrix as differences in bits (pattern: the short string), for all pairs at once: one step
+    per character of the long strings, each on arrays of (pair, word)."""
+    c, row, place, m = _flat(short)
+    n_words = max(1, -(-int(m.max(initial=0)) // 64))
+    letters, letter = np.unique(row << 21 | c, return_inverse=True)
+    equal = np.zeros((len(letters) + 1, n_words), dtype=np.uint64)  # where each letter of a pair stands; last: nowhere
+    np.bitwise_or.at(equal, (letter, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    c, row, place, n = _flat(long)
+    steps = np.full((int(n.max(initial=0)), len(n)), len(letters), dtype=np.int64)
+    if len(letters):
+        at = np.minimum(np.searchsorted(letters, row << 21 | c), len(letters) - 1)
+        steps[place, row] = np.where(letters[at] == (row << 21 | c), at, len(letters))
+    one, high = np.uint64(1), np.uint64(63)
+    up = np.full((len(n), n_words), ~np.uint64(0))  # +1 steps down the column
+    down = np.zeros_like(up)  # -1 steps
+    last = np.maximum(m - 1, 0)
+    pairs, word, bit = np.arange(len(n)), last // 64, (last % 64).astype(np.uint64)
+    score = m.copy()
+    for j, step in enumerate(steps):
+        eq = equal[step]
+        vertical = eq | down
+        a = eq & up
+        total = a + up
+        carry = total < a
+        while n_words > 1 and carry[:, :-1].any():
+            more = np.zeros_like(total)
+            more[:, 1:] = carry[:, :-1]
+            total += more
+            carry = (total == 0) & (more == one)
+        horizontal = (total ^ up) | eq
+        plus = down | ~(horizontal | up)
+        minus = up & horizontal
+        change = ((plus[pairs, word] >> bit) & one).astype(np.int64) - ((minus[pairs, word] >> bit) & one).astype(np.int64)
+        score += np.where(j < n, change, 0)
+        over_plus, over_minus = plus >> high, minus >> high
+        plus <<= one
+        minus <<= one
+        plus[:, 0] |= one
+        plus[:, 1:] |= over_plus[:, :-1]
+        minus[:, 1:] |= over_minus[:, :-1]
+        up = minus | ~(vertical | plus)
+        down = plus & vertical
+    return np.where(m == 0, n, score)

@@ -7,23 +7,27 @@ sums per group and partition crosses the network, and the same statistics
 serve batch, per-group (rollup) and streaming reports.
 
 Per-pair statistics:
-* status (bad / gt_dropped / kept), exact match, edit distance, hashed-bit
-  Tanimoto: native expressions;
-* clipped n-gram matches for BLEU and count Tanimoto: ``clipped_matches`` over
-  Arrow batches (both strings are on the row, so no shuffle).
+* status (bad / gt_dropped / kept), exact match: native expressions;
+* clipped n-gram matches, fingerprints and edit distance: array kernels over
+  slices of whole Arrow batches (both strings are on the row, so no shuffle).
+
+A kept pair whose comparison raises (``raised``: with identity keys, one of the
+two has no key) counts as bad for validity, stays in the exact-match and
+edit-distance means, and leaves the means of the three similarities.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.ngrams import bits_tanimoto, clipped_matches, edit_distance, gram_bits, set_tanimoto
+from tandem.functions.ngrams import edit_distances, gram_bits, pair_counts, set_tanimoto
 from tandem.functions.text import clean_generated, non_empty
 
 # --- Fixed values of the metric definitions ---
@@ -58,26 +62,37 @@ def prepare_pairs(pairs: DataFrame, canonicalise: Canon | None = None,
                   is_valid: Canon = non_empty, keep: Sequence[str] = ("pair_id",),
                   gt_col: str = "gt_raw", pred_col: str = "pred_raw",
                   gt_decoded: str | None = None, pred_decoded: str | None = None,
-                  clean: bool = True) -> DataFrame:
+                  clean: bool = True, identity: tuple[str, str] | None = None) -> DataFrame:
     """Clean the prediction, canonicalise both decoded forms, classify the pair.
 
     Output: ``keep`` columns, gt_self, pred_self (raw forms), gt_can,
-    pred_can (canonical or NULL when invalid), status.
+    pred_can (canonical or NULL when invalid), status. With ``identity =
+    (gt_key, pred_key)``, the columns of the identity keys (from
+    ``codec.canonical_match``, or a guarded function of ``codec.safe_apply``,
+    whose failures are NULL): also ``same`` (both keys there and equal) and
+    ``raised`` (a kept pair that cannot be compared, as a key is missing).
     """
     canon = canonicalise or _identity
     pred_self = clean_generated(F.col(pred_col)) if clean else F.col(pred_col)
     gt_self = F.coalesce(F.col(gt_col), F.lit(""))
     gt_dec = F.coalesce(F.col(gt_decoded), F.lit("")) if gt_decoded else F.col("gt_self")
     pred_dec = F.coalesce(F.col(pred_decoded), F.lit("")) if pred_decoded else F.col("pred_self")
-    base = pairs.select(*keep, gt_self.alias("gt_self"), pred_self.alias("pred_self"),
-                        *([F.col(gt_decoded)] if gt_decoded else []),
-                        *([F.col(pred_decoded)] if pred_decoded else []))
+    also = dict.fromkeys([*([gt_decoded] if gt_decoded else []), *([pred_decoded] if pred_decoded else []), *(identity or ())])
+    base = pairs.select(*keep, gt_self.alias("gt_self"), pred_self.alias("pred_self"), *[c for c in also if c not in keep])
     g = canon(gt_dec)
     p = canon(pred_dec)
     out = base.select(*keep, "gt_self", "pred_self",
                       F.when(is_valid(g), g).alias("gt_can"),
-                      F.when(is_valid(p), p).alias("pred_can"))
-    return out.withColumn("status", pair_status(F.col("gt_can"), F.col("pred_can")))
+                      F.when(is_valid(p), p).alias("pred_can"),
+                      *[c for c in identity or () if c not in keep])
+    out = out.withColumn("status", pair_status(F.col("gt_can"), F.col("pred_can")))
+    if identity is None:
+        return out
+    gt_key, pred_key = map(F.col, identity)
+    out = out.withColumns({
+        "same": F.coalesce(gt_key == pred_key, F.lit(False)),
+        "raised": (F.col("status") == "kept") & (gt_key.isNull() | pred_key.isNull())})
+    return out.drop(*[c for c in identity if c not in keep])
 
 
 def status_counts(prepared: DataFrame) -> DataFrame:
@@ -87,8 +102,18 @@ def status_counts(prepared: DataFrame) -> DataFrame:
 
 # --- per-pair statistics ------------------------------------------------------
 
-def _gram_specs(max_n: int) -> list[str]:
-    return [f"m{n}" for n in range(1, max_n + 1)]
+SLICE_CHARS, SLICE_ROWS = 1 << 19, 1 << 11  # of one pass of the kernels; a pair over it passes alone
+
+
+def _pair_slices(left: Sequence[str], right: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with bounded characters and rows."""
+    size = np.cumsum([len(a) + len(b) for a, b in zip(left, right, strict=True)])
+    lo = 0
+    while lo < len(size):
+        used = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, min(int(np.searchsorted(size, used + SLICE_CHARS, "right")), lo + SLICE_ROWS))
+        yield lo, hi
+        lo = hi
 
 
 def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
@@ -96,69 +121,75 @@ def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
                          drop: Sequence[str] = (), bits: tuple[str, str] | None = None,
                          empty_value: float = 0.0, lev: tuple[str, str] | None = None) -> DataFrame:
     """Append ``{prefix}_m1..m{max_n}`` clipped n-gram matches for each
-    (prefix, hyp_col, ref_col) spec, computed per Arrow batch; with ``bits =
-    (gt_col, pred_col)`` also ``bits_small`` / ``bits_large`` (hashed n-gram
-    fingerprint Tanimoto); with ``lev = (hyp_col, ref_col)`` also ``lev``
-    (edit distance). Rows whose ``use_col`` is false get zeros.
+    (prefix, hyp_col, ref_col) spec; with ``bits = (pred_col, gt_col)`` also
+    ``bits_small`` / ``bits_large`` (hashed n-gram fingerprint Tanimoto); with
+    ``lev = (hyp_col, ref_col)`` also ``lev`` (edit distance). Rows whose
+    ``use_col`` is false or that miss a string get zeros. Each pair of columns
+    goes through the kernels once, a slice of rows at a time.
     ``drop`` columns are not passed back."""
     keep_fields = [f for f in df.schema.fields if f.name not in set(drop)]
-    new_fields = [T.StructField(f"{p}_{m}", T.LongType(), False) for p, _, _ in specs for m in _gram_specs(max_n)]
+    new_fields = [T.StructField(f"{p}_m{n}", T.LongType(), False) for p, _, _ in specs for n in range(1, max_n + 1)]
     if bits:
         new_fields += [T.StructField("bits_small", T.DoubleType(), False),
                        T.StructField("bits_large", T.DoubleType(), False)]
     if lev:
         new_fields += [T.StructField("lev", T.LongType(), False)]
-    schema = T.StructType(keep_fields + new_fields)
     keep_names = [f.name for f in keep_fields]
     widths = {BITS_SMALL[0]: BITS_SMALL[1], BITS_LARGE[0]: BITS_LARGE[1]}
-
-    def run(batches):
-        for pdf in batches:
-            use = pdf[use_col].to_numpy() if use_col else None
-            out = pdf[keep_names].copy()
-            for prefix, hyp_c, ref_c in specs:
-                hyps = pdf[hyp_c].to_numpy()
-                refs = pdf[ref_c].to_numpy()
-                cols = [[0] * len(pdf) for _ in range(max_n)]
-                for i in range(len(pdf)):
-                    if use is not None and not use[i]:
-                        continue
-                    h, r = hyps[i], refs[i]
-                    if h is None or r is None:
-                        continue
-                    for k, v in enumerate(clipped_matches(h, r, max_n)):
-                        cols[k][i] = v
-                for k in range(max_n):
-                    out[f"{prefix}_m{k + 1}"] = pd.Series(cols[k], index=pdf.index, dtype="int64")
-            if bits:
-                gts, preds = pdf[bits[0]].to_numpy(), pdf[bits[1]].to_numpy()
-                small, large = [0.0] * len(pdf), [0.0] * len(pdf)
-                for i in range(len(pdf)):
-                    if (use is not None and not use[i]) or gts[i] is None or preds[i] is None:
-                        continue
-                    t = bits_tanimoto(gts[i], preds[i], widths, empty_value)
-                    small[i], large[i] = t[BITS_SMALL[0]], t[BITS_LARGE[0]]
-                out["bits_small"] = pd.Series(small, index=pdf.index, dtype="float64")
-                out["bits_large"] = pd.Series(large, index=pdf.index, dtype="float64")
-            if lev:
-                hs, rs = pdf[lev[0]].to_numpy(), pdf[lev[1]].to_numpy()
-                dist = [0] * len(pdf)
-                for i in range(len(pdf)):
-                    if (use is not None and not use[i]) or hs[i] is None or rs[i] is None:
-                        continue
-                    dist[i] = edit_distance(hs[i], rs[i])
-                out["lev"] = pd.Series(dist, index=pdf.index, dtype="int64")
-            yield out
-
-    return df.mapInPandas(run, schema)
+    tables = {(h, r): [p for p, a, b in specs if (a, b) == (h, r)] for _, h, r in specs}
+    if bits:
+        tables.setdefault(tuple(bits), [])
+    if lev:
+        tables.setdefault(tuple(lev), [])
+
+    def count(batch: pa.RecordBatch, out: dict[str, np.ndarray], columns: tuple[str, str], prefixes: list[str]) -> None:
+        hyp, ref = (batch.column(c) for c in columns)
+        use = hyp.is_valid().to_numpy(zero_copy_only=False) & ref.is_valid().to_numpy(zero_copy_only=False)
+        if use_col:
+            use &= batch.column(use_col).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(use)
+        hyp, ref = (c.take(pa.array(at)).to_pylist() for c in (hyp, ref))
+        own_bits = widths if bits and columns == tuple(bits) else None
+        for lo, hi in _pair_slices(hyp, ref):
+            rows = at[lo:hi]
+            if prefixes or own_bits:
+                matches, tanimoto = pair_counts(hyp[lo:hi], ref[lo:hi], max_n if prefixes else 0, own_bits, empty_value)
+                for prefix in prefixes:
+                    for n in range(1, max_n + 1):
+                        out[f"{prefix}_m{n}"][rows] = matches[n - 1]
+                if own_bits:
+                    out["bits_small"][rows], out["bits_large"][rows] = tanimoto[BITS_SMALL[0]], tanimoto[BITS_LARGE[0]]
+            if lev and columns == tuple(lev):
+                out["lev"][rows] = edit_distances(hyp[lo:hi], ref[lo:hi])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {f.name: np.zeros(batch.num_rows, dtype=np.int64 if f.dataType == T.LongType() else np.float64) for f in new_fields}
+            for columns, prefixes in tables.items():
+                count(batch, out, columns, prefixes)
+            yield pa.record_batch({**{c: batch.column(c) for c in keep_names}, **out})
+
+    return df.mapInArrow(run, T.StructType(keep_fields + new_fields))
+
+
+SPREAD_BYTES = 8 << 20  # of input per task; with more of it, the splits and shuffles of the plan feed every task
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables and files a plan reads, as the planner knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Hash-partition rows before CPU-heavy per-row work. Pair rows are small
-    in bytes but costly to score, so AQE's size-based coalescing would
-    otherwise pack them into very few tasks."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
+    """Rows in enough partitions for CPU-heavy work. Pair rows are small in bytes but costly to score, so a small
+    input, which arrives in a few splits or is packed into a few tasks after a shuffle, is repartitioned; an input
+    above ``SPREAD_BYTES`` per task is not, so texts are never shuffled for it at scale. ``partitions`` forces a count."""
+    spark = df.sparkSession
+    parallel = spark.sparkContext.defaultParallelism
+    if partitions is None and _input_bytes(df) >= parallel * SPREAD_BYTES:
+        return df
+    return df.repartition(partitions or max(parallel, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def with_bit_tanimoto(df: DataFrame, use: Column, empty_value: float = 0.0) -> DataFrame:
@@ -184,20 +215,23 @@ def pair_stats(prepared: DataFrame, group_cols: Sequence[str] = (), empty_value:
     kept = F.col("status") == "kept"
     gc, pc = F.col("gt_can"), F.col("pred_can")
     base = spread(prepared, "pair_id", partitions)
+    keyed = "raised" in prepared.columns
+    raised = F.col("raised") if keyed else F.lit(False)
     native = base.select(
         "pair_id", *group_cols, "status", "gt_self", "pred_self", "gt_can", "pred_can",
-        F.when(kept, (gc == pc).cast("long")).otherwise(0).alias("exact"),
-        (kept).alias("_use"),
+        F.when(kept, (F.col("same") if keyed else gc == pc).cast("long")).otherwise(0).alias("exact"),
+        raised.alias("raised"), kept.alias("_use"),
     )
     counted = with_clipped_matches(
         native, [("c", "pred_can", "gt_can"), ("s", "pred_self", "gt_self")], use_col="_use",
-        bits=("gt_can", "pred_can"), empty_value=empty_value, lev=("pred_can", "gt_can"))
+        bits=("pred_can", "gt_can"), empty_value=empty_value, lev=("pred_can", "gt_can"))
     h_c = F.coalesce(F.length("pred_can"), F.lit(0))
     r_c = F.coalesce(F.length("gt_can"), F.lit(0))
     h_s = F.length("pred_self")
     r_s = F.length("gt_self")
     cols = [F.col("pair_id"), *[F.col(g) for g in group_cols], F.col("status"),
-            F.col("exact"), F.col("lev"), F.col("bits_small"), F.col("bits_large")]
+            F.col("exact"), F.col("lev"), F.col("raised"),
+            *[F.when(F.col("raised"), 0.0).otherwise(F.col(c)).alias(c) for c in ("bits_small", "bits_large")]]
     for prefix, h, r in (("c", h_c, r_c), ("s", h_s, r_s)):
         cols.append(F.when(kept, h).otherwise(0).cast("long").alias(f"{prefix}_hyp"))
         cols.append(F.when(kept, r).otherwise(0).cast("long").alias(f"{prefix}_ref"))
@@ -210,7 +244,7 @@ def pair_stats(prepared: DataFrame, group_cols: Sequence[str] = (), empty_value:
     tot_a = sum((F.greatest(F.lit(0), r_c - n + 1) for n in range(1, COUNT_GRAMS_MAX_N + 1)), F.lit(0))
     tot_b = sum((F.greatest(F.lit(0), h_c - n + 1) for n in range(1, COUNT_GRAMS_MAX_N + 1)), F.lit(0))
     denom = tot_a + tot_b - inter
-    cols.append(F.when(kept, F.when(denom == 0, F.lit(float(empty_value))).otherwise(inter / denom))
+    cols.append(F.when(kept & ~F.col("raised"), F.when(denom == 0, F.lit(float(empty_value))).otherwise(inter / denom))
                 .otherwise(0.0).alias("counts_tan"))
     return counted.select(*cols)
 
@@ -221,6 +255,7 @@ def sum_stats(grouped, extra: Sequence[Column] = ()) -> DataFrame:
     aggs = [*extra, F.count(F.lit(1)).alias("n_total"),
             F.count_if(F.col("status") == "bad").alias("n_bad"),
             F.count_if(F.col("status") == "kept").alias("n_kept"),
+            F.count_if("raised").alias("n_raised"),
             F.sum("exact").alias("sum_exact"), F.sum("lev").alias("sum_lev"),
             F.sum("bits_small").alias("sum_bits_small"), F.sum("bits_large").alias("sum_bits_large"),
             F.sum("counts_tan").alias("sum_counts_tan")]
@@ -247,34 +282,40 @@ def bleu_from_sums(prefix: str, max_n: int = BLEU_MAX_N) -> Column:
     return F.when(F.col(f"{prefix}_m1") == 0, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
 
 
-def report_from_sums(sums: DataFrame, group_cols: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
-    """E8 final projection; with nothing kept every metric but validity is 0.0."""
+def report_from_sums(sums: DataFrame, group_cols: Sequence[str] = (), digits: int | None = 6,
+                     with_raised: bool = False) -> DataFrame:
+    """E8 final projection; with nothing kept every metric but validity is 0.0, and so are the similarities when
+    every kept pair raised."""
     kept = F.col("n_kept").cast("double")
+    compared = F.col("n_kept") - F.col("n_raised")
     any_kept = F.col("n_kept") > 0
 
     def guard(c: Column) -> Column:
         return F.when(any_kept, c).otherwise(F.lit(0.0))
 
-    validity = F.when(F.col("n_total") > 0, 1 - F.col("n_bad") / F.col("n_total")).otherwise(F.lit(0.0))
+    def similarity(total: str) -> Column:
+        return F.when(compared > 0, F.col(total) / compared).otherwise(F.lit(0.0))
+
+    validity = F.when(F.col("n_total") > 0, 1 - (F.col("n_bad") + F.col("n_raised")) / F.col("n_total")).otherwise(F.lit(0.0))
     cols = {
         "bleu_smi": guard(bleu_from_sums("c")),
         "bleu_self": guard(bleu_from_sums("s")),
         "exact_match": guard(F.col("sum_exact") / kept),
         "levenshtein_smi": guard(F.col("sum_lev") / kept),
         "validity": validity,
-        "maccs_sims": guard(F.col("sum_bits_small") / kept),
-        "rdk_sims": guard(F.col("sum_bits_large") / kept),
-        "morgan_sims": guard(F.col("sum_counts_tan") / kept),
+        "maccs_sims": similarity("sum_bits_small"),
+        "rdk_sims": similarity("sum_bits_large"),
+        "morgan_sims": similarity("sum_counts_tan"),
     }
     rnd = (lambda c: F.round(c.cast("double"), digits)) if digits is not None else (lambda c: c.cast("double"))
-    return sums.select(*group_cols, F.col("n_total"), F.col("n_bad"), F.col("n_kept"),
+    return sums.select(*group_cols, F.col("n_total"), F.col("n_bad"), F.col("n_kept"), *(["n_raised"] if with_raised else []),
                        *[rnd(c).alias(k) for k, c in cols.items()])
 
 
 def eval_report(prepared: DataFrame, empty_value: float = 0.0) -> DataFrame:
-    """The whole report as one row."""
+    """The whole report as one row; of pairs with identity keys, with ``n_raised``."""
     stats = pair_stats(prepared, empty_value=empty_value)
-    return report_from_sums(sum_stats(stats))
+    return report_from_sums(sum_stats(stats), with_raised="raised" in prepared.columns)
 
 
 def eval_report_by_group(prepared: DataFrame, group_col: str, empty_value: float = 0.0) -> DataFrame:
@@ -282,7 +323,7 @@ def eval_report_by_group(prepared: DataFrame, group_col: str, empty_value: float
     group NULL), from one rollup over the same additive statistics."""
     stats = pair_stats(prepared, group_cols=[group_col], empty_value=empty_value)
     sums = sum_stats(stats.rollup(group_col), extra=[F.grouping_id().cast("int").alias("is_total")])
-    return report_from_sums(sums, group_cols=[group_col, "is_total"])
+    return report_from_sums(sums, group_cols=[group_col, "is_total"], with_raised="raised" in prepared.columns)
 
 
 # --- single-metric queries (each a narrower plan over the same pieces) --------
@@ -310,11 +351,13 @@ def corpus_bleu(prepared: DataFrame, hyp_col: str, ref_col: str, name: str) -> D
 
 
 def exact_match(prepared: DataFrame) -> DataFrame:
-    """Share of kept pairs whose canonical forms are equal."""
+    """Share of kept pairs that are the same: by their canonical forms or, where they have them, by their identity
+    keys. A pair whose comparison raises stays in the denominator and matches nothing."""
     kept = prepared.where(F.col("status") == "kept")
-    return kept.agg(F.count(F.lit(1)).alias("n_kept"),
-                    F.round(F.coalesce(F.avg((F.col("gt_can") == F.col("pred_can")).cast("double")), F.lit(0.0)), 6)
-                    .alias("exact_match"))
+    keyed = "raised" in prepared.columns
+    same = F.col("same") if keyed else F.col("gt_can") == F.col("pred_can")
+    return kept.agg(F.count(F.lit(1)).alias("n_kept"), *([F.count_if("raised").alias("n_raised")] if keyed else []),
+                    F.round(F.coalesce(F.avg(same.cast("double")), F.lit(0.0)), 6).alias("exact_match"))
 
 
 def levenshtein_mean(prepared: DataFrame) -> DataFrame:
@@ -328,7 +371,7 @@ def levenshtein_mean(prepared: DataFrame) -> DataFrame:
 def tanimoto_bits(prepared: DataFrame, empty_value: float = 0.0) -> DataFrame:
     """Mean set Tanimoto of hashed n-gram bits, short and long fingerprint."""
     kept = spread(prepared.where(F.col("status") == "kept"), "pair_id")
-    scored = with_clipped_matches(kept.select("gt_can", "pred_can"), [], bits=("gt_can", "pred_can"),
+    scored = with_clipped_matches(kept.select("gt_can", "pred_can"), [], bits=("pred_can", "gt_can"),
                                   empty_value=empty_value)
     return scored.agg(F.count(F.lit(1)).alias("n_kept"),
                       F.round(F.coalesce(F.avg("bits_small"), F.lit(0.0)), 6).alias("bits_167"),

@@ -219,6 +219,29 @@ def _on_sums(select: str) -> str:
     return f"WITH {PREPARED}{PAIR_STATS}, sums AS (SELECT {SUM_COLS} FROM ps) SELECT {select} FROM sums"
 
 
+# Pairs with identity keys: one without a key on either side raises.
+KEYED = f"""WITH {PREPARED}{PAIR_STATS}, {BOOK.removeprefix(PAIRS + ",").lstrip()},
+keyed AS (SELECT ps.* EXCLUDE (exact, bits_small, bits_large, counts_tan),
+       ps.status = 'kept' AND (k1.canonical_key IS NULL OR k2.canonical_key IS NULL) AS raised,
+       (ps.status = 'kept' AND coalesce(k1.canonical_key = k2.canonical_key, false))::BIGINT AS exact,
+       ps.bits_small * (NOT raised)::INTEGER AS bits_small, ps.bits_large * (NOT raised)::INTEGER AS bits_large,
+       ps.counts_tan * (NOT raised)::INTEGER AS counts_tan
+  FROM ps JOIN prepared p USING (pair_id) LEFT JOIN canonical_keys k1 ON k1.raw = p.gt_self
+  LEFT JOIN canonical_keys k2 ON k2.raw = p.pred_self)"""
+
+
+def _similarity(total: str) -> str:
+    return f"round(CASE WHEN n_kept > n_raised THEN {total} / (n_kept - n_raised) ELSE 0.0 END, 6)"
+
+
+KEYED_COLS = f"""n_total, n_bad, n_kept, n_raised,
+  {_g(bleu('c'))} AS bleu_smi, {_g(bleu('s'))} AS bleu_self, {_g('sum_exact / n_kept')} AS exact_match,
+  {_g('sum_lev / n_kept')} AS levenshtein_smi,
+  round(CASE WHEN n_total > 0 THEN 1 - (n_bad + n_raised) / n_total ELSE 0.0 END, 6) AS validity,
+  {_similarity('sum_bits_small')} AS maccs_sims, {_similarity('sum_bits_large')} AS rdk_sims,
+  {_similarity('sum_counts_tan')} AS morgan_sims"""
+
+
 VEC_PAIRS = """
 vp AS (SELECT x.vec_id // 2 AS id, (x.vec_id // 2) % 4 AS shard, (x.vec_id // 2) // 8 AS batch_id,
               list_transform(x.embedding, lambda v: v::DOUBLE) AS xe,
@@ -432,6 +455,12 @@ ORACLES: dict[str, str] = {
     "eval_report_by_group": f"""WITH {PREPARED}{PAIR_STATS},
         sums AS (SELECT variant, grouping(variant)::INTEGER AS is_total, {SUM_COLS} FROM ps GROUP BY ROLLUP (variant))
         SELECT variant, is_total, {REPORT_COLS} FROM sums""",
+    "exact_match_by_key": f"""{KEYED} SELECT count(*) AS n_kept, count(*) FILTER (WHERE raised) AS n_raised,
+        round(coalesce(avg(exact), 0.0), 6) AS exact_match FROM keyed WHERE status = 'kept'""",
+    "eval_report_by_key": f"""{KEYED},
+        sums AS (SELECT variant, grouping(variant)::INTEGER AS is_total, {SUM_COLS},
+                        count(*) FILTER (WHERE raised) AS n_raised FROM keyed GROUP BY ROLLUP (variant))
+        SELECT variant, is_total, {KEYED_COLS} FROM sums""",
     # A
     "masked_mean_pool": """WITH
         ex AS (SELECT label::BIGINT AS seq_id, CASE WHEN vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END AS w,

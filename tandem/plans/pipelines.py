@@ -47,13 +47,16 @@ class Evaluation:
 
 
 def evaluate_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id", codebook: DataFrame | None = None,
-                         canonicalise=None, is_valid=non_empty, out_dir: str | None = None) -> Evaluation:
+                         canonicalise=None, is_valid=non_empty, out_dir: str | None = None,
+                         identity_keys: DataFrame | None = None) -> Evaluation:
     """Pair predictions (``key``, ``pred_raw``) with references (``key``,
     ``caption``, ``gt_raw``) on the key; clean the generated text; decode both
     sides through ``codebook`` (a failed decode is ''); canonicalise; classify;
     one aggregate for the report. Every reference is scored: one without a
     prediction counts with an empty output. Keys must be unique on both sides
-    (checked by one count each). With ``out_dir`` the TSV of kept pairs, the
+    (checked by one count each). With ``identity_keys`` (raw, canonical_key) a
+    match is by key, and a pair without one on either side raises (counts as
+    bad). With ``out_dir`` the TSV of kept pairs, the
     CSV of all pairs and the metrics JSON are written there."""
     for side in (preds, refs):
         if side.groupBy(key).count().where("count > 1").limit(1).count():
@@ -67,8 +70,13 @@ def evaluate_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id"
     else:
         decoded = matched
         dec_cols = {"gt_decoded": None, "pred_decoded": None}
+    identity = None
+    if identity_keys is not None:
+        raw = dec_cols["gt_decoded"] or "gt_raw", dec_cols["pred_decoded"] or "pred_self"
+        decoded = codec.canonical_match(decoded, identity_keys, *raw)
+        identity = ("gt_key", "pred_key")
     prepared = evaluate.prepare_pairs(decoded, canonicalise, is_valid, keep=("pair_id", "caption"), gt_col="gt_raw",
-                                      pred_col="pred_self", clean=False, **dec_cols)
+                                      pred_col="pred_self", clean=False, identity=identity, **dec_cols)
     report = evaluate.eval_report(prepared)
     if out_dir:
         sinks.write_eval_tsv(prepared, f"{out_dir}/eval_tsv")

@@ -281,6 +281,22 @@ def q_eval_report_by_group(spark, sf):
     return evaluate.eval_report_by_group(prepared_pairs(spark, sf), "variant")
 
 
+def _keyed_pairs(spark, sf):
+    """Prepared pairs with J3's identity keys; outputs the key table does not know raise."""
+    p = fx.pairs(spark, sf).select("pair_id", "variant", "gt_raw", clean_generated("pred_raw").alias("pred_self"))
+    keyed = codec.canonical_match(p, fx.canonical_keys(spark, sf), "gt_raw", "pred_self")
+    return evaluate.prepare_pairs(keyed, letters_canonical, keep=("pair_id", "variant"), pred_col="pred_self", clean=False,
+                                  identity=("gt_key", "pred_key"))
+
+
+def q_exact_match_by_key(spark, sf):
+    return evaluate.exact_match(_keyed_pairs(spark, sf))
+
+
+def q_eval_report_by_key(spark, sf):
+    return evaluate.eval_report_by_group(_keyed_pairs(spark, sf), "variant")
+
+
 # --- A: embeddings and losses ---------------------------------------------------------------------
 
 def q_masked_mean_pool(spark, sf):
@@ -426,6 +442,7 @@ QUERIES: dict[str, Query] = {
     "exact_match": q_exact_match, "levenshtein_mean": q_levenshtein_mean, "tanimoto_bits": q_tanimoto_bits,
     "tanimoto_counts": q_tanimoto_counts, "eval_report": q_eval_report,
     "eval_report_by_group": q_eval_report_by_group,
+    "exact_match_by_key": q_exact_match_by_key, "eval_report_by_key": q_eval_report_by_key,
     "masked_mean_pool": q_masked_mean_pool, "mean_pool": q_mean_pool,
     "project_embeddings": q_project_embeddings, "batch_standardise": q_batch_standardise,
     "vicreg": q_vicreg, "clip_loss": q_clip_loss, "neg_cosine": q_neg_cosine,

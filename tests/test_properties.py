@@ -5,7 +5,7 @@ import pytest
 from sample_tables import SF001
 from pyspark.sql import functions as F
 
-from tandem.functions.ngrams import bits_tanimoto, clipped_matches, edit_distance
+from tandem.functions.ngrams import edit_distances, pair_counts
 from tandem.functions.text import letters_canonical
 from tandem.operators import evaluate as ev
 from tandem.plans.queries import prepared_pairs
@@ -70,13 +70,14 @@ def test_tanimoto_symmetric_and_python_native_agree(spark):
     pairs = [(" ".join(random.choices(words, k=random.randint(0, 12))),
               " ".join(random.choices(words, k=random.randint(0, 12)))) for _ in range(40)]
     widths = {167: (1, 2), 2048: (1, 2, 3, 4, 5, 6, 7)}
-    for a, b in pairs:
-        assert bits_tanimoto(a, b, widths) == bits_tanimoto(b, a, widths)
+    left, right = zip(*pairs)
+    _, fps = pair_counts(left, right, 0, widths)
+    _, back = pair_counts(right, left, 0, widths)
+    assert all((fps[w] == back[w]).all() for w in widths)
     df = spark.createDataFrame(pairs, "gt_can string, pred_can string")
     native = ev.with_bit_tanimoto(df, F.lit(True)).collect()
-    for (a, b), row in zip(pairs, native):
-        t = bits_tanimoto(a, b, widths)
-        assert row.bits_small == pytest.approx(t[167]) and row.bits_large == pytest.approx(t[2048])
+    for k, row in enumerate(native):
+        assert row.bits_small == pytest.approx(fps[167][k]) and row.bits_large == pytest.approx(fps[2048][k])
 
 
 def brute_bleu(pairs):
@@ -123,22 +124,62 @@ def test_edit_distance_matches_dp_and_spark(spark):
     random.seed(7)
     cases = [("".join(random.choices("abé\U0001F600 c", k=random.randint(0, 40))),
               "".join(random.choices("abé\U0001F600 c", k=random.randint(0, 90)))) for _ in range(300)]
-    for a, b in cases:
-        assert edit_distance(a, b) == _dp(a, b)
+    cases += [("a" * 300, "a" * 299 + "b"), ("x" * 64, "x" * 65), ("", "y" * 200), ("ab" * 100, "ba" * 100), ("", "")]
+    left, right = zip(*cases)
+    want = [_dp(a, b) for a, b in cases]
+    for words in (1 << 13, 3):  # one group, and groups of few pairs
+        assert edit_distances(left, right, words).tolist() == want
     df = spark.createDataFrame(cases, "a string, b string")
-    for (a, b), r in zip(cases, df.select(F.levenshtein("a", "b")).collect()):
-        assert r[0] == edit_distance(a, b)
+    assert [r[0] for r in df.select(F.levenshtein("a", "b")).collect()] == want
 
 
 def test_clipped_matches_brute_force():
     random.seed(11)
-    for _ in range(200):
-        h = "".join(random.choices("abc", k=random.randint(0, 12)))
-        r = "".join(random.choices("abc", k=random.randint(0, 12)))
-        for n, got in enumerate(clipped_matches(h, r, 4), 1):
+    text = lambda: "".join(random.choices("abcé\U0001F600", k=random.randint(0, 12)))
+    hyps, refs = [text() for _ in range(200)], [text() for _ in range(200)]
+    matches, _ = pair_counts(hyps, refs, 4)
+    for k, (h, r) in enumerate(zip(hyps, refs)):
+        for n in range(1, 5):
             hg = [h[i:i + n] for i in range(len(h) - n + 1)]
             rg = [r[i:i + n] for i in range(len(r) - n + 1)]
-            assert got == sum(min(hg.count(g), rg.count(g)) for g in set(hg))
+            assert matches[n - 1, k] == sum(min(hg.count(g), rg.count(g)) for g in set(hg))
+
+
+def test_slices_of_pairs_do_not_change_counts(spark, monkeypatch):
+    p = prepared_pairs(spark, SF001)
+    want = ev.eval_report(p).first()
+    monkeypatch.setattr(ev, "SLICE_ROWS", 3)
+    assert ev.eval_report(p).first() == want
+
+
+def _keyed(spark):
+    """Pairs with identity keys: equal keys of different texts, different keys of equal texts, missing keys, and
+    pairs that are bad or dropped whatever their keys."""
+    rows = [(1, "one text", "one  text", "k1", "k1"), (2, "same", "same", "k2", "k3"), (3, "abc", "abd", None, "k4"),
+            (4, "abc", "abc", "k5", None), (5, "abcdef", "abcxef", "k6", "k7"), (6, "x", "", "k8", None), (7, "", "y", None, "k9"),
+            (8, "abc", "abc", None, None)]
+    df = spark.createDataFrame([(i, "c", g, p, a, b, i % 2) for i, g, p, a, b in rows],
+                               "pair_id long, caption string, gt_raw string, pred_raw string, gk string, pk string, side int")
+    return ev.prepare_pairs(df, keep=("pair_id", "side"), identity=("gk", "pk"))
+
+
+def test_pairs_that_raise(spark):
+    p = _keyed(spark)
+    assert {r.pair_id: (r.status, r.same, r.raised) for r in p.collect()} == {
+        1: ("kept", True, False), 2: ("kept", False, False), 3: ("kept", False, True), 4: ("kept", False, True),
+        5: ("kept", False, False), 6: ("bad", False, False), 7: ("gt_dropped", False, False), 8: ("kept", False, True)}
+    r = ev.eval_report(p).first()
+    assert (r.n_total, r.n_bad, r.n_kept, r.n_raised) == (8, 1, 6, 3)
+    assert r.validity == round(1 - 4 / 8, 6) and r.exact_match == round(1 / 6, 6)
+    assert r.levenshtein_smi == round((1 + 0 + 1 + 0 + 1 + 0) / 6, 6)
+    _, fps = pair_counts(["one  text", "same", "abcxef"], ["one text", "same", "abcdef"], 0, {167: (1, 2), 2048: (1, 2, 3, 4, 5, 6, 7)})
+    assert r.maccs_sims == round(fps[167].mean(), 6) and r.rdk_sims == round(fps[2048].mean(), 6)
+    e = ev.exact_match(p).first()
+    assert (e.n_kept, e.n_raised, e.exact_match) == (6, 3, r.exact_match)
+    by = {g.side: g for g in ev.eval_report_by_group(p, "side").collect()}
+    assert (by[None].n_raised, by[0].n_raised, by[1].n_raised) == (3, 2, 1) and by[None].validity == r.validity
+    only = ev.eval_report(p.where("raised")).first()
+    assert (only.maccs_sims, only.morgan_sims, only.validity) == (0.0, 0.0, 0.0) and only.levenshtein_smi == round(1 / 3, 6)
 
 
 def test_group_report_total_equals_overall(spark):
