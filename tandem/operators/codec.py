@@ -1,10 +1,9 @@
 """Pairing, decoding, canonical identity and augmentation.
 
 Per-row codecs of the modelled job (string decoder, canonicaliser, random
-rewrite) are re-expressed as lookups into tables of known mappings, so they
-are equi-joins Catalyst can plan: broadcast when the mapping table is under
-a checked row count, otherwise a shuffle join where AQE splits hot keys
-(e.g. the empty string, which failed outputs share).
+rewrite) are re-expressed as lookups into tables of known mappings: one
+equi-join for all columns (``lookup``), in which a string that many rows share
+(e.g. the empty string of failed outputs) is salted.
 """
 
 from __future__ import annotations
@@ -19,10 +18,37 @@ from pyspark.sql import types as T
 from tandem.operators.ordering import shuffle_key
 
 
-def _mapping_side(table: DataFrame, key: str, value: str, key_alias: str, value_alias: str) -> DataFrame:
-    """One row per key, with its least value: a repeated key never multiplies rows. The planner
-    broadcasts it when its measured bytes are below the session's threshold, else both sides shuffle."""
-    return table.groupBy(F.col(key).alias(key_alias)).agg(F.min(value).alias(value_alias))
+HOT_ROWS = 100_000  # rows that one string may bring to one task of a lookup, about
+
+
+def lookup(df: DataFrame, table: DataFrame, columns: dict[str, str], key: str, value: str,
+           hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with, for each ``src -> dst`` of ``columns``, the value that ``table`` holds for the string in ``src``
+    (its least, if a key repeats; NULL where it has none). The table is read once for all columns:
+
+    1. every row becomes one narrow row per column; the row itself travels with the first;
+    2. strings are counted by their hash (partial sums of longs); those over ``hot_rows`` get several salts, on both
+       sides of the join, and NULLs, which match nothing, are spread;
+    3. after the join the parts meet again by a 128-bit hash of their row; equal rows are counted and repeated."""
+    names, srcs = list(df.columns), list(columns)
+    rows = df.select(F.struct(*names).alias("row"), F.xxhash64(*names).alias("h1"), F.xxhash64(F.lit(1), *names).alias("h2"),
+                     F.array(*[F.col(c).cast("string") for c in srcs]).alias("strings"))
+    parts = rows.select("h1", "h2", "row", F.posexplode("strings").alias("k", "s")).select(
+        "h1", "h2", "k", "s", F.xxhash64("s").alias("hs"), F.when(F.col("k") == 0, F.col("row")).alias("row"))
+    salts = F.ceil(F.col("n") / hot_rows).cast("int").alias("salts")
+    heavy = parts.where("s is not null").groupBy("hs").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("hs", salts)
+    one = F.coalesce("salts", F.lit(1))
+    asked = parts.join(heavy, "hs", "left").withColumn(
+        "salt", F.when(F.col("s").isNull(), F.pmod("h1", F.lit(1024))).otherwise(F.pmod("h1", one)).cast("int"))
+    book = table.select(F.col(key).alias("s"), F.col(value).alias("value")).where("s is not null").groupBy("s").agg(
+        F.min("value").alias("value")).withColumn("hs", F.xxhash64("s"))
+    book = book.join(heavy, "hs", "left").select("s", "value", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt"))
+    found = asked.join(book, ["s", "salt"], "left")
+    values = [F.max(F.when(F.col("k") == i, F.col("value"))).alias(f"v{i}") for i in range(len(srcs))]
+    whole = found.groupBy("h1", "h2").agg(F.first("row", ignorenulls=True).alias("row"), F.count("row").alias("n"), *values)
+    out = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    kept = [c for c in names if c not in columns.values()]
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col(f"v{i}").alias(dst) for i, dst in enumerate(columns.values())])
 
 
 def pair_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -38,27 +64,17 @@ def pair_predictions(preds: DataFrame, refs: DataFrame, key: str = "pair_id") ->
 
 def decode_by_codebook(df: DataFrame, book: DataFrame, columns: dict[str, str],
                        encoded: str = "encoded", decoded: str = "decoded") -> DataFrame:
-    """Decode each ``src -> dst`` column through the code book; a string
-    with no entry decodes to '' (failure), as the evaluation job records it.
-    The book side is built once; Spark reuses its exchange for every column."""
-    out = df
-    for k, (src, dst) in enumerate(columns.items()):
-        side = _mapping_side(book, encoded, decoded, f"_enc{k}", f"_dec{k}")
-        out = (out.join(side, out[src] == side[f"_enc{k}"], "left")
-               .withColumn(dst, F.coalesce(F.col(f"_dec{k}"), F.lit("")))
-               .drop(f"_enc{k}", f"_dec{k}"))
-    return out
+    """Decode each ``src -> dst`` column through the code book, read once; a string
+    with no entry decodes to '' (failure), as the evaluation job records it."""
+    out = lookup(df, book, columns, encoded, decoded)
+    return out.withColumns({dst: F.coalesce(dst, F.lit("")) for dst in columns.values()})
 
 
 def canonical_match(df: DataFrame, keys: DataFrame, gt_col: str, pred_col: str,
                     raw: str = "raw", canonical: str = "canonical_key") -> DataFrame:
     """Identity by canonical key rather than by text: both sides are
     looked up; a match needs both keys present and equal."""
-    out = df
-    for k, (src, dst) in enumerate(((gt_col, "gt_key"), (pred_col, "pred_key"))):
-        side = _mapping_side(keys, raw, canonical, f"_raw{k}", f"_key{k}")
-        out = (out.join(side, out[src] == side[f"_raw{k}"], "left")
-               .withColumnRenamed(f"_key{k}", dst).drop(f"_raw{k}"))
+    out = lookup(df, keys, {gt_col: "gt_key", pred_col: "pred_key"}, raw, canonical)
     is_match = F.coalesce(F.col("gt_key") == F.col("pred_key"), F.lit(False))
     return out.withColumn("is_match", is_match)
 

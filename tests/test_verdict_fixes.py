@@ -52,3 +52,32 @@ def test_references_without_prediction_count(spark):
     assert "item" in res.prepared.columns
     with pytest.raises(ValueError):
         evaluate_predictions(preds.union(preds), refs, key="item")
+
+
+def test_lookup_with_hot_and_missing_strings(spark):
+    """One read of the table for all columns; hot strings are salted; equal rows, NULLs and repeated keys."""
+    from tandem.operators import codec
+
+    rows = [(i, "" if i % 3 else f"s{i % 20}", None if i % 5 == 0 else "" if i % 2 else "s1") for i in range(400)] * 2
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    book = spark.createDataFrame([("", "E"), ("s1", "z"), ("s1", "x"), ("s3", None), (None, "n"), ("s6", "y"), ("s6", None)],
+                                 "raw string, val string")
+    known = {"": "E", "s1": "x", "s6": "y"}
+    want = sorted(((i, a, b, known.get(a), known.get(b)) for i, a, b in rows), key=str)
+    for hot_rows in (100_000, 7):
+        out = codec.lookup(df, book, {"a": "va", "b": "vb"}, "raw", "val", hot_rows)
+        assert out.columns == ["id", "a", "b", "va", "vb"]
+        assert sorted(map(tuple, out.collect()), key=str) == want
+    # salted: the empty string's rows go to many partitions
+    asked = codec.lookup(df.where("a = ''"), book, {"a": "va"}, "raw", "val", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in asked
+    plan = codec.lookup(df, spark.read.parquet(_table(spark, book)), {"a": "va", "b": "vb"}, "raw", "val")
+    assert plan._jdf.queryExecution().optimizedPlan().collectLeaves().toString().count("raw#") == 1
+
+
+def _table(spark, df):
+    from tandem.session import scratch_path
+
+    path = scratch_path(spark, "book")
+    df.write.parquet(path)
+    return path
