@@ -1,32 +1,35 @@
 """Alignment statistics over paired embeddings and token scores (A1-A10).
 
-* Pooling and standardisation work in long form ``(key, dim, value)``: the
-  hash aggregate combines partial sums map-side, so the shuffle carries one
-  row per (key, dim, partition), not per token.
+* Pooling and standardisation aggregate whole vectors (``Summarizer``): the
+  shuffle carries one vector per key and partition, and rows are spread into
+  the long output ``(key, dim, value)`` only after the aggregate.
 * VICReg needs D x D covariances. Each partition folds its rows into Gram
   partials with numpy (``mapInPandas``); partials are merged by
   ``Summarizer.sum`` (vector sums, partial aggregation), and the loss terms
   are finished with native array expressions. Data moved is D^2 per shard
   and partition, never per row, and no row set is gathered in one place.
-* The CLIP loss needs every x of a batch against every y of the same batch;
-  batches hold at most ``batch_size`` rows, so each row meets its batch's y
-  list inside the row (no pair rows are emitted).
+* The CLIP loss needs every x of a batch against every y of the same batch.
+  Batches of any size are cut into blocks; a (row block, column block) tile is
+  one matrix product in one task, which leaves a partial log-sum-exp per row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandem.functions.groups import group_starts, whole_groups
 from tandem.functions.vectors import dot, logsumexp, norm
 
 # --- Fixed values of the modelled losses ---
@@ -49,11 +52,13 @@ def masked_mean_pool(states: DataFrame, key: str = "seq_id", vec: str = "vec",
                      mask: str | None = "mask") -> DataFrame:
     """A1 (``mask`` given): sum(h * mask) / max(sum(mask), 1e-9) per key and
     dimension. A2 (``mask=None``): the plain mean. Long output (key, dim, value)."""
-    w = F.col(mask).cast("double") if mask else F.lit(1.0)
-    ex = states.select(F.col(key), w.alias("_w"), F.posexplode(vec).alias("dim", "_h"))
-    agg = ex.groupBy(key, "dim").agg(F.sum(F.col("_h") * F.col("_w")).alias("_s"), F.sum("_w").alias("_m"))
+    w = F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) if mask else F.lit(1.0)
+    rows = states.where(F.col(vec).isNotNull()).select(F.col(key), w.alias("_w"), F.transform(
+        vec, lambda v: F.coalesce(v * w, F.lit(0.0))).alias("_h"))
+    agg = rows.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector("_h"))).alias("_s"), F.sum("_w").alias("_m"))
     denom = F.greatest(F.col("_m"), F.lit(POOL_MASK_FLOOR)) if mask else F.col("_m")
-    return agg.select(key, "dim", (F.col("_s") / denom).alias("value"))
+    return agg.select(key, denom.alias("_m"), F.posexplode("_s").alias("dim", "_v")).select(
+        key, "dim", (F.col("_v") / F.col("_m")).alias("value"))
 
 
 def mean_pool(states: DataFrame, key: str = "seq_id", vec: str = "vec") -> DataFrame:
@@ -77,11 +82,37 @@ class ProjectorWeights:
             raise ValueError("one batch-norm per hidden layer")
 
 
+ERF_STEP, ERF_END, ERF_TERMS = 1 / 64, 6.0, 8
+
+
+@cache
+def _erf_table() -> np.ndarray:
+    """Taylor coefficients of erf around each grid point: the k-th derivative is 2/sqrt(pi) exp(-x^2) times
+    (-1)^(k-1) H_(k-1)(x), with the Hermite polynomials H by their recursion."""
+    x = np.arange(0, ERF_END + ERF_STEP, ERF_STEP)
+    rows = [np.array([math.erf(v) for v in x])]
+    slope, h0, h1 = 2 / math.sqrt(math.pi) * np.exp(-x * x), np.zeros_like(x), np.ones_like(x)
+    for k in range(1, ERF_TERMS):
+        rows.append(slope * h1 * (-1) ** (k - 1) / math.factorial(k))
+        h0, h1 = h1, 2 * x * h1 - 2 * (k - 1) * h0
+    return np.stack(rows)
+
+
+def erf(z: np.ndarray) -> np.ndarray:
+    """The error function of whole arrays, to about 1e-15: a Taylor step from the nearest grid point."""
+    table, size = _erf_table(), np.minimum(np.abs(z), ERF_END)
+    at = np.rint(np.nan_to_num(size) / ERF_STEP).astype(np.int64)
+    step = size - at * ERF_STEP
+    out = table[-1][at]
+    for row in table[-2::-1]:
+        out = out * step + row[at]
+    return np.copysign(out, z)
+
+
 def _activate(z: np.ndarray, activation: str) -> np.ndarray:
     if activation == "relu":
         return np.maximum(z, 0.0)
     if activation == "gelu":
-        erf = np.vectorize(math.erf, otypes=[float])
         return 0.5 * z * (1.0 + erf(z / math.sqrt(2.0)))
     if activation == "tanh":
         return np.tanh(z)
@@ -153,11 +184,15 @@ def closed_form_projector(dims: Sequence[int], bias: bool = True) -> ProjectorWe
 
 def batch_standardise(df: DataFrame, key: str, vec: str) -> DataFrame:
     """A4: (x - mean) / sqrt(biased var + 1e-5) per dimension; long output.
-    The per-dimension statistics (D rows, the model width) are broadcast back."""
-    ex = df.select(key, F.posexplode(vec).alias("dim", "x"))
-    stats = ex.groupBy("dim").agg(F.avg("x").alias("_mu"), F.var_pop("x").alias("_var"))
-    j = ex.join(F.broadcast(stats), "dim")
-    return j.select(key, "dim", ((F.col("x") - F.col("_mu")) / F.sqrt(F.col("_var") + BATCH_NORM_EPS)).alias("value"))
+    The statistics are one row of two vectors (the model width), which the plan reads as a scalar subquery."""
+    rows = df.where(F.col(vec).isNotNull())
+    moments = rows.agg(Summarizer.metrics("mean", "variance").summary(array_to_vector(vec)).alias("m"), F.count("*").alias("n"))
+    biased = F.transform(vector_to_array("m.variance"), lambda v: v * (F.col("n") - 1) / F.col("n"))
+    stats = moments.select(F.struct(vector_to_array("m.mean").alias("mu"), biased.alias("var")).alias("s"))
+    one = rows.select(key, F.col(vec).alias("_x"), stats.scalar().alias("_s"))
+    centred = F.zip_with("_x", "_s.mu", lambda x, mu: x - mu)
+    value = F.zip_with(centred, "_s.var", lambda x, var: x / F.sqrt(var + BATCH_NORM_EPS))
+    return one.select(key, F.posexplode(value).alias("dim", "value"))
 
 
 # --- A5 / A10 ---------------------------------------------------------------------
@@ -287,26 +322,62 @@ def _vicreg_rows(merged: DataFrame, counts: dict, kinds: tuple[str, str], digits
 
 # --- A6 / A7 / A8 / A9 --------------------------------------------------------------
 
-MAX_CLIP_BATCH = 65_536
+CLIP_TILE_ROWS, CLIP_STEP_ROWS = 4096, 512
+
+
+def _clip_tile(x: np.ndarray, y: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of x the greatest logit against the rows of y, and the sum of exponentials shifted by it."""
+    top, total = np.empty(len(x)), np.empty(len(x))
+    for lo in range(0, len(x), CLIP_STEP_ROWS):
+        logits = x[lo:lo + CLIP_STEP_ROWS] @ y.T * scale
+        top[lo:lo + CLIP_STEP_ROWS] = logits.max(axis=1)
+        total[lo:lo + CLIP_STEP_ROWS] = np.exp(logits - top[lo:lo + CLIP_STEP_ROWS, None]).sum(axis=1)
+    return top, total
 
 
 def clip_loss(df: DataFrame, batch: str = "batch_id", key: str = "id", x: str = "x", y: str = "y",
-              logit_scale: float = 1.0, max_batch_rows: int = MAX_CLIP_BATCH) -> DataFrame:
+              logit_scale: float = 1.0, tile_rows: int = CLIP_TILE_ROWS) -> DataFrame:
     """Per batch, mean over rows of cross entropy of (x_i . y_j) * scale
-    against the row's own index (one direction, inputs not normalised).
-
-    Each row meets its batch's y list, so batches must be small (``make_batches``
-    output is); the largest batch is checked first (one partial aggregate) and
-    an oversized one is refused rather than gathered into one task."""
-    largest = df.groupBy(batch).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_batch_rows:
-        raise ValueError(f"batch of {largest} rows exceeds max_batch_rows={max_batch_rows}")
-    ys = df.groupBy(batch).agg(F.collect_list(F.struct(F.col(key).alias("_k"), F.col(y).alias("_y"))).alias("_ys"))
-    j = df.select(batch, key, x, y).join(ys, batch)
-    logits = F.transform("_ys", lambda e: dot(F.col(x), e["_y"]) * F.lit(float(logit_scale)))
+    against the row's own index (one direction, inputs not normalised). ``key`` is unique within a batch.
+
+    A batch of n rows is cut into g = ceil(n / tile_rows) blocks; x goes to the g tiles of its row block and y to those
+    of its column block. A task multiplies a tile a few rows at a time, and emits one (maximum, sum) per row; these
+    merge per row by the shifted sums (g small rows). Memory is that of a tile, whatever the batch."""
+    sizes = df.groupBy(batch).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_g")).withColumnRenamed(batch, "_b")
     own = dot(F.col(x), F.col(y)) * F.lit(float(logit_scale))
-    per_row = j.select(batch, (logsumexp(logits) - own).alias("_ce"))
-    return per_row.groupBy(batch).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("_ce"), 6).alias("clip_loss"))
+    rows = df.select(F.col(batch).alias("_batch"), F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), own.alias("_own"))
+    rows = rows.join(sizes, F.col("_batch").eqNullSafe(F.col("_b"))).withColumn("_block", F.pmod(F.xxhash64("_key"), "_g").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
+    left = rows.withColumn("_o", other).select("_batch", "_key", F.col("_x").alias("_v"), "_own", F.lit(0).alias("_side"),
+                                               F.col("_block").alias("_i"), F.col("_o").alias("_j"))
+    right = rows.withColumn("_o", other).select("_batch", "_key", F.col("_y").alias("_v"), F.lit(None).cast("double").alias("_own"),
+                                                F.lit(1).alias("_side"), F.col("_o").alias("_i"), F.col("_block").alias("_j"))
+    tile = [F.col("_batch"), F.col("_i"), F.col("_j")]
+    both = left.unionByName(right).select("_batch", "_key", "_v", "_own", "_side", F.xxhash64(*tile).alias("_t1"),
+                                          F.xxhash64(F.lit(1), *tile).alias("_t2"))
+    fields = [T.StructField(c, both.schema[c].dataType) for c in ("_batch", "_key", "_own")]
+    schema = T.StructType([*fields, T.StructField("_m", T.DoubleType()), T.StructField("_s", T.DoubleType())])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["_t1", "_t2"]):
+            side, vec = t.column("_side").to_numpy(), t.column("_v").combine_chunks()
+            values = vec.flatten().to_numpy().reshape(len(vec), -1)
+            starts = group_starts(t, ["_t1", "_t2"])
+            ends, top, total = np.append(starts[1:], len(vec)), np.zeros(len(vec)), np.zeros(len(vec))
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                cut = lo + int(np.searchsorted(side[lo:hi], 1))
+                if lo < cut < hi:
+                    top[lo:cut], total[lo:cut] = _clip_tile(values[lo:cut], values[cut:hi], logit_scale)
+            keep = pa.array(side == 0)
+            out = t.select(["_batch", "_key", "_own"]).append_column("_m", pa.array(top)).append_column("_s", pa.array(total))
+            yield from out.filter(keep).to_batches()
+
+    parts = both.repartition("_t1", "_t2").sortWithinPartitions("_t1", "_t2", "_side").mapInArrow(multiply, schema)
+    merged = parts.where("_s > 0").groupBy("_batch", "_key").agg(
+        F.max("_own").alias("_own"), F.max("_m").alias("_top"), F.collect_list(F.struct("_m", "_s")).alias("_parts"))
+    total = F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["_s"] * F.exp(p["_m"] - F.col("_top")))
+    per_row = merged.select("_batch", (F.col("_top") + F.log(total) - F.col("_own")).alias("_ce"))
+    return per_row.groupBy(F.col("_batch").alias(batch)).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("_ce"), 6).alias("clip_loss"))
 
 
 def neg_cosine(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -242,6 +242,23 @@ KEYED_COLS = f"""n_total, n_bad, n_kept, n_raised,
   {_similarity('sum_counts_tan')} AS morgan_sims"""
 
 
+# gelu(z) = z / 2 (1 + erf(z / sqrt 2)), with erf(x) = exp(-x^2) sum over n of x^(2n+1) / gamma(n + 3/2).
+GELU = """z / 2 * (1 + CASE WHEN abs(z) < 1e-300 THEN 0.0 WHEN abs(z) > 8.5 THEN sign(z) ELSE sign(z) * exp(-z * z / 2) *
+  list_sum(list_transform(range(0, 160), lambda n: exp((2 * n + 1) * ln(abs(z) / sqrt(2.0)) - lgamma(n + 1.5)))) END)"""
+
+
+def _project(activation: str) -> str:
+    return f"""WITH
+        x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+        h1 AS (SELECT x.vec_id, j.j, sum(x.v * ((((x.i * 7 + j.j * 3) % 11) - 5) / 10.0)) + ((j.j % 3) - 1) / 10.0 AS h
+               FROM x CROSS JOIN range(0, 8) j(j) GROUP BY x.vec_id, j.j),
+        n1 AS (SELECT vec_id, j AS i, (h - j / 100.0) / sqrt(1.0 + j / 10.0 + 1e-5) AS z FROM h1),
+        a1 AS (SELECT vec_id, i, {activation} AS a FROM n1)
+        SELECT a1.vec_id, k.k::INTEGER AS out_dim,
+               round(sum(a1.a * ((((a1.i * 7 + k.k * 3) % 11) - 5) / 10.0)) + ((k.k % 3) - 1) / 10.0, 6) AS value
+        FROM a1 CROSS JOIN range(0, 4) k(k) GROUP BY a1.vec_id, k.k"""
+
+
 VEC_PAIRS = """
 vp AS (SELECT x.vec_id // 2 AS id, (x.vec_id // 2) % 4 AS shard, (x.vec_id // 2) // 8 AS batch_id,
               list_transform(x.embedding, lambda v: v::DOUBLE) AS xe,
@@ -470,14 +487,8 @@ ORACLES: dict[str, str] = {
         ex AS (SELECT label::BIGINT AS seq_id, unnest(embedding)::DOUBLE AS h,
                       unnest(range(0, len(embedding)))::INTEGER AS dim FROM embeddings)
         SELECT seq_id, dim, round(avg(h), 6) AS value FROM ex GROUP BY seq_id, dim""",
-    "project_embeddings": """WITH
-        x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
-        h1 AS (SELECT x.vec_id, j.j, sum(x.v * ((((x.i * 7 + j.j * 3) % 11) - 5) / 10.0)) + ((j.j % 3) - 1) / 10.0 AS z
-               FROM x CROSS JOIN range(0, 8) j(j) GROUP BY x.vec_id, j.j),
-        a1 AS (SELECT vec_id, j AS i, greatest((z - j / 100.0) / sqrt(1.0 + j / 10.0 + 1e-5), 0.0) AS a FROM h1)
-        SELECT a1.vec_id, k.k::INTEGER AS out_dim,
-               round(sum(a1.a * ((((a1.i * 7 + k.k * 3) % 11) - 5) / 10.0)) + ((k.k % 3) - 1) / 10.0, 6) AS value
-        FROM a1 CROSS JOIN range(0, 4) k(k) GROUP BY a1.vec_id, k.k""",
+    "project_embeddings": _project("greatest(z, 0.0)"),
+    "project_embeddings_gelu": _project(GELU),
     "batch_standardise": """WITH
         x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding)))::INTEGER AS dim
               FROM embeddings),

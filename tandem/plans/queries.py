@@ -314,6 +314,13 @@ def q_project_embeddings(spark, sf):
     return out.select("vec_id", F.posexplode("proj").alias("out_dim", "value")).withColumn("value", _r6("value"))
 
 
+def q_project_embeddings_gelu(spark, sf):
+    e = fx.read_table(spark, sf, "embeddings", "vec_id", "embedding").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
+    out = align.project_embeddings(e, "vec", align.closed_form_projector(PROJECTOR_DIMS))  # gelu is the default
+    return out.select("vec_id", F.posexplode("proj").alias("out_dim", "value")).withColumn("value", _r6("value"))
+
+
 def q_batch_standardise(spark, sf):
     e = fx.read_table(spark, sf, "embeddings", "vec_id", "embedding").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
@@ -444,7 +451,8 @@ QUERIES: dict[str, Query] = {
     "eval_report_by_group": q_eval_report_by_group,
     "exact_match_by_key": q_exact_match_by_key, "eval_report_by_key": q_eval_report_by_key,
     "masked_mean_pool": q_masked_mean_pool, "mean_pool": q_mean_pool,
-    "project_embeddings": q_project_embeddings, "batch_standardise": q_batch_standardise,
+    "project_embeddings": q_project_embeddings, "project_embeddings_gelu": q_project_embeddings_gelu,
+    "batch_standardise": q_batch_standardise,
     "vicreg": q_vicreg, "clip_loss": q_clip_loss, "neg_cosine": q_neg_cosine,
     "token_cross_entropy": q_token_cross_entropy, "total_loss": q_total_loss,
     "vicreg_by_shard": q_vicreg_by_shard,

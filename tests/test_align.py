@@ -95,7 +95,64 @@ def test_total_loss_methods(spark):
     assert align.total_loss(ce, vic, method="base").first().total_loss == 2.0
 
 
-def test_clip_refuses_oversized_batches(spark):
-    df, _, _ = _vec_df(spark, n=20, d=4)
-    with pytest.raises(ValueError):
-        align.clip_loss(df, max_batch_rows=5)
+@pytest.mark.parametrize("tile_rows", [4096, 3, 1])
+def test_clip_of_tiles(spark, tile_rows):
+    rng = np.random.default_rng(3)
+    sizes = {0: 1, 1: 40, 2: 7, None: 5}
+    rows, want, at = [], {}, 0
+    for b, n in sizes.items():
+        x, y = rng.normal(size=(n, 5)), rng.normal(size=(n, 5)) * 30  # far from each other: sums must be shifted
+        rows += [(at + i, b, x[i].tolist(), y[i].tolist()) for i in range(n)]
+        at += n
+        lg = x @ y.T * 1.5
+        want[b] = (n, (np.log(np.exp(lg - lg.max(1, keepdims=True)).sum(1)) + lg.max(1) - np.diag(lg)).mean())
+    df = spark.createDataFrame(rows, "id long, batch_id long, x array<double>, y array<double>").repartition(5)
+    got = {r.batch_id: (r.n_rows, r.clip_loss) for r in align.clip_loss(df, logit_scale=1.5, tile_rows=tile_rows).collect()}
+    assert got.keys() == want.keys()
+    for b, (n, loss) in want.items():
+        assert got[b][0] == n and got[b][1] == pytest.approx(loss, abs=1e-6)
+
+
+def test_large_clip_batch_in_tiles(spark):
+    """One batch of many rows of model width: no task sees more than a tile."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(6000).select("id", F.lit(0).alias("batch_id"), F.transform(
+        F.sequence(F.lit(1), F.lit(64)), lambda k: F.sin(F.col("id") * k * 0.001)).alias("x")).withColumn("y", F.col("x"))
+    x = np.sin(np.arange(6000)[:, None] * np.arange(1, 65) * 0.001)
+    lg = x @ x.T
+    want = (np.log(np.exp(lg - lg.max(1, keepdims=True)).sum(1)) + lg.max(1) - np.diag(lg)).mean()
+    r = align.clip_loss(df, tile_rows=1000).first()
+    assert r.n_rows == 6000 and r.clip_loss == pytest.approx(want, abs=2e-6)
+
+
+def test_erf_of_arrays():
+    import math
+
+    z = np.concatenate([np.linspace(-9, 9, 40001), [0.0, -0.0, 1e-300, np.inf, -np.inf, 1 / 128, -3 / 128]])
+    assert np.abs(align.erf(z) - np.array([math.erf(v) for v in z])).max() < 2e-15
+    assert np.isnan(align.erf(np.array([np.nan]))).all()
+
+
+def test_wide_vectors_are_aggregated_whole(spark):
+    """Model width, a key with a third of all rows, null and all-masked rows; nothing is exploded before the aggregate."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(3.0, 1.0, (90, 768))
+    keys, mask = [0 if i % 3 == 0 else i % 7 for i in range(90)], [i % 4 != 1 and i % 7 != 5 for i in range(90)]
+    rows = [(keys[i], int(mask[i]), v[i].tolist()) for i in range(90)] + [(0, 1, None), (9, 0, v[0].tolist())]
+    df = spark.createDataFrame(rows, "seq_id long, mask int, vec array<double>").repartition(4)
+    got = {}
+    for r in align.masked_mean_pool(df).collect():
+        got.setdefault(r.seq_id, {})[r.dim] = r.value
+    for k in set(keys):
+        at = [i for i in range(90) if keys[i] == k]
+        w = np.array([mask[i] for i in at], dtype=float)
+        want = (v[at] * w[:, None]).sum(0) / max(w.sum(), 1e-9)
+        assert [got[k][d] for d in range(768)] == pytest.approx(want.tolist(), abs=1e-9)
+    assert set(got[9].values()) == {0.0}
+    std = {}
+    for r in align.batch_standardise(df.where("seq_id <> 9"), "seq_id", "vec").collect():
+        std.setdefault(r.dim, []).append(r.value)
+    assert len(std) == 768 and all(abs(np.mean(x)) < 1e-9 and abs(np.var(x) - 1) < 1e-3 for x in std.values())
+    plan = align.masked_mean_pool(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the plan is printed from its end
