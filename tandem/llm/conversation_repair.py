@@ -66,8 +66,8 @@ def _same_conversation(left: Column, right: Column) -> Column:
 
 def positioned(rows: DataFrame) -> DataFrame:
     """Rows with their place in the conversation (pos) and ``fault``, the first fault of each."""
-    marked = rows.withColumn("digest", F.sha2(F.concat_ws(":", F.length("role").cast("string"), "role", "text"), 256))
-    placed = stored(sequence_index(marked, ["turn", "digest", "copy"], ["conv_id"]).drop("copy"), "conversations")
+    marked = rows.withColumn("digest", F.unhex(F.sha2(F.concat_ws(":", F.length("role").cast("string"), "role", "text"), 256)))
+    placed = sequence_index(marked, ["turn", "digest", "copy"], ["conv_id"]).drop("copy")
     first = placed.groupBy("conv_id", "digest").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select(
         F.col("conv_id").alias("of"), F.col("digest").alias("of_digest"), "first")
     first = stored(first, "first_places")  # small, and a plain side: a hot row's join can split

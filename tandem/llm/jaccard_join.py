@@ -9,13 +9,15 @@ The links are exact, but for collisions of 56-bit hashes of different shingles w
    this one puts rare shingles first. Equal sets are one class (128-bit digest): copies cost no comparison.
 2. *Prefixes.* Linked sets share one of the first ``n - ceil(percent n / 100) + 1`` shingles of each. Sizes are cut into
    bands such that links never leave neighbouring bands; only classes that share a prefix shingle with a class of a
-   near band go on. Shingles of a passage that a third of the documents hold stand last and meet nothing.
+   near band go on. Shingles of a passage that a third of the documents hold stand last and meet nothing. Of shingles
+   that the same classes share, one stands for all.
 3. *Leaders.* In each (shingle, band) every class is checked against one leader of the band and one of the band below.
    These links, a few rows per class, give first components.
 4. *Tiles.* What is left to decide are pairs of different components. Shingles whose classes lie in one component
    go; the others form tiles of (shingle, band), cut into blocks, each pair of blocks a group of its own. In a
    tile, bit counts of hashed bitmaps bound the overlap of all pairs from above in arrays; only pairs that may
-   link and lie in different components leave it.
+   link and lie in different components can leave it. In a first round just each component's best pair does, which joins
+   almost all that belong together; a second round, over the tiles that are still mixed, emits all that is left.
 5. *Check.* Candidates are bounded by bit counts; those that pass are decided by intersecting their sorted arrays,
    which only their texts are scanned for again.
 6. Components over all links, mapped back to the documents by their class.
@@ -27,7 +29,7 @@ of one id are rows of their own; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,13 +38,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.groups import group_starts, whole_groups
+
 from .common import WordTable, pick, range_hash, slices, stored, utf8
-from .simhash import components, whole_groups
+from .simhash import components
 
 WIDTH, PERCENT = 5, 80
 COUNT_BITS = 18  # the table of counts has 2**18 entries at every size of the corpus
 TILE_ROWS = 2048
-MAX_BITMAP = 8192  # bits; a wider set fills its bitmap, which loosens the bound and changes no result
+MAX_BITMAP = 16384  # bits; a wider set fills its bitmap, which loosens the bound and changes no result
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -110,7 +114,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int) -> DataFrame:
     """One row per document: doc_id, text_hash, n, set_id (null: the empty set), cls (its first 64 bits), band; and where
-    a slice of texts holds the set for the first time, its prefix and bitmap."""
+    a slice of texts holds the set for the first time, its prefix."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     starts = band_starts(percent)
 
@@ -123,7 +127,7 @@ def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int)
                 ids = [set_id(x) if len(x) else None for x in sets]
                 seen: set[bytes | None] = {None}
                 fresh = [not (i in seen or seen.add(i)) for i in ids]
-                size = np.where(fresh, n - least_overlap(n, percent) + 1, 0)
+                size = np.where(fresh, n - least_overlap(n, percent) + 1, 0)  # one at least for a set
                 prefix = [x[:k] for x, k in zip(sets, size.tolist(), strict=True)]
                 yield pa.record_batch({
                     "doc_id": b.column("doc_id").slice(lo, hi - lo), "text_hash": b.column("text_hash").slice(lo, hi - lo),
@@ -131,16 +135,16 @@ def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int)
                     "cls": np.frombuffer(b"".join((i or bytes(16))[:8] for i in ids), dtype=np.int64),
                     "band": np.searchsorted(starts, n, "right").astype(np.int32),
                     "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32),
-                                                       np.concatenate([*prefix, np.zeros(0, dtype=np.uint64)]).view(np.int64)),
-                    "bits": pa.array([bitmap(x).tobytes() if f else None for x, f in zip(sets, fresh, strict=True)], pa.binary())})
+                                                       np.concatenate([*prefix, np.zeros(0, dtype=np.uint64)]).view(np.int64))})
 
     return docs.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, set_id binary, cls long, band int, "
-                                 "prefix array<bigint>, bits binary")
+                                 "prefix array<bigint>")
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(h, cls, band): the prefix shingles that several classes of one band or of neighbouring bands share."""
-    keys = sets.where("bits is not null").select(F.explode("prefix").alias("h"), "cls", "band")
+    """(h, cls, band): the prefix shingles that several classes of one band or of neighbouring bands share; one shingle
+    for each set of classes."""
+    keys = sets.select(F.explode("prefix").alias("h"), "cls", "band")
     bands = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") % 64)).alias("bands")
     near = F.col("bands").bitwiseAND(F.call_function("shiftleft", F.col("bands"), F.lit(1)).bitwiseOR(
         F.call_function("shiftrightunsigned", F.col("bands"), F.lit(63)))) != 0
@@ -151,12 +155,15 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     every = of_band.groupBy("h").agg(F.collect_list(F.struct("band", "n")).alias("bands"))  # as many as there are bands
     good = F.filter("bands", lambda b: (b["n"] > 1) | F.exists("bands", lambda c: F.abs(c["band"] - b["band"]) == 1))
     good = stored(every.select("h", F.explode(good).alias("b")).select("h", "b.band"), "met_bands")
-    return stored(rows.join(good, ["h", "band"], "left_semi").select("h", "cls", "band"), "shared")
+    shared = stored(rows.join(good, ["h", "band"], "left_semi").select("h", "cls", "band"), "shared_rows")
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"who{i}") for i in (0, 1)]
+    one = shared.groupBy("h").agg(F.count("*").alias("n"), *who).groupBy("n", "who0", "who1").agg(F.min("h").alias("h")).select("h")
+    return stored(shared.join(stored(one, "one_of_each"), "h", "left_semi"), "shared")
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Bitmap of a set: one bit per hash, at least two bits of width per shingle up to ``MAX_BITMAP``."""
-    bits = min(MAX_BITMAP, max(64, 1 << int(2 * len(h) - 1).bit_length()))
+    """Bitmap of a set: one bit per hash, at least eight bits of width per shingle up to ``MAX_BITMAP``."""
+    bits = min(MAX_BITMAP, max(64, 1 << int(8 * len(h) - 1).bit_length()))
     flags = np.zeros(bits, dtype=bool)
     flags[(h & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little")
@@ -189,6 +196,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
 
+def sets_of_texts(docs: DataFrame, text_hashes: DataFrame, counts: Broadcast, width: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(set_id, made): ``make`` of the sets of the texts with the given hashes; a set stands once in each slice."""
+    texts = docs.join(text_hashes.distinct(), "text_hash", "left_semi").select("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column("text"))
+            for lo, hi in slices(texts):
+                own = {set_id(x): x for x in text_sets(texts[lo:hi], width, counts.value) if len(x)}
+                yield pa.record_batch({"set_id": pa.array(list(own), pa.binary()),
+                                       "made": pa.array([make(x) for x in own.values()], pa.binary())})
+
+    return texts.mapInArrow(scan, "set_id binary, made binary")
+
+
 class Checker:
     """Decides candidate pairs of classes: ``light`` holds (cls, set_id, text_hash, n, bits), ``docs`` the texts."""
 
@@ -229,19 +251,9 @@ class Checker:
 
     def _arrays(self, wanted: DataFrame) -> DataFrame:
         """(set_id, codes) of the wanted sets, from their texts."""
-        hashes = self.light.join(wanted, "set_id", "left_semi").select("text_hash").distinct()
-        texts = self.docs.join(hashes, "text_hash", "left_semi").select("text")
-        width, counts = self.width, self.counts
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = utf8(b.column("text"))
-                for lo, hi in slices(texts):
-                    own = {set_id(x): x.tobytes() for x in text_sets(texts[lo:hi], width, counts.value)}
-                    yield pa.record_batch({"set_id": pa.array(list(own), pa.binary()), "codes": pa.array(list(own.values()), pa.binary())})
-
-        rows = texts.mapInArrow(scan, "set_id binary, codes binary")
-        return rows.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+        hashes = self.light.join(wanted, "set_id", "left_semi").select("text_hash")
+        return sets_of_texts(self.docs, hashes, self.counts, self.width, lambda x: x.tobytes()).join(
+            wanted, "set_id", "left_semi").select("set_id", F.col("made").alias("codes")).dropDuplicates(["set_id"])
 
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
@@ -252,8 +264,9 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
         F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b"))
 
 
-def tile_pairs(shared: DataFrame, light: DataFrame, roots: DataFrame, percent: int, tile_rows: int) -> DataFrame:
-    """(a, b): classes of different components that meet in a tile and may link by their bitmaps."""
+def tile_pairs(shared: DataFrame, light: DataFrame, roots: DataFrame, percent: int, tile_rows: int, whole: bool) -> DataFrame:
+    """(a, b): classes of different components that meet in a tile and may link by their bitmaps; without ``whole``
+    one pair per component and tile."""
     named = light.join(roots, "set_id", "left").select(
         "cls", "n", "bits", F.xxhash64(F.coalesce("root", "set_id")).alias("comp"))
     placed = stored(shared.join(named.select("cls", "comp"), "cls"), "placed")
@@ -288,29 +301,56 @@ def tile_pairs(shared: DataFrame, light: DataFrame, roots: DataFrame, percent: i
     dealt = dealt.join(alone, "task").join(named.select("cls", "n", "bits", "comp"), "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "task"):
-            key, cls, side, n, comp = (t.column(c).to_numpy() for c in ("task", "cls", "side", "n", "comp"))
+        for t in whole_groups(batches, ["task"]):
+            cls, side, n, comp = (t.column(c).to_numpy() for c in ("cls", "side", "n", "comp"))
             bits = [np.frombuffer(x, dtype=np.uint8) for x in t.column("bits").to_pylist()]
-            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             a, b = [], []
+            edges = np.append(group_starts(t, ["task"]), t.num_rows).tolist()
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                maps = same_width(bits[lo:hi])
-                at = np.arange(lo, hi)
-                for i in range(lo, hi - 1):
-                    near = at[i - lo + 1:]
-                    near = near[(comp[near] != comp[i]) & ((side[near] != side[i]) | (side[near] < 0))
-                                & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
-                    if len(near):
-                        apart = np.bitwise_count(maps[near - lo] ^ maps[i - lo]).sum(axis=1, dtype=np.int64)
-                        near = near[may_link(apart, n[near], n[i], percent)]
-                        a.append(np.minimum(cls[near], cls[i]))
-                        b.append(np.maximum(cls[near], cls[i]))
-            a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-            yield pa.record_batch({"a": a, "b": b})
+                at = slice(lo, hi)
+                x, y = (compare_all if whole else compare_best)(same_width(bits[at]), side[at], n[at], comp[at], percent)
+                a.append(np.minimum(cls[at][x], cls[at][y]))
+                b.append(np.maximum(cls[at][x], cls[at][y]))
+            yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
 
 
+def _near(i: int, maps: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows after ``i`` that may link to it from another component, and the bits that differ."""
+    at = np.arange(i + 1, len(n))
+    at = at[(comp[at] != comp[i]) & ((side[at] != side[i]) | (side[at] < 0))]
+    at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
+    apart = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
+    good = may_link(apart, n[at], n[i], percent)
+    return at[good], apart[good]
+
+
+def compare_all(maps: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a tile that may link and lie in different components."""
+    found = [_near(i, maps, side, n, comp, percent)[0] for i in range(len(n) - 1)]
+    return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, dtype=np.int64)])
+
+
+def compare_best(maps: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the same pairs the best one of every component: the least share of differing bits."""
+    which = np.unique(comp, return_inverse=True)[1]
+    best, pair = np.full(which.max() + 1, np.inf), np.full((which.max() + 1, 2), -1)
+    for i in range(len(n) - 1):
+        at, apart = _near(i, maps, side, n, comp, percent)
+        if len(at):
+            share = apart / (n[at] + n[i])
+            order = np.argsort(-share, kind="stable")  # of one component the best is written last
+            order = order[share[order] < best[which[at[order]]]]
+            best[which[at[order]]] = share[order]
+            pair[which[at[order]]] = np.stack([np.full(len(order), i), at[order]], axis=1)
+            k = int(np.argmin(share))
+            if share[k] < best[which[i]]:
+                best[which[i]], pair[which[i]] = share[k], (i, at[k])
+    pair = np.unique(pair[pair[:, 0] >= 0], axis=0)
+    return pair[:, 0], pair[:, 1]
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
             tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id (the least id reachable over links)."""
@@ -318,14 +358,17 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     counts = df.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))  # 2**COUNT_BITS bytes
     sets = stored(document_sets(docs, counts, width, percent), "sets")
     shared = shared_shingles(sets)
-    # every row of a set would do; rows of one slice without prefix are left out
-    light = sets.where("bits is not null").join(shared.select("cls").distinct(), "cls", "left_semi")
-    light = stored(light.select("cls", "set_id", "text_hash", "n", "bits").dropDuplicates(["set_id"]), "light")
+    own = sets.where(F.size("prefix") > 0).join(shared.select("cls").distinct(), "cls", "left_semi")
+    own = stored(own.select("cls", "set_id", "text_hash", "n").dropDuplicates(["set_id"]), "own")
+    bits = sets_of_texts(docs, own.select("text_hash"), counts, width, lambda x: bitmap(x).tobytes())
+    light = stored(own.join(bits.dropDuplicates(["set_id"]).withColumnRenamed("made", "bits"), "set_id"), "light")
     check = Checker(docs, light, counts, width, percent)
-    first = stored(check.links(leader_pairs(shared)), "leader_links")
-    roots = components(first).withColumnRenamed("node", "set_id")
-    rest = stored(check.links(tile_pairs(shared, light, roots, percent, tile_rows)), "tile_links")
-    roots = components(first.unionByName(rest)).withColumnRenamed("node", "set_id")
+    links = stored(check.links(leader_pairs(shared)), "links")
+    for whole in (False, True):
+        roots = components(links).withColumnRenamed("node", "set_id")
+        more = stored(check.links(tile_pairs(shared, light, roots, percent, tile_rows, whole)), "links")
+        links = links.unionByName(more)
+    roots = components(links).withColumnRenamed("node", "set_id")
     classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     classes = stored(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
