@@ -61,6 +61,11 @@ def char_tokens(c) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
+def word_tokens(c) -> Column:
+    """Words of a text, cut at single spaces; empty ones are no tokens, NULL stays NULL."""
+    return F.filter(F.split(_col(c), " "), lambda w: w != "")
+
+
 def letters_canonical(c) -> Column:
     """Text canonicaliser used by the fixtures: lower case, keep a-z and space,
     squeeze runs of spaces, trim. Empty result means 'no valid form'."""

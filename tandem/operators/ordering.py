@@ -6,9 +6,9 @@ at every size:
 
 1. rows are range-partitioned and sorted by (group, whole sort key), so a hot
    group or a hot leading key is spread over as many partitions as its share;
-   each row's partition and its place in it are columns, checkpointed to the
-   shared folder: Spark samples range bounds anew for every execution, so only
-   stored places are the same for every reader;
+   each row's partition and its place in it are columns of a table written once
+   to the shared folder: Spark samples range bounds anew for every execution, so
+   only stored places are the same for every reader;
 2. rows are counted per (group, partition) - a partial aggregate - and offsets
    are a running sum over that small table;
 3. position = place + offset, by a join on (group, partition).
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.session import shared_dir
+from tandem.session import stored
 
 OrderSpec = str | tuple[str, bool]
 
@@ -52,13 +52,12 @@ def sequence_index(df: DataFrame, order_by: Sequence[OrderSpec], partition_by: S
     result independent of partitioning and stable on recomputation. NULL and
     NaN stand where Spark's sort puts them. ``keep_bucket`` names an output
     column with the bucket: consecutive positions of a group, about one range
-    partition of rows. Runs one job: it writes the numbered rows to the shared folder."""
+    partition of rows. Runs one job: it writes the ordered rows to the
+    shared folder; the counts read only the group, place and bucket of that table."""
     groups = list(partition_by)
     keys = [F.col(c) for c in groups] + [F.col(c).asc() if asc else F.col(c).desc() for c, asc in map(_spec, order_by)]
-    shared_dir(df.sparkSession)
-    ranked = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-              .withColumn("_seq", F.monotonically_increasing_id()).withColumn("_bucket", F.spark_partition_id())
-              .checkpoint())
+    ranked = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                    .withColumn("_seq", F.monotonically_increasing_id()).withColumn("_bucket", F.spark_partition_id()), "ranked")
     sizes = ranked.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*[F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_of"), (

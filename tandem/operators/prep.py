@@ -1,33 +1,32 @@
 """Dataset preparation: split loading, column families, filtering, prompts,
 vocabulary and sequence encoding (S1, P1-P3, T1-T7).
 
-Token ids are looked up by an equi-join of exploded ``(row, position, token)``
-rows against the vocabulary. The rows are hash-partitioned by their id once,
-before the explode; explode and a broadcast lookup keep that partitioning, so
-re-assembling each sequence (``collect_list`` sorted by position) needs no
-second shuffle. The vocabulary is broadcast only when its row count, checked
-first, is under ``VOCAB_BROADCAST_ROWS``; otherwise the lookup is a shuffle
-join (AQE splits hot tokens).
+Character tokens are looked up in a table indexed by code point: its size is
+that of Unicode, whatever the data, so it travels to the tasks, and whole Arrow
+batches are encoded by one gather. Tokens of any other tokenizer meet the
+vocabulary in a join: each chunk of rows asks once for each of its tokens, and
+the answers come back to the chunk as its own small dictionary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.functions.text import EOS_ID, EOS_TOKEN, PAD_ID, PAD_TOKEN, UNK_ID, UNK_TOKEN, char_tokens
 from tandem.operators.ordering import ensure_parallelism, sequence_index
+from tandem.session import stored
 
-VOCAB_BROADCAST_ROWS = 2_000_000
-# Character vocabularies up to this size are shipped to Python workers as a
-# broadcast dictionary and applied per Arrow batch (narrow: no shuffle).
-CHAR_DICT_MAX = 200_000
+CODE_POINTS = 0x110000  # of Unicode: the bound of a character vocabulary
+CHUNK_ROWS = 4096  # rows that share one dictionary in a lookup
 
 # --- Fixed values: dataset registry and column families ---
 # Family A (caption sets): target 'selfies', caption 'caption', source 'smiles'.
@@ -130,48 +129,46 @@ def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Col
     for c in text_cols:
         part = texts.select(F.explode(tokenizer(F.col(c))).alias("token"))
         toks = part if toks is None else toks.unionByName(part)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    counts = stored(toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens")
     learned = sequence_index(counts, [("n", False), ("token", True)], name="id", start=3)
     spark = texts.sparkSession
     specials = spark.createDataFrame(
         [(PAD_TOKEN, 0, PAD_ID), (EOS_TOKEN, 0, EOS_ID), (UNK_TOKEN, 0, UNK_ID)], "token string, n long, id long")
-    # The vocabulary is small and read several times (size check, lookups):
-    # write it once to the shared checkpoint folder, cutting the lineage.
-    return specials.unionByName(learned.select("token", "n", "id")).checkpoint(eager=True)
-
-
-def _vocab_side(vocab: DataFrame, key: str, value: str) -> DataFrame:
-    side = vocab.select(F.col(key).cast("string").alias("_k"), F.col(value).alias("_v"))
-    if vocab.count() <= VOCAB_BROADCAST_ROWS:
-        return F.broadcast(side)
-    return side
+    return stored(specials.unionByName(learned.select("token", "n", "id")), "vocabulary")
 
 
 def lookup_sequences(df: DataFrame, id_col: str, seqs: dict[str, str], vocab: DataFrame, key: str,
-                     value: str, default, num_partitions: int | None = None) -> DataFrame:
-    """Map every element of each array column ``seq -> out`` through the
-    vocabulary, keeping element order; elements without an entry get
-    ``default``. NULL arrays give NULL, empty arrays give empty arrays.
-
-    Only each row's *distinct* elements are exploded and joined (a row of
-    thousands of characters has a few dozen distinct ones); they come back as
-    a small per-row map and every sequence is mapped in place with
-    ``transform``. Rows are hash-partitioned by ``id_col`` (unique) once;
-    explode, the lookup and the per-row regrouping keep that partitioning."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.repartition(n, id_col)
-    as_str = [F.transform(F.coalesce(F.col(src), F.array().cast(df.schema[src].dataType)),
-                          lambda t: t.cast("string")) for src in seqs]
-    every = as_str[0] if len(as_str) == 1 else F.concat(*as_str)
-    keys = base.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(every)).alias("_k"))
-    looked = keys.join(_vocab_side(vocab, key, value), "_k", "left")
-    maps = looked.groupBy("_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("_k", F.coalesce(F.col("_v"), F.lit(default)).alias("_v")))).alias("_map"))
-    out = base.join(maps, base[id_col] == maps["_id"], "left").drop("_id")
-    for src, dst in seqs.items():
-        vals = F.transform(F.col(src), lambda t: F.element_at(F.col("_map"), t.cast("string")))
-        out = out.withColumn(dst, vals)
-    return out.drop("_map")
+                     value: str, default, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Map every element of each array column ``seq -> out`` through a
+    vocabulary of any size, keeping element order; elements without an entry
+    get ``default``. NULL arrays give NULL, empty arrays give empty arrays.
+
+    Rows are dealt to chunks of about ``chunk_rows`` by the hash of ``id_col``
+    (unique). Each chunk's distinct elements (a partial aggregate) are joined
+    with the vocabulary, so a frequent element is one row per chunk; chunk and
+    dictionary then meet, and whole columns are mapped by one take."""
+    chunks = max(1, -(-df.count() // chunk_rows))
+    base = df.withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int"))
+    asked = base.select("_chunk", F.explode(F.concat(*[F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in seqs]))
+                        .alias("_k")).distinct()
+    side = vocab.select(F.col(key).alias("_k"), F.col(value).alias("_v")).where("_v is not null")
+    found = asked.join(side, "_k").select(F.col("_chunk").alias("_of"), "_k", "_v")
+    names = [*df.columns, *seqs.values()]
+    of_value = vocab.schema[value].dataType
+    schema = T.StructType([*df.schema.fields, *[T.StructField(out, T.ArrayType(of_value)) for out in seqs.values()]])
+
+    def fill(rows: pa.Table, words: pa.Table) -> pa.Table:
+        keys, values = (words.column(c).combine_chunks() for c in ("_k", "_v"))
+        for src, out in seqs.items():
+            col = rows.column(src).combine_chunks()
+            flat = col.flatten()  # elements of the lists that are there
+            at = pc.index_in(flat, keys.cast(flat.type)) if len(flat) else pa.array([], pa.int32())
+            mapped = pc.fill_null(values.take(at), pa.scalar(default, values.type)) if len(keys) else pa.array([default] * len(flat), values.type)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())]).astype(np.int32)
+            rows = rows.append_column(out, pa.ListArray.from_arrays(pa.array(ends), mapped, mask=col.is_null()))
+        return rows.select(names)
+
+    return base.groupBy("_chunk").cogroup(found.groupBy("_of")).applyInArrow(fill, schema)
 
 
 # --- T3 - T7 ---------------------------------------------------------------------
@@ -195,43 +192,50 @@ def attention_mask(n_real: Column, max_length: int) -> Column:
                     F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(max_length) - n_real)))
 
 
-def _char_dict(vocab: DataFrame, key: str, value: str):
-    """The vocabulary as a broadcast dict when it is small enough (row count
-    checked first), else None. Like a broadcast join's build side, it passes
-    the driver once, bounded by ``CHAR_DICT_MAX``."""
-    if vocab.count() > CHAR_DICT_MAX:
-        return None
-    pairs = {r[0]: r[1] for r in vocab.select(key, value).collect()}
-    return vocab.sparkSession.sparkContext.broadcast(pairs)
-
-
-def _char_ids_udf(bc):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def char_ids(texts: pd.Series) -> pd.Series:
-        get = bc.value.get
-        return pd.Series([None if t is None else np.fromiter((get(ch, UNK_ID) for ch in t), np.int64, len(t))
-                          for t in texts])
-    return char_ids
-
-
-def _ids_chars_udf(bc):
-    @F.pandas_udf(T.StringType())
-    def ids_chars(ids: pd.Series) -> pd.Series:
-        get = bc.value.get
-        return pd.Series([None if x is None else "".join(get(int(i), UNK_TOKEN) for i in x) for x in ids])
-    return ids_chars
+def _code_points(vocab: DataFrame, wanted: str) -> Broadcast:
+    """The vocabulary of a character tokenizer as an array: ``wanted = 'id'``: id by code point (unknown where none);
+    ``'token'``: token by id. It has one entry per code point at most (and the special tokens), which bounds it."""
+    if wanted == "id":
+        got = vocab.where(F.length("token") == 1).select("id", "token").toPandas()
+        table = np.full(CODE_POINTS, UNK_ID, dtype=np.int32)
+        table[[ord(t) for t in got["token"]]] = got["id"]
+    else:
+        got = vocab.select("id", "token").sort("id").toPandas()
+        table = got["token"].to_numpy()
+        if len(table) > CODE_POINTS + UNK_ID + 1 or (got["id"].to_numpy() != np.arange(len(got))).any():
+            raise ValueError("not the vocabulary of a character tokenizer")
+    return vocab.sparkSession.sparkContext.broadcast(table)
+
+
+def _char_ids(table: Broadcast):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        there = pc.fill_null(texts, "")
+        points = np.frombuffer("".join(there.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+        ends = np.concatenate([[0], np.cumsum(pc.utf8_length(there).to_numpy())]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(table.value[points].astype(np.int64)), mask=texts.is_null())
+    return ids
+
+
+def _ids_chars(table: Broadcast):
+    @F.arrow_udf(T.StringType())
+    def text(ids: pa.Array) -> pa.Array:
+        tokens = pa.array(table.value, pa.string())
+        at = ids.flatten().to_numpy(zero_copy_only=False)
+        at = np.where((at >= 0) & (at < len(tokens)), at, UNK_ID).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(pa.array(at)), mask=ids.is_null()), "")
+    return text
 
 
 def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFrame,
-           max_length: int | None = MAX_LENGTH, tokenizer: Callable[[Column], Column] = char_tokens,
-           num_partitions: int | None = None) -> DataFrame:
+           max_length: int | None = MAX_LENGTH, tokenizer: Callable[[Column], Column] = char_tokens) -> DataFrame:
     """T3 (``max_length`` set: truncate with eos last, pad, mask) / T4
     (``max_length=None``: ids + eos only). For each ``text_col -> out_col``
     adds ``out_col`` and ``out_col + '_mask'``.
 
-    Character tokens with a small vocabulary: a narrow per-batch dictionary
-    lookup (no shuffle). Otherwise: one shared distributed lookup."""
-    bc = _char_dict(vocab, "token", "id") if tokenizer is char_tokens else None
+    Character tokens: a gather by code point in each Arrow batch (no shuffle).
+    Tokens of another tokenizer: one lookup for all columns."""
     if tokenizer is char_tokens and max_length is not None:
         # One id per character: what truncation drops needs no lookup.
         whole = [f"_whole{k}" for k in range(len(text_cols))]
@@ -239,8 +243,8 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
             {c: F.substring(c, 1, max_length - 1) for c in text_cols})
     else:
         whole = []
-    if bc is not None:
-        udf = _char_ids_udf(bc)
+    if tokenizer is char_tokens:
+        udf = _char_ids(_code_points(vocab, "id"))
         # CPU-bound per-row work: spread rows if the input arrives in few splits.
         out = ensure_parallelism(df, id_col).select(
             "*", *[udf(F.col(c)).alias(f"_ids{k}") for k, c in enumerate(text_cols)])
@@ -248,7 +252,7 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
         toks = {f"_toks{k}": c for k, c in enumerate(text_cols)}
         out = df.select("*", *[tokenizer(F.col(c)).alias(t) for t, c in toks.items()])
         out = lookup_sequences(out, id_col, {t: f"_ids{k}" for k, t in enumerate(toks)}, vocab, "token", "id",
-                               UNK_ID, num_partitions=num_partitions).drop(*toks)
+                               UNK_ID).drop(*toks)
     for k, (text_col, out_col) in enumerate(text_cols.items()):
         raw = F.col(f"_ids{k}").cast("array<long>")
         out = out.withColumn(out_col, finish_ids(raw, max_length))
@@ -278,12 +282,10 @@ def shift_right(labels: Column, start_id: int = PAD_ID, pad_id: int = PAD_ID) ->
 
 
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str,
-               num_partitions: int | None = None) -> DataFrame:
-    """Ids back to text with special tokens kept (clean with P4 after).
-    Small vocabularies: narrow per-batch lookup; otherwise distributed."""
-    bc = _char_dict(vocab, "id", "token")
-    if bc is not None:
-        return ensure_parallelism(df, id_col).withColumn(out_col, _ids_chars_udf(bc)(F.col(ids_col)))
-    looked = lookup_sequences(df, id_col, {ids_col: "_toks"}, vocab, "id", "token", UNK_TOKEN,
-                              num_partitions=num_partitions)
-    return looked.withColumn(out_col, F.array_join("_toks", "")).drop("_toks")
+               tokenizer: Callable[[Column], Column] = char_tokens, separator: str = "") -> DataFrame:
+    """Ids back to text with special tokens kept (clean with P4 after),
+    tokens joined by ``separator``. By the way of ``encode`` for the tokenizer."""
+    if tokenizer is char_tokens and not separator:
+        return ensure_parallelism(df, id_col).withColumn(out_col, _ids_chars(_code_points(vocab, "token"))(F.col(ids_col)))
+    looked = lookup_sequences(df, id_col, {ids_col: "_toks"}, vocab, "id", "token", UNK_TOKEN)
+    return looked.withColumn(out_col, F.array_join("_toks", separator)).drop("_toks")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.operators.ordering import sequence_index
+from tandem.session import stored
 
 # --- Fixed values of the modelled training run ---
 TOP_K = 3                      # checkpoints kept
@@ -55,10 +56,13 @@ def prefix_scan(df: DataFrame, groups: Sequence[str], pos: str, value: str, how:
     b = df if block_col else df.withColumn("_blk", F.floor(F.col(pos) / block))
     summary = b.groupBy(*g, blk).agg(agg(value).alias("_bv"))
     before_blocks = Window.partitionBy(*g).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*g, blk, agg("_bv").over(before_blocks).alias("_carry"))
+    carry = summary.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*g, blk])], agg("_bv").over(before_blocks).alias("_carry"))
     in_block = Window.partitionBy(*g, blk).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
     scanned = b.withColumn("_local", agg(value).over(in_block))
-    j = scanned.join(carry, [*g, blk], "left")
+    same = F.lit(True)
+    for i, c in enumerate([*g, blk]):  # a NULL group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    j = scanned.join(carry, same, "left").drop(*[f"_g{i}" for i in range(len(g) + 1)])
     # least/greatest skip NULLs, as the running aggregate does
     comb = {"min": F.least, "max": F.greatest}[how]
     j = j.withColumn(out, comb(F.col("_local"), F.col("_carry"))).drop("_local", "_carry")
@@ -189,25 +193,30 @@ def grad_norm(grads: DataFrame, step: str = "step", grad: str = "grad",
 # --- O6 -------------------------------------------------------------------------------
 
 def validation_plan(log: DataFrame, interval: int, warmup_ratio: float = PCT_START, run: str = "run",
-                    step: str = "step") -> DataFrame:
+                    step: str = "step", block: int = SCAN_BLOCK) -> DataFrame:
     """Validation steps (every ``interval`` up to the run's last step) and,
     for each, the latest logged row at or before it (as-of), plus whether it
     falls in the warm-up share.
 
     As-of without a range join: a row at step s is first visible at check
     ceil(s / interval); the last row per (run, check) is a grouped max_by;
-    checks with no new row carry the previous one (window over one row per
-    check)."""
+    checks with no new row carry the previous one. A run's checks are made per
+    block of ``block`` check numbers, the blocks spread over the tasks, and the
+    carry is a prefix scan over blocks: no task holds a whole run."""
     k = F.ceil(F.col(step) / interval).cast("long")
     last_per_check = log.groupBy(run, k.alias("check")).agg(
         F.max_by(F.struct(F.col(step).alias("asof_step"), "metric", "value"), F.col(step)).alias("_row"))
-    totals = run_totals(log, run, step)
     n_checks = F.floor(F.col("total_steps") / interval).cast("long")
-    checks = totals.select(run, "total_steps", F.explode(F.when(n_checks >= 1, F.sequence(
-        F.lit(1).cast("long"), n_checks))).alias("check"))
-    j = checks.join(last_per_check, [run, "check"], "left")
-    w = Window.partitionBy(run).orderBy("check").rowsBetween(Window.unboundedPreceding, 0)
-    carried = j.withColumn("_row", F.last("_row", ignorenulls=True).over(w))
+    blocks = run_totals(log, run, step).withColumn("_n", n_checks).where("_n >= 1").withColumn(
+        "_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block)))).repartition(run, "_blk")
+    first = F.col("_blk") * block + 1
+    checks = blocks.select(run, "total_steps", "_blk", F.explode(F.sequence(
+        first, F.least(F.col("_n"), first + block - 1))).alias("check"))
+    rows = last_per_check.withColumn("_blk", F.floor((F.col("check") - 1) / block))
+    j = checks.join(rows, [run, "_blk", "check"], "left")
+    seen = j.withColumn("_seen", F.when(F.col("_row").isNotNull(), F.struct("check", "_row")))  # the latest is the greatest
+    carried = prefix_scan(seen, [run], "check", "_seen", "max", "_last", inclusive=True, block_col="_blk").withColumn(
+        "_row", F.col("_last._row"))
     warm = F.floor(F.col("total_steps") * warmup_ratio)
     return carried.select(run, (F.col("check") * interval).alias("val_step"),
                           F.col("_row.asof_step").alias("asof_step"), F.col("_row.metric").alias("metric"),
@@ -260,9 +269,8 @@ def run_catalog(paths: DataFrame, project: str, methods: Sequence[str], seeds: S
         F.regexp_extract("folder", RUN_FOLDER, 5).alias("ts"),
         F.regexp_extract("path", CKPT_FILE, 1).cast("int").alias("epoch"),
         F.regexp_extract("path", CKPT_FILE, 2).cast("double").alias("val_loss"))
-    # The catalog is read three times below (two rankings and their size
-    # checks): write it once to the shared folder instead of re-deriving it.
-    parsed = parsed.checkpoint(eager=True)
+    # The catalog is read by both rankings below: written once to the shared folder.
+    parsed = stored(parsed, "catalog")
     ranked = sequence_index(parsed, ["path"], partition_by=["folder"], name="file_rank", start=1)
     folders = parsed.select("folder").distinct()
     folder_rank = sequence_index(folders, ["folder"], name="folder_rank", start=1)

@@ -114,6 +114,26 @@ def _ids_cte(name: str, text_expr: str) -> str:
            LEFT JOIN {name}_agg a ON a.doc_id = s.doc_id)"""
 
 
+def words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+# Words of the documents with an even id; the others hold unknown words.
+WORD_VOCAB = f"""
+tcounts AS (SELECT token, count(*) AS n FROM (SELECT unnest({words('text')}) AS token FROM documents WHERE doc_id % 2 = 0)
+            GROUP BY token),
+vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token ASC) + 2 AS id FROM tcounts)"""
+
+
+def _word_ids(name: str, text_expr: str) -> str:
+    return f"""
+{name}_pos AS (SELECT doc_id, unnest({words(text_expr)}) AS token, generate_subscripts({words(text_expr)}, 1) AS pos
+               FROM documents),
+{name} AS (SELECT d.doc_id, coalesce(list(coalesce(v.id, 2) ORDER BY p.pos) FILTER (WHERE p.pos IS NOT NULL), []::BIGINT[]) AS ids
+           FROM documents d LEFT JOIN {name}_pos p ON p.doc_id = d.doc_id LEFT JOIN vocab v ON v.token = p.token
+           GROUP BY d.doc_id)"""
+
+
 def _padded(ids: str) -> str:
     full = f"list_concat({ids}[1:511], [1::BIGINT])"
     return f"list_concat({full}, list_transform(range(512 - len({full})), lambda x: 0::BIGINT))"
@@ -440,6 +460,15 @@ ORACLES: dict[str, str] = {
             FROM lab l""",
         _ids_cte("lab", "text")),
     "decode_ids": "SELECT doc_id, text || '</s>' AS decoded FROM documents",
+    "encode_words": f"""WITH {WORD_VOCAB}, {_word_ids('lab', 'text')}, {_word_ids('src', 'source')}
+        SELECT l.doc_id, array_to_string({_padded('l.ids')}, ' ') AS labels, array_to_string({_padded('s.ids')}, ' ') AS source_ids,
+               least(len(l.ids) + 1, 512)::INTEGER AS n_labels FROM lab l JOIN src s USING (doc_id)""",
+    "decode_words": f"""WITH {WORD_VOCAB},
+        w AS (SELECT doc_id, unnest({words('text')}) AS token, generate_subscripts({words('text')}, 1) AS pos FROM documents),
+        d AS (SELECT doc_id, string_agg(coalesce(v.token, '<unk>'), ' ' ORDER BY pos) AS s
+              FROM w LEFT JOIN vocab v ON v.token = w.token GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(d.s || ' ', '') || '</s>' END AS decoded
+        FROM documents LEFT JOIN d USING (doc_id)""",
     # B
     "epoch_shuffle": f"""WITH {SAMPLES} SELECT doc_id AS id, split,
         CASE WHEN split = 'train' THEN md5('0:0:' || doc_id::VARCHAR) ELSE lpad(doc_id::VARCHAR, 20, '0') END

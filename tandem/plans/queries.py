@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.text import clean_generated, letters_canonical, render_prompt
+from tandem.functions.text import clean_generated, letters_canonical, render_prompt, word_tokens
 from tandem.operators import align, codec, evaluate, infer, ordering, prep, telemetry
 from tandem.session import scratch_path, ship_package
 from tandem.sources import fixtures as fx
@@ -210,6 +210,25 @@ def q_decode_ids(spark, sf):
     return prep.decode_ids(enc, "doc_id", "ids", v, "decoded").select("doc_id", "decoded")
 
 
+def _word_vocab(spark, sf):
+    c = fx.corpus(spark, sf)
+    return c, prep.build_vocab(c.where(F.pmod("doc_id", F.lit(2)) == 0), ["text"], word_tokens)
+
+
+def q_encode_words(spark, sf):
+    """A vocabulary of words of half of the documents; the others hold unknown words."""
+    c, v = _word_vocab(spark, sf)
+    enc = prep.encode(c, "doc_id", {"text": "labels", "caption": "source_ids"}, v, tokenizer=word_tokens)
+    return enc.select("doc_id", _ids_text("labels").alias("labels"), _ids_text("source_ids").alias("source_ids"),
+                      F.aggregate("labels_mask", F.lit(0), lambda a, x: a + x).alias("n_labels"))
+
+
+def q_decode_words(spark, sf):
+    c, v = _word_vocab(spark, sf)
+    enc = prep.encode(c, "doc_id", {"text": "ids"}, v, max_length=None, tokenizer=word_tokens)
+    return prep.decode_ids(enc, "doc_id", "ids", v, "decoded", word_tokens, " ").select("doc_id", "decoded")
+
+
 # --- B: order, batches, shards, seeds --------------------------------------------------------
 
 def _train_rows(spark, sf):
@@ -442,7 +461,7 @@ QUERIES: dict[str, Query] = {
     "canonical_match": q_canonical_match, "augment_variants": q_augment_variants,
     "char_tokens": q_char_tokens, "build_vocab": q_build_vocab, "encode_padded": q_encode_padded,
     "encode_unpadded": q_encode_unpadded, "mask_labels": q_mask_labels, "shift_right": q_shift_right,
-    "decode_ids": q_decode_ids,
+    "decode_ids": q_decode_ids, "encode_words": q_encode_words, "decode_words": q_decode_words,
     "epoch_shuffle": q_epoch_shuffle, "make_batches": q_make_batches, "shard_rows": q_shard_rows,
     "seed_replicas": q_seed_replicas,
     "validity": q_validity, "bleu_canonical": q_bleu_canonical, "bleu_raw": q_bleu_raw,

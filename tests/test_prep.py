@@ -90,3 +90,35 @@ def test_missing_text_has_no_ids_or_mask(spark):
     rows = {r.doc_id: r for r in prep.encode(df, "doc_id", {"text": "labels"}, v, max_length=6).collect()}
     assert rows[1].labels is None and rows[1].labels_mask is None
     assert rows[2].labels_mask == [1, 1, 1, 0, 0, 0]
+
+
+def test_lookup_of_any_tokenizer_in_chunks(spark):
+    """The lookup for tokens that are no characters: chunks of rows, unknown tokens, NULL and empty texts, and a token
+    that every row holds; equal to the character table where both apply."""
+    from tandem.functions.text import char_tokens, word_tokens
+
+    words = [f"w{i}" for i in range(30)]
+    data = [(i, " ".join(["all", *(words[(i * k) % 30] for k in range(1, 1 + i % 6)), "zz" * (i % 2)])) for i in range(70)]
+    data += [(100, None), (101, ""), (102, "  "), (103, "unknown all")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    v = prep.build_vocab(df.where("doc_id < 70"), ["text"], word_tokens)
+    ids = {r.token: r.id for r in v.collect()}
+    toks = {i: None if t is None else [w for w in t.split(" ") if w] for i, t in data}
+    cols = df.select("*", word_tokens("text").alias("toks"))
+    for chunk_rows in (4096, 5):
+        got = {r.doc_id: r.ids for r in prep.lookup_sequences(cols, "doc_id", {"toks": "ids"}, v, "token", "id", 2, chunk_rows).collect()}
+        assert got == {i: None if t is None else [ids.get(w, 2) for w in t] for i, t in toks.items()}
+    enc = prep.encode(df, "doc_id", {"text": "ids"}, v, max_length=None, tokenizer=word_tokens)
+    back = {r.doc_id: r.back for r in prep.decode_ids(enc, "doc_id", "ids", v, "back", word_tokens, " ").collect()}
+    assert back[103] == "<unk> all </s>" and back[100] is None and back[101] == back[102] == "</s>"
+    chars = prep.build_vocab(df, ["text"])
+    by_table = {r.doc_id: r.x for r in prep.encode(df, "doc_id", {"text": "x"}, chars, max_length=9).collect()}
+    other = lambda c: char_tokens(c)  # noqa: E731 - not the character tokenizer itself: goes through the join
+    by_join = {r.doc_id: r.x for r in prep.encode(df, "doc_id", {"text": "x"}, chars, max_length=9, tokenizer=other).collect()}
+    assert by_table == by_join
+
+
+def test_ids_outside_the_vocabulary(spark):
+    _, v = _small(spark)
+    df = spark.createDataFrame([(1, [4, 99, -5, 1]), (2, None), (3, [])], "doc_id long, ids array<long>")
+    assert {r.doc_id: r.t for r in prep.decode_ids(df, "doc_id", "ids", v, "t").collect()} == {1: "a<unk><unk></s>", 2: None, 3: ""}

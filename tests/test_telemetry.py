@@ -114,3 +114,21 @@ def test_run_catalog_fallback_and_prefix(spark):
     assert got[paths[2]].seed == 10 and got[paths[2]].epoch == 2 and got[paths[2]].val_loss == 0.25
     # byte order, as sorted(glob): "seed10_" < "seed1_2" because "0" < "_"
     assert got[paths[2]].folder_rank == 1 and got[paths[0]].folder_rank == 2
+
+
+def test_validation_plan_in_blocks(spark):
+    """A run's checks made block by block carry rows over empty blocks; a long run is spread over many tasks."""
+    log = spark.createDataFrame([("a", 1, "m", 1.0), ("a", 2, "m", 2.0), ("a", 95, "m", 3.0), ("b", 7, "m", 4.0), ("a", 100, "m", 5.0)],
+                                "run string, step long, metric string, value double")
+    want = sorted(map(tuple, tm.validation_plan(log, 3).collect()))
+    assert sorted(map(tuple, tm.validation_plan(log, 3, block=4).collect())) == want
+    assert [r[4] for r in want if r[0] == "a"] == [2.0] * 31 + [3.0] * 2 and len(want) == 35
+    long = spark.createDataFrame([("r", 1, "m", 0.5), ("r", 400_000, "m", 0.25)], "run string, step long, metric string, value double")
+    plan = tm.validation_plan(long, 2, block=1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or few rows are packed into one task
+    try:
+        parts = plan.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in parts) == 200_000 and max(r["count"] for r in parts) < 100_000
+    assert {r.value for r in plan.where("val_step in (2, 399998)").collect()} == {0.5}
