@@ -5,24 +5,26 @@
   group. The final projection happens on read, so the streamed report equals
   the batch report.
 * U4: early stopping as a stateful operator per (run, metric) with
-  ``applyInPandasWithState``; state is a handful of scalars per group.
+  ``transformWithStateInPandas``: a value state for what is settled and a list
+  state of the rows inside the group's watermark, which are ordered before use.
 * U5: metric windows with a watermark, de-duplication within the watermark
   and tumbling event-time windows, in append mode.
 
-Sinks are ``foreachBatch`` writes into tables under the shared folder;
-checkpoints too, so a restarted query resumes from its offsets and state.
+Sinks are ``foreachBatch`` writes into tables under the shared folder, one
+folder per epoch, of which readers take the finished ones only; checkpoints are
+there too, so a restarted query resumes from its offsets and state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tandem.operators.evaluate import pair_stats, prepare_pairs, report_from_sums, sum_stats
 from tandem.operators.telemetry import PATIENCE
@@ -35,17 +37,57 @@ def write_stream_input(df: DataFrame, path: str, chunks: int, order_col: str) ->
     the way a producer would append files over time."""
     bounds = df.select(F.percentile_approx(order_col, [i / chunks for i in range(1, chunks)], 10000)
                        .alias("q")).first()["q"] if chunks > 1 else []
-    lo = None
-    for hi in list(bounds) + [None]:
+    lo, order = None, F.col(order_col)
+    for hi in [*(bounds or []), None]:
         part = df
         if lo is not None:
-            part = part.where(F.col(order_col) > F.lit(lo))
-        if hi is not None:
-            part = part.where(F.col(order_col) <= F.lit(hi))
+            part = part.where(order > F.lit(lo))
+        if hi is not None:  # rows without an order value land with the first
+            part = part.where((order <= F.lit(hi)) | order.isNull() if lo is None else order <= F.lit(hi))
         part.write.mode("append").parquet(path)
         lo = hi
 
 
+# --- versioned sinks ------------------------------------------------------------------
+
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and its file system, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished_epochs(spark: SparkSession, table: str) -> list[int]:
+    """Epochs of a sink table whose write was committed (its marker file is the last thing written)."""
+    root, fs = _folder(spark, table)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n.partition("=")[2]) for n in names
+                  if n.startswith("epoch=") and fs.exists(_folder(spark, f"{table}/{n}/_SUCCESS")[0]))
+
+
+def epoch_sink(table: str, keep: int | None = None):
+    """A ``foreachBatch`` sink with one folder per epoch: a retried epoch overwrites only its own folder, and a kill at
+    any moment leaves the earlier ones readable. ``keep``: for tables that each epoch writes whole, how many stay."""
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch_id}")
+        for old in finished_epochs(spark, table)[:-keep] if keep else []:
+            path, fs = _folder(spark, f"{table}/epoch={old}")
+            fs.delete(path, True)
+    return sink
+
+
+def read_epochs(spark: SparkSession, table: str, schema: T.StructType, latest: bool = False) -> DataFrame:
+    """The rows of the finished epochs with their ``epoch``, or those of the latest one alone; none if there is none."""
+    epochs = finished_epochs(spark, table)
+    if not epochs:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())]))
+    wanted = [f"{table}/epoch={e}" for e in (epochs[-1:] if latest else epochs)]
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])).option(
+        "basePath", table).parquet(*wanted)
+
+
 def _run_available(query_df: DataFrame, mode: str, sink, checkpoint: str, name: str,
                    state_partitions: int | None = None) -> None:
     """Run a stream to the end of its available input. The number of state
@@ -83,96 +125,124 @@ def streaming_eval(spark: SparkSession, source_dir: str, schema: T.StructType, c
     sums = sum_stats(stats.groupBy(group_col)) if group_col else sum_stats(stats)
     table = f"{out_dir}/sums"
 
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        # Complete mode: each batch holds the whole (small) aggregate; overwrite is idempotent.
-        batch.write.mode("overwrite").parquet(table)
-
-    _run_available(sums, "complete", sink, f"{out_dir}/checkpoint", f"u3_{abs(hash(out_dir))}")
-    latest = spark.read.parquet(table)
+    # Complete mode: each epoch holds the whole (small) aggregate; the last two stay.
+    _run_available(sums, "complete", epoch_sink(table, keep=2), f"{out_dir}/checkpoint", f"u3_{abs(hash(out_dir))}")
+    latest = read_epochs(spark, table, sums.schema, latest=True).drop("epoch")
     return report_from_sums(latest, group_cols=[group_col] if group_col else [])
 
 
 # --- U4 -------------------------------------------------------------------------------
 
-_U4_STATE = T.StructType([
+_SETTLED = T.StructType([
     T.StructField("best", T.DoubleType()), T.StructField("best_step", T.LongType()),
     T.StructField("pos", T.LongType()), T.StructField("last_imp", T.LongType()),
     T.StructField("last_step", T.LongType()), T.StructField("stop_step", T.LongType()),
-    T.StructField("late", T.LongType())])
-
-
-def _early_stop_state_fn(patience: int):
-    def update(key, pdfs, state):
-        if state.exists:
-            best, best_step, pos, last_imp, last_step, stop_step, late = state.get
-        else:
-            best, best_step, pos, last_imp, last_step, stop_step, late = (None, None, 0, -1, None, None, 0)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["step", "value"], kind="stable")
-        steps = pdf["step"].to_numpy(dtype=np.int64)
-        vals = pdf["value"].to_numpy(dtype=np.float64)
-        # Rows at or before the last processed step arrive late: count, ignore.
-        fresh = np.ones(len(steps), dtype=bool)
-        if last_step is not None:
-            fresh = steps > last_step
-        dup = np.zeros(len(steps), dtype=bool)
-        dup[1:] = steps[1:] == steps[:-1]
-        fresh &= ~dup
-        late += int((~fresh).sum())
-        steps, vals = steps[fresh], vals[fresh]
-        if len(steps):
-            idx = np.arange(len(steps), dtype=np.int64) + pos
-            finite = np.isfinite(vals)
-            known = np.where(finite, vals, np.inf)
-            prev = np.minimum.accumulate(np.concatenate([[np.inf if best is None else best], known]))[:-1]
-            improved = known < prev
-            imp_pos = np.where(improved, idx, -1)
-            last = np.maximum.accumulate(np.concatenate([[last_imp], imp_pos]))[1:]
-            if stop_step is None:
-                hits = np.nonzero(~finite | ((idx - last) >= patience))[0]
-                upto = hits[0] if len(hits) else len(steps) - 1
-                if len(hits):
-                    stop_step = int(steps[hits[0]])
-                seg_imp = np.nonzero(improved[:upto + 1])[0]
-                if len(seg_imp):
-                    k = seg_imp[-1]
-                    best, best_step = float(vals[k]), int(steps[k])
-                last_imp = int(last[upto])
-            pos += len(steps)
-            last_step = int(steps[-1])
-        state.update((best, best_step, pos, last_imp, last_step, stop_step, late))
+    T.StructField("late", T.LongType()), T.StructField("seen", T.LongType())])  # seen: latest event time, microseconds
+_WAITING = T.StructType([T.StructField("step", T.LongType()), T.StructField("value", T.DoubleType()),
+                         T.StructField("at", T.LongType())])
+
+
+def _settle(state: tuple, steps: np.ndarray, values: np.ndarray, patience: int) -> tuple:
+    """O2's rule over rows in order of (step, value), NaN last: steps up to the last one settled are late, and a step's
+    further rows are no checks; both are counted."""
+    best, best_step, pos, last_imp, last_step, stop_step, late, seen = state
+    fresh = np.ones(len(steps), dtype=bool) if last_step is None else steps > last_step
+    fresh[1:] &= steps[1:] != steps[:-1]
+    late += int((~fresh).sum())
+    steps, values = steps[fresh], values[fresh]
+    if not len(steps):
+        return best, best_step, pos, last_imp, last_step, stop_step, late, seen
+    place = np.arange(len(steps), dtype=np.int64) + pos
+    finite = np.isfinite(values)
+    known = np.where(finite, values, np.inf)
+    before = np.minimum.accumulate(np.concatenate([[np.inf if best is None else best], known]))[:-1]
+    improved = known < before
+    last = np.maximum.accumulate(np.concatenate([[last_imp], np.where(improved, place, -1)]))[1:]
+    if stop_step is None:
+        hits = np.flatnonzero(~finite | (place - last >= patience))
+        upto = hits[0] if len(hits) else len(steps) - 1
+        if len(hits):
+            stop_step = int(steps[hits[0]])
+        gains = np.flatnonzero(improved[:upto + 1])
+        if len(gains):
+            best, best_step = float(values[gains[-1]]), int(steps[gains[-1]])
+        last_imp = int(last[upto])
+    return best, best_step, pos + len(steps), last_imp, int(steps[-1]), stop_step, late, seen
+
+
+def _ordered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows.sort_values(["step", "value"], kind="stable")
+    return rows["step"].to_numpy(dtype=np.int64), rows["value"].to_numpy(dtype=np.float64)
+
+
+class EarlyStopProcessor(StatefulProcessor):
+    """Rows wait in a list state until the group's watermark (its latest event time less ``delay`` microseconds) has
+    passed them; then they are settled in order of their steps, in a few scalars. What is emitted takes the waiting
+    rows, ordered, on top of what is settled: the answer for all rows seen so far."""
+
+    def __init__(self, patience: int, delay: int):
+        self.patience, self.delay = patience, delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.settled = handle.getValueState("settled", _SETTLED)
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.settled.get() if self.settled.exists() else (None, None, 0, -1, None, None, 0, None)
+        parts = list(rows)
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        if held:
+            parts.append(pd.DataFrame(held, columns=_WAITING.names))
+        every = pd.concat([p[_WAITING.names] for p in parts], ignore_index=True)
+        seen = max([x for x in (state[-1], every["at"].max()) if x is not None and not pd.isna(x)], default=None)
+        ripe = every["at"].isna() if seen is None else every["at"].isna() | (every["at"] <= seen - self.delay)
+        state = (*_settle(tuple(state), *_ordered(every[ripe]), self.patience)[:-1], None if seen is None else int(seen))
+        later = every[~ripe]
+        self.settled.update(state)
+        self.waiting.clear()
+        if len(later):
+            self.waiting.put([(int(s), None if pd.isna(v) else float(v), int(t)) for s, v, t in later.itertuples(index=False)])
+        best, best_step, pos, _, _, stop_step, late, _ = _settle(state, *_ordered(later), self.patience)
         run, metric = key
-        yield pd.DataFrame({"run": [run], "metric": [metric], "stop_step": [stop_step],
-                            "best_value": [best], "best_step": [best_step], "n_checks": [pos],
-                            "late_rows": [late]})
-    return update
+        yield pd.DataFrame({"run": [run], "metric": [metric], "stop_step": pd.array([stop_step], "Int64"), "best_value": [best],
+                            "best_step": pd.array([best_step], "Int64"), "n_checks": [pos], "late_rows": [late]})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def streaming_early_stop(spark: SparkSession, source_dir: str, schema: T.StructType, patience: int = PATIENCE,
-                         max_files_per_trigger: int = 1, out_dir: str | None = None) -> DataFrame:
-    """U4: O2 as a stateful stream per (run, metric); returns the latest state
-    per group (equal to the batch ``early_stop`` if no step comes late). Steps at or
-    before the last one seen are counted in late_rows, as are the further rows of a step."""
+                         max_files_per_trigger: int = 1, out_dir: str | None = None, time_col: str = "ts",
+                         delay: str = "1 day") -> DataFrame:
+    """U4: O2 as a stateful stream per (run, metric); returns the latest answer per group, equal to the batch
+    ``early_stop`` for rows that come in any order within ``delay`` of event time (per group, so a run that lags behind
+    the others loses nothing). Steps at or before the last settled one are late: counted in late_rows and ignored, as
+    are the further rows of a step. Rows without an event time are settled as they come."""
     out_dir = out_dir or scratch_path(spark, "u4")
+    micros = F.unix_micros(F.col(time_col).cast("timestamp")).alias("at")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir)).select("run", "metric", "step", "value")
+              .parquet(source_dir)).select("run", "metric", "step", F.col("value").cast("double").alias("value"), micros)
     out_schema = T.StructType([
         T.StructField("run", T.LongType()), T.StructField("metric", T.StringType()),
         T.StructField("stop_step", T.LongType()), T.StructField("best_value", T.DoubleType()),
         T.StructField("best_step", T.LongType()), T.StructField("n_checks", T.LongType()),
         T.StructField("late_rows", T.LongType())])
-    states = stream.groupBy("run", "metric").applyInPandasWithState(
-        _early_stop_state_fn(patience), out_schema, _U4_STATE, "update", GroupStateTimeout.NoTimeout)
+    span = spark.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {delay}"))).alias("d")).first()["d"]
     table = f"{out_dir}/updates"
-
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        # One folder per micro-batch, overwritten on retry: idempotent.
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={epoch_id}")
-
-    _run_available(states, "update", sink, f"{out_dir}/checkpoint", f"u4_{abs(hash(out_dir))}")
-    upd = spark.read.parquet(table)
-    latest = upd.groupBy("run", "metric").agg(F.max_by(F.struct(*[c for c in out_schema.names
-                                                                  if c not in ("run", "metric")]),
-                                                       "batch_id").alias("s"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, STATE_STORE)
+    try:
+        states = stream.groupBy("run", "metric").transformWithStateInPandas(
+            EarlyStopProcessor(patience, span), outputStructType=out_schema, outputMode="Update", timeMode="None")
+        _run_available(states, "update", epoch_sink(table), f"{out_dir}/checkpoint", f"u4_{abs(hash(out_dir))}")
+    finally:
+        spark.conf.set(provider, before)
+    latest = read_epochs(spark, table, out_schema).groupBy("run", "metric").agg(
+        F.max_by(F.struct(*[c for c in out_schema.names if c not in ("run", "metric")]), "epoch").alias("s"))
     return latest.select("run", "metric", "s.*")
 
 
@@ -194,15 +264,8 @@ def streaming_metric_windows(spark: SparkSession, source_dir: str, schema: T.Str
               F.min("value").alias("min_value"), F.max("value").alias("max_value")))
     table = f"{out_dir}/windows"
 
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        # One folder per micro-batch, overwritten on retry: idempotent.
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={epoch_id}")
-
-    _run_available(w, "append", sink, f"{out_dir}/checkpoint", f"u5_{abs(hash(out_dir))}")
-    try:
-        got = spark.read.parquet(table).drop("batch_id")
-    except Exception:  # nothing closed yet: empty result with the right columns
-        got = spark.createDataFrame([], w.schema)
+    _run_available(w, "append", epoch_sink(table), f"{out_dir}/checkpoint", f"u5_{abs(hash(out_dir))}")
+    got = read_epochs(spark, table, w.schema).drop("epoch")
     fmt = "yyyy-MM-dd HH:mm:ss"
     return got.select(F.date_format("window.start", fmt).alias("window_start"),
                       F.date_format("window.end", fmt).alias("window_end"),

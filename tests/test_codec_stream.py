@@ -92,7 +92,7 @@ def test_streaming_early_stop_keeps_state_and_counts_late_rows(spark):
     os.rmdir(out)
     log.where("step <= 30").write.parquet(src)
     streams.streaming_early_stop(spark, src, LOG_SCHEMA, out_dir=out)
-    # second drop: the rest, plus a replay of old rows that must be ignored as late
+    # second drop: the rest, plus a replay of old rows that must be ignored as late (or as repeated, while they wait)
     log.where("step > 30").unionByName(log.where("step <= 3")).write.mode("append").parquet(src)
     got = {(r.run, r.metric): r for r in streams.streaming_early_stop(spark, src, LOG_SCHEMA, out_dir=out).collect()}
     want = {(r.run, r.metric): r for r in tm.early_stop(log).collect()}
@@ -113,6 +113,7 @@ def test_streaming_early_stop_keeps_state_and_counts_late_rows(spark):
 def test_early_stop_of_values_not_finite_and_repeated_steps(spark, rows, want):
     ship_package(spark)
     log = spark.createDataFrame([(1, s, "loss", v) for s, v in rows], "run long, step long, metric string, value double")
+    log = log.withColumn("ts", F.timestamp_seconds("step"))
     src = f"{tempfile.mkdtemp(prefix='u4-in-')}/rows"
     log.coalesce(1).write.parquet(src)
     columns = ("stop_step", "best_value", "best_step", "n_checks")
@@ -132,3 +133,69 @@ def test_streaming_windows_emit_closed_windows_only(spark):
     ends = [r.window_end for r in got.collect()]
     assert ends and max(ends) <= str(max_ts)
     assert got.agg(F.sum("n")).first()[0] < log.count()
+
+
+def test_streaming_early_stop_orders_rows_within_the_delay(spark):
+    """Rows arrive shuffled, steps of a run over several drops: with a delay that covers the shuffle the stream equals
+    the batch form; a run far behind the others loses nothing; waiting rows are settled once the watermark has passed."""
+    ship_package(spark)
+    import random
+
+    rng = random.Random(6)
+    rows = [(run, "loss", step, round(rng.uniform(0, 9), 2)) for run in range(4) for step in range(1, 61)]
+    rows = [(*r, r[0] * 10 ** 6 + 60 * r[2]) for r in rows]  # run 0 is weeks behind run 3
+    rng.shuffle(rows)
+    chunks = [rows[i::3] for i in range(3)]
+    columns = "run long, metric string, step long, value double, ts long"
+    src, out = f"{tempfile.mkdtemp(prefix='u4-in-')}/rows", tempfile.mkdtemp(prefix="u4-out-")
+    frames = [spark.createDataFrame(c, columns).withColumn("ts", F.timestamp_seconds("ts")) for c in chunks]
+    for f in frames:
+        f.coalesce(1).write.mode("append").parquet(src)
+    every = spark.read.parquet(src)
+    got = {r.run: r for r in streams.streaming_early_stop(spark, src, every.schema, out_dir=out, delay="2 hours").collect()}
+    want = {r.run: r for r in tm.early_stop(every).collect()}
+    assert set(got) == set(range(4))
+    for k, w in want.items():
+        assert (got[k].stop_step, got[k].best_value, got[k].best_step, got[k].n_checks, got[k].late_rows) == (
+            w.stop_step, w.best_value, w.best_step, w.n_checks, 0)
+    # a much later row settles the rest; a row before it comes too late and is counted
+    more = spark.createDataFrame([(0, "loss", 100, 5.0, 10 ** 5), (0, "loss", 7, 0.0, 10 ** 5)], columns)
+    more.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(src)
+    last = {r.run: r for r in streams.streaming_early_stop(spark, src, every.schema, out_dir=out, delay="2 hours").collect()}
+    assert last[0].late_rows == 1 and last[0].n_checks == 61 and last[1] == got[1]
+
+
+def test_epoch_sinks_survive_a_kill(spark):
+    """A half-written epoch is not read, and an earlier one stays readable."""
+    table = f"{tempfile.mkdtemp(prefix='u3-sums-')}/sums"
+    rows = lambda k: spark.createDataFrame([(k,)], "x long")
+    assert streams.read_epochs(spark, table, rows(0).schema, latest=True).count() == 0
+    sink = streams.epoch_sink(table, keep=2)
+    for k in range(4):
+        sink(rows(k), k)
+    assert streams.finished_epochs(spark, table) == [2, 3]
+    rows(9).write.parquet(f"{table}/epoch=4")
+    os.remove(f"{table}/epoch=4/_SUCCESS")  # as if killed before the commit
+    assert [r.x for r in streams.read_epochs(spark, table, rows(0).schema, latest=True).collect()] == [3]
+    sink(rows(4), 4)  # the retry
+    assert [r.x for r in streams.read_epochs(spark, table, rows(0).schema, latest=True).collect()] == [4]
+    assert sorted(r.x for r in streams.read_epochs(spark, table, rows(0).schema).collect()) == [3, 4]
+
+
+def test_stream_input_keeps_rows_without_an_order(spark):
+    path = f"{tempfile.mkdtemp(prefix='drops-')}/in"
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i) for i in range(20)], "id int, k int")
+    streams.write_stream_input(df, path, 3, "k")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(20))
+    none = f"{tempfile.mkdtemp(prefix='drops-')}/in"
+    streams.write_stream_input(df.where("k is null"), none, 3, "k")
+    assert spark.read.parquet(none).count() == 4
+
+
+def test_windows_of_no_input_are_empty(spark):
+    ship_package(spark)
+    log = fx.metric_log(spark, SF001).limit(3)
+    src = f"{tempfile.mkdtemp(prefix='u5-')}/in"
+    log.write.parquet(src)
+    out = streams.streaming_metric_windows(spark, src, LOG_SCHEMA, window="3000 days", delay="3000 days")
+    assert out.count() == 0 and out.columns[:3] == ["window_start", "window_end", "metric"]
