@@ -29,7 +29,7 @@ of one id are rows of their own; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -46,6 +46,7 @@ from .simhash import components
 WIDTH, PERCENT = 5, 80
 COUNT_BITS = 18  # the table of counts has 2**18 entries at every size of the corpus
 TILE_ROWS = 2048
+SMALL_KEYS = 1_000_000  # 64-bit keys in a broadcast at most; more meet in a shuffle join
 MAX_BITMAP = 16384  # bits; a wider set fills its bitmap, which loosens the bound and changes no result
 
 
@@ -114,7 +115,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int) -> DataFrame:
     """One row per document: doc_id, text_hash, n, set_id (null: the empty set), cls (its first 64 bits), band; and where
-    a slice of texts holds the set for the first time, its prefix."""
+    a slice of texts holds the set for the first time, its prefix and bitmap."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     starts = band_starts(percent)
 
@@ -135,16 +136,17 @@ def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int)
                     "cls": np.frombuffer(b"".join((i or bytes(16))[:8] for i in ids), dtype=np.int64),
                     "band": np.searchsorted(starts, n, "right").astype(np.int32),
                     "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32),
-                                                       np.concatenate([*prefix, np.zeros(0, dtype=np.uint64)]).view(np.int64))})
+                                                       np.concatenate([*prefix, np.zeros(0, dtype=np.uint64)]).view(np.int64)),
+                    "bits": pa.array([bitmap(x).tobytes() if f else None for x, f in zip(sets, fresh, strict=True)], pa.binary())})
 
     return docs.mapInArrow(scan, f"doc_id {id_type}, text_hash long, n long, set_id binary, cls long, band int, "
-                                 "prefix array<bigint>")
+                                 "prefix array<bigint>, bits binary")
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
     """(h, cls, band): the prefix shingles that several classes of one band or of neighbouring bands share; one shingle
     for each set of classes."""
-    keys = sets.select(F.explode("prefix").alias("h"), "cls", "band")
+    keys = sets.where("bits is not null").select(F.explode("prefix").alias("h"), "cls", "band")
     bands = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") % 64)).alias("bands")
     near = F.col("bands").bitwiseAND(F.call_function("shiftleft", F.col("bands"), F.lit(1)).bitwiseOR(
         F.call_function("shiftrightunsigned", F.col("bands"), F.lit(63)))) != 0
@@ -196,19 +198,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
 
-def sets_of_texts(docs: DataFrame, text_hashes: DataFrame, counts: Broadcast, width: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(set_id, made): ``make`` of the sets of the texts with the given hashes; a set stands once in each slice."""
-    texts = docs.join(text_hashes.distinct(), "text_hash", "left_semi").select("text")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8(b.column("text"))
-            for lo, hi in slices(texts):
-                own = {set_id(x): x for x in text_sets(texts[lo:hi], width, counts.value) if len(x)}
-                yield pa.record_batch({"set_id": pa.array(list(own), pa.binary()),
-                                       "made": pa.array([make(x) for x in own.values()], pa.binary())})
-
-    return texts.mapInArrow(scan, "set_id binary, made binary")
+def _checked_small(keys: DataFrame, name: str) -> DataFrame:
+    """Distinct 64-bit keys, stored; to be broadcast only where there are at most ``SMALL_KEYS`` of them."""
+    keys = stored(keys.distinct(), name)
+    return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
 
 
 class Checker:
@@ -251,9 +244,19 @@ class Checker:
 
     def _arrays(self, wanted: DataFrame) -> DataFrame:
         """(set_id, codes) of the wanted sets, from their texts."""
-        hashes = self.light.join(wanted, "set_id", "left_semi").select("text_hash")
-        return sets_of_texts(self.docs, hashes, self.counts, self.width, lambda x: x.tobytes()).join(
-            wanted, "set_id", "left_semi").select("set_id", F.col("made").alias("codes")).dropDuplicates(["set_id"])
+        hashes = _checked_small(self.light.join(wanted, "set_id", "left_semi").select("text_hash"), "text_hashes")
+        texts = self.docs.join(hashes, "text_hash", "left_semi").select("text")
+        width, counts = self.width, self.counts
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = utf8(b.column("text"))
+                for lo, hi in slices(texts):
+                    own = {set_id(x): x.tobytes() for x in text_sets(texts[lo:hi], width, counts.value) if len(x)}
+                    yield pa.record_batch({"set_id": pa.array(list(own), pa.binary()), "codes": pa.array(list(own.values()), pa.binary())})
+
+        rows = texts.mapInArrow(scan, "set_id binary, codes binary")
+        return rows.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
@@ -358,10 +361,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     counts = df.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))  # 2**COUNT_BITS bytes
     sets = stored(document_sets(docs, counts, width, percent), "sets")
     shared = shared_shingles(sets)
-    own = sets.where(F.size("prefix") > 0).join(shared.select("cls").distinct(), "cls", "left_semi")
-    own = stored(own.select("cls", "set_id", "text_hash", "n").dropDuplicates(["set_id"]), "own")
-    bits = sets_of_texts(docs, own.select("text_hash"), counts, width, lambda x: bitmap(x).tobytes())
-    light = stored(own.join(bits.dropDuplicates(["set_id"]).withColumnRenamed("made", "bits"), "set_id"), "light")
+    wanted = _checked_small(shared.select("cls"), "wanted")
+    light = sets.where("bits is not null").join(wanted, "cls", "left_semi")
+    light = stored(light.select("cls", "set_id", "text_hash", "n", "bits").dropDuplicates(["set_id"]), "light")
     check = Checker(docs, light, counts, width, percent)
     links = stored(check.links(leader_pairs(shared)), "links")
     for whole in (False, True):
