@@ -49,6 +49,7 @@ class DatasetSpec:
     train_path: str
     eval_path: str
     eval_split: str
+    id_col: str = "doc_id"
 
 
 # Training names each have their own data; both caption-set names share one
@@ -63,6 +64,32 @@ DATASETS = {
 Reader = Callable[[SparkSession, str], DataFrame]
 
 
+def split_schema(spec: DatasetSpec, id_type: T.DataType | None = None) -> T.StructType:
+    """The declared schema of a dataset's rows: its id, split, target and caption; the source column is optional."""
+    target, caption, _ = FAMILY_COLUMNS[spec.family]
+    return T.StructType([T.StructField(spec.id_col, id_type or T.LongType()), T.StructField("split", T.StringType()),
+                         T.StructField(target, T.StringType()), T.StructField(caption, T.StringType())])
+
+
+def check_schema(df: DataFrame, spec: DatasetSpec, path: str) -> None:
+    """Raise one clear error that names every missing column and every column of a wrong type. Only the schema is
+    read. An id may be any whole number or string."""
+    wrong = []
+    optional = T.StructField(FAMILY_COLUMNS[spec.family][2], T.StringType())
+    have = {f.name: f.dataType for f in df.schema.fields}
+    for f in [*split_schema(spec).fields, *([optional] if optional.name in have else [])]:
+        if f.name not in have:
+            near = [c for c in have if c.lower() == f.name.lower()]
+            wrong.append(f"{f.name}: missing" + (f" (there is {near[0]})" if near else ""))
+        elif f.name == spec.id_col:
+            if not isinstance(have[f.name], (T.IntegralType, T.StringType)):
+                wrong.append(f"{f.name}: {have[f.name].simpleString()}, not a whole number or string")
+        elif have[f.name] != f.dataType:
+            wrong.append(f"{f.name}: {have[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    if wrong:
+        raise ValueError(f"dataset {spec.name!r} at {path!r} does not have its declared schema: " + "; ".join(wrong))
+
+
 def parquet_reader(root: str) -> Reader:
     """Datasets stored as ``{root}/{path}/split=.../*.parquet``: the split
     filter prunes partitions, the select prunes columns."""
@@ -80,7 +107,7 @@ def resolve(dataset: str) -> DatasetSpec:
 
 def load_split(spark: SparkSession, dataset: str, split: str, reader: Reader,
                purpose: str = "train") -> DataFrame:
-    """Rows of one split in the dataset's own column family.
+    """Rows of one split in the dataset's own column family, whose schema is checked first.
 
     ``purpose='eval'`` reads the evaluation set and its fixed split (the
     ``split`` argument is then ignored, as in the evaluation job)."""
@@ -92,8 +119,9 @@ def load_split(spark: SparkSession, dataset: str, split: str, reader: Reader,
     else:
         raise ValueError("purpose must be 'train' or 'eval'")
     df = reader(spark, path)
-    target, caption, source = FAMILY_COLUMNS[spec.family]
-    cols = ["doc_id", "split", target, caption] + ([source] if source in df.columns else [])
+    check_schema(df, spec, path)
+    source = FAMILY_COLUMNS[spec.family][2]
+    cols = split_schema(spec).names + ([source] if source in df.columns else [])
     return df.where(F.col("split") == split).select(*cols)
 
 

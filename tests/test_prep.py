@@ -122,3 +122,23 @@ def test_ids_outside_the_vocabulary(spark):
     _, v = _small(spark)
     df = spark.createDataFrame([(1, [4, 99, -5, 1]), (2, None), (3, [])], "doc_id long, ids array<long>")
     assert {r.doc_id: r.t for r in prep.decode_ids(df, "doc_id", "ids", v, "t").collect()} == {1: "a<unk><unk></s>", 2: None, 3: ""}
+
+
+def test_declared_schema_is_checked_at_load(spark, tmp_path):
+    good = fx.samples_a(spark, SF001)
+    load = lambda df, name="lpm-24": prep.load_split(spark, name, "train", lambda s, p: df)
+    assert load(good).columns == ["doc_id", "split", "selfies", "caption", "smiles"]
+    assert load(good.drop("smiles").withColumn("more", F.lit(1))).columns == ["doc_id", "split", "selfies", "caption"]
+    bad = good.drop("caption").withColumn("selfies", F.lit(1)).withColumn("doc_id", F.lit(1.5)).withColumn("smiles", F.array(F.lit("x")))
+    with pytest.raises(ValueError) as err:
+        load(bad)
+    text = str(err.value)
+    assert "'lpm-24'" in text and "caption: missing" in text and "selfies: int, not string" in text
+    assert "doc_id: double" in text and "smiles: array<string>" in text
+    with pytest.raises(ValueError, match=r"SELFIES: missing \(there is selfies\)"):
+        load(good, "chebi-20")
+    # a typed id of a stored dataset, with the split pruned as a partition
+    root = str(tmp_path / "typed")
+    good.withColumn("doc_id", F.col("doc_id").cast("string")).write.partitionBy("split").parquet(f"{root}/lpm-24")
+    df = prep.load_split(spark, "lpm-24", "test", prep.parquet_reader(root))
+    assert dict(df.dtypes)["doc_id"] == "string" and "PartitionFilters: [isnotnull(split" in df._jdf.queryExecution().executedPlan().toString()
