@@ -12,11 +12,13 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.functions.text import clean_generated
+from tandem.functions.text import EOS_TOKEN, PAD_TOKEN, clean_generated, word_tokens
+from tandem.session import scratch_path
 
 Predictor = Callable[[list[str]], list[str]]
 
@@ -66,3 +68,44 @@ def spaceless_echo_factory() -> Predictor:
     def predict(batch: list[str]) -> list[str]:
         return ["<pad>" + t.replace(" ", "") + "</s>" for t in batch]
     return predict
+
+
+# --- a trained model as an artefact --------------------------------------------------
+
+def train_next_words(texts: DataFrame, text_col: str) -> DataFrame:
+    """A greedy bigram model of ``texts``: (word, next), the word that follows each word most often (the least such
+    word among equals). Pairs are counted by partial sums, then reduced per word."""
+    pairs = texts.select(word_tokens(text_col).alias("w")).select(F.explode(F.arrays_zip(
+        F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("word"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("next"))).alias("p"))
+    counts = pairs.groupBy("p.word", "p.next").agg(F.count("*").alias("n"))
+    return counts.groupBy("word").agg(F.min_by("next", F.struct(-F.col("n"), "next")).alias("next"))
+
+
+def publish_model(model: DataFrame) -> str:
+    """Write a model table under the shared folder and have every worker fetch it; returns the artefact's name."""
+    spark = model.sparkSession
+    path = scratch_path(spark, "model")
+    model.write.parquet(path)
+    spark.sparkContext.addFile(path, recursive=True)
+    return path.rsplit("/", 1)[1]
+
+
+def next_word_factory(artefact: str, max_new_words: int = 8) -> Callable[[], Predictor]:
+    """A predictor over a published :func:`train_next_words` model: from an input's last word on, the next word again
+    and again, until none is known or ``max_new_words`` are made; framed as a decoder emits it."""
+    def load() -> Predictor:
+        import pyarrow.parquet as pq
+
+        table = pq.read_table(SparkFiles.get(artefact))
+        following = dict(zip(table.column("word").to_pylist(), table.column("next").to_pylist(), strict=True))
+
+        def predict(batch: list[str]) -> list[str]:
+            out = []
+            for text in batch:
+                word, made = text.rstrip(" ").rsplit(" ", 1)[-1], []
+                while len(made) < max_new_words and (word := following.get(word)) is not None:
+                    made.append(word)
+                out.append(f"{PAD_TOKEN}{' '.join(made)}{EOS_TOKEN}")
+            return out
+        return predict
+    return load

@@ -587,6 +587,17 @@ ORACLES: dict[str, str] = {
     "batch_generate": f"""WITH {PAIRS},
         g AS (SELECT pair_id, '<pad>' || replace(coalesce(caption, ''), ' ', '') || '</s>' AS generated FROM pairs)
         SELECT pair_id, generated, {clean('generated')} AS generated_clean FROM g""",
+    "generate_from_model": f"""WITH RECURSIVE {PAIRS},
+        gw AS (SELECT pair_id, {words('gt_raw')} AS w FROM pairs),
+        bi AS (SELECT unnest(w[1:len(w) - 1]) AS word, unnest(w[2:]) AS next FROM gw WHERE len(w) > 1),
+        model AS (SELECT word, next FROM (SELECT word, next, row_number() OVER (PARTITION BY word ORDER BY count(*) DESC, next) AS r
+                  FROM bi GROUP BY word, next) WHERE r = 1),
+        walk(pair_id, k, word, made) AS (
+          SELECT pair_id, 0, string_split(rtrim(caption, ' '), ' ')[-1], '' FROM pairs
+          UNION ALL SELECT pair_id, k + 1, m.next, made || CASE WHEN k > 0 THEN ' ' ELSE '' END || m.next
+          FROM walk JOIN model m ON m.word = walk.word WHERE k < 8),
+        g AS (SELECT pair_id, '<pad>' || arg_max(made, k) || '</s>' AS generated FROM walk GROUP BY pair_id)
+        SELECT pair_id, generated, {clean('generated')} AS generated_clean FROM g""",
     "safe_apply": f"""WITH {PAIRS},
         a AS (SELECT pair_id, caption, regexp_matches(caption, '^[\\x00-\\x7F]*$') AS ok FROM pairs)
         SELECT pair_id, CASE WHEN ok THEN caption END AS value,

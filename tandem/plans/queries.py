@@ -412,6 +412,14 @@ def q_batch_generate(spark, sf):
     return infer.batch_generate(p, infer.spaceless_echo_factory, "caption", ["pair_id"], batch_size=BATCH_SIZE)
 
 
+def q_generate_from_model(spark, sf):
+    """A model trained on the references, published, loaded once per worker, and run over the captions."""
+    ship_package(spark)
+    p = fx.pairs(spark, sf)
+    artefact = infer.publish_model(infer.train_next_words(p.select("gt_raw"), "gt_raw"))
+    return infer.batch_generate(p, infer.next_word_factory(artefact), "caption", ["pair_id"], batch_size=BATCH_SIZE, name=artefact)
+
+
 def ascii_only(s: str) -> str:
     """Stand-in for a per-row codec that fails on some inputs."""
     return s.encode("ascii").decode("ascii")
@@ -478,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "topk_checkpoints": q_topk_checkpoints, "early_stop": q_early_stop, "lr_one_cycle": q_lr_one_cycle,
     "lr_warmup": q_lr_warmup, "grad_norm": q_grad_norm, "validation_plan": q_validation_plan,
     "metric_log_summary": q_metric_log_summary,
-    "batch_generate": q_batch_generate, "safe_apply": q_safe_apply, "streaming_eval": q_streaming_eval,
+    "batch_generate": q_batch_generate, "generate_from_model": q_generate_from_model,
+    "safe_apply": q_safe_apply, "streaming_eval": q_streaming_eval,
     "streaming_early_stop": q_streaming_early_stop, "streaming_metric_windows": q_streaming_metric_windows,
 }

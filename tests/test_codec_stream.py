@@ -199,3 +199,14 @@ def test_windows_of_no_input_are_empty(spark):
     log.write.parquet(src)
     out = streams.streaming_metric_windows(spark, src, LOG_SCHEMA, window="3000 days", delay="3000 days")
     assert out.count() == 0 and out.columns[:3] == ["window_start", "window_end", "metric"]
+
+
+def test_published_model_is_loaded_in_workers(spark):
+    ship_package(spark)
+    texts = spark.createDataFrame([("a b c a b d",), ("b c",), ("x",), ("",), (None,), ("c z",)], "t string")
+    model = infer.train_next_words(texts, "t")
+    assert {(r.word, r.next) for r in model.collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
+    name = infer.publish_model(model)
+    df = spark.createDataFrame([(1, "say a"), (2, "z"), (3, None), (4, "b  ")], "id long, t string")
+    out = infer.batch_generate(df, infer.next_word_factory(name, 4), "t", ["id"], batch_size=2).collect()
+    assert {r.id: r.generated_clean for r in out} == {1: "b c a b", 2: "", 3: "", 4: "c a b c"}
