@@ -7,12 +7,14 @@ a bit is 1 if it is set in over half of the hashes.
 Links (``max_bits`` differing bits or fewer), exact:
 
 1. equal fingerprints are one class; only distinct fingerprints go on;
-2. each goes to the buckets of all choices of 2 of 5 bit blocks: two fingerprints that differ in 3
-   bits agree on two blocks at least, so every link has a bucket. Buckets over ``bucket_rows`` rows
-   are cut into chunks, and each pair of chunks is a task group of its own;
-3. inside a group the distances to ``PIVOTS`` reference fingerprints are tabled once; a pair whose
-   tables differ by more than ``max_bits`` anywhere cannot be a link (triangle inequality) and is
-   discarded, survivors are verified on the fingerprints. Pairs stay in arrays; a group emits a
+2. a table holds each distinct fingerprint's Hamming distances to ``PIVOTS`` reference fingerprints, computed once and
+   stored packed in one long;
+3. fingerprints meet in the buckets of all choices of 2 of 5 bit blocks: two fingerprints that differ in 3
+   bits agree on two blocks at least, so every link has a bucket (the pivots alone would leave a constant share of all
+   pairs). Buckets over ``bucket_rows`` rows are cut into chunks, and each pair of chunks is a group of its own.
+   Inside a group candidates are the ranges of its most selective pivot: rows sorted by that distance are
+   compared only up to ``max_bits`` further on (triangle inequality), the second pivot discards half of the rest, and
+   survivors are verified on the fingerprints. Pairs stay in arrays; a group emits a
    spanning forest of its links, so rows out grow with fingerprints, not with pairs;
 4. connected components by alternating large-star and small-star rounds (minimum, then join), each
    round checkpointed.
@@ -34,10 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.groups import whole_groups
+
 from .common import document_key, mix, pick, stored, utf8
 
 SHINGLE_WORDS, MAX_BITS, BUCKET_ROWS = 3, 3, 4096
-PIVOTS = mix(np.arange(1, 17, dtype=np.uint64))  # reference fingerprints: any fixed random values do
+PIVOTS = mix(np.arange(1, 9, dtype=np.uint64))  # reference fingerprints: any fixed random values do
 BLOCKS = (13, 13, 13, 13, 12)
 
 
@@ -102,18 +106,37 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def _links_of(key: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray,
+def pivot_table() -> Column:
+    """The distances of ``fp`` to the pivots, eight bits each."""
+    parts = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * k)
+             for k, p in enumerate(PIVOTS.view(np.int64).tolist())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.bitwiseOR(part)
+    return out
+
+
+def _links_of(key: np.ndarray, side: np.ndarray, fp: np.ndarray, table: np.ndarray, rep: np.ndarray,
               max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows (sorted by key) with equal keys; where a key has two sides, across them."""
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    at, out_a, out_b, held = np.arange(len(key)), [], [], 0
-    for step in range(1, len(key)):
-        at = at[: np.searchsorted(at, len(key) - step)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            break
+    """Links among rows (sorted by key) with equal keys; where a key has two sides, across them. ``table``: the
+    distances of each row to the pivots."""
+    if not len(key):
+        return rep[:0], rep[:0]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    wide = table.astype(np.float64)
+    spread = np.add.reduceat(wide * wide, start) / size[:, None] - (np.add.reduceat(wide, start) / size[:, None]) ** 2
+    best = np.argsort(-spread, axis=1)
+    group, rows = np.repeat(np.arange(len(start)), size), np.arange(len(key))
+    first, second = (table[rows, best[group, k]].astype(np.int16) for k in (0, 1))
+    order = np.lexsort((first, group))
+    side, fp, rep, first, second = (x[order] for x in (side, fp, rep, first, second))
+    place = group * 128 + first  # distances are below 128
+    reach = np.searchsorted(place, place + max_bits, "right") - rows  # of each row, itself included
+    at, step, out_a, out_b, held = np.flatnonzero(reach > 1), 1, [], [], 0
+    while len(at):
         near = at[(side[at] < 0) | (side[at] != side[at + step])]
-        near = near[np.abs(table[near] - table[near + step]).max(axis=1, initial=0) <= max_bits]
+        near = near[np.abs(second[near] - second[near + step]) <= max_bits]
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= max_bits]
         out_a.append(rep[near])
         out_b.append(rep[near + step])
@@ -121,39 +144,19 @@ def _links_of(key: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray
         if held > 1 << 20:  # keep the array of links small: a forest has the same components
             a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
             out_a, out_b, held = [a], [b], len(a)
+        step += 1
+        at = at[reach[at] > step]
     if not out_a:
         return rep[:0], rep[:0]
     return forest(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Sorted batches again, cut between keys; a key spans one table only."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-        if cut == 0 and held and held[-1].column(key)[0].as_py() == k[0]:
-            held.append(b)
-            continue
-        head = b.slice(0, cut)
-        if held and cut == 0:
-            yield pa.Table.from_batches(held)
-            held = [b]
-            continue
-        yield pa.Table.from_batches([*held, head])
-        held = [b.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links between classes (fp, rep) as spanning forests of their groups; reps of any type."""
+    """(a, b): links between classes (fp, pivots, rep) as spanning forests of their groups; reps of any type."""
     rep_type = classes.schema["rep"].dataType.simpleString()
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))))
                      for i, m in enumerate(block_masks(max_bits))])
-    rows = classes.select(F.explode(keys).alias("bucket"), "fp", "rep")
+    rows = classes.select(F.explode(keys).alias("bucket"), "fp", "pivots", "rep")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, "bucket").withColumn("g", F.ceil(F.col("n") / bucket_rows).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
@@ -161,14 +164,15 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKE
         F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
     rows = rows.withColumn("own", own).withColumn("p", F.explode(pairs)).select(
         F.xxhash64("bucket", "p.lo", "p.hi").alias("task"),
-        F.when(F.col("p.lo") == F.col("p.hi"), -1).otherwise(F.col("own")).alias("side"), "fp", "rep")
+        F.when(F.col("p.lo") == F.col("p.hi"), -1).otherwise(F.col("own")).alias("side"), "fp", "pivots", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "task"):
-            key, side, fp = (t.column(c).to_numpy() for c in ("task", "side", "fp"))
+        for t in whole_groups(batches, ["task"]):
+            key, side, fp, pivots = (t.column(c).to_numpy() for c in ("task", "side", "fp", "pivots"))
+            table = np.ascontiguousarray(pivots).view(np.int8).reshape(len(pivots), -1)
             rep = t.column("rep").combine_chunks()
             _, at, node = np.unique(fp, return_index=True, return_inverse=True)
-            a, b = _links_of(key, side, fp.view(np.uint64), node, max_bits)
+            a, b = _links_of(key, side, fp.view(np.uint64), table, node, max_bits)
             yield pa.record_batch({"a": rep.take(pa.array(at[a])), "b": rep.take(pa.array(at[b]))})
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(compare, f"a {rep_type}, b {rep_type}")
@@ -198,6 +202,7 @@ def _near(df: DataFrame, key: Column, text_col: str = "text", shingle_words: int
     """The rows of near_duplicates; doc_id and component_id are document keys."""
     docs = stored(fingerprints(pick(df, doc_id=key, text=text_col), shingle_words), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    classes = stored(classes.withColumn("pivots", pivot_table()), "pivot_table")
     comp = components(links(classes, max_bits, bucket_rows)).withColumnRenamed("node", "rep")
     named = classes.join(comp, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return docs.join(named, "fp", "left").select(

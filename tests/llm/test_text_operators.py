@@ -105,7 +105,7 @@ def test_links_of_dense_and_chained_fingerprints(spark):
                 f ^= 1 << b
     fps = {i: f for i, f in enumerate(sorted(fps, key=lambda x: x * 7919 % (1 << 61)))}
     signed = [(f - (1 << 64) if f >> 63 else f, i) for i, f in fps.items()]
-    classes = spark.createDataFrame(signed, "fp long, rep long")
+    classes = spark.createDataFrame(signed, "fp long, rep long").withColumn("pivots", simhash.pivot_table())
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     want = {i: r for i, r in brute_components(fps).items() if i != r}
     for bucket_rows in (4096, 3):  # whole buckets, and buckets cut into pairs of chunks
@@ -113,6 +113,22 @@ def test_links_of_dense_and_chained_fingerprints(spark):
         assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == want
 
 
+def test_pivot_ranges_lose_no_link_and_compare_less():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    fp[300:] = fp[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    key = np.tile(rng.integers(0, 5, 300), 2)
+    fp, key = fp[np.argsort(key, kind="stable")], np.sort(key)
+    table = np.bitwise_count(fp[:, None] ^ simhash.PIVOTS[None, :]).astype(np.int8)
+    side = np.where(key == 3, np.arange(600) % 2, -1)
+    want = {(i, j) for i in range(600) for j in range(i) if key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= 3
+            and (side[i] < 0 or side[i] != side[j])}
+    a, b = simhash._links_of(key, side, fp, table, np.arange(600), 3)
+    assert want and set(zip(a.tolist(), b.tolist(), strict=True)) == {(x, y) for x, y in want}  # chance makes no longer chains here
+
+
 def test_packing(docs, rows, vocab):
     from tokenizers import Tokenizer
 
