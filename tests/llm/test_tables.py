@@ -58,6 +58,47 @@ def test_search_few_and_no_rows(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(two, two).collect()) == [(0, 1, 50), (50, 1, 0)]
 
 
+def test_search_lengths_and_large_components(spark):
+    """Each length is searched among its own; components near the end of the range do not overflow."""
+    rng = np.random.default_rng(8)
+    rows = [(50 * i, (rng.normal(size=4) * 1e200).tolist()) for i in range(8)] + [(50 * i + 1, (rng.normal(size=3) * 1e-170).tolist()) for i in range(8)]
+    rows += [(50 * i + 2, rng.normal(size=4).tolist()) for i in range(8)] + [(5000, [1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(frame, frame.where("vec_id % 50 = 0")).collect()
+    unit = {i: np.array(v) / max(map(abs, v)) / np.linalg.norm(np.array(v) / max(map(abs, v))) for i, v in rows}
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        want = sorted(((-float(unit[q] @ u), i) for i, u in unit.items() if i != q and len(u) == len(unit[q])))[:5]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [i for _, i, _ in mine] == [i for _, i in want]
+        assert all(abs(s + w) < 1e-12 for (_, _, s), (w, _) in zip(mine, want, strict=True))
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 500])
+def test_recall_on_the_embeddings_table(spark, shard_rows):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=np.float64)) for r in table.collect()]
+    want = brute_nearest(rows, [r for r in rows if r[0] % 50 == 0], 5)
+    got = {}
+    for r in hnsw.nearest(table, table.where("vec_id % 50 = 0"), shard_rows=shard_rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = sum(len(got[q] & set(w)) for q, w in want.items()) / (5 * len(want))
+    print(f"recall@5 with shards of {shard_rows}: {recall:.3f}")
+    assert recall >= 0.9
+
+
+def test_insertion_recall_in_one_graph():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 32))
+    x[2000:] = x[:2000] + 0.1 * rng.normal(size=(2000, 32))
+    members, layers = hnsw.build_graph(np.arange(4000), x)
+    unit = hnsw._unit(x)
+    found = hnsw.search_graph(unit, members, layers, unit[:200])
+    sim = unit[:200] @ unit.T
+    want = np.argsort(-sim, axis=1)[:, :6]
+    assert np.mean([len(set(w) & set(f)) / 6 for w, f in zip(want, found, strict=True)]) > 0.95
+    assert len(layers) > 1 and all((a < len(m)).all() for a, m in zip(layers, members, strict=True))
+
+
 def pages(spark):
     big, other = "<p>" + "é" * 700 + "</p>", "x" * 1000
     data = [(1, "http://a/1", big), (2, "http://a/2", big), (9, "http://a/\r\nX: y", big), (3, None, None), (4, "http://b", ""),
