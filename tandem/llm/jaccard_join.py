@@ -152,15 +152,16 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
         F.call_function("shiftrightunsigned", F.col("bands"), F.lit(63)))) != 0
     met = keys.groupBy("h").agg(F.count("*").alias("n"), bands).where((F.col("n") > F.bit_count("bands")) | near).select("h")
     # stored: the joins meet on plain tables, which lets them split a hot shingle
-    rows = stored(keys.join(stored(met, "met"), "h", "left_semi").distinct(), "met_rows")
+    # by sorting at every size: the plan does not change with the data, nor does what it shuffles per row
+    rows = stored(keys.join(stored(met, "met").hint("merge"), "h", "left_semi").distinct(), "met_rows")
     of_band = rows.groupBy("h", "band").agg(F.count("*").alias("n"))
     every = of_band.groupBy("h").agg(F.collect_list(F.struct("band", "n")).alias("bands"))  # as many as there are bands
     good = F.filter("bands", lambda b: (b["n"] > 1) | F.exists("bands", lambda c: F.abs(c["band"] - b["band"]) == 1))
     good = stored(every.select("h", F.explode(good).alias("b")).select("h", "b.band"), "met_bands")
-    shared = stored(rows.join(good, ["h", "band"], "left_semi").select("h", "cls", "band"), "shared_rows")
+    shared = stored(rows.join(good.hint("merge"), ["h", "band"], "left_semi").select("h", "cls", "band"), "shared_rows")
     who = [F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"who{i}") for i in (0, 1)]
     one = shared.groupBy("h").agg(F.count("*").alias("n"), *who).groupBy("n", "who0", "who1").agg(F.min("h").alias("h")).select("h")
-    return stored(shared.join(stored(one, "one_of_each"), "h", "left_semi"), "shared")
+    return stored(shared.join(stored(one, "one_of_each").hint("merge"), "h", "left_semi"), "shared")
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -215,7 +216,7 @@ class Checker:
         near = stored(self._bounded(pairs), "bounded")
         arrays = stored(self._arrays(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), "arrays")
         for side in "ab":
-            near = near.join(arrays.select(F.col("set_id").alias(side), F.col("codes").alias(f"codes_{side}")), side)
+            near = near.join(arrays.select(F.col("set_id").alias(side), F.col("codes").alias(f"codes_{side}")).hint("merge"), side)
         percent = self.percent
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,7 @@ class Checker:
         sided, percent = pairs.select("a", "b").distinct(), self.percent
         own = self.light.select("cls", "set_id", "n", "bits")
         for side in "ab":
-            sided = sided.join(own.select(*[F.col(c).alias(side if c == "cls" else f"{c}_{side}") for c in own.columns]), side)
+            sided = sided.join(own.select(*[F.col(c).alias(side if c == "cls" else f"{c}_{side}") for c in own.columns]).hint("merge"), side)
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -272,7 +273,7 @@ def tile_pairs(shared: DataFrame, light: DataFrame, roots: DataFrame, percent: i
     one pair per component and tile."""
     named = light.join(roots, "set_id", "left").select(
         "cls", "n", "bits", F.xxhash64(F.coalesce("root", "set_id")).alias("comp"))
-    placed = stored(shared.join(named.select("cls", "comp"), "cls"), "placed")
+    placed = stored(shared.join(named.select("cls", "comp").hint("merge"), "cls"), "placed")
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     rows = stored(placed.join(mixed, "h"), "mixed")
     sizes = rows.groupBy("h", "band").agg(F.count("*").alias("size"))
@@ -301,7 +302,7 @@ def tile_pairs(shared: DataFrame, light: DataFrame, roots: DataFrame, percent: i
         .when(F.col("t.x") == F.col("t.y"), -1).otherwise(F.when(F.col("block") == F.col("t.x"), 0).otherwise(1)).alias("side"))
     alone = dealt.groupBy("task").agg(F.count("*").alias("k"), F.min("side").alias("s"), F.max("side").alias("e")).where(
         "k > 1 and (s = -1 or s <> e)").select("task")
-    dealt = dealt.join(alone, "task").join(named.select("cls", "n", "bits", "comp"), "cls")
+    dealt = dealt.join(alone, "task").join(named.select("cls", "n", "bits", "comp").hint("merge"), "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["task"]):
@@ -375,6 +376,6 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     classes = stored(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(classes.join(least, "root").select("set_id", "component_id"), "named_classes")
-    return sets.join(classes, "set_id", "left").select(
+    return sets.join(classes.hint("merge"), "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

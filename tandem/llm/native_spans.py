@@ -5,13 +5,18 @@ exclusive. ``split`` gives the text between matches and ``regexp_extract_all`` t
 sums of their lengths are the places. Texts without a match are told by ``rlike`` first, so most
 rows pay one pass. Patterns here repeat single character classes only (no repeated groups), which
 Java matches without recursion: long texts cannot overflow the stack.
+
+Long texts are scanned in blocks of about ``BLOCK_CHARS``, cut after characters that no match can hold, so the
+matches are those of the whole text and the work grows with its length. (A stretch without such a character stays one
+block.) Each block knows the characters around it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK_CHARS, LEFT_CHARS, RIGHT_CHARS = 4096, 32, 4
 SPAN = "array<struct<kind:string,rank:int,start:int,end:int,hit:string>>"
 
 
@@ -23,19 +28,53 @@ def quoted(pattern: str) -> Column:
     return F.lit(pattern)
 
 
-def spans(text: Column, kind: str, rank: int, pattern: str, keep=None, shown: Column | None = None) -> Column:
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def blocks(text: Column, boundary: str) -> Column:
+    """The text as an array of struct<at, left, block, right>; ``boundary``: what no match can hold, one character."""
+    n = BLOCK_CHARS
+    cut = rf"(?s).{{1,{n}}}\z|.{{0,{n - 1}}}(?:{boundary})|.+?(?:(?:{boundary})|\z)"
+    parts = F.when(F.length(text) <= n, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(cut), F.lit(0)))
+    empty = F.array().cast("array<struct<at:int,left:string,block:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("left"), empty.alias("out"))
+
+    def step(acc, x):
+        one = F.struct(acc["at"].alias("at"), acc["left"].alias("left"), x.alias("block"))
+        return F.struct((acc["at"] + F.length(x)).alias("at"), F.right(F.concat(acc["left"], x), F.lit(LEFT_CHARS)).alias("left"),
+                        F.concat(acc["out"], F.array(one)).alias("out"))
+
+    placed = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return let(placed, lambda every: F.transform(every, lambda b, i: b.withField("right", F.left(
+        F.coalesce(F.get(every, i + 1)["block"], F.lit("")), F.lit(RIGHT_CHARS)))))
+
+
+def moved(found: Column, at: Column) -> Column:
+    """Spans of a block as spans of the text."""
+    return F.transform(found, lambda s: s.withField("start", s["start"] + at).withField("end", s["end"] + at))
+
+
+def spans(text: Column, kind: str, rank: int, pattern: str, keep=None, shown=None) -> Column:
     """All leftmost non-overlapping matches of ``pattern`` in ``text``; ``keep(hit)`` drops matches
-    afterwards. ``shown``: a text of the same length to take the hits from (``text`` by default)."""
+    afterwards. ``shown(hit)``: the hit as the reader's text has it."""
     p = quoted(pattern)
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"))
-    shown = text if shown is None else shown
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        hit = shown.substr(start + 1, F.length(x["hit"])) if shown is not text else x["hit"]
         one = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"),
-                       end.alias("end"), hit.alias("hit"))
+                       end.alias("end"), (x["hit"] if shown is None else shown(x["hit"])).alias("hit"))
         return F.when(x["hit"].isNull(), acc).otherwise(
             F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 

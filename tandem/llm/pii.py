@@ -11,8 +11,8 @@ pass Luhn, international phone numbers. The method adds ``weak`` spans:
    over these counts, one row and one ``aggregate`` in SQL, estimates how reliable each labeler is
    and how likely each pattern is personal;
 4. these likelihoods are the soft labels of the final classifier of spans, naive Bayes over features that the
-   labelers do not vote on alone (length, separators, neighbours): a table of a few dozen log odds. A
-   candidate that does not overlap a base span and has odds above 1 is a ``weak`` span.
+   labelers do not vote on (number of digits, separators, the characters beside it, the word before it by hash): a
+   table of about a hundred log odds. A candidate that does not overlap a base span and has odds above 1 is a ``weak`` span.
 
 The tables read by the driver are bounded by the patterns and the features, not by the data.
 
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .native_spans import SPAN, count_of, joined, no_spans, overlaps, spans
+from .native_spans import (BLOCK_CHARS, LEFT_CHARS, RIGHT_CHARS, blocks, count_of, fresh, joined, let, moved, no_spans, overlaps,
+                           spans)
 
 KINDS = ("email", "ip", "card", "phone", "weak")
 #: Private-use characters that stand for a dot between label characters and for a separator between digits.
@@ -40,7 +41,9 @@ CARD_LIKELY = r"[0-9](?:[\x20-]?[0-9]){12}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBERS = r"[0-9][0-9\x20().-]{5,}[0-9]"
 HANDLES = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
-BEFORE, AFTER = 32, 4
+#: No match holds such a character: it is of no pattern's, or a space before a letter or a plus sign.
+BOUNDARY = r"[^A-Za-z0-9._%+@\x20()-]|\x20(?=[A-Za-z+])"
+WORD_BUCKETS = 64
 #: Words that announce personal numbers, in four languages (a gazetteer).
 ANNOUNCE = (r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|contact|whatsapp|mail|e-?mail|ssn|passport|account|iban|card|"
             r"telefon|handy|kontonummer|ausweis|rufnummer|portable|appelez|compte|passeport|carte|courriel|tel[eé]fono|"
@@ -69,9 +72,10 @@ def _digits(hit: Column) -> Column:
 def base_spans(text: Column) -> Column:
     dotted = F.regexp_replace(F.translate(text, DOT, "\u0001"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     spaced = F.regexp_replace(F.translate(text, SEP, "\u0001"), r"(?<=[0-9])[\x20-](?=[0-9])", SEP)
-    email = F.when(F.contains(text, F.lit("@")), spans(dotted, "email", 0, EMAIL, shown=text)).otherwise(no_spans())
+    email = F.when(F.contains(text, F.lit("@")), spans(
+        dotted, "email", 0, EMAIL, shown=lambda h: F.translate(h, DOT, "."))).otherwise(no_spans())
     card = F.when(F.rlike(text, F.lit(CARD_LIKELY)), spans(
-        spaced, "card", 2, CARD, lambda h: _digits(h).between(13, 19) & _luhn(h), shown=text)).otherwise(no_spans())
+        spaced, "card", 2, CARD, lambda h: _digits(h).between(13, 19) & _luhn(h), lambda h: F.translate(h, SEP, " "))).otherwise(no_spans())
     return F.concat(email, spans(text, "ip", 1, IP, lambda h: F.rlike(h, F.lit(IP_PARTS))), card,
                     spans(text, "phone", 3, PHONE, lambda h: _digits(h).between(9, 15)))
 
@@ -82,9 +86,11 @@ def candidate_spans(text: Column) -> Column:
     return F.concat(numbers, handles)
 
 
-def _around(text: Column, s: Column) -> tuple[Column, Column]:
-    lo = F.greatest(s["start"] - BEFORE, F.lit(0))
-    return text.substr(lo + 1, s["start"] - lo), text.substr(s["end"] + 1, F.lit(AFTER))
+def _around(b: Column, s: Column) -> tuple[Column, Column]:
+    """The characters before and after a span of the block ``b``."""
+    lo = F.greatest(s["start"] - LEFT_CHARS, F.lit(0))
+    before = F.right(F.concat(b["left"], b["block"].substr(lo + 1, s["start"] - lo)), F.lit(LEFT_CHARS))
+    return before, F.left(F.concat(b["block"].substr(s["end"] + 1, F.lit(RIGHT_CHARS)), b["right"]), F.lit(RIGHT_CHARS))
 
 
 def _votes(before: Column, hit: Column, after: Column, strict: Column) -> list[Column]:
@@ -109,26 +115,36 @@ def _features(before: Column, hit: Column, after: Column) -> list[Column]:
         F.contains(hit, F.lit(".")), "dot").otherwise("space")
     edge = lambda c: F.when(F.length(c) == 0, "none").when(F.rlike(c, F.lit(r"^[\p{L}_]")), "letter").when(
         F.rlike(c, F.lit(r"^\s")), "space").otherwise("sign")
+    word = F.regexp_extract(F.lower(before), r"(\p{L}+)[^\p{L}]*$", 1)
     return [F.concat(F.lit("digits:"), F.least(n, F.lit(20)).cast("string")), F.concat(F.lit("kind:"), kind),
             F.concat(F.lit("left:"), edge(F.right(before, F.lit(1)))), F.concat(F.lit("right:"), edge(F.left(after, F.lit(1)))),
-            F.concat(F.lit("announced:"), F.rlike(before, F.lit(ANNOUNCE)).cast("string")),
-            F.concat(F.lit("other:"), F.rlike(before, F.lit(OTHER)).cast("string")),
-            F.concat(F.lit("date:"), F.rlike(hit, F.lit(DATE)).cast("string"))]
+            F.concat(F.lit("word:"), F.when(word == "", "none").otherwise(F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("string")))]
 
 
-def _judged(text: Column, found: Column, base: Column) -> Column:
-    """Each candidate with its vote places (3 * labeler + vote) and its features."""
+def _judged(b: Column, found: Column, base: Column) -> Column:
+    """Each candidate of a block with its vote places (3 * labeler + vote) and its features."""
     def one(s):
-        before, after = _around(text, s)
-        votes = _votes(before, s["hit"], after, overlaps(s, base))
-        return F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"),
-                        s["hit"].alias("hit"),
-                        F.array(*[v + 3 * j for j, v in enumerate(votes)]).alias("votes"),
-                        F.array(*_features(before, s["hit"], after)).alias("features"), overlaps(s, base).alias("in_base"))
+        before, after = _around(b, s)
+
+        def judge(strict):
+            votes = _votes(before, s["hit"], after, strict)
+            return F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"),
+                            s["hit"].alias("hit"), F.array(*[v + 3 * j for j, v in enumerate(votes)]).alias("votes"),
+                            F.array(*_features(before, s["hit"], after)).alias("features"), strict.alias("in_base"))
+        return let(overlaps(s, base), judge)
 
     return F.transform(found, one)
 
 
+def scanned(text: Column) -> Column:
+    """The blocks of a text: struct<base, weak>, the base spans and the judged candidates, placed in the text."""
+    def one(b):
+        return let(base_spans(b["block"]), lambda base: F.struct(
+            moved(base, b["at"]).alias("base"), moved(_judged(b, candidate_spans(b["block"]), base), b["at"]).alias("weak")))
+
+    return F.transform(blocks(text, BOUNDARY), one)
+
+
 def label_model(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(votes, q) from (votes, n): expectation-maximisation of a two-class model with independent
     labelers over the counted patterns; q is the likelihood that a candidate is personal."""
@@ -183,24 +199,28 @@ def classifier(candidates: DataFrame) -> tuple[float, dict[str, float]]:
 
 def with_personal_data(df: DataFrame, text_col: str = "text", out: str = "personal_spans") -> DataFrame:
     """``df`` with a column of spans: the base kinds and ``weak``."""
-    def judged(rows: DataFrame, text: Column) -> DataFrame:
-        return rows.withColumn("__base", base_spans(text)).withColumn("__cand", candidate_spans(text))
-
     plain = F.coalesce(F.col("text"), F.lit(""))
-    seen = judged(pick(df, text=text_col), plain).where(F.size("__cand") > 0).select(
-        F.explode(_judged(plain, F.col("__cand"), F.col("__base"))).alias("c")).select("c.votes", "c.features")
+    likely = F.length(plain) > BLOCK_CHARS
+    for hint in (NUMBERS, HANDLES):
+        likely = likely | F.rlike(plain, F.lit(hint))
+    seen = pick(df, text=text_col).where(likely).select(F.explode(scanned(plain)).alias("b")).select(
+        F.explode("b.weak").alias("c")).select("c.votes", "c.features")
     prior, table = classifier(seen)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = judged(df, text)
-    if table:
-        odds = F.create_map(*[x for f, v in sorted(table.items()) for x in (F.lit(f), F.lit(float(v)))])
-        kept = F.filter(_judged(text, F.col("__cand"), F.col("__base")), lambda s: ~s["in_base"] & (F.aggregate(
+    work = fresh(df, "scanned")
+    rows = df.withColumn(work, scanned(text))
+    base = F.flatten(F.transform(F.col(work), lambda b: b["base"]))
+    if not table:
+        return rows.withColumn(out, base).drop(work)
+    odds = F.create_map(*[x for f, v in sorted(table.items()) for x in (F.lit(f), F.lit(float(v)))])
+
+    def kept(b):
+        good = F.filter(b["weak"], lambda s: ~s["in_base"] & (F.aggregate(
             s["features"], F.lit(float(prior)), lambda a, f: a + F.coalesce(F.element_at(odds, f), F.lit(0.0))) > 0))
-        weak = F.transform(kept, lambda s: s.dropFields("votes", "features", "in_base")).cast(SPAN)
-        weak = F.when(F.size("__cand") > 0, weak).otherwise(no_spans())
-    else:
-        weak = no_spans()
-    return rows.withColumn(out, F.concat("__base", weak)).drop("__base", "__cand")
+        return F.transform(good, lambda s: s.dropFields("votes", "features", "in_base"))
+
+    weak = F.flatten(F.transform(F.col(work), kept))
+    return rows.withColumn(out, F.concat(base, weak)).drop(work)
 
 
 def personal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

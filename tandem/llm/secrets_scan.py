@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .native_spans import SPAN, count_of, joined, masked, no_spans, overlaps, spans
+from .native_spans import blocks, count_of, fresh, joined, let, masked, moved, overlaps, spans
 
 ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""")
 ASSIGN_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
@@ -46,6 +46,8 @@ GRID_END = (0.2, 0.1, 0.05, 0.05)  # of each band
 TAIL, TAIL_SHARE = 0.5, 0.545  # share of random tokens with p >= TAIL: 0.52-0.56 over encodings and lengths 20-128
 CLASSES = {"hex": ("[0-9]", "[a-fA-F]"), "base32": ("[2-7]", "[A-Z]"), "base64": ("[A-Z]", "[a-z]", "[0-9]")}
 MAX_FDR = 0.1
+#: No match holds such a character: it is of no pattern's, or a space between letters or digits.
+BOUNDARY = r"""[^A-Za-z0-9"'\x20:=+/_.-]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])"""
 
 
 def base_spans(text: Column) -> Column:
@@ -59,11 +61,6 @@ def candidate_spans(text: Column) -> Column:
     return spans(text, "random", 3, TOKEN)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _upper_tail(z: Column) -> Column:
     """Normal upper tail by the logistic form (absolute error below 2e-4)."""
     return let(z, lambda z: 1 / (1 + F.exp(F.least(F.greatest(
@@ -203,12 +200,26 @@ def cuts(tested: DataFrame, max_fdr: float = MAX_FDR) -> DataFrame:
     return sums.select("enc", "band", "mixed", cut.alias("cut")).where("cut is not null")
 
 
-def with_secrets(df: DataFrame, text_col: str = "text", max_fdr: float = MAX_FDR, out: str = "secret_spans") -> DataFrame:
-    """``df`` with a column of spans: the base kinds and ``random``."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    token = pick(df, text=text_col).select(
-        F.explode(_tested(candidate_spans(F.coalesce(F.col("text"), F.lit(""))))).alias("t")
-    ).select("t.enc", "t.band", "t.mixed", "t.odds", "t.p", F.xxhash64("t.hit").alias("h")).distinct()  # copies are one draw
+def scanned(text: Column, passes=None) -> Column:
+    """The blocks of a text: struct<at, block, found>, the base spans and the random ones (of all candidates those
+    outside base spans for which ``passes`` holds), placed in the block."""
+    def one(b):
+        def added(base):
+            free = F.filter(candidate_spans(b["block"]), lambda s: ~overlaps(s, base))
+            good = F.filter(_tested(free), passes)
+            plain = F.transform(good, lambda s: s.dropFields("enc", "band", "mixed", "odds", "p"))
+            return F.struct(b["at"].alias("at"), b["block"].alias("block"), F.concat(base, plain).alias("found"))
+        return let(base_spans(b["block"]), added)
+
+    return F.transform(blocks(text, BOUNDARY), one)
+
+
+def _scan(df: DataFrame, text_col: str, max_fdr: float, out: str) -> DataFrame:
+    """``df`` with its scanned blocks."""
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    token = pick(df, text=text_col).select(F.explode(blocks(plain, BOUNDARY)).alias("b")).where(
+        F.rlike("b.block", F.lit(TOKEN))).select(F.explode(_tested(candidate_spans(F.col("b.block")))).alias("t")).select(
+        "t.enc", "t.band", "t.mixed", "t.odds", "t.p", F.xxhash64("t.hit").alias("h")).distinct()  # copies are one draw
     limits = {(r["enc"], r["band"], r["mixed"]): r["cut"] for r in cuts(token, max_fdr).collect()}  # 24 rows at most
 
     def passes(s: Column) -> Column:
@@ -217,13 +228,14 @@ def with_secrets(df: DataFrame, text_col: str = "text", max_fdr: float = MAX_FDR
             ok = F.when((s["enc"] == enc) & (s["band"] == band) & (s["mixed"] == mixed), s["p"] >= cut).otherwise(ok)
         return ok
 
-    rows = df.withColumn("__base", base_spans(text)).withColumn("__cand", candidate_spans(text))
-    fresh = F.filter(F.col("__cand"), lambda s: ~overlaps(s, F.col("__base")))
-    added = F.filter(_tested(fresh), passes).cast(
-        "array<struct<kind:string,rank:int,start:int,end:int,hit:string,enc:string,band:int,mixed:boolean,odds:double,p:double>>")
-    plain = F.transform(added, lambda s: s.dropFields("enc", "band", "mixed", "odds", "p")).cast(SPAN)
-    return rows.withColumn("__add", F.when(F.size("__cand") > 0, plain).otherwise(no_spans())).withColumn(
-        out, F.concat("__base", "__add")).drop("__base", "__cand", "__add")
+    return df.withColumn(out, scanned(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), passes))
+
+
+def with_secrets(df: DataFrame, text_col: str = "text", max_fdr: float = MAX_FDR, out: str = "secret_spans") -> DataFrame:
+    """``df`` with a column of spans: the base kinds and ``random``."""
+    work = fresh(df, "scanned")
+    placed = F.flatten(F.transform(F.col(work), lambda b: moved(b["found"], b["at"])))
+    return _scan(df, text_col, max_fdr, work).withColumn(out, placed).drop(work)
 
 
 def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fdr: float = MAX_FDR) -> DataFrame:
@@ -238,5 +250,8 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mask_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", max_fdr: float = MAX_FDR) -> DataFrame:
     """``df`` with every secret span replaced by ``mark``; texts without one, null too, stay as they are."""
-    rows = with_secrets(df, text_col, max_fdr, "__found")
-    return rows.withColumn(text_col, masked(F.col(f"`{text_col}`"), F.col("__found"), mark)).drop("__found")
+    work = fresh(df, "scanned")
+    rows = _scan(df, text_col, max_fdr, work)
+    hit = F.exists(F.col(work), lambda b: F.size(b["found"]) > 0)
+    clean = F.array_join(F.transform(F.col(work), lambda b: masked(b["block"], b["found"], mark)), "")
+    return rows.withColumn(text_col, F.when(hit, clean).otherwise(F.col(f"`{text_col}`"))).drop(work)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from tandem.functions.groups import whole_groups
 
 from .common import document_key, mix, pick, stored, utf8
+from .native_spans import fresh
 
 SHINGLE_WORDS, MAX_BITS, BUCKET_ROWS = 3, 3, 4096
 PIVOTS = mix(np.arange(1, 9, dtype=np.uint64))  # reference fingerprints: any fixed random values do
@@ -224,5 +225,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     key = document_key(id_col, text_col)
     worded = df.where(F.regexp_like(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]")))
     gone = _near(worded, key, text_col, **options).where("not is_kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, key == F.col("__gone"), "left_anti")
+    name = fresh(df, "gone")
+    gone = gone.select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, key == F.col(name), "left_anti")

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, document_key, pick, range_hash, slices, sliding, stored, utf8
+from .native_spans import fresh
 
 MIN_WORDS, ANCHOR_WORDS = 50, 20
 STRETCH = 62  # runs in a stretch at most: one bit each in a long
@@ -188,18 +189,19 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     null pass unchanged."""
     key = document_key(id_col, text_col)
     stretches = repeated_stretches(df, key, text_col, min_words, anchor_words)
+    cut_id, cuts_col = fresh(df, "cut_id"), fresh(df, "cut_spans")
     later = stretches.withColumn("mask", F.when(F.col("doc_id") != F.col("first_doc"), F.col("mask")).otherwise(
         F.col("mask").bitwiseAND(F.col("again"))))
     cuts = (_islands(later, min_words).groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
-            .select(F.col("doc_id").alias("__cut_id"), "__cuts"))
+            .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+            .select(F.col("doc_id").alias(cut_id), F.col("cuts").alias(cuts_col)))
 
     @F.pandas_udf("string")
     def without(text, spans):
         return text.combine(spans, _without)
 
-    joined = df.join(cuts, key == F.col("__cut_id"), "left")
-    text = F.when(F.col("__cuts").isNotNull(), without(F.col(f"`{text_col}`"), F.col("__cuts")))
+    joined = df.join(cuts, key == F.col(cut_id), "left")
+    text = F.when(F.col(cuts_col).isNotNull(), without(F.col(f"`{text_col}`"), F.col(cuts_col)))
     return joined.select(*[(F.coalesce(text, F.col(f"`{c}`")) if c == text_col else F.col(f"`{c}`")).alias(c)
                            for c in df.columns])
 
