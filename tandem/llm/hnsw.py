@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, pick, stored
 
-SHARD_ROWS, DEGREE, BEAM, FAN, QUERY_BLOCK, CANDIDATES = 8192, 24, 200, 16, 512, 64
-QUERY_GROUP, FIRST_NODES = 1 << 15, 128
+SHARD_ROWS, DEGREE, BEAM, FAN, QUERY_BLOCK, CANDIDATES = 8192, 16, 96, 16, 512, 48
+QUERY_GROUP, FIRST_NODES, EXPANDED = 1 << 15, 128, 4
 INDEX = ("dim int, shard int, n int, ids binary, n_ids binary, vectors binary, layers array<binary>, members array<binary>")
 
 
@@ -55,7 +55,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _diverse(x: np.ndarray, top: np.ndarray, sim: np.ndarray, degree: int) -> np.ndarray:
     """Of each row's candidates (numbers ``top`` in ``x``, -1 where none, nearest first) up to ``degree``: those nearer to
     the row than to any chosen one, then the nearest of the rest."""
-    between = np.einsum("bid,bjd->bij", x[np.maximum(top, 0)], x[np.maximum(top, 0)])
+    near = x[np.maximum(top, 0)]
+    between = near @ near.transpose(0, 2, 1)
     taken = np.zeros(top.shape, dtype=bool)
     for j in range(top.shape[1]):
         rival = np.where(taken, between[:, j, :], -2).max(axis=1)
@@ -151,15 +152,20 @@ def beam_search(x: np.ndarray, layer: np.ndarray, entry: np.ndarray, queries: np
     rows = np.arange(q)
     node[:, 0], score[:, 0], done[:, 0] = entry, np.einsum("ij,ij->i", x[entry], queries), False
     seen[rows, entry] = True
-    while len(rows):
+    expanded = min(EXPANDED, width)
+    while len(rows):  # of each query the best nodes not yet looked at, a few at a time
         open_score = np.where(done[rows], -3, score[rows])
-        j = open_score.argmax(axis=1)
-        rows, j = (v[open_score[np.arange(len(j)), j] > -2] for v in (rows, j))
+        j = np.argpartition(-open_score, expanded - 1, axis=1)[:, :expanded]
+        is_open = np.take_along_axis(open_score, j, axis=1) > -2
+        keep = is_open.any(axis=1)
+        rows, j, is_open = rows[keep], j[keep], is_open[keep]
         if not len(rows):
             break
-        done[rows, j] = True
-        nb = layer[node[rows, j]].astype(np.int64)
+        done[rows[:, None], j] = True
+        nb = np.where(is_open[:, :, None], layer[np.maximum(node[rows[:, None], j], 0)], -1).reshape(len(rows), -1).astype(np.int64)
+        nb.sort(axis=1)
         fresh = (nb >= 0) & ~seen[rows[:, None], np.maximum(nb, 0)]
+        fresh[:, 1:] &= nb[:, 1:] != nb[:, :-1]
         r, c = np.nonzero(fresh)
         seen[rows[r], nb[r, c]] = True
         s = np.full(nb.shape, -2.0, dtype=np.float32)
