@@ -96,10 +96,17 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pick(df, page_id=id_col, url=url_col, payload=payload_col).select(
         "page_id", F.col("url").cast("string"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    first = (rows.where(F.col("size") >= min_revisit).groupBy("digest", "size")
-             .agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    joined = rows.join(first, ["digest", "size"], "left")
-    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
+    # revisits are decided without payloads, per (page, digest, size); payloads then meet the decisions by page, so
+    # a payload that many pages share is spread over the tasks
+    light = stored(rows.select("page_id", "digest", "size"), "warc-digests")
+    first = (light.where(F.col("size") >= min_revisit).groupBy("digest", "size")
+             .agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").drop("n"))
+    decided = light.distinct().join(stored(first, "warc-kept"), ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("kept")))
+    decided = stored(decided.select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), F.col("size").alias("of_size"), "kept"),
+                     "warc-revisits")
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")) & (F.col("size") == F.col("of_size"))
+    joined = rows.join(decided, same, "left")
+    revisit = F.col("of_digest").isNotNull()
     records = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest",
                             F.when(revisit, F.col("kept").cast("string")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -132,8 +139,10 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the index rows, by coalesced range reads (columns of ``RECORD``; ``payloads``:
     False leaves the payload out after its digest was verified)."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // BLOCK_BYTES))  # by the bytes to read, not those of the index
     chosen = (index.select("file", "offset", "length").withColumn("block", F.floor(F.col("offset") / BLOCK_BYTES))
-              .repartition("file", "block").sortWithinPartitions("file", "offset"))
+              .repartition(tasks, "file", "block").sortWithinPartitions("file", "offset"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _file_system(folder)
