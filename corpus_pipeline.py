@@ -7,7 +7,8 @@ stage at most. All stages but the last return the columns of ``documents``; wher
 
 1. toxicity: documents predicted toxic go (dictionaries and calibration are fitted on the labelled
    documents among the input whose labels may be learned from);
-2. SimHash near-dedup: of each group of near copies the document with the least id stays;
+2. SimHash near-dedup: of each group of near copies the document with the least id stays; texts without a word are no
+   copies of anything and all stay;
 3. suffix-array dedup: passages of 50 words or more stay at their first place only;
 4. secret scans: secrets are replaced by ``[SECRET]``;
 5. best-fit packing: one row per piece, with its sequence and offset.
