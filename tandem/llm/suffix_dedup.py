@@ -1,19 +1,24 @@
-"""Suffix-array dedup over a sparse suffix array (operator 1).
+"""Dedup of passages at sparse, content-selected places (operator 1).
 
 A passage repeats if its word sequence, ``min_words`` or longer, stands at two places of the corpus.
-Suffixes are retained only at *minimisers*: word positions whose ``anchor_words``-gram hash is the
-least of a window of positions, chosen so that every run of ``min_words`` words holds one. Equal
-passages therefore retain the same suffixes, and a few per cent of all suffixes are enough:
 
-1. the retained suffixes are grouped by their first words; those with no equal neighbour go;
+The sparse suffix array that this operator is named for retains suffixes at *minimisers*, sorts them, compares
+neighbours and extends matches both ways. Retention is as there: word positions whose ``anchor_words``-gram hash is the
+least of a window, so that every run of ``min_words`` words holds one, and equal passages retain equal suffixes. But
+**nothing is sorted here and no neighbours are compared**, because that misses repeats: a suffix's neighbour in the
+order of following words is the one with the longest match to the right, which may have none to the left, while the
+partner of a passage that lies mostly to the left of its anchor stands further off (tests/llm/test_neighbours.py has
+such a case). Instead:
+
+1. the retained suffixes are grouped by the hash of their first words; those with no equal go;
 2. each one left is extended to the left and right, to the stretch of all runs of ``min_words`` words whose
    least suffix it is. Equal stretches form a class (by the hash of their runs), and go on once; then equal
    runs of the classes meet by hash, and runs met nowhere else go;
 3. runs that overlap in a document are joined to maximal spans.
 
-The result is exact: a word is in a span if and only if one of the ``min_words``-word runs over it
-stands at another place. All joins are on hashes with partial counts before them, so a passage that
-a third of the documents hold is one row on one side and splits on the other.
+The result is exact but for collisions of 64-bit hashes: a word is in a span if and only if one of the
+``min_words``-word runs over it stands at another place. All joins are on hashes with partial counts before them, so a
+passage that a third of the documents hold is one row on one side and splits on the other.
 
 Defined cases: a null text or one with fewer than ``min_words`` words has no spans; rows with a null
 id cannot be named and take no part; rows that share id and text are one document (the same row twice is
