@@ -2,7 +2,7 @@
 
 A rolling hash over the last ``WINDOW`` bytes cuts texts into chunks of about ``2**mask_bits`` bytes,
 so equal passages fall into equal chunks wherever they stand. A chunk is encoded once per Python
-worker and kept (``CHUNK_BYTES`` of chunks, then the store is emptied: memory only, never results).
+worker, over all its tasks, and kept (``CHUNK_BYTES`` of chunks, then the store is emptied: memory only, never results).
 
 Chunk joins fall anywhere, inside words too, so the tokens around them are repaired: a chunk keeps
 only the ids between its first and its last *certain* cut, and the text from the last certain cut
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import pick, rolling_hash, slices, utf8
 from .tokens import LATIN_END, PieceStore, byte_letters, split_signs, tokenizer
 
-WINDOW, MASK_BITS, CHUNK_BYTES = 16, 10, 8 << 20
+WINDOW, MASK_BITS, CHUNK_BYTES = 16, 10, 32 << 20
 _BASE = 0xD1342543DE82EF95
 _SPACES = frozenset(b" \t\n\v\f\r\x1c\x1d\x1e\x1f")
 
@@ -194,7 +194,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(vocabulary, mask_bits)
+        codec = worker_codec(vocabulary, mask_bits)
         for b in batches:
             ids = [np.frombuffer(x, dtype="<i4") for x in codec.encode(utf8(b.column("text")))]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
@@ -216,6 +216,12 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     return rows.mapInArrow(scan, f"doc_id {id_type}, text string")
 
 
+@lru_cache(maxsize=1)
+def worker_codec(vocabulary: str, mask_bits: int) -> ChunkCodec:
+    """The codec of this Python worker: later tasks find the chunks of earlier ones."""
+    return ChunkCodec(vocabulary, mask_bits)
+
+
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
                mask_bits: int = MASK_BITS) -> DataFrame:
     """One row per row of ``df``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
@@ -224,7 +230,7 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(vocabulary, mask_bits)
+        codec = worker_codec(vocabulary, mask_bits)
         table = byte_table(codec.encoder)
         decimal = [str(i).encode() for i in range(len(table))]
         for b in batches:
