@@ -147,4 +147,54 @@ ORACLE_SQL = {"op10_warc": """
          s AS (SELECT iid, rid, sum(k * c)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY iid, rid),
          r AS (SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank
                FROM s JOIN d USING (rid) WHERE score > 0)
-    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN i USING (iid) WHERE rank <= 10"""}
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN i USING (iid) WHERE rank <= 10""",
+    # CRC-32 by its table; a row-by-row search over the states 0: start, 1: after s, 2: after u, 3: after a
+    "op12_conversation_repair": r"""
+    WITH RECURSIVE crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x:
+               CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+         k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+               list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+               lambda x: ascii(x)))::BIGINT[], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k
+               FROM conversations, crc),
+         d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN
+               regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+               FROM k WHERE k <> 0),
+         o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+               sha256(length(role) || ':' || role || ':' || text), copy) AS pos FROM d),
+         e AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+               min(pos) OVER (PARTITION BY conv_id, role, text) AS first FROM o),
+         f AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN pos > first THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END
+               AS fault, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM e),
+         ins(p, q, cost, audit) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'),
+               (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 3, 5, 'I'), (3, 2, 5, 'I')),
+         step(p, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+         move AS (SELECT p, c, q, 'K' AS edit, 0 AS cost FROM step UNION ALL SELECT p, c, q, 'R', 1 FROM step WHERE c <> 's'
+                  UNION ALL SELECT p, NULL, p, 'D', 2 FROM range(4) r(p)),
+         v(conv_id, pos, st, best) AS (
+           SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, {'cost': 0::BIGINT, 'audit': ''} FROM f
+           UNION ALL
+           SELECT v.conv_id, v.pos + 1, m.q, min({'cost': (v.best.cost + i.cost + m.cost + CASE WHEN f.fault = 3 AND m.edit <> 'D' THEN 5 ELSE 0 END)::BIGINT,
+                  'audit': v.best.audit || i.audit || m.edit})
+           FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.pos = v.pos + 1 JOIN ins i ON i.p = v.st
+           JOIN move m ON m.p = i.q AND (m.edit = 'D' OR f.fault IN (0, 3)) AND (m.edit <> 'K' OR m.c = f.c)
+           GROUP BY v.conv_id, v.pos, m.q),
+         s AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+               count(*) FILTER (WHERE fault = 3) AS truncated,
+               count(*) FILTER (WHERE before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+         a AS (SELECT s.conv_id, min({'cost': v.best.cost + i.cost, 'audit': v.best.audit || i.audit}) AS best
+               FROM s JOIN v ON v.conv_id IS NOT DISTINCT FROM s.conv_id AND v.pos = s.n JOIN ins i ON i.p = v.st AND i.q IN (0, 3)
+               GROUP BY s.conv_id),
+         x AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, generate_subscripts(string_split(best.audit, ''), 1) AS i,
+               length(replace(best.audit, 'D', '')) % 2 AS lead FROM a),
+         y AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS pos, count(*) FILTER (WHERE edit <> 'D') OVER w - 1 AS place FROM x
+               WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+         z AS (SELECT y.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN f.role WHEN (place - lead) % 2 = 0 THEN 'user' ELSE 'assistant' END
+               || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY place)) AS h
+               FROM y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.pos = y.pos AND edit <> 'I'
+               WHERE edit <> 'D' GROUP BY y.conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+           coalesce(best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""}
