@@ -12,13 +12,14 @@ distinct contexts, which copies of one text cannot raise). Both dictionaries sha
 trained on ordinary text, so equal content saves equal bytes. Toxic texts that show only in phrases of common
 words, or in words under these gates, save nothing and are missed.
 
-The fit reads a bounded sample: at most ``fit_toxic`` and ``fit_ordinary`` labelled texts of at most
-``fit_chars`` characters, those with the least hash of their id; it runs in one task. Ids and labels alone are shuffled to
+The fit reads a bounded sample: at most ``fit_toxic`` and ``fit_ordinary`` labelled texts, those with the least hash of
+their id, whole and of any length, as long as a class has no more than ``fit_chars`` characters together (a text that
+does not fit in what is left is passed over); it runs in one task. Ids, labels and lengths alone are shuffled to
 choose it; the chosen ids, bounded by the same parameters, are broadcast to the texts. Every text is
-scored whole, all its windows, by one pass without a shuffle. The caps change the sample's class ratio, and
-longer texts are not learned from; the fit therefore counts each sampled text for as many labels of its class
-as it stands for in the whole table, so the odds that a score means do not depend on the size of the table. The ordinary dictionary is trained on the
-first ``FIT_WINDOWS`` windows of the sample.
+scored whole, all its windows, by one pass without a shuffle. The caps change the sample's class ratio; the fit
+therefore counts each sampled text for as many labels of its class as it stands for in the whole table, so the odds
+that a score means do not depend on the size of the table. The ordinary dictionary is trained on at most
+``FIT_WINDOWS`` windows, evenly spread over the sample.
 
 Defined cases: a null or empty text has no windows, hence a score like any other; labels null or unknown are not used,
 of several labels of one id the toxic one counts, and of several texts of one id the least one is learned from;
@@ -37,11 +38,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordTable, mix, pick, slices, utf8
 
 WINDOW_WORDS, ORDINARY_DICT_BYTES, TOXIC_DICT_BYTES, LEVEL = 8, 32768, 16384, 3
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 6000, 20_000
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 6000, 40_000_000
 FIT_WINDOWS = 60_000
 FOLDS = 5
 MIN_CONTEXTS, MIN_G, MIN_RATIO = 4, 18.0, 2.0
@@ -88,7 +90,8 @@ def marked_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents."""
-    samples = [w for t in ordinary for w in windows(t)][:FIT_WINDOWS]
+    samples = [w for t in ordinary for w in windows(t)]
+    samples = samples[:: max(1, -(-len(samples) // FIT_WINDOWS))]
     try:
         base = zstandard.train_dictionary(ORDINARY_DICT_BYTES, samples, k=64, d=8, threads=1).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: it is the dictionary
@@ -177,11 +180,17 @@ def fit_model(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     labelled = known.join(rows.select("id"), "id", "left_semi")
     by_class = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     totals = (by_class.get(0, 0), by_class.get(1, 0))
-    rows = rows.where(F.length("text") <= fit_chars)
-    usable = known.join(rows.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id"))
-    some = [usable.where(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, fit_toxic), (0, fit_ordinary))]
-    chosen = (rows.join(F.broadcast(some[0].unionByName(some[1])), "id")
-              .groupBy("id", "y", "h").agg(F.min("text").alias("text")))
+    sizes = rows.groupBy("id").agg(F.max(F.length("text")).alias("n"))
+    usable = known.join(sizes, "id").withColumn("h", F.xxhash64("id"))
+    some, left = [], {0: fit_chars, 1: fit_chars}
+    for y, n in ((1, fit_toxic), (0, fit_ordinary)):
+        for r in usable.where(F.col("y") == y).orderBy("h", "id").limit(n).collect():  # ids and lengths of the sample
+            if r["n"] <= left[y]:
+                left[y] -= r["n"]
+                some.append((r["id"], r["y"], r["h"]))
+    picked = df.sparkSession.createDataFrame(some, T.StructType([rows.schema["id"], T.StructField("y", T.IntegerType()),
+                                                                  T.StructField("h", T.LongType())]))
+    chosen = rows.join(F.broadcast(picked), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"text": pd.Series(dtype=str), "y": pd.Series(dtype=int), "h": pd.Series(dtype=int)}),
