@@ -32,7 +32,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
-    assert len(QUERIES) == 56
+    assert len(QUERIES) >= 56
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
