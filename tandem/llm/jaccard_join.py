@@ -29,12 +29,13 @@ of one id are rows of their own; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from .common import WordTable, pick, range_hash, slices, stored, utf8
 from .simhash import components
 
 WIDTH, PERCENT = 5, 80
-COUNT_BITS = 18  # the table of counts has 2**18 entries at every size of the corpus
+COUNT_BITS, COUNT_BLOCK = 21, 1 << 16  # the table of counts has 2**21 entries at every size of the corpus; slots in a block of it
 TILE_ROWS = 2048
 SMALL_KEYS = 1_000_000  # 64-bit keys in a broadcast at most; more meet in a shuffle join
 MAX_BITMAP = 16384  # bits; a wider set fills its bitmap, which loosens the bound and changes no result
@@ -96,21 +97,46 @@ def set_id(codes: np.ndarray) -> bytes:
     return blake2b(codes.tobytes(), digest_size=16).digest()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the packed blocks (sorted by block), as they stream by."""
+    block, total = None, np.zeros(COUNT_BLOCK, dtype=np.int64)
+    for b in batches:
+        for k, packed in zip(b.column("block").to_pylist(), b.column("packed").to_pylist(), strict=True):
+            if block is not None and k != block:
+                yield pa.record_batch({"block": pa.array([block], pa.int32()), "packed": pa.array([_packed(total)])})
+                total = np.zeros(COUNT_BLOCK, dtype=np.int64)
+            block = k
+            total = total + np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+    if block is not None:
+        yield pa.record_batch({"block": pa.array([block], pa.int32()), "packed": pa.array([_packed(total)])})
+
+
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles per slot of the table of counts, as rounded logarithms."""
+    """Shingles per slot of the table of counts, as rounded logarithms. Each task sends its table as packed blocks, which
+    are added in two steps, so that a block's sum is spread over tasks first."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for b in batches:
             texts = utf8(b.column("text"))
             for lo, hi in slices(texts):
                 total += np.bincount(_slot(shingle_hashes(texts[lo:hi], width)[0]), minlength=len(total))
-        slot = np.flatnonzero(total)
-        yield pa.record_batch({"slot": slot.astype(np.int32), "n": total[slot]})
-
-    counts = docs.select("text").mapInArrow(scan, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << COUNT_BITS, dtype=np.uint8)  # bounded: one entry per slot
-    out[counts["slot"].to_numpy()] = np.rint(4 * np.log2(counts["n"].to_numpy() + 1.0))
-    return out
+        rows = [(k, _packed(x)) for k, x in enumerate(total.reshape(-1, COUNT_BLOCK)) if x.any()]
+        task = TaskContext.get().partitionId() % 64
+        yield pa.record_batch({"block": pa.array([k for k, _ in rows], pa.int32()), "part": pa.array([task] * len(rows), pa.int32()),
+                               "packed": pa.array([p for _, p in rows], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(scan, "block int, part int, packed binary")
+    some = parts.repartition("block", "part").sortWithinPartitions("block", "part").select("block", "packed").mapInArrow(
+        _add_blocks, "block int, packed binary")
+    blocks = some.repartition("block").sortWithinPartitions("block").mapInArrow(_add_blocks, "block int, packed binary")
+    out = np.zeros((1 << COUNT_BITS) // COUNT_BLOCK * COUNT_BLOCK, dtype=np.uint8).reshape(-1, COUNT_BLOCK)  # bounded
+    for r in blocks.collect():
+        out[r["block"]] = np.rint(4 * np.log2(np.frombuffer(zlib.decompress(bytes(r["packed"])), dtype=np.int64) + 1.0))
+    return out.ravel()
 
 
 def document_sets(docs: DataFrame, counts: Broadcast, width: int, percent: int) -> DataFrame:
