@@ -9,16 +9,23 @@ rows. The predictor factory is called once per worker process and call of
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.functions.text import EOS_TOKEN, PAD_TOKEN, clean_generated, word_tokens
-from tandem.session import scratch_path
+from tandem.operators.ordering import sequence_index
+from tandem.session import scratch_path, stored
 
 Predictor = Callable[[list[str]], list[str]]
 
@@ -82,30 +89,69 @@ def train_next_words(texts: DataFrame, text_col: str) -> DataFrame:
 
 
 def publish_model(model: DataFrame) -> str:
-    """Write a model table under the shared folder and have every worker fetch it; returns the artefact's name."""
+    """Write a model table under the shared folder and have every executor fetch its part files (a cluster does not
+    take a folder); returns the artefact's name. Words are numbered in their order (as bytes) and stand there once; a
+    row holds its word, its number and the number of the next word, so a worker needs no table of strings by string."""
     spark = model.sparkSession
+    model = stored(model, "next-words")
     path = scratch_path(spark, "model")
-    model.write.parquet(path)
-    spark.sparkContext.addFile(path, recursive=True)
-    return path.rsplit("/", 1)[1]
+    words = model.select("word").union(model.select("next")).distinct()
+    numbered = sequence_index(words, ["word"], name="number")
+    of_next = numbered.select(F.col("word").alias("next"), F.col("number").alias("next_number"))
+    rows = numbered.join(model.join(of_next, "next").select("word", "next_number"), "word", "left")
+    rows.repartitionByRange("number").sortWithinPartitions("number").write.parquet(path)
+    name = path.rsplit("/", 1)[1]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(str(p) for p in (s.getPath().toString() for s in fs.listStatus(folder)) if p.endswith(".parquet"))
+    for k, part in enumerate(parts):  # named after the artefact, in order
+        file = f"{path}/{name}-{k:05d}.parquet"
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), spark._jvm.org.apache.hadoop.fs.Path(file)):
+            raise OSError(f"cannot name {file}")
+        spark.sparkContext.addFile(file)
+    return name
+
+
+class NextWords:
+    """A published model in a worker: the bytes of all words in one buffer, in order, and as arrays where each begins
+    and the number of its next word (-1: none). A string is looked up by bisection."""
+
+    def __init__(self, artefact: str):
+        files = [pq.ParquetFile(f) for f in sorted(Path(SparkFiles.getRootDirectory()).glob(f"{artefact}-*.parquet"))]
+        rows = sum(f.metadata.num_rows for f in files)
+        self.begin, self.following, self.text = np.zeros(rows + 1, dtype=np.int64), np.empty(rows, dtype=np.int32), bytearray()
+        at = 0
+        for file in files:
+            with file:
+                for batch in file.iter_batches(columns=["word", "next_number"]):
+                    word, end = batch.column("word").cast(pa.large_binary()), at + batch.num_rows
+                    self.begin[at + 1:end + 1] = len(self.text) + np.cumsum(pc.binary_length(word).to_numpy())
+                    self.following[at:end] = pc.fill_null(batch.column("next_number"), -1).to_numpy()
+                    self.text += b"".join(word.to_pylist())
+                    at = end
+
+    def word(self, number: int) -> bytes:
+        return bytes(self.text[self.begin[number]:self.begin[number + 1]])
+
+    def after(self, word: str, most: int) -> list[str]:
+        """Up to ``most`` words that follow ``word``, one after the other."""
+        wanted = word.encode()
+        at, made = bisect_left(range(len(self.following)), wanted, key=self.word), []
+        if at == len(self.following) or self.word(at) != wanted:
+            return made
+        while len(made) < most and (at := int(self.following[at])) >= 0:
+            made.append(self.word(at).decode())
+        return made
 
 
 def next_word_factory(artefact: str, max_new_words: int = 8) -> Callable[[], Predictor]:
     """A predictor over a published :func:`train_next_words` model: from an input's last word on, the next word again
     and again, until none is known or ``max_new_words`` are made; framed as a decoder emits it."""
     def load() -> Predictor:
-        import pyarrow.parquet as pq
-
-        table = pq.read_table(SparkFiles.get(artefact))
-        following = dict(zip(table.column("word").to_pylist(), table.column("next").to_pylist(), strict=True))
+        model = NextWords(artefact)
 
         def predict(batch: list[str]) -> list[str]:
-            out = []
-            for text in batch:
-                word, made = text.rstrip(" ").rsplit(" ", 1)[-1], []
-                while len(made) < max_new_words and (word := following.get(word)) is not None:
-                    made.append(word)
-                out.append(f"{PAD_TOKEN}{' '.join(made)}{EOS_TOKEN}")
-            return out
+            last = (text.rstrip(" ").rsplit(" ", 1)[-1] for text in batch)
+            return [f"{PAD_TOKEN}{' '.join(model.after(word, max_new_words))}{EOS_TOKEN}" for word in last]
         return predict
     return load

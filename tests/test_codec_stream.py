@@ -210,3 +210,21 @@ def test_published_model_is_loaded_in_workers(spark):
     df = spark.createDataFrame([(1, "say a"), (2, "z"), (3, None), (4, "b  ")], "id long, t string")
     out = infer.batch_generate(df, infer.next_word_factory(name, 4), "t", ["id"], batch_size=2).collect()
     assert {r.id: r.generated_clean for r in out} == {1: "b c a b", 2: "", 3: "", 4: "c a b c"}
+
+
+def test_model_is_published_as_files(spark, monkeypatch):
+    """A cluster refuses folders: every fetched path is a file. Words of any script keep their order as bytes."""
+    texts = spark.createDataFrame([("é 漢 é 漢 é 😀",), ("zz é",), ("",), (None,)], "t string")
+    added, add = [], type(spark.sparkContext).addFile
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", lambda self, path, *a, **k: (added.append(path), add(self, path, *a, **k)))
+    name = infer.publish_model(infer.train_next_words(texts, "t"))
+    assert added and all(os.path.isfile(p.removeprefix("file:")) for p in added)
+    df = spark.createDataFrame([(1, "zz"), (2, "a 😀"), (3, "\uffff"), (4, "")], "id long, t string")
+    out = infer.batch_generate(df, infer.next_word_factory(name, 3), "t", ["id"]).collect()
+    assert {r.id: r.generated_clean for r in out} == {1: "é 漢 é", 2: "", 3: "", 4: ""}
+
+
+def test_empty_model(spark):
+    name = infer.publish_model(infer.train_next_words(spark.createDataFrame([("one",)], "t string"), "t"))
+    out = infer.batch_generate(spark.createDataFrame([(1, "one")], "id long, t string"), infer.next_word_factory(name), "t", ["id"])
+    assert [r.generated for r in out.collect()] == ["<pad></s>"]
