@@ -35,3 +35,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         held.append(b.slice(last))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def pieces(batch: pa.RecordBatch, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut where the sizes of its rows add up to about ``most``; a row over it stands alone."""
+    total, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

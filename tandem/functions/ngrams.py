@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -81,19 +82,61 @@ def paired_grams(left: Sequence[str], right: Sequence[str], sizes: Sequence[int]
                         np.bincount(entry[split:], minlength=len(distinct)), place)
 
 
-_HASH_CACHE: dict[str, int] = {}
-_HASH_CACHE_MAX = 2_000_000
-
-
-def _gram_hash(g: str) -> int:
-    """First 7 hex digits of md5(g) as an integer (= top 28 bits of the digest), kept per worker."""
-    h = _HASH_CACHE.get(g)
-    if h is None:
-        h = int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big") >> 4
-        if len(_HASH_CACHE) >= _HASH_CACHE_MAX:
-            _HASH_CACHE.clear()
-        _HASH_CACHE[g] = h
-    return h
+_MD5_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_SINES = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_ROWS, _MD5_BLOCK = 1 << 13, 55  # messages of one pass; bytes that fit a message of one block
+
+
+def _md5_first(octets: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """The first 32 bits of the md5 (as a big-endian integer) of the ``size`` bytes at each place of ``start``, by
+    arrays: the 64 steps of the digest's only block."""
+    words = [np.zeros(len(start), dtype=np.uint32) for _ in range(size // 4 + 1)]
+    for k in range(size):
+        words[k // 4] |= octets[start + k].astype(np.uint32) << np.uint32(8 * (k % 4))
+    words[size // 4] |= np.uint32(0x80 << 8 * (size % 4))
+    message = dict(enumerate(words)) | {14: np.uint32(size * 8)}
+    a, b, c, d = (np.full(len(start), v, dtype=np.uint32) for v in _MD5_START)
+    for i in range(64):
+        if i < 16:
+            f, k = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, k = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, k = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += np.uint32(_MD5_SINES[i])
+        if k in message:
+            f += message[k]
+        turn = _MD5_SHIFTS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + (f << np.uint32(turn) | f >> np.uint32(32 - turn))
+    return (a + np.uint32(_MD5_START[0])).byteswap()
+
+
+class GramHashes:
+    """First 7 hex digits of the md5 (= its top 28 bits) of n-grams of a text, given by their places in it. Nothing is
+    kept between texts, so memory is that of the text."""
+
+    def __init__(self, text: str):
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        self.octets = np.frombuffer(text.encode(), dtype=np.uint8)
+        self.begin = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)])
+
+    def __call__(self, at: np.ndarray, n: int) -> np.ndarray:
+        start = self.begin[at]
+        size = self.begin[at + n] - start
+        out = np.empty(len(at), dtype=np.int64)
+        for length in np.unique(size).tolist():
+            which = np.flatnonzero(size == length)
+            for lo in range(0, len(which), _MD5_ROWS):
+                rows = which[lo:lo + _MD5_ROWS]
+                if length <= _MD5_BLOCK:
+                    out[rows] = _md5_first(self.octets, start[rows], length) >> np.uint32(4)
+                else:
+                    out[rows] = [int.from_bytes(hashlib.md5(self.octets[i:i + length].tobytes()).digest()[:4], "big") >> 4 for i in start[rows].tolist()]
+        return out
 
 
 def pair_counts(left: Sequence[str], right: Sequence[str], max_n: int = 0, widths: dict[int, tuple[int, ...]] | None = None,
@@ -105,12 +148,12 @@ def pair_counts(left: Sequence[str], right: Sequence[str], max_n: int = 0, width
     matches = np.zeros((max_n, rows), dtype=np.int64)
     flags = {w: np.zeros((2, rows, w), dtype=bool) for w in widths}
     hashed = {n for sizes in widths.values() for n in sizes}
-    joined = "".join([*left, *right]) if hashed else ""
+    hash_of = GramHashes("".join([*left, *right])) if hashed else None
     for g in paired_grams(left, right, sorted({*range(1, max_n + 1), *hashed})):
         if g.n <= max_n:
             matches[g.n - 1] = np.bincount(g.row, np.minimum(g.left, g.right), minlength=rows)
         if g.n in hashed:
-            value = np.fromiter((_gram_hash(joined[i:i + g.n]) for i in g.at.tolist()), dtype=np.int64, count=len(g.at))
+            value = hash_of(g.at, g.n)
             for w, sizes in widths.items():
                 if g.n in sizes:
                     bit = (value % w)[g.gram]

@@ -23,10 +23,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandem.functions.groups import pieces
 from tandem.functions.ngrams import edit_distances, gram_bits, pair_counts, set_tanimoto
 from tandem.functions.text import clean_generated, non_empty
 
@@ -102,7 +104,14 @@ def status_counts(prepared: DataFrame) -> DataFrame:
 
 # --- per-pair statistics ------------------------------------------------------
 
-SLICE_CHARS, SLICE_ROWS = 1 << 19, 1 << 11  # of one pass of the kernels; a pair over it passes alone
+SLICE_CHARS, SLICE_ROWS = 1 << 16, 1 << 11  # of one pass of the n-gram kernels (whose arrays then fit caches); a pair over it passes alone
+PIECE_BYTES = 8 << 20  # of strings that leave an Arrow batch together; edit distances pass over a piece at once
+
+
+def _pieces(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The batch cut at about ``PIECE_BYTES`` of the named strings, so that memory is not that of the whole batch."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    return pieces(batch, size, PIECE_BYTES)
 
 
 def _pair_slices(left: Sequence[str], right: Sequence[str]) -> Iterator[tuple[int, int]]:
@@ -159,11 +168,13 @@ def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
                         out[f"{prefix}_m{n}"][rows] = matches[n - 1]
                 if own_bits:
                     out["bits_small"][rows], out["bits_large"][rows] = tanimoto[BITS_SMALL[0]], tanimoto[BITS_LARGE[0]]
-            if lev and columns == tuple(lev):
-                out["lev"][rows] = edit_distances(hyp[lo:hi], ref[lo:hi])
+        if lev and columns == tuple(lev):
+            out["lev"][at] = edit_distances(hyp, ref)
+
+    strings = sorted({c for pair in tables for c in pair})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, strings)):
             out = {f.name: np.zeros(batch.num_rows, dtype=np.int64 if f.dataType == T.LongType() else np.float64) for f in new_fields}
             for columns, prefixes in tables.items():
                 count(batch, out, columns, prefixes)

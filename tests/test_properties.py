@@ -207,3 +207,35 @@ def test_native_and_arrow_ngram_counts_agree(spark):
     nat = {r.pair_id: tuple(r[1:]) for r in ev.clipped_matches_native(p, "pair_id", "pred_self", "gt_self").collect()}
     arrow = ev.with_clipped_matches(p, [("x", "pred_self", "gt_self")]).collect()
     assert arrow and all(nat.get(r.pair_id, (0, 0, 0, 0)) == (r.x_m1, r.x_m2, r.x_m3, r.x_m4) for r in arrow)
+
+
+def test_gram_hashes_are_md5_and_are_not_kept():
+    """The digests by arrays are md5's for any script and length; nothing stays in a worker after a slice."""
+    import hashlib
+    import tracemalloc
+
+    import numpy as np
+
+    from tandem.functions import ngrams
+
+    text = "aé漢😀" * 20 + "plain text"
+    for n in (1, 2, 7, 13, 30):
+        at = np.arange(len(text) - n + 1)
+        assert ngrams.GramHashes(text)(at, n).tolist() == [int(hashlib.md5(text[i:i + n].encode()).hexdigest()[:7], 16) for i in at]
+    rng = random.Random(1)
+    slices = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5000))] for _ in range(4)]
+    tracemalloc.start()
+    for one in slices:
+        pair_counts(one, one, 0, {2048: (5, 6, 7)})
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
+
+
+def test_batches_leave_in_pieces():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"a": ["x" * (ev.PIECE_BYTES // 2)] * 4 + [None], "b": ["y"] * 5})
+    cut = list(ev._pieces(batch, ["a", "b"]))
+    assert [p.num_rows for p in cut] == [1, 1, 1, 2]
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
