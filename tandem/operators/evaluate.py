@@ -183,24 +183,26 @@ def with_clipped_matches(df: DataFrame, specs: Sequence[tuple[str, str, str]],
     return df.mapInArrow(run, T.StructType(keep_fields + new_fields))
 
 
-SPREAD_BYTES = 8 << 20  # of input per task; with more of it, the splits and shuffles of the plan feed every task
+TASK_BYTES = 4 << 20  # of input files whose rows one scoring task gets, about
 
 
 def _input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables and files a plan reads, as the planner knows them."""
+    """Bytes of the tables and files a plan reads, as the planner knows them; one that is read again (the same size)
+    counts once, and one of unknown size (which the planner takes for endless) not at all."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = {int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())}
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Rows in enough partitions for CPU-heavy work. Pair rows are small in bytes but costly to score, so a small
-    input, which arrives in a few splits or is packed into a few tasks after a shuffle, is repartitioned; an input
-    above ``SPREAD_BYTES`` per task is not, so texts are never shuffled for it at scale. ``partitions`` forces a count."""
-    spark = df.sparkSession
-    parallel = spark.sparkContext.defaultParallelism
-    if partitions is None and _input_bytes(df) >= parallel * SPREAD_BYTES:
+    """Rows in enough partitions for CPU-heavy work. Pair rows are small in bytes but costly to score, and a shuffle
+    packs them by bytes, so they are dealt by ``key`` to tasks of about ``TASK_BYTES`` of input: with the input grow
+    the tasks, not the time of the longest. ``partitions`` forces a count; 0: the rows are dealt already."""
+    if partitions == 0:
         return df
-    return df.repartition(partitions or max(parallel, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(partitions or max(least, -(-_input_bytes(df) // TASK_BYTES)), key)
 
 
 def with_bit_tanimoto(df: DataFrame, use: Column, empty_value: float = 0.0) -> DataFrame:

@@ -239,3 +239,15 @@ def test_batches_leave_in_pieces():
     cut = list(ev._pieces(batch, ["a", "b"]))
     assert [p.num_rows for p in cut] == [1, 1, 1, 2]
     assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+
+
+def test_scoring_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """However large the input, a task gets about TASK_BYTES of it; one that is joined with itself counts once."""
+    path = str(tmp_path / "t")
+    spark.range(200_000).selectExpr("id AS pair_id", "md5(string(id)) AS t").write.parquet(path)
+    monkeypatch.setattr(ev, "SPREAD_BYTES", 1, raising=False)
+    monkeypatch.setattr(ev, "TASK_BYTES", 1 << 16, raising=False)
+    df = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    for frame in (df, df.join(df.withColumnRenamed("t", "u"), "pair_id")):
+        assert ev.spread(frame, "pair_id").rdd.getNumPartitions() == -(-size // (1 << 16))
