@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandem.functions.groups import pieces
 from tandem.functions.text import EOS_ID, EOS_TOKEN, PAD_ID, PAD_TOKEN, UNK_ID, UNK_TOKEN, char_tokens
 from tandem.operators.ordering import ensure_parallelism, sequence_index
 from tandem.session import stored
 
 CODE_POINTS = 0x110000  # of Unicode: the bound of a character vocabulary
 CHUNK_ROWS = 4096  # rows that share one dictionary in a lookup
+PIECE_SIZE = 1 << 20  # bytes of text, or ids, that one step of a character codec turns over
 
 # --- Fixed values: dataset registry and column families ---
 # Family A (caption sets): target 'selfies', caption 'caption', source 'smiles'.
@@ -235,25 +237,45 @@ def _code_points(vocab: DataFrame, wanted: str) -> Broadcast:
     return vocab.sparkSession.sparkContext.broadcast(table)
 
 
-def _char_ids(table: Broadcast):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def ids(texts: pa.Array) -> pa.Array:
-        there = pc.fill_null(texts, "")
-        points = np.frombuffer("".join(there.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
-        ends = np.concatenate([[0], np.cumsum(pc.utf8_length(there).to_numpy())]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(table.value[points].astype(np.int64)), mask=texts.is_null())
-    return ids
+def _in_pieces(df: DataFrame, columns: dict[str, str], of: T.DataType, load: Callable[[], Callable[[pa.Array], pa.Array]],
+               size: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with a column ``out`` for each ``src -> out``, made by the function that ``load`` gives once per task. A
+    batch is passed on in pieces of about ``PIECE_SIZE`` elements of the sources: what is made of it is many times its
+    size."""
+    names = df.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = load()
+        for batch in batches:
+            sizes = sum(pc.fill_null(size(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+            for piece in pieces(batch, sizes, PIECE_SIZE):
+                yield pa.record_batch({**{c: piece.column(c) for c in names}, **{out: made(piece.column(c)) for c, out in columns.items()}})
 
-def _ids_chars(table: Broadcast):
-    @F.arrow_udf(T.StringType())
-    def text(ids: pa.Array) -> pa.Array:
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(out, of) for out in columns.values()]]))
+
+
+def _char_ids(df: DataFrame, columns: dict[str, str], table: Broadcast) -> DataFrame:
+    def load():
+        def ids(texts: pa.Array) -> pa.Array:
+            there = pc.fill_null(texts, "")
+            points = np.frombuffer("".join(there.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+            ends = np.concatenate([[0], np.cumsum(pc.utf8_length(there).to_numpy())]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(table.value[points]), mask=texts.is_null())
+        return ids
+    return _in_pieces(df, columns, T.ArrayType(T.IntegerType()), load, pc.binary_length)
+
+
+def _ids_chars(df: DataFrame, columns: dict[str, str], table: Broadcast) -> DataFrame:
+    def load():
         tokens = pa.array(table.value, pa.string())
-        at = ids.flatten().to_numpy(zero_copy_only=False)
-        at = np.where((at >= 0) & (at < len(tokens)), at, UNK_ID).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(pa.array(at)), mask=ids.is_null()), "")
-    return text
+
+        def text(ids: pa.Array) -> pa.Array:
+            at = ids.flatten().to_numpy(zero_copy_only=False)
+            at = np.where((at >= 0) & (at < len(tokens)), at, UNK_ID).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(pa.array(at)), mask=ids.is_null()), "")
+        return text
+    return _in_pieces(df, columns, T.StringType(), load, pc.list_value_length)
 
 
 def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFrame,
@@ -272,10 +294,8 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
     else:
         whole = []
     if tokenizer is char_tokens:
-        udf = _char_ids(_code_points(vocab, "id"))
         # CPU-bound per-row work: spread rows if the input arrives in few splits.
-        out = ensure_parallelism(df, id_col).select(
-            "*", *[udf(F.col(c)).alias(f"_ids{k}") for k, c in enumerate(text_cols)])
+        out = _char_ids(ensure_parallelism(df, id_col), {c: f"_ids{k}" for k, c in enumerate(text_cols)}, _code_points(vocab, "id"))
     else:
         toks = {f"_toks{k}": c for k, c in enumerate(text_cols)}
         out = df.select("*", *[tokenizer(F.col(c)).alias(t) for t, c in toks.items()])
@@ -314,6 +334,6 @@ def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_c
     """Ids back to text with special tokens kept (clean with P4 after),
     tokens joined by ``separator``. By the way of ``encode`` for the tokenizer."""
     if tokenizer is char_tokens and not separator:
-        return ensure_parallelism(df, id_col).withColumn(out_col, _ids_chars(_code_points(vocab, "token"))(F.col(ids_col)))
+        return _ids_chars(ensure_parallelism(df, id_col).drop(out_col), {ids_col: out_col}, _code_points(vocab, "token"))
     looked = lookup_sequences(df, id_col, {ids_col: "_toks"}, vocab, "id", "token", UNK_TOKEN)
     return looked.withColumn(out_col, F.array_join("_toks", separator)).drop("_toks")

@@ -1,7 +1,11 @@
 """Dataset preparation: registry, filters, prompts, vocabulary and encoding."""
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 from sample_tables import SF001
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.functions.text import render_prompt
 from tandem.operators import prep
@@ -142,3 +146,23 @@ def test_declared_schema_is_checked_at_load(spark, tmp_path):
     good.withColumn("doc_id", F.col("doc_id").cast("string")).write.partitionBy("split").parquet(f"{root}/lpm-24")
     df = prep.load_split(spark, "lpm-24", "test", prep.parquet_reader(root))
     assert dict(df.dtypes)["doc_id"] == "string" and "PartitionFilters: [isnotnull(split" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_character_codecs_pass_batches_on_in_pieces(spark, monkeypatch):
+    """What is made of a batch is many times its size, so it leaves in pieces, whatever the batch."""
+    import pyarrow as pa
+
+    sizes = []
+
+    class Rows:
+        columns, schema = ["t"], T.StructType([T.StructField("t", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            self.schema = schema
+            sizes.extend(b.num_rows for b in run([pa.record_batch({"t": ["é" * 1000, None, "", "b" * 4000] * 25})]))
+            return self
+
+    table = np.full(prep.CODE_POINTS, 2, dtype=np.int32)
+    monkeypatch.setattr(prep, "PIECE_SIZE", 10_000)
+    prep._char_ids(Rows(), {"t": "ids"}, SimpleNamespace(value=table))
+    assert sum(sizes) == 100 and max(sizes) < 10
