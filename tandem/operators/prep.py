@@ -168,24 +168,38 @@ def build_vocab(texts: DataFrame, text_cols: list[str], tokenizer: Callable[[Col
 
 
 def lookup_sequences(df: DataFrame, id_col: str, seqs: dict[str, str], vocab: DataFrame, key: str,
-                     value: str, default, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                     value: str, default, chunk_rows: int = CHUNK_ROWS, rows: int | None = None,
+                     made: dict[str, Column] | None = None) -> DataFrame:
     """Map every element of each array column ``seq -> out`` through a
     vocabulary of any size, keeping element order; elements without an entry
     get ``default``. NULL arrays give NULL, empty arrays give empty arrays.
 
     Rows are dealt to chunks of about ``chunk_rows`` by the hash of ``id_col``
-    (unique). Each chunk's distinct elements (a partial aggregate) are joined
-    with the vocabulary, so a frequent element is one row per chunk; chunk and
-    dictionary then meet, and whole columns are mapped by one take."""
-    chunks = max(1, -(-df.count() // chunk_rows))
-    base = df.withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int"))
-    asked = base.select("_chunk", F.explode(F.concat(*[F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in seqs]))
-                        .alias("_k")).distinct()
+    (unique), in the one shuffle that carries them; the columns ``made`` (e.g.
+    the tokens of a text) are computed after it. Each chunk names its distinct
+    elements where it lies, these are joined with the vocabulary, so a frequent
+    element is one row per chunk; chunk and dictionary then meet, and whole
+    columns are mapped by one take. ``rows``: how many there are, if known;
+    else they are counted, which computes ``df`` once more."""
+    chunks = max(1, -(-(df.count() if rows is None else rows) // chunk_rows))
+    base = df.withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int")).repartition("_chunk").sortWithinPartitions("_chunk")
+    base = base.withColumns(made or {})
+    element = base.schema[next(iter(seqs))].dataType.elementType
+
+    def name(t: pa.Table) -> pa.Table:
+        parts = [part.flatten() for c in seqs for part in t.column(c).chunks]
+        there = pc.unique(pa.chunked_array(parts, parts[0].type)).drop_null()
+        return pa.table({"_chunk": pa.array([t.column("_chunk")[0].as_py()] * len(there), pa.int32()), "_k": there})
+
+    # The digest takes all columns, so that both readers of the rows need the same shuffle and share it.
+    lists = base.select("_chunk", *seqs, F.xxhash64(*[c for c in df.columns if c not in seqs]).alias("_rest"))
+    asked = lists.groupBy("_chunk").applyInArrow(name, T.StructType([T.StructField("_chunk", T.IntegerType()), T.StructField("_k", element)]))
     side = vocab.select(F.col(key).alias("_k"), F.col(value).alias("_v")).where("_v is not null")
     found = asked.join(side, "_k").select(F.col("_chunk").alias("_of"), "_k", "_v")
-    names = [*df.columns, *seqs.values()]
+    kept = [f for f in base.schema.fields if f.name != "_chunk" and f.name not in (made or {})]
+    names = [*[f.name for f in kept], *seqs.values()]
     of_value = vocab.schema[value].dataType
-    schema = T.StructType([*df.schema.fields, *[T.StructField(out, T.ArrayType(of_value)) for out in seqs.values()]])
+    schema = T.StructType([*kept, *[T.StructField(out, T.ArrayType(of_value)) for out in seqs.values()]])
 
     def fill(rows: pa.Table, words: pa.Table) -> pa.Table:
         keys, values = (words.column(c).combine_chunks() for c in ("_k", "_v"))
@@ -279,13 +293,14 @@ def _ids_chars(df: DataFrame, columns: dict[str, str], table: Broadcast) -> Data
 
 
 def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFrame,
-           max_length: int | None = MAX_LENGTH, tokenizer: Callable[[Column], Column] = char_tokens) -> DataFrame:
+           max_length: int | None = MAX_LENGTH, tokenizer: Callable[[Column], Column] = char_tokens,
+           rows: int | None = None) -> DataFrame:
     """T3 (``max_length`` set: truncate with eos last, pad, mask) / T4
     (``max_length=None``: ids + eos only). For each ``text_col -> out_col``
     adds ``out_col`` and ``out_col + '_mask'``.
 
     Character tokens: a gather by code point in each Arrow batch (no shuffle).
-    Tokens of another tokenizer: one lookup for all columns."""
+    Tokens of another tokenizer: one lookup for all columns (``rows``: how many rows ``df`` has, if known)."""
     if tokenizer is char_tokens and max_length is not None:
         # One id per character: what truncation drops needs no lookup.
         whole = [f"_whole{k}" for k in range(len(text_cols))]
@@ -297,10 +312,9 @@ def encode(df: DataFrame, id_col: str, text_cols: dict[str, str], vocab: DataFra
         # CPU-bound per-row work: spread rows if the input arrives in few splits.
         out = _char_ids(ensure_parallelism(df, id_col), {c: f"_ids{k}" for k, c in enumerate(text_cols)}, _code_points(vocab, "id"))
     else:
-        toks = {f"_toks{k}": c for k, c in enumerate(text_cols)}
-        out = df.select("*", *[tokenizer(F.col(c)).alias(t) for t, c in toks.items()])
-        out = lookup_sequences(out, id_col, {t: f"_ids{k}" for k, t in enumerate(toks)}, vocab, "token", "id",
-                               UNK_ID).drop(*toks)
+        toks = {f"_toks{k}": tokenizer(F.col(c)) for k, c in enumerate(text_cols)}
+        out = lookup_sequences(df, id_col, {t: f"_ids{k}" for k, t in enumerate(toks)}, vocab, "token", "id",
+                               UNK_ID, rows=rows, made=toks)
     for k, (text_col, out_col) in enumerate(text_cols.items()):
         raw = F.col(f"_ids{k}").cast("array<long>")
         out = out.withColumn(out_col, finish_ids(raw, max_length))
@@ -330,10 +344,10 @@ def shift_right(labels: Column, start_id: int = PAD_ID, pad_id: int = PAD_ID) ->
 
 
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str,
-               tokenizer: Callable[[Column], Column] = char_tokens, separator: str = "") -> DataFrame:
+               tokenizer: Callable[[Column], Column] = char_tokens, separator: str = "", rows: int | None = None) -> DataFrame:
     """Ids back to text with special tokens kept (clean with P4 after),
     tokens joined by ``separator``. By the way of ``encode`` for the tokenizer."""
     if tokenizer is char_tokens and not separator:
         return _ids_chars(ensure_parallelism(df, id_col).drop(out_col), {ids_col: out_col}, _code_points(vocab, "token"))
-    looked = lookup_sequences(df, id_col, {ids_col: "_toks"}, vocab, "id", "token", UNK_TOKEN)
+    looked = lookup_sequences(df, id_col, {ids_col: "_toks"}, vocab, "id", "token", UNK_TOKEN, rows=rows)
     return looked.withColumn(out_col, F.array_join("_toks", separator)).drop("_toks")

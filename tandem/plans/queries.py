@@ -225,8 +225,9 @@ def q_encode_words(spark, sf):
 
 def q_decode_words(spark, sf):
     c, v = _word_vocab(spark, sf)
-    enc = prep.encode(c, "doc_id", {"text": "ids"}, v, max_length=None, tokenizer=word_tokens)
-    return prep.decode_ids(enc, "doc_id", "ids", v, "decoded", word_tokens, " ").select("doc_id", "decoded")
+    c, rows = c.select("doc_id", "text"), c.count()
+    enc = prep.encode(c, "doc_id", {"text": "ids"}, v, max_length=None, tokenizer=word_tokens, rows=rows)
+    return prep.decode_ids(enc.select("doc_id", "ids"), "doc_id", "ids", v, "decoded", word_tokens, " ", rows).select("doc_id", "decoded")
 
 
 # --- B: order, batches, shards, seeds --------------------------------------------------------

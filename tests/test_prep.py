@@ -166,3 +166,13 @@ def test_character_codecs_pass_batches_on_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(prep, "PIECE_SIZE", 10_000)
     prep._char_ids(Rows(), {"t": "ids"}, SimpleNamespace(value=table))
     assert sum(sizes) == 100 and max(sizes) < 10
+
+
+def test_lookup_moves_its_rows_once(spark):
+    """The rows go through one shuffle, which both the chunks' questions and their answers read."""
+    df = spark.createDataFrame([(i, None if i == 7 else "a b" * (i % 3)) for i in range(20)], "id long, text string")
+    v = spark.createDataFrame([("a", 3), ("b", 4), ("ba", 5)], "token string, id long")
+    out = prep.encode(df, "id", {"text": "ids"}, v, max_length=None, tokenizer=lambda c: F.filter(F.split(c, " "), lambda w: w != ""))
+    got = {r.id: r.ids for r in out.collect()}
+    assert got == {i: None if i == 7 else [[1], [3, 4, 1], [3, 5, 4, 1]][i % 3] for i in range(20)}
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
