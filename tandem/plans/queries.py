@@ -450,7 +450,7 @@ def q_streaming_eval(spark, sf):
 def q_streaming_early_stop(spark, sf):
     ship_package(spark)
     src = scratch_path(spark, "u4-in")
-    streams.write_stream_input(fx.metric_log(spark, sf), src, 4, "step")
+    streams.write_stream_input(fx.metric_log(spark, sf), src, 4, "step", by=("run", "metric"))
     return streams.streaming_early_stop(spark, src, LOG_SCHEMA)
 
 
